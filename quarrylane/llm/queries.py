@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, url_filter
+from . import license_scan, mixing, nearest, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_nearest": nearest.op2_nearest,
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op8_license_scan": license_scan.op8_license_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE}
