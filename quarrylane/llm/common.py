@@ -232,7 +232,7 @@ def build_bloom(keys: DataFrame, column: str, log_bits: int, hashes: int, levels
             full = np.flatnonzero(parts.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in full], pa.binary())], ["segment", "bits"])
 
-    def merge(key, t: pa.Table) -> pa.Table:
+    def merge(key, t):
         out = np.zeros(size // 8, np.uint8)
         for x in t.column("bits"):
             out |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)

@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
     asked = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), F.col("e").alias("ask_e"), F.size("e").alias("d"), F.explode("near").alias("bucket"))
     asked = asked.join(parts, ["bucket", "d"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def rank(key, ask: pa.Table, rows: pa.Table) -> pa.Table:
+    def rank(key, ask, rows):
         out = [[], [], [], [], []]
         if ask.num_rows and rows.num_rows:
             x = _matrix(rows.column("e").combine_chunks())[0][1]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, nearest, url_filter
+from . import jaccard, license_scan, mixing, nearest, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_nearest": nearest.op2_nearest,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op8_license_scan": license_scan.op8_license_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE}
