@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, license_scan, mixing, nearest, url_filter
+from . import jaccard, license_scan, lm_score, mixing, nearest, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_jaccard": jaccard.op4_jaccard,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_lm_score": lm_score.op9_lm_score,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE}
