@@ -40,7 +40,7 @@ def rotated(x: np.ndarray, table_no: int, seed: int) -> np.ndarray:
 
 def nearest_axes(y: np.ndarray, probes: int) -> np.ndarray:
     """For each row the numbers of its `probes` nearest signed axes, nearest first: 2i for +e_i, 2i+1 for -e_i."""
-    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    both = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
