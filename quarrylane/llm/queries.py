@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard, license_scan, lm_score, mixing, nearest, url_filter
+from . import decontaminate, jaccard, license_scan, lm_score, mixing, nearest, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_nearest": nearest.op2_nearest,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_lm_score": lm_score.op9_lm_score,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE}
