@@ -121,10 +121,12 @@ class Tokens:
     bounds: np.ndarray
     raw: np.ndarray
     offsets: np.ndarray
+    stems: np.ndarray | None = None
 
 
-def tokens(texts: pa.Array, separators: bytes = SPACES) -> Tokens:
+def tokens(texts: pa.Array, separators: bytes = SPACES, stem: int = 0) -> Tokens:
     """Words and word hashes of all texts, with A-Z lower-cased. Nulls count as empty.
+    With `stem`, also hashes of the first so many bytes of each word (all of a shorter one).
 
     Works in blocks of BLOCK_BYTES, cut between texts or at a separator, so memory follows the
     longest word, not the longest text."""
@@ -146,6 +148,7 @@ def tokens(texts: pa.Array, separators: bytes = SPACES) -> Tokens:
     right[:-1] &= ~word[1:] | first[1:-1]
     starts, ends = np.flatnonzero(left), np.flatnonzero(right) + 1
     hashes = np.empty(len(starts), np.uint64)
+    stems = np.empty(len(starts), np.uint64) if stem else None
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
@@ -155,8 +158,11 @@ def tokens(texts: pa.Array, separators: bytes = SPACES) -> Tokens:
         np.cumsum(_BYTE[low[data[a:b]]] * up[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         hashes[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        if stem:
+            e = np.minimum(e, s + stem)
+            stems[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
-    return Tokens(hashes, starts, ends, np.searchsorted(starts, at), data, at)
+    return Tokens(hashes, starts, ends, np.searchsorted(starts, at), data, at, stems)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -171,6 +177,14 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def labelled_sample(labels: DataFrame, name: str, mod: int, held_out: int, most: int) -> DataFrame:
+    """(doc_id, label): at most `most` labelled documents whose crc32 remainder is not held_out, taken
+    in the order of a hash of the id; a document labelled twice has its larger label."""
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    one = one.where(train_rows(F.col("doc_id"), mod, held_out)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 class BloomBits:
     """A Bloom filter of 2**log_bits bits, the same size for any input (its broadcast is bounded)."""
 

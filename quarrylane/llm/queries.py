@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, license_scan, lm_score, mixing, nearest, substring_dedup, url_filter
+from . import decontaminate, jaccard, license_scan, lm_score, mixing, nearest, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
