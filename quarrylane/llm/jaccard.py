@@ -8,7 +8,7 @@ lowest estimated cost (pairs to look at, and candidates to verify); a pair needs
 its two m.  Candidates are then bounded by counts of hashed tokens and verified on whole sets.
 
 Groups of near copies never expand into all pairs: a first round links each document to the
-smallest node of a few of its rare tokens, and the full round looks only at pairs of nodes that
+centre of a few of its tokens, the document made of the commonest tokens, and the full round looks only at pairs of nodes that
 are not yet connected.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
+from .common import WORD, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
 
 SKETCH_BITS = 20
 BLOOM_BITS = 26
@@ -47,12 +47,12 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def set_digests(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest) per row, and among them rows with a null digest that hold a task's counts
-    of token buckets: (part number, null, null, counts)."""
+    """(doc_id, tie, n, digest) per row, and among them rows with a null digest that hold a task's
+    counts of token buckets: (part number, null, null, null, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "digest", "counts"]
+        names = ["doc_id", "tie", "n", "digest", "counts"]
         for batch in batches:
             for part in slices(batch, 1):
                 n, digests = [], []
@@ -61,13 +61,13 @@ def set_digests(docs: DataFrame, size: int) -> DataFrame:
                     digests.append(_digest(s) if len(s) else b"")
                     if len(s):
                         np.add.at(counts, _bucket(s), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.binary())], names)
         if counts.any():
             cut = counts.reshape(64, -1)
             full = np.flatnonzero(cut.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.binary()), pa.array([zlib.compress(cut[i].tobytes(), 1) for i in full], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.binary()), pa.array([zlib.compress(cut[i].tobytes(), 1) for i in full], pa.binary())], names)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, digest binary, counts binary")
+    return docs.mapInArrow(scan, "doc_id long, tie long, n long, digest binary, counts binary")
 
 
 def read_sketch(parts: DataFrame) -> np.ndarray:
@@ -92,7 +92,7 @@ def prefix_plan(freq: np.ndarray, n: int, needed: int, n_docs: int) -> int:
 
     freq: estimated documents per token of the set, ascending.  The cost of a prefix is its posting
     rows plus, for each document expected to share m of its tokens (Poisson), a look at a set."""
-    rows = np.cumsum(freq)
+    rows = np.cumsum(np.maximum(0, freq - 1))  # the document itself is one of them
     best, cheapest = 1, np.inf
     for m in range(1, min(MOST_MATCHES, needed) + 1):
         length = n - needed + m
@@ -113,15 +113,15 @@ def _needed(n: np.ndarray | int, num: int, den: int):
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch, n_docs: int) -> DataFrame:
-    """Per distinct set: n, matches, its prefix tokens in order, the tokens of its first round and
-    its token counts in bins.  A task leaves out sets that it has already given (as many as it keeps
+    """Per distinct set: node (a number for it), n, matches, its prefix tokens in order, the tokens of its first round, its
+    token counts in bins and how common its tokens are.  A task leaves out sets that it has already given (as many as it keeps
     in mind); the others go by dropDuplicates."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq_of, seen = sketch.value, set()
         for batch in batches:
             for part in slices(batch, 1):
-                rows: list[list] = [[] for _ in range(6)]
+                rows: list[list] = [[] for _ in range(7)]
                 for s in _sets(part, 1, size):
                     if not len(s) or (d := _digest(s)) in seen:
                         continue
@@ -133,12 +133,13 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch, n_docs: int
                     m = prefix_plan(f[order], n, need, n_docs)
                     few = s[np.argpartition(spread, min(STAR_TOKENS, n) - 1)[:STAR_TOKENS]]
                     bins = np.bincount((s % np.uint64(_bins(n))).astype(np.int64), minlength=_bins(n)).astype("<u4").tobytes()
-                    for c, v in zip(rows, (d, n, m, s[order[: n - need + m]].view(np.int64), few.view(np.int64), bins)):
+                    for c, v in zip(rows, (d, n, m, s[order[: n - need + m]].view(np.int64), few.view(np.int64), bins, float(np.log1p(f).mean()))):
                         c.append(v)
-                types = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["digest", "n", "matches", "prefix", "few", "bins"])
+                types = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["digest", "n", "matches", "prefix", "few", "bins", "common"])
 
-    return docs.mapInArrow(scan, "digest binary, n int, matches int, prefix array<long>, few array<long>, bins binary").dropDuplicates(["digest"])
+    sets = docs.mapInArrow(scan, "digest binary, n int, matches int, prefix array<long>, few array<long>, bins binary, common double").dropDuplicates(["digest"])
+    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
 def _bins(n: int) -> int:
@@ -153,27 +154,28 @@ def _overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, len(y)).sum(0), y).sum())
 
 
-def _within_bound(pairs: DataFrame, bins: DataFrame, num: int, den: int) -> DataFrame:
-    """Drops pairs (a, b) whose bin counts rule out the needed overlap."""
+def _within_bound(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Drops pairs (a, b) of nodes whose bin counts rule out the needed overlap."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in t.columns)
+            na, nb, x, y = (c.to_pylist() for c in t.columns[2:])
             ok = [den * o >= num * (p + q - o) for p, q, o in zip(na, nb, map(_overlap_bound, x, y))]
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = bins.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
-    two = bins.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a binary, b binary")
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of digests whose sets have Jaccard num/den or more.
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have Jaccard num/den or more.
 
     Sets are made again from the texts; only those that a filter of all digests in pairs lets
     through are sent (a Bloom filter of fixed size; what it lets through in excess the join drops)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    ends = ends.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    named = stored(ends.join(sets.select("node", "digest"), "node"), "ends")
+    ends = named.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key"))
     wanted = pairs.sparkSession.sparkContext.broadcast(build_bloom(ends, "key", BLOOM_BITS, 4))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +202,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = docs.mapInArrow(scan, "digest binary, tokens binary").dropDuplicates(["digest"])
-    one, two = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("xa")), sets.select(F.col("digest").alias("b"), F.col("tokens").alias("xb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(keep, "a binary, b binary")
+    sets = docs.mapInArrow(scan, "digest binary, tokens binary").dropDuplicates(["digest"]).join(named, "digest")
+    one, two = sets.select(F.col("node").alias("a"), F.col("tokens").alias("xa")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("xb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,50 +230,99 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text): documents link when the
+def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that share enough tokens of their prefixes.
+
+    Tokens that only one node's prefix holds are dropped first (by a Bloom filter of the others).
+    Of each token the nodes of its commonest root never meet one another, so a large group costs
+    as many rows as it has nodes.  A shared token counts only where it lies within the prefixes
+    that the two sizes ask for, which also bounds the overlap by the places of the first one."""
+    spark = pre.sparkSession
+    some = pre.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    bloom_b = spark.sparkContext.broadcast(build_bloom(some, "token", BLOOM_BITS, 4))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            size = np.asarray(lists.value_lengths())
+            row = np.repeat(np.arange(b.num_rows), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            tok = lists.flatten().to_numpy(zero_copy_only=False)
+            ok = bloom_b.value.has(tok.view(np.uint64))
+            of = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(tok[ok]), b.column(0).take(of), b.column(1).take(of), b.column(2).take(of), pa.array(place[ok].astype(np.int32))], ["token", "node", "n", "matches", "pos"])
+
+    q = pre.select("node", "n", "matches", "prefix").mapInArrow(scan, "token long, node long, n int, matches int, pos int")
+    q = stored(q.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shared")
+    of = q.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"))
+    q = q.join(of.where("roots > 1").select("token", F.col("most.root").alias("major")), "token")
+    r = q.select([F.col(c).alias(f"{c}_r") for c in q.columns])
+    total = F.col("n") + F.col("n_r")
+    alpha = F.floor((total * num + (num + den - 1)) / (num + den)).cast("int")  # the overlap that a link of these sizes needs
+    m = F.least("matches", "matches_r")
+    within = (F.col("pos") < F.col("n") - alpha + m) & (F.col("pos_r") < F.col("n_r") - alpha + m)
+    sized = (F.col("n") * den >= F.col("n_r") * num) & (F.col("n_r") * den >= F.col("n") * num)
+    once = (F.col("root_r") == F.col("major_r")) | (F.col("node") < F.col("node_r"))
+    rows = q.where("root <> major").join(r, (F.col("token") == F.col("token_r")) & (F.col("root") != F.col("root_r")) & once & sized & within)
+    rows = rows.groupBy(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(m).alias("m"), F.min(alpha).alias("alpha"), F.max(F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r"))).alias("rest")
+    )
+    return rows.where("shared >= m AND rest >= alpha").select("a", "b")
+
+
+def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """(doc_id, tie, n_shingles, component_id, root) per row of docs (doc_id, text): documents link when the
     Jaccard similarity of their sets of `size`-word shingles is num/den or more, in whole numbers.
 
     A-Z is lower-cased and words end at ASCII white space; a text with fewer words than `size` is
     one shingle.  component_id is the smallest doc_id that links reach.  Texts without words, null
     or empty, have no shingles, link to nothing and keep their own id.  Rows with equal ids stay
-    rows of their own; a null id never names a component unless all its ids are null.  Rows with
-    equal sets are one node, so copies cost one row each.  Other columns are ignored.  Shingles are
+    rows of their own, told apart by tie, a hash of the text; a null id never names a component unless all its ids are null.  Rows with
+    equal sets are one node, so copies cost one row each; root numbers the component (null without words).  Other columns are ignored.  Shingles are
     64-bit hashes, sets 128-bit digests.  An empty table gives an empty result."""
     spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"]).alias("tie"))
     first = stored(set_digests(docs, size), "digests")
     sketch = spark.sparkContext.broadcast(read_sketch(first.where("counts IS NOT NULL").select(F.col("doc_id").alias("part"), "counts")))
     rows = first.where("digest IS NOT NULL").drop("counts")
     full = rows.where("n > 0")
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("least_id"))
-    pre = stored(prefixes(docs, size, num, den, sketch, max(1, full.count())), "prefixes")
+    pre = prefixes(docs, size, num, den, sketch, max(1, full.count()))
 
-    # First round: each node with the smallest node of a few of its tokens.
-    few = pre.select("digest", F.explode("few").alias("token"))
-    centre = few.groupBy("token").agg(F.min("digest").alias("a"), F.max("digest").alias("top")).where("a <> top").drop("top")
-    stars = few.join(centre, "token").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    # First round: each node with the centre of a few of its tokens, the node whose own tokens are the
+    # most common.  In a group of near copies that is the least edited one, to which most link.
+    few = pre.select("node", "common", F.explode("few").alias("token"))
+    centre = few.groupBy("token").agg(F.max(F.struct("common", "node")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.node").alias("centre"))
+    stars = few.join(centre, "token").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     stars = stored(_within_bound(stars, pre, num, den), "stars")
-    links = stored(verified(stars, docs, size, num, den), "links")
+    links = stored(verified(stars, pre, docs, size, num, den), "links")
     roots = stored(components(links), "roots")
 
-    # Full round: all pairs that share enough prefix tokens and are not connected yet.
-    p = pre.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "matches", F.coalesce("root", "digest").alias("root"), F.posexplode("prefix"))
-    need = F.floor((F.col("n") * num + (den - 1)) / den)
-    p = p.select(F.col("col").alias("token"), "digest", "n", "matches", "root", F.greatest(F.lit(1), F.col("pos") + 1 - (F.col("n") - need)).cast("int").alias("level"))
-    q = p.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "matches", "root", "level")])
-    m = F.least("matches", "matches_b")
-    sized = (F.col("n") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n") * num)
-    pairs = p.join(q, (F.col("token") == F.col("token_b")) & (F.col("digest") < F.col("digest_b")) & (F.col("root") != F.col("root_b")) & sized & (F.col("level") <= m) & (F.col("level_b") <= m))
-    pairs = pairs.groupBy(F.col("digest").alias("a"), F.col("digest_b").alias("b")).agg(F.count("*").alias("shared"), F.min(m).alias("m")).where("shared >= m").select("a", "b")
-    pairs = stored(_within_bound(pairs, pre, num, den), "pairs")
-    more = stored(verified(pairs, docs, size, num, den), "more")
+    pairs = stored(_within_bound(unconnected_pairs(pre, roots, num, den), pre, num, den), "pairs")
+    more = stored(verified(pairs, pre, docs, size, num, den), "more")
     top = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "top")
-    least = nodes.join(top.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    ids = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = least.join(ids, "root").select("digest", "component_id")
-    out = rows.join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = pre.select("digest", "node").join(top, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    ids = nodes.join(named, "digest").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    out = rows.join(named.join(ids, "root"), "digest", "left")
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The first columns of jaccard_groups: (doc_id, n_shingles, component_id) per row."""
+    return jaccard_groups(docs, size, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs, any columns, without near-duplicates: of each component the document with the smallest
+    id stays (null ids last, then by a hash of the text; equal rows leave one).  Documents without
+    words all stay."""
+    groups = jaccard_groups(docs, size, num, den).where("n_shingles > 0")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__t"))
+    keyed = docs.withColumn("__tie", F.xxhash64(F.col("text").cast("string")))
+    words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t"))
+    kept = keyed.where(words).join(first, same, "left_semi").dropDuplicates(["doc_id", "__tie"])
+    return kept.union(keyed.where(~words)).drop("__tie")
 
 
 #: DuckDB SQL for the rows of jaccard_components; {docs} is a table with doc_id (unique) and text.
