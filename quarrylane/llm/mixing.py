@@ -110,7 +110,7 @@ def permuted_blocks(counts: DataFrame, most: int, seed: int) -> DataFrame:
     permutation of its blocks: their rank by a keyed hash, counted in bounded hash ranges."""
     s = counts.groupBy("sid", "n_blocks").agg(F.sum("n").alias("slots"))
     s = s.select("sid", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most - 1).cast("long"), F.floor((F.col("slots") - 1) / F.col("n_blocks"))))).alias("epoch"))
-    s = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_blocks") - 1) / CHUNK))).alias("part"))
+    s = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_blocks") - 1) / CHUNK))).alias("part")).repartition("sid", "epoch", "part")
     b = s.select("sid", "epoch", "n_blocks", F.explode(F.sequence(F.col("part") * CHUNK, F.least(F.col("n_blocks"), (F.col("part") + 1) * CHUNK) - 1)).alias("block"))
     b = b.withColumn("h", _scramble(F.col("block") * 7 + (F.col("sid") * 16 + F.col("epoch")) * 1000003 + F.lit(seed)))
     ranges = F.floor((F.col("n_blocks") - 1) / CHUNK) + 1
