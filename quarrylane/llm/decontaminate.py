@@ -178,6 +178,13 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     return out.where(F.col("coverage") >= coverage)
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """docs, any columns, without the documents that hold a test item."""
+    bad = contaminated(docs, items, coverage).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t")).distinct()
+    keyed = docs.withColumn("__tie", F.hash("text"))
+    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left_anti").drop("__tie")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item that it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")

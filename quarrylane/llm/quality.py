@@ -182,11 +182,12 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text and any other columns but score) with `score`, from 0 to 1.
+    """docs (doc_id, text and any other columns) with `score` (replaced if there), from 0 to 1.
 
     labelled (doc_id, label) is a bounded table of training labels (1 good).  Null and empty texts
     have statistics of 0.  Every row is scored by itself; without labels all scores are 0.5."""
     spark = docs.sparkSession
+    docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))  # bounded by MOST_LABELLED rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,16 +73,17 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the columns text (what is left), removed (array of start, end, kept_doc_id: places
     in characters of the original text and the document that keeps the first unit) and n_removed.
 
-    docs has doc_id, text and any other columns but these two.  Null and empty texts stay as they
+    docs has doc_id, text and any other columns; removed and n_removed are replaced.  Null and empty texts stay as they
     are.  Rows with equal ids and texts are one document, and keep or lose the same units; rows with
     equal ids and other texts rank by a hash of the text; null ids rank last.  A text that repeats
     others as a whole becomes empty.  Units that touch are removed with the white space after them."""
-    spark_docs = docs.withColumn("tie", F.hash("text"))
-    base = spark_docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tie", F.col("text").cast("string").alias("text"))
-    found = repeated_units(base).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "kept_doc_id"))).alias("units"))
-    found = found.where(F.aggregate("units", F.lit(0), lambda a, u: a + u["words"]) >= min_words)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "units")
-    joined = spark_docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie", "tie")
+    docs = docs.drop("removed", "n_removed")
+    keyed = docs.withColumn("__tie", F.hash("text"))
+    base = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tie").alias("tie"), F.col("text").cast("string").alias("text"))
+    found = repeated_units(base).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "kept_doc_id"))).alias("__units"))
+    found = found.where(F.aggregate("__units", F.lit(0), lambda a, u: a + u["words"]) >= min_words)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "__units")
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left").drop("__id", "__t", "__tie")
     names = [c for c in docs.columns if c != "text"]
     span = T.StructType().add("start", "integer").add("end", "integer").add("kept_doc_id", "long")
     schema = T.StructType([*docs.select(*names).schema.fields]).add("text", "string").add("removed", T.ArrayType(span)).add("n_removed", "integer")
@@ -128,7 +129,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 cols = [part.column(j) for j, n in enumerate(part.schema.names[:-1]) if j != at]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(spans, kind), pa.array([len(s) for s in spans], pa.int32())], [*names, "text", "removed", "n_removed"])
 
-    return joined.select(*docs.columns, "units").mapInArrow(cut, schema)
+    return joined.select(*docs.columns, "__units").mapInArrow(cut, schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

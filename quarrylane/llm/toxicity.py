@@ -165,13 +165,14 @@ def train_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40
 
 
 def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
-    """docs (doc_id, text and any other columns but score) with `score`, from 0 to 1.
+    """docs (doc_id, text and any other columns) with `score` (replaced if there), from 0 to 1.
 
     labelled (doc_id, label) is a bounded table of training labels (1 toxic), used to find the
     voters' words; the label model and the classifier see votes only.  Without labelled documents
     only the fixed insults and patterns vote.  Null and empty texts are scored like texts without
     any word that matters.  Every row is scored by itself: null ids, repeats and order don't matter."""
     spark = docs.sparkSession
+    docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))  # bounded by MOST_LABELLED rows
     train = stored(docs.join(known, F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "label"), "train")
     voters = Voters(toxic_terms(train, most_terms))
