@@ -11,6 +11,8 @@ from ..operators import dataset as D
 from ..operators import metrics as M
 from ..operators import pixels as P
 from ..operators import studies as S
+from ..operators import streaks as T
+from ..operators.kernels import centreline_dice, component_widths
 from .views import FRAME, hash_sql, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -601,3 +603,96 @@ CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011843
 @query("patch_bootstrap", ("v_scored",), f", c AS (SELECT patch_id, {CONFUSION} FROM v_scored GROUP BY patch_id), r AS (SELECT *, {number_of(13, 'patch_id', 'resample')} / 4294967296e0 AS h FROM (SELECT *, unnest(range(50)) AS resample FROM c)), w AS (SELECT *, {' + '.join(f'CASE WHEN h >= {x:.17e} THEN 1 ELSE 0 END' for x in CUTS)} AS k FROM r), s AS (SELECT resample, sum(tp * k) AS tp, sum(fp * k) AS fp, sum(fn * k) AS fn FROM w GROUP BY resample), m AS (SELECT {FOUR} FROM s) " + interval(["precision", "recall", "dice"], "m"))
 def _(s):
     return S.patch_bootstrap(M.dense_counts(s, ["patch_id"]), "patch_id", 50, 13)
+
+
+# Streak studies.
+@query("fp_distance_median", BOTH, FP + """, d AS (SELECT fp.image_id, fp.y, fp.x, min((fp.y - t.y) ** 2 + (fp.x - t.x) ** 2) AS d2 FROM fp JOIN v_gt_px t ON fp.image_id = t.image_id AND abs(fp.y - t.y) <= 20 AND abs(fp.x - t.x) <= 20 WHERE (fp.y - t.y) ** 2 + (fp.x - t.x) ** 2 <= 400 GROUP BY ALL),
+    h AS (SELECT CAST(floor(sqrt(d2)) AS INT) AS bin, count(*) AS n FROM d GROUP BY ALL), w AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS c, (SELECT sum(n) FROM h) / 2 AS half FROM h) SELECT round(arg_min(bin + (half - (c - n)) / n, bin), 6) AS median FROM w WHERE c >= half""")
+def _(p, t):
+    d = P.fp_distances(p, t, 32, 20).where("d2 IS NOT NULL")
+    return T.histogram_median(d.groupBy(F.floor(F.sqrt("d2")).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+
+
+@query("centreline_dice", BOTH)
+def _(p, t):
+    cell = lambda d: d.select("image_id", F.floor(F.col("y") / 32).alias("cy"), F.floor(F.col("x") / 32).alias("cx"), "y", "x")
+    return centreline_dice(cell(p), cell(t), ["image_id", "cy", "cx"])
+
+
+@query("component_widths", ("v_gt_px",))
+def _(t):
+    return component_widths(P.components(t))
+
+
+@query("streak_profiles", ("v_gt_px", "v_prob_px"))
+def _(t, p):
+    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    frame = grid.join(p, ["image_id", "y", "x"], "left").select("image_id", "y", "x", (F.coalesce("prob", F.lit(0.0)) * 200 + 20).alias("v"))
+    return T.profile_metrics(T.profile(P.components(t), frame, 12), 8)
+
+
+@query("component_recall", ("v_gt_px", "v_prob_px"))
+def _(t, p):
+    return T.component_recall(P.components(t), p.where("prob >= 0.5"), p.where("prob >= 0.1"))
+
+
+@query("recovered_crops", ("v_prob_px", "v_gt_px"))
+def _(p, t):
+    return T.recovered_crop(P.recovered(p.where("prob >= 0.1"), p.where("prob >= 0.5"), t), FRAME, FRAME, 8)
+
+
+LINE = {"least_votes": 30, "max_gap": 5, "least_length": 20, "height": FRAME, "width": FRAME}
+
+
+@query("strata_line_union", ("v_prob_px",))
+def _(p):
+    return T.strata_lines(p, [0.2, 0.5], **LINE)
+
+
+@query("gated_line_pass", ("v_prob_px", "v_gt_px"))
+def _(p, t):
+    gates = p.groupBy("image_id", F.floor(F.col("y") / 32).alias("cy"), F.floor(F.col("x") / 32).alias("cx")).agg(F.max("prob").alias("gate"))
+    return T.gated_line_pass(p, gates, 0.8, 0.5, 0.1, t, 32, **LINE)
+
+
+@query("detector_grid", ("v_pred_px", "v_gt_px"))
+def _(p, t):
+    return T.detector_grid(p, t, [LINE | {"least_votes": v, "max_gap": g} for v in (30, 40) for g in (3, 8)], AREA)
+
+
+@query("edge_detector", ("v_gt_px",))
+def _(t):
+    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    frame = grid.join(t.withColumn("v", F.lit(200.0)), ["image_id", "y", "x"], "left").na.fill(10.0, ["v"])
+    return T.edge_mask(frame, 64, 50.0, 150.0)
+
+
+@query("run_comparison", ("v_scored",), f", a AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), b AS (SELECT image_id, {CONFUSION.replace('prob', 'prob2')} FROM v_scored GROUP BY image_id) SELECT image_id, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change, a.tp = b.tp AND a.fp = b.fp AS same FROM a JOIN b USING (image_id)")
+def _(s):
+    return T.compare_runs(M.dense_counts(s, ["image_id"]), M.dense_counts(s, ["image_id"], prob="prob2"), ["image_id"], ["tp", "fp"])
+
+
+@query("annotation_scores", ("v_pred_px", "v_gt_px", "v_prob_px"))
+def _(p, t, q):
+    crops = t.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0")).withColumn("name", F.col("image_id").cast("string"))
+    return T.annotation_scores(t, p, q.where("prob >= 0.3"), crops, 64, [0, 1, 2])
+
+
+@query("stratified_components", ("v_audit",))
+def _(a):
+    return T.stratified_components(S.tertiles(a.select(F.col("stratum").alias("image_id"), F.col("crop_name").alias("component"), "fp_pixels"), "fp_pixels"), 5, 3, 4)
+
+
+@query("audit_crop_list", BOTH)
+def _(p, t):
+    hit = P.recovered(p, p.limit(0), t)
+    miss = p.join(t, ["image_id", "y", "x"], "left_anti")
+    pick = lambda d: D.quota_sample(d, ["image_id"], 3, 5, "image_id", "y", "x")
+    return T.audit_crops([("hit", pick(hit)), ("miss", pick(miss))], 64, FRAME, FRAME, 2)
+
+
+@query("joined_image_statistics", ("v_manifest", "v_frame_px"), ", s AS (SELECT image_id, avg(v) AS image_mean, stddev_pop(v) AS image_std FROM v_frame_px GROUP BY image_id), i AS (SELECT DISTINCT source_image FROM v_manifest), k AS (SELECT source_image, row_number() OVER (ORDER BY source_image) - 1 AS image_id FROM i) SELECT m.source_image, m.patch, m.split, round(m.fraction, 6) AS fraction, round(image_mean, 6) AS image_mean, round(image_std, 6) AS image_std FROM v_manifest m JOIN k ON m.source_image = k.source_image LEFT JOIN s ON s.image_id = k.image_id")
+def _(m, f):
+    names = S.numbered(m.select("source_image").distinct(), "source_image")
+    stats = D.image_statistics(f).select(F.col("image_id").alias("unit_no"), F.col("mean").alias("image_mean"), F.col("std").alias("image_std")).join(names, "unit_no")
+    return D.attach_statistics(m, stats).select("source_image", "patch", "split", "fraction", "image_mean", "image_std")

@@ -259,7 +259,7 @@ def test_pad_score_crop_round_trip(spark, rasters):
     back = S_.scored_pixels(S_.score_tiles(tiled, lambda: lambda x: x)).collect()
     for n, v in g.items():
         own = {(r.y, r.x): r.prob for r in back if f"/{n}_" in r.path}
-        assert len(own) == v.size and all(abs(p - 1 / (1 + np.exp(-v[k] / 255))) < 1e-6 for k, p in own.items())
+        assert len(own) == v.size and all(abs(p - 1 / (1 + np.exp(-float(v[k]) / 255))) < 1e-6 for k, p in own.items())
     assert list(S_.reflected(5, 4)) == [0, 1, 2, 3, 4, 3, 2, 1]
 
 
