@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, crc_held_out, labelled_sample, slices, stored, table, tokens
+from .common import NOT_ALNUM, crc_held_out, labelled_sample, mixed, slices, stored, table, tokens
 
 #: Bound on the labelled rows that the model is fitted on.
 MOST_LABELLED = 20_000
 MOST_TERMS = 4096
-STEM = 4
+STEM = 5
 LISTS = 5
 #: A term must be e**LEAST_ODDS times as likely in toxic texts.
-LEAST_ODDS = 4.2
+LEAST_ODDS = 4.5
+#: ... and stand after so many different words in them.
+LEAST_CONTEXTS = 6
 #: Common English insults.
 INSULTS = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile vermin filth".split()
 _PHRASES = re.compile(rb"\b(?:you are|you're|shut up|du bist|halt die|tu es|ferme ta|eres un|callate)\b")
@@ -41,25 +43,36 @@ def _terms(texts: pa.Array):
 
 def toxic_terms(docs: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
     """(hash, log odds) of words and stems that occur mainly in toxic texts of docs (text, label);
-    at most `most`, those in the most toxic texts."""
+    at most `most`, those in the most contexts.
+
+    What counts is not texts but different words before a term, by 64 hash bits per term and label:
+    the copies of one text, near or exact, repeat its words in the same contexts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                _, text, words, stems = _terms(part.column(0))
-                label = part.column(1).to_numpy(zero_copy_only=False)
-                pair = np.unique(np.stack([np.tile(text, 2).astype(np.uint64), np.concatenate([words, stems])]), axis=1) if len(text) else np.zeros((2, 0), np.uint64)
-                h, inv = np.unique(pair[1], return_inverse=True)
-                toxic = np.bincount(inv, weights=label[pair[0].astype(np.int64)] == 1, minlength=len(h)).astype(np.int64)
-                for i in range(0, len(h), 100_000):
+                t, text, words, stems = _terms(part.column(0))
+                if not len(words):
+                    continue
+                before = np.zeros(len(words), np.uint64)
+                before[1:] = words[:-1]
+                before[t.bounds[:-1][np.diff(t.bounds) > 0]] = 0
+                bit = np.tile(np.uint64(1) << (mixed(before) & np.uint64(63)), 2)
+                toxic = (part.column(1).to_numpy(zero_copy_only=False) == 1)[np.tile(text, 2)]
+                term = np.concatenate([words, stems])
+                order = np.argsort(term, kind="stable")
+                term, bit, toxic = term[order], bit[order], toxic[order]
+                at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+                masks = [np.bitwise_or.reduceat(np.where(m, bit, np.uint64(0)), at).view(np.int64) for m in (toxic, ~toxic)]
+                for i in range(0, len(at), 100_000):
                     j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(toxic[j]), pa.array(np.bincount(inv, minlength=len(h))[j])], ["term", "toxic", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(term[at[j]].view(np.int64)), pa.array(masks[0][j]), pa.array(masks[1][j])], ["term", "toxic", "clean"])
 
     sizes = docs.groupBy("label").count().collect()
     pos, neg = (max(1, sum(r["count"] for r in sizes if (r["label"] == 1) == x)) for x in (True, False))
-    c = docs.mapInArrow(scan, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    odds = F.log((F.col("toxic") + 0.05) / pos) - F.log((F.col("n") - F.col("toxic") + 0.5) / neg)
-    got = c.where("toxic >= 3").withColumn("odds", odds).where(f"odds > {LEAST_ODDS}").orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(most).collect()
+    c = docs.mapInArrow(scan, "term long, toxic long, clean long").groupBy("term").agg(F.bit_count(F.bit_or("toxic")).alias("toxic"), F.bit_count(F.bit_or("clean")).alias("clean"))
+    odds = F.log((F.col("toxic") + 0.05) / pos) - F.log((F.col("clean") + 0.5) / neg)
+    got = c.where(F.col("toxic") >= LEAST_CONTEXTS).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(most).collect()
     return np.array([(r.term & (2**64 - 1), r.odds) for r in got], dtype=[("term", np.uint64), ("odds", np.float64)])
 
 
