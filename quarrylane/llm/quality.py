@@ -195,7 +195,7 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame
             for part in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(list(statistics(part.column(0))), pa.list_(pa.float64())), part.column(1)], ["x", "label"])
 
-    train = docs.join(known, F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "label")
+    train = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "label")
     rows = stored(train.mapInArrow(count, "x array<double>, label int"), "train").collect()  # bounded by MOST_LABELLED rows
     x = np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS))
     y = np.array([r.label for r in rows], float)

@@ -187,7 +187,7 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST
     spark = docs.sparkSession
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))  # bounded by MOST_LABELLED rows
-    train = stored(docs.join(known, F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "label"), "train")
+    train = stored(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "label"), "train")
     voters = Voters(toxic_terms(train, most_terms))
     shared = spark.sparkContext.broadcast(voters)
 
