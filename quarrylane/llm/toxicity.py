@@ -25,7 +25,7 @@ MOST_LABELLED = 20_000
 MOST_TERMS = 4096
 STEM = 5
 LISTS = 5
-#: A term must be e**LEAST_ODDS times as likely in toxic texts.
+#: A term must be absent from clean texts or e**LEAST_ODDS times as likely in toxic ones.
 LEAST_ODDS = 4.5
 #: ... and stand after so many different words in them.
 LEAST_CONTEXTS = 6
@@ -72,7 +72,7 @@ def toxic_terms(docs: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
     pos, neg = (max(1, sum(r["count"] for r in sizes if (r["label"] == 1) == x)) for x in (True, False))
     c = docs.mapInArrow(scan, "term long, toxic long, clean long").groupBy("term").agg(F.bit_count(F.bit_or("toxic")).alias("toxic"), F.bit_count(F.bit_or("clean")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.05) / pos) - F.log((F.col("clean") + 0.5) / neg)
-    got = c.where(F.col("toxic") >= LEAST_CONTEXTS).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(most).collect()
+    got = c.where(F.col("toxic") >= LEAST_CONTEXTS).withColumn("odds", odds).where((F.col("clean") == 0) | (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(most).collect()
     return np.array([(r.term & (2**64 - 1), r.odds) for r in got], dtype=[("term", np.uint64), ("odds", np.float64)])
 
 
