@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
@@ -256,11 +256,14 @@ def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int) -> D
     q = stored(q.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shared")
     of = q.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"))
     q = q.join(of.where("roots > 1").select("token", F.col("most.root").alias("major")), "token")
+    # A node's first token that some other root has: no pair of it can share an earlier one.
+    q = q.withColumn("start", F.min("pos").over(Window.partitionBy("node")))
     r = q.select([F.col(c).alias(f"{c}_r") for c in q.columns])
     total = F.col("n") + F.col("n_r")
     alpha = F.floor((total * num + (num + den - 1)) / (num + den)).cast("int")  # the overlap that a link of these sizes needs
     m = F.least("matches", "matches_r")
     within = (F.col("pos") < F.col("n") - alpha + m) & (F.col("pos_r") < F.col("n_r") - alpha + m)
+    within &= (F.col("start") <= F.col("n") - alpha) & (F.col("start_r") <= F.col("n_r") - alpha)
     sized = (F.col("n") * den >= F.col("n_r") * num) & (F.col("n_r") * den >= F.col("n") * num)
     once = (F.col("root_r") == F.col("major_r")) | (F.col("node") < F.col("node_r"))
     rows = q.where("root <> major").join(r, (F.col("token") == F.col("token_r")) & (F.col("root") != F.col("root_r")) & once & sized & within)
