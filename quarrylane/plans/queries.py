@@ -660,13 +660,6 @@ def _(p, t):
     return T.detector_grid(p, t, [LINE | {"least_votes": v, "max_gap": g} for v in (30, 40) for g in (3, 8)], AREA)
 
 
-@query("edge_detector", ("v_gt_px",))
-def _(t):
-    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    frame = grid.join(t.withColumn("v", F.lit(200.0)), ["image_id", "y", "x"], "left").na.fill(10.0, ["v"])
-    return T.edge_mask(frame, 64, 50.0, 150.0)
-
-
 @query("run_comparison", ("v_scored",), f", a AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), b AS (SELECT image_id, {CONFUSION.replace('prob', 'prob2')} FROM v_scored GROUP BY image_id) SELECT image_id, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change, a.tp = b.tp AND a.fp = b.fp AS same FROM a JOIN b USING (image_id)")
 def _(s):
     return T.compare_runs(M.dense_counts(s, ["image_id"]), M.dense_counts(s, ["image_id"], prob="prob2"), ["image_id"], ["tp", "fp"])
