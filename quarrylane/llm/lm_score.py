@@ -1,13 +1,14 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 N-gram counts of all training documents are quantised to levels, one per factor LEVEL_BASE; an
-n-gram of level q is entered q times, as (n-gram, 1) to (n-gram, q), into a Bloom filter of fixed
-size that is broadcast.  A count is read back by asking for level 1, 2, ... until one is missing,
-and bigram probabilities are smoothed towards unigram ones.
-
-The filter's size does not grow with the corpus: when its entries would overfill it, n-grams under
-the smallest count that fits are left out and read as unseen.  The exact unigram counts of the
-base score come from a join: only the commonest tokens (a bounded number) are broadcast.
+n-gram of level q is entered q times, as (n-gram, 1) to (n-gram, q), into a Bloom filter.  A count
+is read back by asking for level 1, 2, ... until one is missing, and bigram probabilities are
+smoothed towards unigram ones.
+
+All n-grams of all counts are held: the filter is cut by hash range into segments, each sized from
+its own entries, and the number of segments follows the text.  Documents are dealt to chunks of
+about PART_BYTES; a chunk's distinct n-grams visit their segments and the levels (and the exact
+unigram counts of the base score) come back to the chunk, so nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import build_bloom, crc_held_out, level_keys, mixed, slices, stored, table, tokens
+from .common import BloomBits, crc_held_out, level_keys, mixed, slices, stored, table, tokens
 
 LEVEL_BASE = 1.25
 EXACT = 4
-BLOOM_BITS = 27
-BLOOM_HASHES = 5
-COMMON_TOKENS = 1 << 17
+#: Bits an entry has at least (a segment's bits are a power of two), and hashes of an entry.
+ENTRY_BITS, BLOOM_HASHES = 8, 5
+#: Bytes of text for one segment of the filter, and for one chunk of documents.
+PART_BYTES = 8 << 20
 #: Weight of the unigrams after a word seen c times: PRIOR * c ** PRIOR_POWER, near the number of its followers.
 PRIOR, PRIOR_POWER = 4.0, 0.9
 #: Hashes of the marks before the first and after the last word; no word has them but by chance.
@@ -54,20 +55,38 @@ def bigrams(toks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9FB21C651E98DF25) + toks)
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(n, key, c): exact counts of the uni- and bigrams (n = 1, 2) of all rows of docs (doc_id, text)."""
+def by_segment(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings the keys of each segment together, and where each segment begins."""
+    at = keys.view(np.int64) % parts
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(parts + 1))
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def ngram_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """(segment, words, word_counts, pairs, pair_counts): exact counts of the uni- and bigrams of runs
+    of rows of docs (doc_id, text), packed by segment; counts of several rows add up."""
+    names = ["segment", "words", "word_counts", "pairs", "pair_counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
 
         def flush():
-            for n in (1, 2):
-                if held[n - 1]:
-                    key, c = np.unique(np.concatenate(held[n - 1]), return_counts=True)
-                    held[n - 1].clear()
-                    for i in range(0, len(key), 100_000):
-                        k = key[i : i + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int8)), pa.array(k.view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int64))], ["n", "key", "c"])
+            if held[0]:
+                cols = [pa.array(np.arange(parts, dtype=np.int32))]
+                for h in held:
+                    key, c = np.unique(np.concatenate(h), return_counts=True)
+                    h.clear()
+                    order, cuts = by_segment(key, parts)
+                    cols += [_packed(key[order], cuts), _packed(c[order].astype(np.int64), cuts)]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
         size = 0
         for batch in batches:
@@ -80,11 +99,48 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(scan, "n byte, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(scan, "segment int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bits of the filter of all keys, each entered once per level 1..n."""
+    size = 1 << max(10, int(ENTRY_BITS * levels.sum() - 1).bit_length())
+    full = np.zeros(size, bool)
+    q = 1
+    while len(keys):
+        for p in BloomBits.places(mixed(level_keys(keys, q)), BLOOM_HASHES, np.uint64(size - 1)):
+            full[p] = True
+        more = levels > q
+        keys, levels, q = keys[more], levels[more], q + 1
+    return np.packbits(full, bitorder="little")
+
+
+def model_segments(docs: DataFrame, parts: int) -> DataFrame:
+    """(segment, bits, words, counts, total): of each hash range of n-grams of docs (doc_id, text) the
+    filter of all of them, the exact counts of its unigrams and their sum."""
+
+    def build(key, t):
+        words, c = _added(_unpacked(t.column("words"), np.uint64), _unpacked(t.column("word_counts"), np.int64))
+        pairs, pc = _added(_unpacked(t.column("pairs"), np.uint64), _unpacked(t.column("pair_counts"), np.int64))
+        bits = _filter(np.concatenate([words, pairs]), level_of(np.concatenate([c, pc])))
+        row = {"segment": key[0].as_py(), "bits": bits.tobytes(), "words": words.tobytes(), "counts": c.tobytes(), "n_words": len(words), "total": int(c.sum())}
+        return pa.Table.from_pylist([row], pa.schema([("segment", pa.int32()), *((n, pa.binary()) for n in ("bits", "words", "counts")), ("n_words", pa.int64()), ("total", pa.int64())]))
+
+    return ngram_counts(docs, parts).groupBy("segment").applyInArrow(build, "segment int, bits binary, words binary, counts binary, n_words long, total long")
 
 
 def level_of(c):
-    """The level of a count column: the count itself up to EXACT, then one more for each factor LEVEL_BASE."""
+    """The level of a count column or array: the count itself up to EXACT, then one more for each factor LEVEL_BASE."""
+    if isinstance(c, np.ndarray):
+        return np.where(c <= EXACT, c, np.floor(np.log(np.maximum(c, EXACT) / EXACT) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64) + EXACT)
     above = F.floor(F.log(F.col(c) / F.lit(float(EXACT))) / F.lit(float(np.log(LEVEL_BASE))) + F.lit(1e-9))
     return F.when(F.col(c) <= EXACT, F.col(c)).otherwise(above + EXACT).cast("int")
 
@@ -103,6 +159,9 @@ class QuantisedCounts:
         self.bloom, self.least, self.values = bloom, least_level, level_counts()
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         level = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
         q = 1
@@ -110,117 +169,92 @@ class QuantisedCounts:
             left = left[self.bloom.has(level_keys(keys[left], q))]
             level[left] = q
             q += 1
-        return self.values[level]
+        return level
 
 
-def lm_score(docs: DataFrame, held_out, prior: tuple[float, float] = (PRIOR, PRIOR_POWER), least_bigram: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, held_out, prior: tuple[float, float] = (PRIOR, PRIOR_POWER)) -> DataFrame:
     """One row per row of docs (doc_id, text) with base_score (add-half unigrams, exact counts) and
     score (log10 probability by the quantised bigram model), both learnt from all rows that
-    held_out (a condition) leaves; bigrams seen fewer than least_bigram times are left to smoothing.
-    Tokens are the words of the lower-cased text and one end.
+    held_out (a condition) leaves.  Tokens are the words of the lower-cased text and one end.
 
     Null and empty texts have one token, the end.  Rows with equal ids stay apart.  Tokens are
     64-bit hashes.  With no training rows N and V are 0 and every token has log10 probability
     log10(0.5 / 0.5) = 0 in the base score.  A null id is held out by op9.  Other columns are
     ignored."""
-    spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    counted = ngram_counts(docs.where(~F.col("held_out")).select("doc_id", "text"))
-    grams = stored(counted.where((F.col("n") == 1) | (F.col("c") >= least_bigram)), "grams")
-    by_level = grams.withColumn("level", level_of("c")).groupBy("level").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") == 1, F.col("c"))).alias("total"), F.count_if(F.col("n") == 1).alias("words")).collect()  # one row per level
-    total, words = sum(r.total or 0 for r in by_level), sum(r.words for r in by_level)
-    room = (1 << BLOOM_BITS) * np.log(2) / BLOOM_HASHES
-    least, entries = 1 << 30, 0
-    for r in sorted(by_level, key=lambda r: -r.level):
-        entries += r.level * r.k
-        if entries > room:
-            break
-        least = r.level
-    kept = grams.withColumn("level", level_of("c")).where(F.col("level") >= least)
-    model = spark.sparkContext.broadcast(QuantisedCounts(build_bloom(kept, "key", BLOOM_BITS, BLOOM_HASHES, levels="level"), least))
-    # The commonest tokens, at most COMMON_TOKENS: those above the count that so many reach.
-    least_common = grams.where("n = 1").groupBy("c").agg(F.count("*").alias("k"))
-    bins = least_common.select(F.floor(F.log2("c") * 16).alias("b"), "k", "c").groupBy("b").agg(F.sum("k").alias("k"), F.min("c").alias("c")).collect()  # 16 rows per doubling
-    limit, sofar = None, 0
-    for r in sorted(bins, key=lambda r: -r.b):
-        sofar += r.k
-        if sofar > COMMON_TOKENS:
-            break
-        limit = r.c
-    common = grams.where((F.col("n") == 1) & (F.col("c") >= (limit if limit is not None else 1 << 62))).select("key", "c").toPandas()
-    keys = common["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    common_b = spark.sparkContext.broadcast((keys[order], common["c"].to_numpy(np.int64)[order]))
+    size = docs.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    model = stored(model_segments(docs.where(~F.col("held_out")).select("doc_id", "text"), parts), "model")
+    total, words = (x or 0 for x in model.agg(F.sum("total"), F.sum("n_words")).first())
     norm = total + 0.5 * (words + 1)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of kind 0 per document, and one of kind 1 per document and token that isn't common."""
-        m = model.value
-        common_keys, common_counts = common_b.value
-        ends = m.counts(np.array([END]))[0]
-        names = ["kind", "row", "key", "doc_id", "held_out", "k", "known", "base", "score"]
-        row = 0
-        task = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for part in slices(batch, 1):
-                n = part.num_rows
-                toks, at = with_ends(tokens(part.column(1)))
-                sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end
-                uniq, inv = np.unique(toks, return_inverse=True)
-                place = np.searchsorted(common_keys, uniq)
-                place[place == len(common_keys)] = 0
-                is_common = common_keys[place] == uniq if len(common_keys) else np.zeros(len(uniq), bool)
-                c = np.where(is_common, common_counts[place] if len(common_keys) else 0, 0)
-                base = np.where(is_common, np.log10((c + 0.5) / norm), 0.0)[inv]
-                # The model.
-                uni = m.counts(uniq)[inv]
-                before = np.empty_like(uni)
-                before[1:] = uni[:-1]
-                before[at[:-1]] = ends
-                pairs, pinv = np.unique(bigrams(toks, at), return_inverse=True)
-                both = np.minimum(m.counts(pairs)[pinv], np.minimum(before, uni))
-                p1 = (uni + 0.5) / norm
-                weight = np.maximum(1.0, prior[0] * before ** prior[1])
-                score = np.log10((both + weight * p1) / (before + weight))
-                ids = task + row + np.arange(n, dtype=np.int64)
-                row += n
-                rare = ~is_common[inv]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int8)), pa.array(ids), pa.array(mixed(ids.astype(np.uint64)).view(np.int64)), part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(sums((~rare).astype(np.int64))), pa.array(sums(base)), pa.array(sums(score))],
-                    names,
-                )
-                doc = np.repeat(np.arange(n), np.diff(at))[rare]
-                rare_of, k = _pair_counts(doc, toks[rare])
-                for i in range(0, len(k), 100_000):
-                    (d, t), c1 = (x[i : i + 100_000] for x in rare_of), k[i : i + 100_000]
-                    none = lambda kind: pa.nulls(len(c1), kind)  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(c1), np.int8)), pa.array(ids[d]), pa.array(t.view(np.int64)), none(pa.int64()), none(pa.bool_()), pa.array(c1), none(pa.int64()), none(pa.float64()), none(pa.float64())],
-                        names,
-                    )
-
-    # One shuffle by token brings the counts of rare tokens, another brings documents together; the
-    # documents' own rows (kind 0) travel along under keys of their own and meet no count.
-    made = docs.mapInArrow(scan, "kind byte, row long, key long, doc_id long, held_out boolean, k long, known long, base double, score double")
-    counts = grams.where("n = 1").select("key", "c", F.lit(1).cast("byte").alias("kind"))
-    made = made.join(counts, ["key", "kind"], "left")
-    own = F.col("kind") == 0
-    out = made.groupBy("row").agg(
-        F.max(F.when(own, F.struct("doc_id", "held_out", F.col("k").alias("n_tokens"), "score"))).alias("own"),
-        F.sum(F.when(own, F.col("known")).when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(norm))))).alias("base_score"),
-    )
-    return out.select("own.doc_id", "own.held_out", "own.n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "own.score")
-
-
-def _pair_counts(doc: np.ndarray, key: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (doc, key) pairs and how often each occurs."""
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    return (doc[at], key[at]), np.diff(np.append(at, len(doc)))
+    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "held_out"), F.lit(parts)).cast("int"))
+
+    def ngrams(text: pa.Array):
+        toks, at = with_ends(tokens(text))
+        return toks, at, *np.unique(toks, return_inverse=True), *np.unique(bigrams(toks, at), return_inverse=True)
+
+    def ask(key, t):
+        """A chunk's distinct n-grams, packed by segment."""
+        _, _, uniq, _, pairs, _ = ngrams(t.column("text").combine_chunks())
+        cols = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, key[0].as_py(), np.int32))]
+        for keys in (uniq, pairs):
+            order, cuts = by_segment(keys, parts)
+            cols.append(_packed(keys[order], cuts))
+        return pa.table(cols, ["segment", "chunk", "words", "pairs"])
+
+    def answer(key, asks, segment):
+        """The levels, and for unigrams the exact counts, of all asked n-grams of a segment."""
+        out = [[], [], []]
+        if asks.num_rows and segment.num_rows:
+            m = QuantisedCounts(BloomBits(_unpacked(segment.column("bits"), np.uint8), BLOOM_HASHES), 1)
+            known, counts = _unpacked(segment.column("words"), np.uint64), _unpacked(segment.column("counts"), np.int64)
+        for words, pairs in zip(asks.column("words").to_pylist(), asks.column("pairs").to_pylist()):
+            w, p = np.frombuffer(words, np.uint64), np.frombuffer(pairs, np.uint64)
+            if segment.num_rows:
+                c = np.zeros(len(w), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                    c = np.where(known[place] == w, counts[place], 0)
+                got = (m.levels(w), c, m.levels(p))
+            else:
+                got = (np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(p)))
+            for o, x, kind in zip(out, got, (np.uint8, np.int64, np.uint8)):
+                o.append(x.astype(kind).tobytes())
+        segments = pa.array(np.full(asks.num_rows, key[0].as_py() if asks.num_rows else 0, np.int32))
+        return pa.table([segments, asks.column("chunk").cast(pa.int32()), *(pa.array(o, pa.binary()) for o in out)], ["segment", "chunk", "levels", "counts", "pair_levels"])
+
+    def score(key, t, answers):
+        """The documents of a chunk with both scores."""
+        answers = answers.sort_by("segment")
+        values = level_counts()
+        toks, at, uniq, inv, pairs, pinv = ngrams(t.column("text").combine_chunks())
+
+        def back(keys, column, kind):
+            out = np.empty(len(keys), kind)
+            out[by_segment(keys, parts)[0]] = _unpacked(answers.column(column), kind)
+            return out
+
+        sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end
+        c = back(uniq, "counts", np.int64)
+        base = np.log10((c + 0.5) / norm)[inv]
+        # The model.
+        levels = values[back(uniq, "levels", np.uint8)]
+        uni = levels[inv]
+        before = np.empty_like(uni)
+        before[1:] = uni[:-1]
+        before[at[:-1]] = levels[np.searchsorted(uniq, END)]
+        both = np.minimum(values[back(pairs, "pair_levels", np.uint8)][pinv], np.minimum(before, uni))
+        p1 = (uni + 0.5) / norm
+        weight = np.maximum(1.0, prior[0] * before ** prior[1])
+        logs = np.log10((both + weight * p1) / (before + weight))
+        return pa.table(
+            [t.column("doc_id"), t.column("held_out"), pa.array(np.diff(at)), pa.array(sums((c > 0)[inv].astype(np.int64))), pa.array(np.full(t.num_rows, total, np.int64)), pa.array(sums(base)), pa.array(sums(logs))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    asks = chunks.groupBy("chunk").applyInArrow(ask, "segment int, chunk int, words binary, pairs binary")
+    answers = asks.groupBy("segment").cogroup(model.select("segment", "bits", "words", "counts").groupBy("segment")).applyInArrow(answer, "segment int, chunk int, levels binary, counts binary, pair_levels binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

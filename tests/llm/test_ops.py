@@ -377,6 +377,32 @@ def test_quantised_counts(spark):
     assert all(abs(a - b) <= 0.15 * b for a, b in zip(got[4:-1], c[4:]))
 
 
+def test_lm_score_holds_every_ngram(spark, monkeypatch):
+    # All n-grams of all counts count, over several segments and chunks: scores follow exact counts.
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    monkeypatch.setattr(lm_score, "PART_BYTES", 4096)
+    got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 == 0).collect()}
+    uni, both = Counter(), Counter()
+    texts = {i: [*t.split(), None] for i, t in rows}
+    for i, t in texts.items():
+        if i % 3:
+            uni.update(t)
+            both.update(zip([None, *t], t))
+    level = lambda c: lm_score.level_counts()[lm_score.level_of(np.array([c]))[0]]
+    norm = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    near = 0
+    for i, t in texts.items():
+        want = 0.0
+        for a, b in zip([None, *t], t):
+            ua, ub = level(uni[a]), level(uni[b])
+            w = max(1.0, lm_score.PRIOR * ua**lm_score.PRIOR_POWER)
+            want += math.log10((min(level(both[a, b]), ua, ub) + w * (ub + 0.5) / norm) / (ua + w))
+        near += abs(got[i] - want) < 1e-6
+        assert abs(got[i] - want) < 0.02 * abs(want) + 1.0
+    assert len(got) == len(rows) and near >= 0.5 * len(rows)  # the filter's rare false hits move the others
+
+
 # 10.
 def test_dedup_equals_brute_force(spark, corpus):
     rng = random.Random(4)
