@@ -3,7 +3,8 @@
 A pseudo-rotation (three rounds of sign flips and a fast Hadamard transform) turns a unit vector;
 its bucket is the nearest signed axis.  Several tables with their own rotations hold all vectors;
 a query looks into its nearest buckets of each table (multiprobe) and its candidates are ranked
-by the exact inner product.
+by the exact inner product.  Directions are hashed, so long vectors don't hide others; bands of
+length with few rows are searched whole, and so are all rows for queries that find too few.
 """
 
 from __future__ import annotations
@@ -67,8 +68,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
     do rows with a null id; vectors meet only vectors of their own length.  Equal vectors are
     searched once, by the k+1 smallest of their ids, and each query leaves out its own id, so any
     number of equal vectors costs no more than one.  Repeated rows count once; if an id has
-    several vectors its best score counts.  Where lengths differ, vectors get a further component
-    that makes them equally long, so the nearest axis still speaks for the largest product.
+    several vectors its best score counts.  Buckets hold directions; vectors whose length (by powers
+    of two) is shared by at most group_rows others of their dimension are met by every query, and a
+    query that finds fewer than k rows, although there are more, meets all of its dimension.
     Buckets are cut into parts of at most about group_rows rows, which queries visit one by one:
     no group grows with the table.  Other columns are ignored; empty tables give no rows.
     """
@@ -83,39 +85,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
     m = m.withColumn("r", F.row_number().over(then)).where(F.col("r") <= k + 1).withColumn("cls", F.min("vec_id").over(Window.partitionBy("key", "e")))
     asks = v.where("q").select("key", "e").distinct().withColumn("asks", F.lit(True))
     classes = m.where("r = 1").select("cls", "key", "e").join(asks, ["key", "e"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    members = stored(m.select("cls", "key", "vec_id"), "members")
-    lengths = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    lo, hi = classes.agg(F.min(lengths), F.max(lengths)).first()
-    same = lo is None or lo > 0.999 * hi
+    members = stored(m.select("cls", "key", "vec_id", F.size("e").alias("d")), "members")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            home, near = np.zeros((n, tables), np.int32), [None] * n
+            home, near, band = np.zeros((n, tables), np.int32), [None] * n, np.zeros(n, np.int32)
             asks = np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool)
             for rows, x in _matrix(b.column(2)):
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                index = x / norm if same else np.hstack([x / hi, np.sqrt(np.maximum(0, 1 - (norm / hi) ** 2))])
+                most = np.abs(x).max(axis=1, keepdims=True)  # first, so that squares stay in range
+                norm = np.linalg.norm(x / most, axis=1, keepdims=True)
+                band[rows] = np.floor(np.log2(most) + np.log2(norm) + 0.5)[:, 0]
                 ask = asks[rows]
-                query = x[ask] / norm[ask]
-                if not same:
-                    query = np.hstack([query, np.zeros((len(query), 1))])
                 found = []
                 for t in range(tables):
-                    home[rows, t] = nearest_axes(rotated(index, t, seed), 1)[:, 0]
-                    found.append(nearest_axes(rotated(query, t, seed), probes))
+                    y = rotated(x / most / norm, t, seed)
+                    home[rows, t] = nearest_axes(y, 1)[:, 0]
+                    found.append(nearest_axes(y[ask], probes))
                 for i, r in enumerate(rows[ask]):
                     near[r] = np.concatenate([t * (1 << 20) + f[i] for t, f in enumerate(found)]).astype(np.int32)
             home += np.arange(tables, dtype=np.int32) * (1 << 20)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(home), pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32()))], ["cls", "key", "e", "home", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(home), pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32())), pa.array(band)], ["cls", "key", "e", "home", "near", "band"])
 
-    hashed = stored(classes.select("cls", "key", "e", "asks").mapInArrow(buckets, "cls long, key long, e array<double>, home array<int>, near array<int>"), "hashed")
-    index = hashed.select("cls", "key", "e", F.size("e").alias("d"), F.explode("home").alias("bucket"))
-    # Rows per bucket: at most tables * 2 * (dimensions, to a power of two) of them.
-    parts = index.groupBy("bucket", "d").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    index = index.join(parts, ["bucket", "d"]).withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
-    asked = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), F.col("e").alias("ask_e"), F.size("e").alias("d"), F.explode("near").alias("bucket"))
-    asked = asked.join(parts, ["bucket", "d"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hashed = stored(classes.select("cls", "key", "e", "asks").mapInArrow(buckets, "cls long, key long, e array<double>, home array<int>, near array<int>, band int").withColumn("d", F.size("e")), "hashed")
+    asking = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), F.col("e").alias("ask_e"), F.size("e").alias("d"), "near")
 
     def rank(key, ask, rows):
         out = [[], [], [], [], []]
@@ -136,10 +129,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
         types = [pa.int64()] * 4 + [pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip((c.astype(np.int64) if i < 4 else c for i, c in enumerate(cols)), types)], ["ask_cls", "ask_key", "cls", "key", "score"])
 
-    found = asked.groupBy("bucket", "d", "part").cogroup(index.drop("parts").groupBy("bucket", "d", "part")).applyInArrow(rank, "ask_cls long, ask_key long, cls long, key long, score double")
     near = Window.partitionBy("ask_cls", "ask_key")
-    found = found.distinct().withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "cls", "key"))).where(F.col("r") <= k + 1)
-    found = found.join(members, ["cls", "key"]).withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+
+    def search(asked: DataFrame, index: DataFrame) -> DataFrame:
+        """The best k + 1 rows in the buckets that each asks for."""
+        # Rows per bucket: at most tables * 2 * (dimensions, to a power of two) of them, and one.
+        parts = index.groupBy("bucket", "d").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
+        index = index.join(parts, ["bucket", "d"]).withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
+        asked = asked.join(parts, ["bucket", "d"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = asked.groupBy("bucket", "d", "part").cogroup(index.drop("parts").groupBy("bucket", "d", "part")).applyInArrow(rank, "ask_cls long, ask_key long, cls long, key long, score double")
+        found = found.distinct().withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "cls", "key"))).where(F.col("r") <= k + 1)
+        found = found.join(members.drop("d"), ["cls", "key"]).withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+        return found.select("ask_cls", "ask_key", "vec_id", "score")
+
+    # Bucket -1 holds the bands with few rows.
+    few = hashed.groupBy("d", "band").agg((F.count("*") <= group_rows).alias("few"))
+    index = hashed.join(few, ["d", "band"]).select("cls", "key", "e", "d", F.explode(F.when(F.col("few"), F.array(F.lit(-1))).otherwise(F.col("home"))).alias("bucket"))
+    found = stored(search(asking.select("ask_cls", "ask_key", "ask_e", "d", F.explode(F.concat("near", F.array(F.lit(-1)))).alias("bucket")), index), "found")
+    # Those that found too few meet all rows.
+    got = found.groupBy("ask_cls", "ask_key").agg(F.count("*").alias("got"))
+    room = members.groupBy("d").agg(F.least(F.count("*"), F.lit(k + 1)).alias("room"))
+    short = asking.join(room, "d").join(got, ["ask_cls", "ask_key"], "left").where(F.coalesce("got", F.lit(0)) < F.col("room"))
+    short = stored(short.select("ask_cls", "ask_key", "ask_e", "d", F.lit(-1).alias("bucket")), "short")
+    if not short.isEmpty():
+        more = search(short, hashed.select("cls", "key", "e", "d", F.lit(-1).alias("bucket")))
+        found = found.join(short.select("ask_cls", "ask_key"), ["ask_cls", "ask_key"], "left_anti").unionByName(more)
     queries = v.where("q").select(F.col("vec_id").alias("query_id"), F.col("key").alias("ask_key"), "e").distinct()
     ids = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), "e")
     out = queries.join(ids, ["ask_key", "e"]).drop("e").join(found, ["ask_key", "ask_cls"]).where("query_id <> vec_id")

@@ -142,6 +142,28 @@ def test_nearest_uneven_lengths_and_few_rows(spark):
     assert got == [(1, 1, 10.0), (2, 2, 0.5)]
 
 
+@pytest.mark.parametrize("n,long", [(3000, 1), (3000, 40), (15, 0)])
+def test_nearest_long_vectors_and_short_buckets(spark, n, long):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n // 15, 1, 32)) + 0.5 * rng.normal(size=(1, 15, 32))
+    x = x.reshape(n, 32) / np.linalg.norm(x.reshape(n, 32), axis=1, keepdims=True)
+    x[rng.permutation(n)[:long]] *= 30
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    # (15, 0): two tables of one probe, and parts of four rows, so no band is searched whole.
+    kw = {"group_rows": 100} if long else {"group_rows": 4, "tables": 2, "probes": 1}
+    got = {}
+    for r in nearest.nearest(df, F.col("vec_id") % 5 == 0, k=20, **kw).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 5):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.argsort(-s)[: min(20, n - 1)].tolist())
+        assert len(got[q]) == len(want)
+        hit += len(want & got[q]) / len(want)
+    assert hit / len(range(0, n, 5)) >= 0.9
+
+
 # 3.
 @pytest.mark.parametrize("parts", [1, 7])
 def test_mix_equals_sql_and_bounds(spark, corpus, parts):
