@@ -60,7 +60,8 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
                 return False
             out.append(([f"{ln[0]} with {rn[0]}"], ls))
         else:
-            out.append((ln + rn, max(ls, rs) if op == "or" else min(ls, rs)))
+            ln += rn
+            out.append((ln, max(ls, rs) if op == "or" else min(ls, rs)))
         return True
 
     place = 0
@@ -140,8 +141,12 @@ def license_scan(docs: DataFrame, base: Mapping[str, str] = BASE, notices: Mappi
                             starts.append(start)
                         if kind == "tag":
                             spans = spans or [m.end() for m in _WORDS.finditer(low)]
-                            rest = low[spans[start + size - 1] :].decode("utf-8", "replace")
-                            line = rest.lstrip(": \t").partition("\n")[0][:1000]
+                            # The line's end is sought in the bytes, so each tag decodes its own line only.
+                            begin = spans[start + size - 1]
+                            while begin < len(low) and low[begin] in b": \t":
+                                begin += 1
+                            stop = low.find(b"\n", begin)
+                            line = low[begin : stop if stop >= 0 else len(low)].decode("utf-8", "replace")
                             if parsed := parse_expression(line):
                                 kept["notice"].update(parsed[0])
                                 scores.append(parsed[1])

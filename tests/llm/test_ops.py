@@ -367,6 +367,16 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_long_expressions_count_whole(spark):
+    names = [f"lic-{i:04d}" for i in range(300)]
+    tag = "SPDX-License-Identifier: "
+    rows = [(1, tag + " AND ".join(names) + " AND GPL-3.0\nMIT"), (2, tag + "(" + " AND ".join(names) + ")"), (3, tag + "MIT\n" + tag + "ISC")]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == ",".join(sorted([*names, "gpl-3.0"])) and got[1].score == 0
+    assert got[2].labels == ",".join(names) and got[2].score == 0
+    assert got[3].labels == "isc,mit" and got[3].score == 1
+
+
 def test_expressions():
     p = license_scan.parse_expression
     assert p("MIT OR GPL-3.0 AND LGPL-2.1")[1] == 1.0
