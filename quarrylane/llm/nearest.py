@@ -1,22 +1,32 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A pseudo-rotation (three rounds of sign flips and a fast Hadamard transform) turns a unit vector;
-its bucket is the nearest signed axis.  Several tables with their own rotations hold all vectors;
-a query looks into its nearest buckets of each table (multiprobe) and its candidates are ranked
-by the exact inner product.  Directions are hashed, so long vectors don't hide others; bands of
-length with few rows are searched whole, and so are all rows for queries that find too few.
+its hash is the nearest signed axis.  Rows of one dimension and band of length make up an index of
+their own.  It has up to `tables` tables; a bucket of a table is a concatenation of as many hashes
+(the last over fewer axes) as give buckets of about LEAF rows, so buckets grow in number with the
+rows and not in size.  A query looks into the buckets of each table whose axes lie nearest to it
+(multiprobe over the concatenation), PROBES * buckets ** PROBE_POWER of them, and its candidates
+are ranked by the exact inner product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import mixed, stored, table
+
+#: Rows that a bucket holds on average, and buckets probed in a table of b buckets: PROBES * b ** PROBE_POWER.
+LEAF, PROBES, PROBE_POWER = 16, 1.2, 0.45
+#: Bands of length per doubling.
+BANDS = 2
+FLUSH = 2_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -30,28 +40,84 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def rotated(x: np.ndarray, table_no: int, seed: int) -> np.ndarray:
-    d = 1 << max(1, int(x.shape[1] - 1).bit_length())
+def _axes(d: int) -> int:
+    return 1 << max(1, int(d - 1).bit_length())
+
+
+def rotated(x: np.ndarray, rotation: int, seed: int) -> np.ndarray:
+    d = _axes(x.shape[1])
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    signs = np.random.Generator(np.random.PCG64([seed, table_no])).integers(0, 2, (3, d)) * 2.0 - 1
+    signs = np.random.Generator(np.random.PCG64([seed, rotation])).integers(0, 2, (3, d)) * 2.0 - 1
     for s in signs:
         x = hadamard(x * s)
     return x
 
 
-def nearest_axes(y: np.ndarray, probes: int) -> np.ndarray:
-    """For each row the numbers of its `probes` nearest signed axes, nearest first: 2i for +e_i, 2i+1 for -e_i."""
-    both = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+@dataclass(frozen=True)
+class Plan:
+    """How the rows of one dimension and band are hashed: axes of each concatenated hash, tables,
+    probes in each table, and parts that the buckets of a table are dealt to."""
+
+    axes: tuple[int, ...]
+    tables: int
+    probes: int
+    parts: int
+
+    @classmethod
+    def of(cls, rows: int, d: int, tables: int, probes: float, group_rows: int) -> Plan:
+        axes, left = [], rows / LEAF
+        while left > 1:
+            axes.append(min(_axes(d), 1 << max(0, int(np.ceil(np.log2(left / 2))))))
+            left /= 2 * axes[-1]
+        buckets = int(np.prod([2.0 * m for m in axes]))
+        return cls(tuple(axes), max(1, min(tables, buckets // 2)), min(buckets, int(np.ceil(probes * buckets**PROBE_POWER))), -(-rows // group_rows))
+
+    def hashes(self, unit: np.ndarray, t: int, seed: int) -> list[np.ndarray]:
+        return [rotated(unit, t * 64 + i, seed)[:, :m] for i, m in enumerate(self.axes)]
+
+    def homes(self, unit: np.ndarray, t: int, seed: int) -> np.ndarray:
+        """The bucket of each unit vector in table t: its nearest signed axes, as one number."""
+        out = np.zeros(len(unit), np.int64)
+        for y in self.hashes(unit, t, seed):
+            best = np.abs(y).argmax(1)
+            out = out * (2 * y.shape[1]) + 2 * best + (y[np.arange(len(y)), best] < 0)
+        return out
+
+    def nearest_buckets(self, unit: np.ndarray, t: int, seed: int) -> np.ndarray:
+        """For each unit vector the buckets whose axes fall least short of the nearest ones, summed
+        over the concatenated hashes; keeping the best after each hash loses none of them."""
+        cost, out = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
+        for y in self.hashes(unit, t, seed):
+            both = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
+            short = (both.max(1, keepdims=True) - both) ** 2
+            best = _least(short, self.probes)
+            cost = (cost[:, :, None] + np.take_along_axis(short, best, 1)[:, None, :]).reshape(len(y), -1)
+            out = (out[:, :, None] * both.shape[1] + best[:, None, :]).reshape(len(y), -1)
+            keep = _least(cost, self.probes)
+            cost, out = np.take_along_axis(cost, keep, 1), np.take_along_axis(out, keep, 1)
+        return out
+
+    def part_of(self, bucket: np.ndarray) -> np.ndarray:
+        return (mixed(bucket.view(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
+
+
+def _least(x: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, ties by column."""
+    return np.argsort(x, axis=1, kind="stable")[:, :k]
 
 
 def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each length of vector in a list column."""
     sizes = np.asarray(column.value_lengths())
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes)
     return [(rows := np.flatnonzero(sizes == d), flat[(ends[rows] - d)[:, None] + np.arange(d)]) for d in np.unique(sizes)]
 
 
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that squares stay in range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """All inner products, summed from the first component to the last in double precision."""
     out = np.zeros((len(q), len(x)))
@@ -60,7 +126,17 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes: int = 4, group_rows: int = 10_000, seed: int = 7) -> DataFrame:
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (ask, score, row) the k best rows of each ask; rows are numbered in the order that ties take."""
+    ask, score, row = found
+    order = np.lexsort((row, -score, ask))
+    ask = ask[order]
+    first = np.flatnonzero(np.r_[True, ask[1:] != ask[:-1]]) if len(ask) else np.zeros(0, np.int64)
+    keep = np.arange(len(ask)) - np.repeat(first, np.diff(np.r_[first, len(ask)])) < k
+    return [ask[keep], score[order][keep], row[order][keep]]
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes: float = PROBES, group_rows: int = 10_000, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) that meets the
     condition is_query, the k found rows with the largest inner product; ties go to smaller ids.
 
@@ -68,13 +144,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
     do rows with a null id; vectors meet only vectors of their own length.  Equal vectors are
     searched once, by the k+1 smallest of their ids, and each query leaves out its own id, so any
     number of equal vectors costs no more than one.  Repeated rows count once; if an id has
-    several vectors its best score counts.  Buckets hold directions; vectors whose length (by powers
-    of two) is shared by at most group_rows others of their dimension are met by every query, and a
-    query that finds fewer than k rows, although there are more, meets all of its dimension.
-    Buckets are cut into parts of at most about group_rows rows, which queries visit one by one:
-    no group grows with the table.  Other columns are ignored; empty tables give no rows.
+    several vectors its best score counts.  Every query is looked up in every band of length of its
+    dimension, so long vectors don't hide others; a query that finds fewer than k rows, although
+    there are more, meets all of its dimension.  Buckets are dealt to parts of about group_rows
+    rows; a part that holds more rows, or is asked by more than group_rows queries, is cut by rows
+    and by queries, so no group grows with the table.  Only the counts of rows by dimension and
+    band come to the driver.  Other columns are ignored; empty tables give no rows.
     """
-    v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("e"), is_query.alias("q"))
+    kind = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(f"array<{kind}>").alias("e"), is_query.alias("q"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where("vec_id IS NOT NULL AND e IS NOT NULL").where(~F.coalesce(bad, F.lit(True))).where(F.exists("e", lambda x: x != 0))
     v = stored(v.withColumn("key", F.xxhash64("e")).withColumn("q", F.coalesce("q", F.lit(False))), "vectors")
@@ -84,78 +163,112 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 24, probes:
     m = v.select("vec_id", "e", "key").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     m = m.withColumn("r", F.row_number().over(then)).where(F.col("r") <= k + 1).withColumn("cls", F.min("vec_id").over(Window.partitionBy("key", "e")))
     asks = v.where("q").select("key", "e").distinct().withColumn("asks", F.lit(True))
-    classes = m.where("r = 1").select("cls", "key", "e").join(asks, ["key", "e"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    most = F.array_max(F.transform("e", lambda x: F.abs(x.cast("double"))))
+    size = F.aggregate("e", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    classes = m.where("r = 1").select("cls", "key", "e").join(asks, ["key", "e"], "left").select("cls", "key", "e", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("e").alias("d"), most.alias("most"))
+    classes = stored(classes.withColumn("band", F.floor((F.log2("most") + F.log2(F.sqrt(size))) * BANDS + 0.5).cast("int")).drop("most"), "classes")
     members = stored(m.select("cls", "key", "vec_id", F.size("e").alias("d")), "members")
+    # One row for each dimension and band of length; a double's length has some 4,200 bands.
+    plans = {(r.d, r.band): Plan.of(r["count"], r.d, tables, probes, group_rows) for r in classes.groupBy("d", "band").count().collect()}
+    at = f"cls long, key long, e array<{kind}>, d int, band int, t int, part int"
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            home, near, band = np.zeros((n, tables), np.int32), [None] * n, np.zeros(n, np.int32)
-            asks = np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool)
+            band = b.column(3).to_numpy()
             for rows, x in _matrix(b.column(2)):
-                most = np.abs(x).max(axis=1, keepdims=True)  # first, so that squares stay in range
-                norm = np.linalg.norm(x / most, axis=1, keepdims=True)
-                band[rows] = np.floor(np.log2(most) + np.log2(norm) + 0.5)[:, 0]
-                ask = asks[rows]
-                found = []
-                for t in range(tables):
-                    y = rotated(x / most / norm, t, seed)
-                    home[rows, t] = nearest_axes(y, 1)[:, 0]
-                    found.append(nearest_axes(y[ask], probes))
-                for i, r in enumerate(rows[ask]):
-                    near[r] = np.concatenate([t * (1 << 20) + f[i] for t, f in enumerate(found)]).astype(np.int32)
-            home += np.arange(tables, dtype=np.int32) * (1 << 20)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(home), pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32())), pa.array(band)], ["cls", "key", "e", "home", "near", "band"])
-
-    hashed = stored(classes.select("cls", "key", "e", "asks").mapInArrow(buckets, "cls long, key long, e array<double>, home array<int>, near array<int>, band int").withColumn("d", F.size("e")), "hashed")
-    asking = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), F.col("e").alias("ask_e"), F.size("e").alias("d"), "near")
+                for z in np.unique(band[rows]):
+                    own = band[rows] == z
+                    plan, unit, of = plans[x.shape[1], int(z)], unit_vectors(x[own]), pa.array(rows[own])
+                    cols, n = [b.column(i).take(of) for i in range(3)], len(of)
+                    for t in range(plan.tables):
+                        bucket = plan.homes(unit, t, seed)
+                        yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.full(n, c, np.int32)) for c in (x.shape[1], z, t)), pa.array(plan.part_of(bucket)), pa.array(bucket)], ["cls", "key", "e", "d", "band", "t", "part", "bucket"])
+
+    def ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, x in _matrix(b.column(2)):
+                unit = unit_vectors(x)
+                for (d, z), plan in plans.items():
+                    if d != x.shape[1]:
+                        continue
+                    for t in range(plan.tables):
+                        buckets = plan.nearest_buckets(unit, t, seed)
+                        part, of = plan.part_of(buckets.ravel()), np.repeat(np.arange(len(x)), buckets.shape[1])
+                        order = np.lexsort((part, of))
+                        part, of = part[order], of[order]
+                        cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(of)].astype(np.int32)), pa.array(buckets.ravel()[order]))
+                        mine, n = pa.array(rows[of[cut]]), len(cut)
+                        yield pa.RecordBatch.from_arrays([*(b.column(i).take(mine) for i in range(3)), *(pa.array(np.full(n, c, np.int32)) for c in (d, z, t)), pa.array(part[cut]), lists], ["cls", "key", "e", "d", "band", "t", "part", "buckets"])
 
     def rank(key, ask, rows):
-        out = [[], [], [], [], []]
+        found = [[], [], []]
+        q_keys = np.zeros((0, 2), np.int64)
         if ask.num_rows and rows.num_rows:
-            x = _matrix(rows.column("e").combine_chunks())[0][1]
-            cls, keys = rows.column("cls").to_numpy(), rows.column("key").to_numpy()
-            order = np.lexsort((keys, cls))
-            x, cls, keys = x[order], cls[order], keys[order]
-            qc, qk = ask.column("ask_cls").to_numpy(), ask.column("ask_key").to_numpy()
-            q = _matrix(ask.column("ask_e").combine_chunks())[0][1]
-            for a in range(0, len(q), 256):
-                s = inner_products(q[a : a + 256], x)
-                best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                w = best.shape[1]
-                for o, c in zip(out, (np.repeat(qc[a : a + 256], w), np.repeat(qk[a : a + 256], w), cls[best].ravel(), keys[best].ravel(), np.take_along_axis(s, best, 1).ravel())):
-                    o.append(c)
-        cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        types = [pa.int64()] * 4 + [pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip((c.astype(np.int64) if i < 4 else c for i, c in enumerate(cols)), types)], ["ask_cls", "ask_key", "cls", "key", "score"])
-
-    near = Window.partitionBy("ask_cls", "ask_key")
+            keys = np.stack([rows.column(c).to_numpy() for c in ("cls", "key")], 1)
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            keys, x = keys[order], _matrix(rows.column("e").combine_chunks())[0][1][order]
+            bucket = rows.column("bucket").to_numpy()[order]
+            by = np.argsort(bucket, kind="stable")  # rows of a bucket, in the order of their ids
+            q_keys, q = np.stack([ask.column(c).to_numpy() for c in ("ask_cls", "ask_key")], 1), _matrix(ask.column("ask_e").combine_chunks())[0][1]
+            lists = ask.column("buckets").combine_chunks()
+            asked, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.asarray(lists.value_lengths()))
+            order = np.argsort(asked, kind="stable")
+            asked, of = asked[order], of[order]
+            size = 0
+            for z in np.intersect1d(asked, bucket):
+                r = by[slice(*np.searchsorted(bucket[by], (z, z + 1)))]
+                w = of[slice(*np.searchsorted(asked, (z, z + 1)))]
+                for i in range(0, len(w), 256):
+                    s = inner_products(q[w[i : i + 256]], x[r])
+                    for f, c in zip(found, (np.repeat(w[i : i + 256], len(r)), s.ravel(), np.tile(r, len(s)))):
+                        f.append(c)
+                    size += s.size
+                    if size > FLUSH:
+                        found = [[c] for c in _best([np.concatenate(f) for f in found], k + 1)]
+                        size = len(found[0][0])
+        if not found[0]:
+            return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], ["ask_cls", "ask_key", "cls", "key", "score"])
+        of, score, row = _best([np.concatenate(f) for f in found], k + 1)
+        return pa.table([*(pa.array(c) for c in (q_keys[of, 0], q_keys[of, 1], keys[row, 0], keys[row, 1], score))], ["ask_cls", "ask_key", "cls", "key", "score"])
+
+    near, where = Window.partitionBy("ask_cls", "ask_key"), ["d", "band", "t", "part"]
 
     def search(asked: DataFrame, index: DataFrame) -> DataFrame:
         """The best k + 1 rows in the buckets that each asks for."""
-        # Rows per bucket: at most tables * 2 * (dimensions, to a power of two) of them, and one.
-        parts = index.groupBy("bucket", "d").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-        index = index.join(parts, ["bucket", "d"]).withColumn("part", F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"))
-        asked = asked.join(parts, ["bucket", "d"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        found = asked.groupBy("bucket", "d", "part").cogroup(index.drop("parts").groupBy("bucket", "d", "part")).applyInArrow(rank, "ask_cls long, ask_key long, cls long, key long, score double")
+        asked = asked.withColumnsRenamed({c: f"ask_{c}" for c in ("cls", "key", "e")})
+        # Parts that a hot bucket or hot queries make too large; few, so the joins with them are cheap.
+        sizes = index.groupBy(*where).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("n_rows"))
+        sizes = sizes.join(asked.groupBy(*where).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("n_asks")), where)
+        cuts = stored(sizes.where("n_rows > 2 OR n_asks > 1"), "cuts")
+        one = F.lit(1)
+        rows = index.join(cuts, where, "left").withColumn("row_cut", F.pmod(F.xxhash64("cls", "key"), F.coalesce("n_rows", one)).cast("int"))
+        rows = rows.withColumn("ask_cut", F.explode(F.sequence(F.lit(0), F.coalesce("n_asks", one) - 1))).drop("n_rows", "n_asks")
+        asked = asked.join(cuts, where, "left").withColumn("ask_cut", F.pmod(F.xxhash64("ask_cls", "ask_key"), F.coalesce("n_asks", one)).cast("int"))
+        asked = asked.withColumn("row_cut", F.explode(F.sequence(F.lit(0), F.coalesce("n_rows", one) - 1))).drop("n_rows", "n_asks")
+        by = [*where, "row_cut", "ask_cut"]
+        found = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(rank, "ask_cls long, ask_key long, cls long, key long, score double")
         found = found.distinct().withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "cls", "key"))).where(F.col("r") <= k + 1)
         found = found.join(members.drop("d"), ["cls", "key"]).withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
         return found.select("ask_cls", "ask_key", "vec_id", "score")
 
-    # Bucket -1 holds the bands with few rows.
-    few = hashed.groupBy("d", "band").agg((F.count("*") <= group_rows).alias("few"))
-    index = hashed.join(few, ["d", "band"]).select("cls", "key", "e", "d", F.explode(F.when(F.col("few"), F.array(F.lit(-1))).otherwise(F.col("home"))).alias("bucket"))
-    found = stored(search(asking.select("ask_cls", "ask_key", "ask_e", "d", F.explode(F.concat("near", F.array(F.lit(-1)))).alias("bucket")), index), "found")
-    # Those that found too few meet all rows.
-    got = found.groupBy("ask_cls", "ask_key").agg(F.count("*").alias("got"))
+    asking = classes.where("asks").select("cls", "key", "e", "d")
+    index = classes.select("cls", "key", "e", "band").mapInArrow(index_rows, f"{at}, bucket long")
+    found = stored(search(asking.select("cls", "key", "e").mapInArrow(ask_rows, f"{at}, buckets array<long>"), index), "found")
+    # Those that found too few meet all rows, in blocks.
+    got = found.groupBy(F.col("ask_cls").alias("cls"), F.col("ask_key").alias("key")).agg(F.count("*").alias("got"))
     room = members.groupBy("d").agg(F.least(F.count("*"), F.lit(k + 1)).alias("room"))
-    short = asking.join(room, "d").join(got, ["ask_cls", "ask_key"], "left").where(F.coalesce("got", F.lit(0)) < F.col("room"))
-    short = stored(short.select("ask_cls", "ask_key", "ask_e", "d", F.lit(-1).alias("bucket")), "short")
+    short = asking.join(room, "d").join(got, ["cls", "key"], "left").where(F.coalesce("got", F.lit(0)) < F.col("room"))
+    short = stored(short.select("cls", "key", "e", "d"), "short")
     if not short.isEmpty():
-        more = search(short, hashed.select("cls", "key", "e", "d", F.lit(-1).alias("bucket")))
-        found = found.join(short.select("ask_cls", "ask_key"), ["ask_cls", "ask_key"], "left_anti").unionByName(more)
+        zero = [F.lit(0).alias("band"), F.lit(0).alias("t")]
+        blocks = classes.groupBy("d").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("blocks"))
+        asked = short.join(blocks, "d").select("cls", "key", "e", "d", *zero, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.array(F.lit(0).cast("long")).alias("buckets"))
+        every = classes.join(blocks, "d").select("cls", "key", "e", "d", *zero, F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int").alias("part"), F.lit(0).cast("long").alias("bucket"))
+        done = short.select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"))
+        found = found.join(done, ["ask_cls", "ask_key"], "left_anti").unionByName(search(asked, every))
     queries = v.where("q").select(F.col("vec_id").alias("query_id"), F.col("key").alias("ask_key"), "e").distinct()
-    ids = hashed.where("near IS NOT NULL").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), "e")
+    ids = asking.select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), "e")
     out = queries.join(ids, ["ask_key", "e"]).drop("e").join(found, ["ask_key", "ask_cls"]).where("query_id <> vec_id")
     out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank_of = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

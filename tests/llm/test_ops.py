@@ -138,7 +138,7 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
 
 def test_nearest_uneven_lengths_and_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [10.0, 1.0]), (2, [0.5, 0.5]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
-    got = [(r["rank"], r.vec_id, r.score) for r in nearest.nearest(df, F.col("vec_id") == 0, probes=4, tables=8).orderBy("rank").collect()]
+    got = [(r["rank"], r.vec_id, r.score) for r in nearest.nearest(df, F.col("vec_id") == 0, tables=8).orderBy("rank").collect()]
     assert got == [(1, 1, 10.0), (2, 2, 0.5)]
 
 
@@ -149,8 +149,8 @@ def test_nearest_long_vectors_and_short_buckets(spark, n, long):
     x = x.reshape(n, 32) / np.linalg.norm(x.reshape(n, 32), axis=1, keepdims=True)
     x[rng.permutation(n)[:long]] *= 30
     df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
-    # (15, 0): two tables of one probe, and parts of four rows, so no band is searched whole.
-    kw = {"group_rows": 100} if long else {"group_rows": 4, "tables": 2, "probes": 1}
+    # (15, 0): small parts, rows and queries are cut.
+    kw = {"group_rows": 100} if long else {"group_rows": 4, "tables": 2}
     got = {}
     for r in nearest.nearest(df, F.col("vec_id") % 5 == 0, k=20, **kw).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
@@ -164,6 +164,26 @@ def test_nearest_long_vectors_and_short_buckets(spark, n, long):
     assert hit / len(range(0, n, 5)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_nearest_recall_and_candidates(spread):
+    # The hash alone, in numpy: recall of the 20 nearest and the share of rows looked at.
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    x *= rng.lognormal(0, spread, (6000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    band = np.floor(np.log2(np.linalg.norm(x, axis=1)) * nearest.BANDS + 0.5)
+    queries, hit = rng.permutation(6000)[:40], np.zeros((40, 6000), bool)
+    for z in np.unique(band):
+        rows = np.flatnonzero(band == z)
+        plan = nearest.Plan.of(len(rows), 32, 16, nearest.PROBES, 10_000)
+        for t in range(plan.tables):
+            home = plan.homes(nearest.unit_vectors(x[rows]), t, 7)
+            for i, b in enumerate(plan.nearest_buckets(nearest.unit_vectors(x[queries]), t, 7)):
+                hit[i, rows[np.isin(home, b)]] = True
+    best = np.argsort(-(x[queries] @ x.T), axis=1)[:, :20]
+    assert np.take_along_axis(hit, best, 1).mean() >= 0.9
+    assert spread or hit.mean() < 0.6
+
+
 # 3.
 @pytest.mark.parametrize("parts", [1, 7])
 def test_mix_equals_sql_and_bounds(spark, corpus, parts):
