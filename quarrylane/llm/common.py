@@ -10,12 +10,15 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def broadcasts(spark: SparkSession) -> Iterator[Callable[[Any], Broadcast]]:
+    """Broadcasts of bounded values that are destroyed at the end, when all that reads them is stored."""
+    made: list[Broadcast] = []
+
+    def share(value: Any) -> Broadcast:
+        made.append(spark.sparkContext.broadcast(value))
+        return made[-1]
+
+    try:
+        yield share
+    finally:
+        for b in made:
+            b.destroy()
+
+
 def train_rows(key: Column, mod: int, held_out: int) -> Column:
     """True where crc32 of the id, as text, leaves another remainder; a null id is held out."""
     return F.coalesce(F.crc32(key.cast("string")) % mod != held_out, F.lit(False))
@@ -192,29 +211,21 @@ class BloomBits:
         self.bits, self.hashes, self.mask = bits, hashes, np.uint64(len(bits) * 8 - 1)
 
     @staticmethod
-    def places(keys: np.ndarray, hashes: int, mask: np.uint64) -> Iterator[np.ndarray]:
+    def places(keys: np.ndarray, hashes: int, mask: np.uint64, left: list[np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """The places of all keys, hash by hash; only those of left[0], which the reader may narrow."""
         step = mixed(keys + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
         for i in range(hashes):
-            yield (keys + np.uint64(i) * step) & mask
-
-    @staticmethod
-    def places(keys: np.ndarray, hashes: int, mask: np.uint64) -> Iterator[np.ndarray]:
-        step = mixed(keys + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-        for i in range(hashes):
-            yield (keys + np.uint64(i) * step) & mask
+            at = left[0] if left else slice(None)
+            yield (keys[at] + np.uint64(i) * step[at]) & mask
 
     def __contains__(self, key: int) -> bool:
         return bool(self.has(np.array([key], np.uint64))[0])
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        keys = mixed(keys)
-        left = np.arange(len(keys))
-        step = mixed(keys + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-        for i in range(self.hashes):
-            p = (keys[left] + np.uint64(i) * step[left]) & self.mask
-            left = left[(self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-            if not len(left):
-                break
+        left = [np.arange(len(keys))]
+        for p in self.places(mixed(keys), self.hashes, self.mask, left):
+            left[0] = left[0][(self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        left = left[0]
         out = np.zeros(len(keys), bool)
         out[left] = True
         return out

@@ -3,6 +3,10 @@
 import re
 import zlib
 
+import pyarrow as pa
+
+from quarrylane.llm.common import tokens
+
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -49,7 +53,15 @@ def units(text):
         if text[m.end() - 1] in ".!?":
             out.append(cur)
             cur = []
-    return out + [cur] if cur else out
+    cut = []
+    for u in out + [cur] if cur else out:
+        cut.append([])
+        hashes = tokens(pa.array([" ".join(text[a:b] for a, b in u)])).hashes
+        for i, (w, h) in enumerate(zip(u, hashes)):
+            cut[-1].append(w)
+            if len(u) >= 16 and int(h) % 8 == 0 and i + 1 < len(u):
+                cut.append([])
+    return cut
 
 
 def dedup(docs, min_words):
