@@ -1,15 +1,15 @@
 """Toxicity by weak supervision.
 
 Voters look at a text and say toxic, clean or nothing: lists of words and of word beginnings that
-mark toxic texts in the labelled training rows, a fixed list of insults, and patterns (shouting,
-insulting phrases).  A generative label model estimates each voter's accuracy and the correlations
-between voters given the hidden label, without looking at the labels, and a linear classifier is
-trained on its posterior labels and then scores every text.
+mark toxic texts in the labelled training rows (each list holds other terms), a fixed list of
+insults, and patterns (commands to be quiet, insults to the reader's face, shouting).  A generative
+label model estimates, without looking at the labels, each voter's accuracy and which voters
+depend on one another given the hidden label, and a linear classifier is trained on its posterior
+labels and then scores every text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +29,14 @@ LISTS = 5
 LEAST_ODDS = 4.5
 #: ... and stand after so many different words in them.
 LEAST_CONTEXTS = 6
-#: Common English insults.
-INSULTS = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile vermin filth".split()
-_PHRASES = re.compile(rb"\b(?:you are|you're|shut up|du bist|halt die|tu es|ferme ta|eres un|callate)\b")
+#: Common insults in four languages.
+INSULTS = (
+    "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile vermin filth "
+    "dummkopf trottel depp abschaum widerlich connard abruti ordure idiota estupido basura escoria tonto"
+).split()
+#: Phrases that silence someone, and ways to say "you are".
+COMMANDS = ("shut up", "halt die", "halt dein", "ferme ta", "ta gueule", "callate", "cállate")
+ADDRESSES = ("you are", "you re", "du bist", "tu es", "eres un", "eres una")
 
 
 def _terms(texts: pa.Array):
@@ -76,21 +81,34 @@ def toxic_terms(docs: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
     return np.array([(r.term & (2**64 - 1), r.odds) for r in got], dtype=[("term", np.uint64), ("odds", np.float64)])
 
 
+def _phrase_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next (the last with nothing)."""
+    after = np.concatenate([words[1:], np.zeros(min(1, len(words)), np.uint64)])
+    return mixed(words * np.uint64(0x9FB21C651E98DF25) + after)
+
+
 class Voters:
     """The voters' counts for texts, the same on the driver and on executors."""
 
+    #: Columns after those of the word lists and the stem lists.
+    INSULT, COMMAND, ADDRESS, UPPER, SHARE, ODDS, TOP = range(2 * LISTS, 2 * LISTS + 7)
+    COLUMNS = 2 * LISTS + 7
+
     def __init__(self, terms: np.ndarray):
         rank = np.arange(len(terms))
         order = np.argsort(terms["term"])
         self.terms, self.odds, self.list_of = terms["term"][order], terms["odds"][order], (rank % LISTS)[order]
         self.insults = np.sort(tokens(pa.array(INSULTS)).hashes)
+        phrases = [[tokens(pa.array([p]), NOT_ALNUM).hashes for p in group] for group in (COMMANDS, ADDRESSES)]
+        self.pairs = [np.array([_phrase_hashes(w)[0] for w in group if len(w) == 2], np.uint64) for group in phrases]
+        self.single = np.array([w[0] for w in phrases[0] if len(w) == 1], np.uint64)
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: distinct hits in each list (words, then stems), insults, phrases, shouting share,
-        share of hits among words, sum and largest of the hits' log odds."""
+        """Per text: distinct hits in each list (words, then stems), insults, silencing and "you are"
+        phrases, shouting share, share of hits among words, sum and largest of the hits' log odds."""
         t, text, words, stems = _terms(texts)
         n = len(t.bounds) - 1
-        out = np.zeros((n, 2 * LISTS + 6))
+        out = np.zeros((n, self.COLUMNS))
         every = np.concatenate([words, stems])
         of = np.tile(text, 2)
         kind = np.repeat([0, 1], len(words))
@@ -101,65 +119,89 @@ class Voters:
             total = np.bincount(of[hit], minlength=n)
             seen = np.unique(np.stack([of[hit], kind[hit], at[hit]]), axis=1)
             np.add.at(out, (seen[0], seen[1] * LISTS + self.list_of[seen[2]]), 1)
-            np.add.at(out[:, 2 * LISTS + 4], seen[0], self.odds[seen[2]])
-            np.maximum.at(out[:, 2 * LISTS + 5], seen[0], self.odds[seen[2]])
-            out[:, 2 * LISTS + 3] = total / np.maximum(1, np.diff(t.bounds))
-        out[:, 2 * LISTS] = np.bincount(text[np.isin(words, self.insults)], minlength=n)
+            np.add.at(out[:, self.ODDS], seen[0], self.odds[seen[2]])
+            np.maximum.at(out[:, self.TOP], seen[0], self.odds[seen[2]])
+            out[:, self.SHARE] = total / np.maximum(1, np.diff(t.bounds))
+        out[:, self.INSULT] = np.bincount(text[np.isin(words, self.insults)], minlength=n)
+        if len(words):
+            pairs = _phrase_hashes(words)
+            inside = np.concatenate([text[1:] == text[:-1], [False]])
+            for column, known in zip((self.COMMAND, self.ADDRESS), self.pairs):
+                out[:, column] = np.bincount(text[np.isin(pairs, known) & inside], minlength=n)
+            out[:, self.COMMAND] += np.bincount(text[np.isin(words, self.single)], minlength=n)
         upper = np.concatenate([[0], np.cumsum((t.raw >= 65) & (t.raw <= 90))])
-        out[:, 2 * LISTS + 2] = (upper[t.offsets[1:]] - upper[t.offsets[:-1]]) / np.maximum(1, np.diff(t.offsets))
-        for i in range(n):
-            raw = t.raw[t.offsets[i] : t.offsets[i + 1]].tobytes().lower()
-            out[i, 2 * LISTS + 1] = sum(1 for _ in _PHRASES.finditer(raw)) if b"you" in raw or b"du " in raw or b"tu " in raw or b"eres" in raw else 0
+        out[:, self.UPPER] = (upper[t.offsets[1:]] - upper[t.offsets[:-1]]) / np.maximum(1, np.diff(t.offsets))
         return out
 
-    @staticmethod
-    def votes(f: np.ndarray) -> np.ndarray:
-        """1 toxic, -1 clean, 0 nothing."""
+    @classmethod
+    def votes(cls, f: np.ndarray) -> np.ndarray:
+        """1 toxic, -1 clean, 0 nothing, one column per voter."""
         k = 2 * LISTS
-        yes = [(f[:, j] > 0).astype(int) for j in range(k)]
-        yes.append((f[:, k] > 0).astype(int))
-        yes.append((f[:, k + 1] > 2).astype(int))
-        strong = (f[:, k + 4] > 8).astype(int)
-        none = [-(f[:, :LISTS].sum(1) == 0).astype(int), -(f[:, LISTS:k].sum(1) == 0).astype(int), -((f[:, k] == 0) & (f[:, k + 4] < 4)).astype(int)]
-        return np.stack([*yes, strong, *none], axis=1)
-
-    @staticmethod
-    def inputs(f: np.ndarray) -> np.ndarray:
+        insult = f[:, cls.INSULT] > 0
+        yes = [f[:, j] > 0 for j in range(k)]
+        yes += [insult, f[:, cls.COMMAND] > 0, insult & (f[:, cls.ADDRESS] > 0), (f[:, cls.UPPER] > 0.3) & (f[:, :k].sum(1) + f[:, cls.INSULT] > 0), f[:, cls.ODDS] > 8]
+        no = [f[:, :LISTS].sum(1) == 0, f[:, LISTS:k].sum(1) == 0, ~insult & (f[:, cls.ODDS] < 4)]
+        return np.stack([*(y.astype(int) for y in yes), *(-x.astype(int) for x in no)], axis=1)
+
+    @classmethod
+    def inputs(cls, f: np.ndarray) -> np.ndarray:
         k = 2 * LISTS
         x = np.log1p(f)
-        x[:, k + 2 : k + 4] = f[:, k + 2 : k + 4]
-        x[:, k + 4 :] = f[:, k + 4 :] / 5
+        x[:, cls.UPPER : cls.SHARE + 1] = f[:, cls.UPPER : cls.SHARE + 1]
+        x[:, cls.ODDS :] = f[:, cls.ODDS :] / 5
         return np.hstack([x, np.minimum(1, f[:, : k + 1]), np.log1p(f[:, :k].sum(1, keepdims=True))])
 
 
-def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
+def _dependencies(corr: np.ndarray, least: float) -> np.ndarray:
+    """For each voter the voter that it hangs on in the spanning forest of the strongest
+    correlations of `least` or more, or -1."""
+    k = len(corr)
+    parent, done = np.full(k, -1), np.zeros(k, bool)
+    best, by = np.full(k, -1.0), np.full(k, -1)
+    for _ in range(k):
+        j = int(np.argmax(np.where(done, -2.0, best)))
+        done[j], parent[j] = True, by[j]
+        closer = ~done & (corr[j] >= least) & (corr[j] > best)
+        best[closer], by[closer] = corr[j][closer], j
+    return parent
+
+
+def label_model(votes: np.ndarray, rounds: int = 30, least: float = 0.3) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden label for each row of votes (-1, 0, 1), and what was estimated.
 
-    Expectation maximisation of a two-class model in which each voter has its own chances of saying
-    -1, 0 or 1 in each class.  Voters whose votes still correlate once the class is known repeat one
-    another: each counts by 1 / (1 + the sum of those correlations)."""
+    Expectation maximisation of a two-class model in which a voter says -1, 0 or 1 with chances
+    that depend on the class and, for voters that still correlate once the class is known, on the
+    vote of another one: those correlations make a forest (strongest first), and a voter that only
+    repeats another adds nothing to the posterior."""
     n, k = votes.shape
     post = np.where(votes.sum(1) > 0, 0.9, 0.1)
-    weight, corr = np.ones(k), np.zeros((k, k))
-    chance = None
+    parent, corr, chance = np.full(k, -1), np.zeros((k, k)), np.empty((2, k, 3))
+    said = votes + 1
     for step in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        chance = np.empty((2, k, 3))
-        for c, w in enumerate((1 - post, post)):
-            for v in (-1, 0, 1):
-                chance[c, :, v + 1] = ((votes == v) * w[:, None]).sum(0) + 1.0
+        both = (1 - post, post)
+        for c, w in enumerate(both):
+            for v in range(3):
+                chance[c, :, v] = ((said == v) * w[:, None]).sum(0) + 1.0
             chance[c] /= chance[c].sum(1, keepdims=True)
-        mean = np.stack([chance[c, :, 2] - chance[c, :, 0] for c in (0, 1)])
-        rest = votes - post[:, None] * mean[1] - (1 - post[:, None]) * mean[0]
-        cov = rest.T @ rest / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = cov / np.outer(sd, sd)
-        if step >= rounds // 2:  # classes are apart by now, so what still correlates is repetition
-            weight = 1 / (1 + np.maximum(0, corr - np.diag(np.diag(corr))).sum(1))
-        ratio = np.log(chance[1]) - np.log(chance[0])
-        score = np.log(prior / (1 - prior)) + (ratio[np.arange(k)[None, :], votes + 1] * weight).sum(1)
+        if step == 1:  # what the majority of votes leaves correlated is dependence
+            mean = chance[:, :, 2] - chance[:, :, 0]
+            rest = votes - post[:, None] * mean[1] - (1 - post[:, None]) * mean[0]
+            sd = np.maximum(rest.std(0), 1e-6)
+            corr = rest.T @ rest / n / np.outer(sd, sd)
+            parent = _dependencies(corr - np.eye(k), least)
+        score = np.full(n, np.log(prior / (1 - prior)))
+        for j in range(k):
+            if parent[j] < 0:
+                score += np.log(chance[1, j] / chance[0, j])[said[:, j]]
+                continue
+            cell, logs = said[:, parent[j]] * 3 + said[:, j], []
+            for c, w in enumerate(both):
+                seen = np.bincount(cell, w, 9).reshape(3, 3)
+                logs.append(np.log((seen + 2 * chance[c, j]) / (seen.sum(1, keepdims=True) + 2)).ravel())
+            score += (logs[1] - logs[0])[cell]
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return post, {"chance": chance, "correlation": corr, "weight": weight}
+    return post, {"chance": chance, "correlation": corr, "parent": parent}
 
 
 def train_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,15 +240,15 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST
                 yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64()))], ["f"])
 
     rows = train.mapInArrow(count, "f array<double>").collect()  # bounded by MOST_LABELLED rows
-    f = np.array([r.f for r in rows]).reshape(len(rows), 2 * LISTS + 6)
+    f = np.array([r.f for r in rows]).reshape(len(rows), Voters.COLUMNS)
     f = f[np.lexsort(f.T)]  # no result hangs on the order of rows
     if len(f):
         post, _ = label_model(Voters.votes(f))
         model = train_linear(Voters.inputs(f), post)
     else:
-        x = Voters.inputs(np.zeros((1, 2 * LISTS + 6))).shape[1]
+        x = Voters.inputs(np.zeros((1, Voters.COLUMNS))).shape[1]
         w = np.zeros(x + 1)
-        w[2 * LISTS], w[-1] = 6.0, -3.0
+        w[Voters.INSULT], w[-1] = 6.0, -3.0
         model = w, np.zeros(x), np.ones(x)
     model_b = spark.sparkContext.broadcast(model)
     names = docs.columns
