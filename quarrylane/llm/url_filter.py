@@ -2,8 +2,8 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix.  Each level has a
 beta prior whose mean is the shrunk rate of the level above and whose strength comes from the
-spread of the rates at that level (moments of the beta-binomial).  A host is blocked when the
-lower bound of its posterior, mean minus z standard deviations, is above the threshold.
+spread of the level's rates round those means (moments of the beta-binomial).  A host is blocked
+when the lower quantile of its beta posterior is above the threshold.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from .common import stored, table
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A suffix is the last label, or a generic second level under a country code.
-_SUFFIX = r"((?:(?:co|com|org|net|ac|gov|edu)[.][a-z][a-z])|[^.]+)$"
+#: A suffix is the last label, or a generic second level under a country code (there is no list of
+#: public suffixes here); an address of numbers is its own domain under the suffix "ip".
+_SUFFIX = r"((?:(?:co|com|org|net|ac|gov|edu|or|ne|go|mil|sch|ltd|plc|gob|nom|info|biz|web)[.][a-z][a-z])|[^.]+)$"
+_ADDRESS = "regexp_extract(bare, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$|^.*:.*$', 0) <> ''"
 
 
 def _rule_case(rules: Sequence[tuple[str, str]], column: int) -> str:
@@ -30,14 +32,26 @@ def _rule_case(rules: Sequence[tuple[str, str]], column: int) -> str:
     return f"CASE {' '.join(parts)} END" if parts else "CAST(NULL AS STRING)"
 
 
-def _strength(stats: str, most: float) -> str:
-    """Prior strength of a level: Kleinman's moment estimate, held between 1 and `most`."""
-    return f"""SELECT CASE WHEN k < 2 OR v <= m * (1 - m) * inv / k THEN {most:e}
-            ELSE greatest(1e0, least({most:e}, (m * (1 - m) - v) / (v - m * (1 - m) * inv / k))) END AS strength
-        FROM (SELECT k, m, inv, k * sum_nd / (greatest(k - 1, 1) * nn) AS v
-            FROM (SELECT CAST(count(*) AS DOUBLE) AS k, max(g.m) AS m, sum(1e0 / n) AS inv,
-                    sum(n * power(CAST(x AS DOUBLE) / n - g.m, 2)) AS sum_nd, CAST(sum(n) AS DOUBLE) AS nn
-                FROM {stats} JOIN whole g ON 1 = 1) a) b"""
+def _strength(units: str, most: float) -> str:
+    """Prior strength of a level, held between 1 and `most`, from units (n, x, mu: the mean of the
+    level above).  With correlation r between the outcomes of one unit, n (x / n - mu) ** 2 is
+    mu (1 - mu) (1 + (n - 1) r) on average; the strength is 1 / r - 1."""
+    return f"""SELECT CASE WHEN coalesce(room, 0) <= 0 OR excess * ({most:e} + 1) <= room THEN {most:e} ELSE greatest(1e0, room / excess - 1) END AS strength
+        FROM (SELECT sum(n * power(CAST(x AS DOUBLE) / n - mu, 2) - mu * (1 - mu)) AS excess, sum((n - 1) * mu * (1 - mu)) AS room FROM {units}) moments"""
+
+
+def _log_gamma_slopes(x: str) -> tuple[str, str]:
+    """First and second derivative of the logarithm of gamma (series at x + 2, stepped down)."""
+    y = f"({x} + 2)"
+    first = f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) - 1 / {x} - 1 / ({x} + 1))"
+    return first, f"(1 / {y} + 1 / (2 * {y} * {y}) + 1 / (6 * {y} * {y} * {y}) + 1 / ({x} * {x}) + 1 / (({x} + 1) * ({x} + 1)))"
+
+
+def _lower_quantile(a: str, b: str, z: float) -> str:
+    """The quantile z deviations below the middle of a beta distribution, by its log-odds, whose
+    mean and variance are exact and whose shape is near normal."""
+    (da, va), (db, vb) = _log_gamma_slopes(a), _log_gamma_slopes(b)
+    return f"1 / (1 + exp({z:e} * sqrt({va} + {vb}) - ({da} - {db})))"
 
 
 def _cut(pages: str) -> str:
@@ -51,8 +65,8 @@ def _cut(pages: str) -> str:
 def hosts_sql(pages: str, outcomes: str) -> str:
     """Labelled pages and bad ones of each host, with its suffix and registered domain."""
     return f"""
-        SELECT bare, regexp_extract(bare, '(?:^|[.]){_SUFFIX}', 1) AS suffix,
-            regexp_extract(bare, '([^.]+[.])?{_SUFFIX}', 0) AS domain, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS x
+        SELECT bare, CASE WHEN {_ADDRESS} THEN 'ip' ELSE regexp_extract(bare, '(?:^|[.]){_SUFFIX}', 1) END AS suffix,
+            CASE WHEN {_ADDRESS} THEN bare ELSE regexp_extract(bare, '([^.]+[.])?{_SUFFIX}', 0) END AS domain, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS x
         FROM (SELECT n.bare, o.bad FROM ({_cut(pages)}) n LEFT JOIN {outcomes} o ON n.page_id = o.page_id) j GROUP BY bare"""
 
 
@@ -65,18 +79,17 @@ def verdict_sql(pages: str, hosts: str, rules: Sequence[tuple[str, str]] = RULES
     domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM seen GROUP BY domain, suffix),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY suffix),
     whole AS (SELECT coalesce((sum(x) + 5e-1) / (sum(n) + 1e0), 5e-1) AS m FROM suffixes),
-    s1 AS ({_strength("suffixes", most)}),
-    s2 AS ({_strength("domains", most)}),
-    s3 AS ({_strength("seen", most)}),
-    p1 AS (SELECT suffix, (x + m * strength) / (n + strength) AS mean FROM suffixes JOIN whole ON 1 = 1 JOIN s1 ON 1 = 1),
-    p2 AS (SELECT d.domain, (d.x + p1.mean * strength) / (d.n + strength) AS mean FROM domains d JOIN p1 ON d.suffix = p1.suffix JOIN s2 ON 1 = 1),
-    post AS (
-        SELECT h.bare, n, x, x + coalesce(p2.mean, p1.mean, m) * strength AS a,
-            n - x + (1 - coalesce(p2.mean, p1.mean, m)) * strength AS b
-        FROM {hosts} h LEFT JOIN p2 ON h.domain = p2.domain LEFT JOIN p1 ON h.suffix = p1.suffix JOIN whole ON 1 = 1 JOIN s3 ON 1 = 1),
+    s1 AS ({_strength("(SELECT n, x, (SELECT m FROM whole) AS mu FROM suffixes) u", most)}),
+    p1 AS (SELECT suffix, (x + (SELECT m FROM whole) * (SELECT strength FROM s1)) / (n + (SELECT strength FROM s1)) AS mean FROM suffixes),
+    s2 AS ({_strength("(SELECT n, x, p1.mean AS mu FROM domains d JOIN p1 ON d.suffix = p1.suffix) u", most)}),
+    p2 AS (SELECT d.domain, (d.x + p1.mean * (SELECT strength FROM s2)) / (d.n + (SELECT strength FROM s2)) AS mean FROM domains d JOIN p1 ON d.suffix = p1.suffix),
+    s3 AS ({_strength("(SELECT n, x, p2.mean AS mu FROM seen h JOIN p2 ON h.domain = p2.domain) u", most)}),
+    prior AS (
+        SELECT h.bare, n, x, coalesce(p2.mean, p1.mean, (SELECT m FROM whole)) AS mu, (SELECT strength FROM s3) AS strength
+        FROM {hosts} h LEFT JOIN p2 ON h.domain = p2.domain LEFT JOIN p1 ON h.suffix = p1.suffix),
+    post AS (SELECT bare, n, x, x + mu * strength AS a, n - x + (1 - mu) * strength AS b FROM prior),
     judged AS (
-        SELECT bare, n AS host_labelled, x AS host_bad, a / (a + b) AS mean,
-            a / (a + b) - {z:e} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM post)
+        SELECT bare, n AS host_labelled, x AS host_bad, a / (a + b) AS mean, {_lower_quantile("a", "b", z)} AS bound FROM post)
     SELECT r.page_id, r.host, r.path, r.rule,
         CASE WHEN r.rule IS NOT NULL THEN r.ruled WHEN j.bound > {threshold:e} THEN 'block' ELSE 'allow' END AS verdict,
         CAST(j.host_labelled AS BIGINT) AS host_labelled, CAST(j.host_bad AS BIGINT) AS host_bad,
