@@ -105,7 +105,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
+    size = max([1 << max(12, int(n).bit_length()), *_powers])
     if size not in _powers:
         _powers.clear()
         up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)

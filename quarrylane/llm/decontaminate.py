@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power_tables, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
+from .common import _power_tables, broadcasts, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
 
 SEED = 5
 COVERAGE = 0.6
@@ -39,79 +39,66 @@ def _sums(words: np.ndarray) -> np.ndarray:
 
 def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Tiles (place in doc, place in item, words) of two sequences of word hashes: the longest
-    common runs of unmarked words, marked from the longest to those of `least` words."""
+    common run of unmarked words, marked again and again until none of `least` words is left; ties
+    go to the earlier place in the item, then in the document.
+
+    The length of the longest run is found by halving: where a run is common, so are its parts."""
     doc_free, item_free = np.ones(len(doc), bool), np.ones(len(item), bool)
     doc_sums, item_sums = _sums(doc), _sums(item)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(32, len(item)))
-    while size >= least:
-        if size > len(item) or size > len(doc):
-            size = size // 2 if size > 2 * least else (least if size > least else 0)
-            continue
-        free = lambda marks: np.convolve(marks, np.ones(size, int), "valid") == size  # noqa: E731, B023
-        item_at = np.flatnonzero(free(item_free))
-        doc_at = np.flatnonzero(free(doc_free))
-        item_hash, doc_hash = _windows(item_sums, size)[item_at], _windows(doc_sums, size)[doc_at]
-        where: dict[int, list[int]] = {}
-        for h, p in zip(item_hash.tolist(), item_at.tolist()):
-            where.setdefault(h, []).append(p)
-        runs = set()
-        for p in doc_at[np.isin(doc_hash, item_hash)].tolist():
-            for q in where[int(_window_at(doc_sums, p, size))]:
-                a = 0  # only the start of a run counts
-                if p and q and doc_free[p - 1] and item_free[q - 1] and doc[p - 1] == item[q - 1]:
-                    continue
-                while p + a < len(doc) and q + a < len(item) and doc_free[p + a] and item_free[q + a] and doc[p + a] == item[q + a]:
-                    a += 1
-                if a >= size:
-                    runs.add((a, p, q))
-        longest = max((r[0] for r in runs), default=0)
-        if longest > 2 * size:
-            size = longest
-            continue
-        queue = sorted(runs, key=lambda r: (-r[0], r[2], r[1]))
-        again = False
-        for a, p, q in queue:
-            if doc_free[p : p + a].all() and item_free[q : q + a].all():
-                doc_free[p : p + a] = False
-                item_free[q : q + a] = False
-                tiles.append((p, q, a))
-            else:
-                again = True
-        if again and (item_free.sum() >= size):
-            # What overlaps of a run left free may still hold a run: look again at this length.
-            if _any_run(doc_sums, item_sums, doc_free, item_free, size):
-                continue
-        size = size // 2 if size > 2 * least else (least if size > least else 0)
+
+    def windows(sums: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(marked[size:] == marked[:-size])
+        return at, _windows(sums, size)[at]
+
+    def common(size: int) -> bool:
+        return bool(np.isin(windows(item_sums, item_free, size)[1], windows(doc_sums, doc_free, size)[1]).any())
+
+    most = min(len(doc), len(item))
+    while most >= least and common(least):
+        size = least
+        while size < most:
+            half = (size + most + 1) // 2
+            size, most = (half, most) if common(half) else (size, half - 1)
+        doc_at, doc_hash = windows(doc_sums, doc_free, size)
+        order = np.argsort(doc_hash, kind="stable")
+        doc_at, doc_hash = doc_at[order], doc_hash[order]
+        for q, h in zip(*windows(item_sums, item_free, size)):
+            if item_free[q : q + size].all():
+                for p in doc_at[np.searchsorted(doc_hash, h, "left") : np.searchsorted(doc_hash, h, "right")]:
+                    if doc_free[p : p + size].all() and (doc[p : p + size] == item[q : q + size]).all():
+                        doc_free[p : p + size] = item_free[q : q + size] = False
+                        tiles.append((int(p), int(q), size))
+                        break
+        most = size - 1
     return tiles
 
 
-def _window_at(sums: np.ndarray, p: int, size: int) -> np.uint64:
-    _, down = _power_tables(len(sums))
-    return mixed((sums[p + size : p + size + 1] - sums[p : p + 1]) * down[p : p + 1])[0]
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words, n): the word hashes of each item that has words."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                t = tokens(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.hashes[a:b].tobytes() for a, b in zip(t.bounds[:-1], t.bounds[1:])], pa.binary()), pa.array(np.diff(t.bounds).astype(np.int32))], ["item_id", "words", "n"])
 
-def _any_run(doc_sums, item_sums, doc_free, item_free, size) -> bool:
-    one = np.ones(size, int)
-    d = _windows(doc_sums, size)[np.convolve(doc_free, one, "valid") == size]
-    i = _windows(item_sums, size)[np.convolve(item_free, one, "valid") == size]
-    return bool(np.isin(d, i).any())
+    return items.mapInArrow(scan, "item_id long, words binary, n int").where("n > 0")
 
 
-def _item_rows(items: DataFrame) -> DataFrame:
-    """(item_id, place, seed, n): the seeds of each item; (item_id, words) is made by _word_rows."""
+def _item_seeds(classes: DataFrame) -> DataFrame:
+    """(item, place, seed, n): the seeds of each item; the whole of one with fewer words than a seed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = tokens(batch.column(1))
-            for i, (a, b) in enumerate(zip(t.bounds[:-1], t.bounds[1:])):
-                w = t.hashes[a:b]
-                if len(w) >= SEED:
-                    s = shingle_hashes(w, SEED)
-                    k = len(s)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(k, i))), pa.array(np.arange(k, dtype=np.int32)), pa.array(s.view(np.int64)), pa.array(np.full(k, len(w), np.int32)), pa.array([w.tobytes()] * k, pa.binary())], ["item_id", "place", "seed", "n", "words"])
+            for i, words in enumerate(batch.column(1)):
+                w = np.frombuffer(words.as_buffer(), np.uint64)
+                s = shingle_hashes(w, SEED)
+                k = len(s)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(k, i))), pa.array(np.arange(k, dtype=np.int32)), pa.array(s.view(np.int64)), pa.array(np.full(k, len(w), np.int32))], ["item", "place", "seed", "n"])
 
-    return items.mapInArrow(scan, "item_id long, place int, seed long, n int, words binary")
+    return classes.select("item", "words").mapInArrow(scan, "item string, place int, seed long, n int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -119,70 +106,75 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     cover the share `coverage` of the words or more; tiles are (doc_word, item_word, words).
 
     docs has doc_id and text, items item_id and text.  Words are those of the lower-cased text.
-    Items with fewer than SEED words, null or empty texts match nothing.  Rows with equal ids are
-    told apart by tie, a hash of the text; rows equal in both are reported once.  Repeated items
-    with equal ids and texts count once.  The items' seeds are broadcast only as a Bloom filter of
-    fixed size; all matching is by joins."""
-    spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.hash(docs["text"]).alias("tie"), docs["text"].cast("string").alias("text"))
-    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id IS NOT NULL").distinct()
-    made = stored(_item_rows(items), "items")
-    seeds = made.select("item_id", "place", "seed", "n").distinct()
-    filter_b = spark.sparkContext.broadcast(build_bloom(made.select("seed").distinct(), "seed", BLOOM_BITS, 4))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = filter_b.value
-        for batch in batches:
-            for part in slices(batch, 2):
-                t = tokens(part.column(2))
-                s = shingle_hashes(t.hashes, SEED)
-                of = np.searchsorted(t.bounds, np.arange(len(s)), side="right") - 1
-                ok = (np.arange(len(s)) + SEED <= t.bounds[of + 1]) if len(s) else np.zeros(0, bool)
-                at = np.flatnonzero(ok)
-                at = at[bloom.has(s[at])]
-                _, one = np.unique(np.stack([of[at].astype(np.uint64), s[at]]), axis=1, return_index=True) if len(at) else (None, np.zeros(0, int))
-                at = at[one]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), part.column(1).take(pa.array(of[at])), pa.array(s[at].view(np.int64))], ["doc_id", "tie", "seed"])
-
-    found = docs.mapInArrow(hits, "doc_id long, tie int, seed long").join(seeds, "seed")
-    # Tiles of at least SEED words that cover c words hold c / SEED seeds or more.
-    found = found.groupBy("doc_id", "tie", "item_id", "n").agg(F.countDistinct("place").alias("k"))
-    pairs = stored(found.where(F.col("k") * SEED >= F.col("n") * coverage).select("doc_id", "tie", "item_id"), "pairs")
+    Items with fewer than SEED words are found where all their words stand together; null and empty
+    texts and items without an id match nothing.  Rows with equal ids are told apart by tie, a
+    64-bit hash of the text; rows equal in both are reported once.  Items with the same words are
+    looked up once, repeated items with equal ids and texts count once.  The items' seeds are
+    broadcast only as a Bloom filter of fixed size; all matching is by joins."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text")).where("item_id IS NOT NULL")
+    named = stored(_item_words(items).withColumn("item", F.sha2("words", 256)).dropDuplicates(["item_id", "item"]), "items")
+    classes = named.select("item", "words", "n").dropDuplicates(["item"])
+    seeds = stored(_item_seeds(classes), "seeds")
+    sizes = [SEED, *sorted(r.n for r in classes.where(F.col("n") < SEED).select("n").distinct().collect())]  # at most SEED numbers
     key = F.xxhash64("doc_id", "tie")
-    wanted = spark.sparkContext.broadcast(build_bloom(pairs.select(key.alias("key")).distinct(), "key", BLOOM_BITS, 4))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = wanted.value
-        for batch in batches:
-            for part in slices(batch, 2):
-                ok = bloom.has(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
-                part = part.filter(pa.array(ok))
-                t = tokens(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.hashes[a:b].tobytes() for a, b in zip(t.bounds[:-1], t.bounds[1:])], pa.binary())], ["doc_id", "tie", "doc_words"])
-
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share, tiles = [], []
-            for d, i in zip(batch.column(3), batch.column(4)):
-                item = np.frombuffer(i.as_buffer(), np.uint64)
-                got = greedy_tiles(np.frombuffer(d.as_buffer(), np.uint64), item)
-                share.append(sum(x[2] for x in got) / len(item))
-                tiles.append([dict(zip(("doc_word", "item_word", "words"), x)) for x in sorted(got)])
-            kind = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64()), pa.array([len(x) for x in tiles], pa.int32()), pa.array(tiles, kind)], ["doc_id", "tie", "item_id", "coverage", "n_tiles", "tiles"])
-
-    texts = docs.withColumn("key", key).mapInArrow(words, "doc_id long, tie int, doc_words binary").dropDuplicates(["doc_id", "tie"]).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
-    item_words = made.where("place = 0").select("item_id", "words").distinct()
-    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).join(item_words, "item_id")
-    out = both.select("doc_id", "tie", "item_id", "doc_words", "words").mapInArrow(tile, "doc_id long, tie int, item_id long, coverage double, n_tiles int, tiles array<struct<doc_word:int,item_word:int,words:int>>")
-    return out.where(F.col("coverage") >= coverage)
+    with broadcasts(docs.sparkSession) as share:
+        known = share(build_bloom(seeds.select("seed").distinct(), "seed", BLOOM_BITS, 4))
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 2):
+                    t = tokens(part.column(2))
+                    for size in sizes:
+                        if len(t.hashes) < size:
+                            continue
+                        s = shingle_hashes(t.hashes, size)
+                        of = np.searchsorted(t.bounds, np.arange(len(s)), side="right") - 1
+                        at = np.flatnonzero(np.arange(len(s)) + size <= t.bounds[of + 1])
+                        at = at[known.value.has(s[at])]
+                        _, one = np.unique(np.stack([of[at].astype(np.uint64), s[at]]), axis=1, return_index=True) if len(at) else (None, np.zeros(0, int))
+                        at = at[one]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), part.column(1).take(pa.array(of[at])), pa.array(s[at].view(np.int64))], ["doc_id", "tie", "seed"])
+
+        found = docs.select("doc_id", "tie", "text").mapInArrow(hits, "doc_id long, tie long, seed long").join(seeds, "seed")
+        # Tiles of at least SEED words that cover c words hold c / SEED seeds or more.
+        found = found.groupBy("doc_id", "tie", "item", "n").agg(F.countDistinct("place").alias("k"))
+        pairs = stored(found.where(F.col("k") * SEED >= F.col("n") * coverage).select("doc_id", "tie", "item"), "pairs")
+        wanted = share(build_bloom(pairs.select(key.alias("key")).distinct(), "key", BLOOM_BITS, 4))
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 2):
+                    ok = wanted.value.has(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+                    part = part.filter(pa.array(ok))
+                    t = tokens(part.column(2))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.hashes[a:b].tobytes() for a, b in zip(t.bounds[:-1], t.bounds[1:])], pa.binary())], ["doc_id", "tie", "doc_words"])
+
+        def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                covered, tiles = [], []
+                for d, i in zip(batch.column(3), batch.column(4)):
+                    item = np.frombuffer(i.as_buffer(), np.uint64)
+                    got = greedy_tiles(np.frombuffer(d.as_buffer(), np.uint64), item, min(SEED, len(item)))
+                    covered.append(sum(x[2] for x in got) / len(item))
+                    tiles.append([dict(zip(("doc_word", "item_word", "words"), x)) for x in sorted(got)])
+                kind = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(covered, pa.float64()), pa.array([len(x) for x in tiles], pa.int32()), pa.array(tiles, kind)], ["doc_id", "tie", "item", "coverage", "n_tiles", "tiles"])
+
+        texts = docs.select("doc_id", "tie", "text", key.alias("key")).mapInArrow(words, "doc_id long, tie long, doc_words binary").dropDuplicates(["doc_id", "tie"]).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+        both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).join(classes.select("item", "words"), "item")
+        out = both.select("doc_id", "tie", "item", "doc_words", "words").mapInArrow(tile, "doc_id long, tie long, item string, coverage double, n_tiles int, tiles array<struct<doc_word:int,item_word:int,words:int>>")
+        out = stored(out.where(F.col("coverage") >= coverage), "contaminated")
+    return out.join(named.select("item", "item_id"), "item").select("doc_id", "tie", "item_id", "coverage", "n_tiles", "tiles")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs, any columns, without the documents that hold a test item."""
-    bad = contaminated(docs, items, coverage).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t")).distinct()
-    keyed = docs.withColumn("__tie", F.hash("text"))
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")), "left_anti").drop("__tie")
+    """docs, any columns (names that begin with "__leak_" are taken), without the documents that hold
+    a test item.  Null and empty texts hold none; each of several rows with one id is judged by its
+    own text, so repeated rows stay or go together, and a null id is an id like others."""
+    bad = contaminated(docs, items, coverage).select(F.col("doc_id").alias("__leak_id"), F.col("tie").alias("__leak_t")).distinct()
+    keyed = docs.withColumn("__leak_tie", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_id")) & (F.col("__leak_tie") == F.col("__leak_t")), "left_anti").drop("__leak_tie")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
