@@ -220,8 +220,11 @@ def test_mixed_blocks_are_the_counted_mix(spark, corpus):
 
 def test_permutations_are_bijections(spark):
     for n in (1, 2, 7, 100, 4096):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit(3).cast("long"))).alias("y"))
-        assert sorted(r.y for r in df.collect()) == list(range(n))
+        df = spark.range(n).withColumn("y", mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit(3).cast("long"))))
+        got = [r.y for r in df.orderBy("id").collect()]
+        assert sorted(got) == list(range(n))
+    steps = np.diff(got)
+    assert len(set(steps.tolist())) > 2000 and abs(np.corrcoef(range(4096), got)[0, 1]) < 0.1
 
 
 def test_targets_fill_and_near(spark):
@@ -288,23 +291,20 @@ def longest_first(doc, item, least):
                     best = (k, p, q)
         k, p, q = best
         if k < least:
-            return sum(x[2] for x in out)
+            return out
         df[p : p + k], tf[q : q + k] = [False] * k, [False] * k
         out.append((p, q, k))
 
 
-def test_tiles_cover_as_much_as_the_definition():
+def test_tiles_are_those_of_the_definition():
     rng = random.Random(5)
-    for _ in range(60):
+    for _ in range(300):
         item = [rng.randint(1, 4) * 1000003 for _ in range(rng.randint(5, 40))]
         doc = [rng.randint(1, 4) * 1000003 for _ in range(rng.randint(0, 60))]
         if rng.random() < 0.5 and len(doc) > 8:
             doc[3:3] = item[len(item) // 2 :] + [1] + item[: len(item) // 2]
         tiles = decontaminate.greedy_tiles(np.array(doc, np.uint64), np.array(item, np.uint64))
-        for p, q, k in tiles:
-            assert k >= 5 and doc[p : p + k] == item[q : q + k]
-        assert len({x for _, q, k in tiles for x in range(q, q + k)}) == sum(k for *_, k in tiles)
-        assert abs(sum(k for *_, k in tiles) - longest_first(doc, item, 5)) <= 4
+        assert tiles == longest_first(doc, item, 5)
 
 
 def test_contaminated_documents(spark):
@@ -322,6 +322,39 @@ def test_contaminated_documents(spark):
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == len(rows)
 
 
+def test_short_and_very_long_items(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000))
+    part = " ".join(long.split(" ")[1000:14_000])
+    rows = [(1, "so he said open the pod bay doors to it"), (2, "open the bay"), (3, "x " + part + " y"), (4, "one word: zebra"), (5, "pod bay")]
+    items = [(1, "the pod bay"), (2, "zebra"), (3, long), (4, "the pod bay")]
+    got = sorted((r.doc_id, r.item_id, round(r.coverage, 2)) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 1, 1.0), (1, 4, 1.0), (3, 3, 0.65), (4, 2, 1.0)]
+
+
+def test_contaminated_equals_brute_force(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(3, 40))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = prose(rng, 60).split(" ")
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(items)[1].split(" ")
+            a = rng.randrange(len(t))
+            at = rng.randrange(len(w))
+            w[at:at] = t[a:] + (t[:a] if rng.random() < 0.6 else [])
+        docs.append((i, " ".join(w)))
+    got = {(r.doc_id, r.item_id): round(r.coverage, 6) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs:
+        for k, item in items:
+            w, v = brute.words(text), brute.words(item)
+            c = sum(x[2] for x in longest_first(w, v, min(5, len(v)))) / len(v)
+            if c >= 0.6:
+                want[d, k] = round(c, 6)
+    assert got == want and len(want) > 20
+
+
 # 6 and 7.
 def labelled(spark, n=400):
     rng = random.Random(8)
@@ -365,7 +398,20 @@ def test_label_model_finds_accuracies():
     votes = np.stack([*good, good[0], rng.integers(-1, 2, 4000)], axis=1)
     post, found = toxicity.label_model(votes)
     assert ((post > 0.5) == y).mean() > 0.93
-    assert found["weight"][0] < found["weight"][1] and found["correlation"][0, 3] > 0.9
+    assert found["correlation"][0, 3] > 0.9 and 0 in (found["parent"][3], 3 - found["parent"][0])
+    acc = lambda j: (0.2 * found["chance"][1, j, 2] + 0.8 * found["chance"][0, j, 0])
+    assert all(abs(acc(j) - a) < 0.05 for j, a in enumerate((0.95, 0.9, 0.85)))
+    alone, _ = toxicity.label_model(votes[:, [0, 1, 2, 4]])
+    assert ((post > 0.5) == (alone > 0.5)).mean() > 0.97  # the copied voter adds next to nothing
+
+
+def test_each_pattern_votes_by_itself():
+    v = toxicity.Voters(np.zeros(0, dtype=[("term", np.uint64), ("odds", np.float64)]))
+    texts = ["oh shut up now", "Halt die Klappe", "ferme ta bouche", "callate ya", "you are a moron", "you are kind", "plain words", "", None, "shut", "up shut"]
+    f = v.features(pa.array(texts))
+    assert list(f[:, v.COMMAND]) == [1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+    assert list(f[:, v.ADDRESS]) == [0, 0, 0, 0, 1, 1] + [0] * 5 and list(f[:, v.INSULT]) == [0] * 4 + [1] + [0] * 6
+    assert (v.features(pa.array(["A MORON!"]))[:, v.UPPER] > 0.3).all() and v.votes(f).shape == (11, 2 * toxicity.LISTS + 8)
 
 
 def test_trees_walk_like_the_training_margins():
