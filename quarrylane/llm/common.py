@@ -158,7 +158,7 @@ def tokens(texts: pa.Array, separators: bytes = SPACES, stem: int = 0) -> Tokens
     low[65:91] += 32
     is_word = np.ones(256, bool)
     is_word[list(separators)] = False
-    word = is_word[data]
+    word = is_word[low[data]]
     first = np.zeros(len(data) + 1, bool)
     first[at[:-1]] = True
     left = word.copy()
