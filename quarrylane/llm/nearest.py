@@ -30,14 +30,16 @@ FLUSH = 2_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The Walsh-Hadamard transform of each row (a power of two long), scaled to keep lengths."""
-    n, d = x.shape
+    """The fast Walsh-Hadamard transform of each column (a power of two long), scaled to keep lengths."""
+    d, n = x.shape
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
+        pairs = x.reshape(d // (2 * h), 2, h, n)
+        x = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=x[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=x[:, 1])
         h *= 2
-    return x / np.sqrt(d)
+    return x.reshape(d, n) / np.sqrt(d)
 
 
 def _axes(d: int) -> int:
@@ -45,12 +47,13 @@ def _axes(d: int) -> int:
 
 
 def rotated(x: np.ndarray, rotation: int, seed: int) -> np.ndarray:
+    """The rows of x after pseudo-rotation number `rotation`."""
     d = _axes(x.shape[1])
-    x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    signs = np.random.Generator(np.random.PCG64([seed, rotation])).integers(0, 2, (3, d)) * 2.0 - 1
+    x = np.pad(x, ((0, 0), (0, d - x.shape[1]))).T
+    signs = np.random.Generator(np.random.PCG64([seed, rotation])).integers(0, 2, (3, d, 1)) * 2.0 - 1
     for s in signs:
-        x = hadamard(x * s)
-    return x
+        x = hadamard(np.ascontiguousarray(x * s))
+    return x.T
 
 
 @dataclass(frozen=True)
@@ -119,21 +122,52 @@ def unit_vectors(x: np.ndarray) -> np.ndarray:
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products, summed from the first component to the last in double precision."""
-    out = np.zeros((len(q), len(x)))
+    """The inner product of each row of q with that of x, summed from the first component to the last in
+    double precision."""
+    out = np.zeros(len(q))
     for k in range(q.shape[1]):
-        out += q[:, k, None] * x[None, :, k]
+        out += q[:, k] * x[:, k]
     return out
 
 
-def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Of (ask, score, row) the k best rows of each ask; rows are numbered in the order that ties take."""
-    ask, score, row = found
-    order = np.lexsort((row, -score, ask))
-    ask = ask[order]
-    first = np.flatnonzero(np.r_[True, ask[1:] != ask[:-1]]) if len(ask) else np.zeros(0, np.int64)
-    keep = np.arange(len(ask)) - np.repeat(first, np.diff(np.r_[first, len(ask)])) < k
-    return [ask[keep], score[order][keep], row[order][keep]]
+def _first(group: np.ndarray, k: int) -> np.ndarray:
+    """True for the first k rows of each run of equal values."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)])) < k
+
+
+def candidates(q: np.ndarray, asked: pa.ListArray, x: np.ndarray, bucket: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, row): for each query the k best rows in the buckets that it asks for, ties to
+    smaller row numbers.
+
+    A fast product finds those that can be among them; what it leaves is measured exactly."""
+    by = np.argsort(bucket, kind="stable")
+    known = bucket[by]
+    want, lengths = asked.flatten().to_numpy(), np.asarray(asked.value_lengths())
+    begin, end = np.searchsorted(known, want), np.searchsorted(known, want, side="right")
+    size, cuts = end - begin, np.r_[0, np.cumsum(lengths)]
+    longest = np.linalg.norm(x, axis=1).max(initial=0.0)
+    of, row = [], []
+    for i, v in enumerate(q):
+        n = size[cuts[i] : cuts[i + 1]]
+        total = int(n.sum())
+        if not total:
+            continue
+        at = np.arange(total) + np.repeat(begin[cuts[i] : cuts[i + 1]] - np.r_[0, np.cumsum(n)[:-1]], n)
+        rows = by[at]
+        if total > k:
+            s = x[rows] @ v
+            least = np.partition(s, total - k)[total - k] - 1e-9 * longest * np.linalg.norm(v)
+            rows = rows[s >= least]
+        of.append(np.full(len(rows), i))
+        row.append(rows)
+    if not of:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    of, row = np.concatenate(of), np.concatenate(row)
+    score = inner_products(q[of], x[row])
+    order = np.lexsort((row, -score, of))
+    order = order[_first(of[order], k)]
+    return of[order], score[order], row[order]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes: float = PROBES, group_rows: int = 10_000, seed: int = 7) -> DataFrame:
@@ -170,7 +204,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes:
     members = stored(m.select("cls", "key", "vec_id", F.size("e").alias("d")), "members")
     # One row for each dimension and band of length; a double's length has some 4,200 bands.
     plans = {(r.d, r.band): Plan.of(r["count"], r.d, tables, probes, group_rows) for r in classes.groupBy("d", "band").count().collect()}
-    at = f"cls long, key long, e array<{kind}>, d int, band int, t int, part int"
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,10 +212,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes:
                 for z in np.unique(band[rows]):
                     own = band[rows] == z
                     plan, unit, of = plans[x.shape[1], int(z)], unit_vectors(x[own]), pa.array(rows[own])
-                    cols, n = [b.column(i).take(of) for i in range(3)], len(of)
-                    for t in range(plan.tables):
-                        bucket = plan.homes(unit, t, seed)
-                        yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.full(n, c, np.int32)) for c in (x.shape[1], z, t)), pa.array(plan.part_of(bucket)), pa.array(bucket)], ["cls", "key", "e", "d", "band", "t", "part", "bucket"])
+                    bucket = np.stack([plan.homes(unit, t, seed) for t in range(plan.tables)], axis=1)
+                    part = plan.part_of(bucket.ravel())
+                    ends = pa.array(np.arange(len(of) + 1, dtype=np.int32) * plan.tables)
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(4)), pa.ListArray.from_arrays(ends, pa.array(part)), pa.ListArray.from_arrays(ends, pa.array(bucket.ravel()))], ["cls", "key", "e", "band", "parts", "buckets"])
 
     def ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,44 +232,41 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes:
                         cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
                         lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(of)].astype(np.int32)), pa.array(buckets.ravel()[order]))
                         mine, n = pa.array(rows[of[cut]]), len(cut)
-                        yield pa.RecordBatch.from_arrays([*(b.column(i).take(mine) for i in range(3)), *(pa.array(np.full(n, c, np.int32)) for c in (d, z, t)), pa.array(part[cut]), lists], ["cls", "key", "e", "d", "band", "t", "part", "buckets"])
+                        yield pa.RecordBatch.from_arrays([*(b.column(i).take(mine) for i in range(3)), *(pa.array(np.full(n, c, np.int32)) for c in (d, z, t)), pa.array(part[cut]), lists], ["ask_cls", "ask_key", "ask_e", "d", "band", "t", "part", "buckets"])
 
     def rank(key, ask, rows):
-        found = [[], [], []]
-        q_keys = np.zeros((0, 2), np.int64)
+        asks = [ask.column(c).to_numpy() for c in ("ask_cls", "ask_key")]
+        of, score, keys = np.zeros(0, np.int64), np.zeros(0), [np.zeros(0, np.int64)] * 2
         if ask.num_rows and rows.num_rows:
-            keys = np.stack([rows.column(c).to_numpy() for c in ("cls", "key")], 1)
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-            keys, x = keys[order], _matrix(rows.column("e").combine_chunks())[0][1][order]
-            bucket = rows.column("bucket").to_numpy()[order]
-            by = np.argsort(bucket, kind="stable")  # rows of a bucket, in the order of their ids
-            q_keys, q = np.stack([ask.column(c).to_numpy() for c in ("ask_cls", "ask_key")], 1), _matrix(ask.column("ask_e").combine_chunks())[0][1]
-            lists = ask.column("buckets").combine_chunks()
-            asked, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.asarray(lists.value_lengths()))
-            order = np.argsort(asked, kind="stable")
-            asked, of = asked[order], of[order]
-            size = 0
-            for z in np.intersect1d(asked, bucket):
-                r = by[slice(*np.searchsorted(bucket[by], (z, z + 1)))]
-                w = of[slice(*np.searchsorted(asked, (z, z + 1)))]
-                for i in range(0, len(w), 256):
-                    s = inner_products(q[w[i : i + 256]], x[r])
-                    for f, c in zip(found, (np.repeat(w[i : i + 256], len(r)), s.ravel(), np.tile(r, len(s)))):
-                        f.append(c)
-                    size += s.size
-                    if size > FLUSH:
-                        found = [[c] for c in _best([np.concatenate(f) for f in found], k + 1)]
-                        size = len(found[0][0])
-        if not found[0]:
-            return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], ["ask_cls", "ask_key", "cls", "key", "score"])
-        of, score, row = _best([np.concatenate(f) for f in found], k + 1)
-        return pa.table([*(pa.array(c) for c in (q_keys[of, 0], q_keys[of, 1], keys[row, 0], keys[row, 1], score))], ["ask_cls", "ask_key", "cls", "key", "score"])
+            keys = [rows.column(c).to_numpy() for c in ("cls", "key")]
+            order = np.lexsort(keys[::-1])
+            x = _matrix(rows.column("e").combine_chunks())[0][1][order]
+            q = _matrix(ask.column("ask_e").combine_chunks())[0][1]
+            of, score, row = candidates(q, ask.column("buckets").combine_chunks(), x, rows.column("bucket").to_numpy()[order], k + 1)
+            keys = [c[order][row] for c in keys]
+        cut = pa.array(np.searchsorted(of, np.arange(len(asks[0]) + 1)).astype(np.int32))  # one list for each that asks
+        return pa.table([*(pa.array(c) for c in asks), *(pa.ListArray.from_arrays(cut, pa.array(c)) for c in (*keys, score))], ["ask_cls", "ask_key", "cls", "key", "score"])
+
+    def merge(key, t):
+        """The best of all lists of some queries."""
+        n = np.asarray(t.column("cls").combine_chunks().value_lengths())
+        asks = [np.repeat(t.column(c).to_numpy(), n) for c in ("ask_cls", "ask_key")]
+        cls, keys, score = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("cls", "key", "score"))
+        order = np.lexsort((keys, cls, -score, asks[1], asks[0]))
+        cols = [c[order] for c in (*asks, cls, keys, score)]
+        same = np.ones(len(order), bool)
+        for c in cols[:4]:
+            same[1:] &= c[1:] == c[:-1]
+        same[:1] = False
+        cols = [c[~same] for c in cols]
+        _, ask = np.unique(np.stack(cols[:2]), axis=1, return_inverse=True) if len(cols[0]) else (None, cols[0])
+        keep = _first(ask.ravel(), k + 1)
+        return pa.table([pa.array(c[keep]) for c in cols], ["ask_cls", "ask_key", "cls", "key", "score"])
 
     near, where = Window.partitionBy("ask_cls", "ask_key"), ["d", "band", "t", "part"]
 
     def search(asked: DataFrame, index: DataFrame) -> DataFrame:
         """The best k + 1 rows in the buckets that each asks for."""
-        asked = asked.withColumnsRenamed({c: f"ask_{c}" for c in ("cls", "key", "e")})
         # Parts that a hot bucket or hot queries make too large; few, so the joins with them are cheap.
         sizes = index.groupBy(*where).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("n_rows"))
         sizes = sizes.join(asked.groupBy(*where).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("n_asks")), where)
@@ -247,14 +277,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes:
         asked = asked.join(cuts, where, "left").withColumn("ask_cut", F.pmod(F.xxhash64("ask_cls", "ask_key"), F.coalesce("n_asks", one)).cast("int"))
         asked = asked.withColumn("row_cut", F.explode(F.sequence(F.lit(0), F.coalesce("n_rows", one) - 1))).drop("n_rows", "n_asks")
         by = [*where, "row_cut", "ask_cut"]
-        found = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(rank, "ask_cls long, ask_key long, cls long, key long, score double")
-        found = found.distinct().withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "cls", "key"))).where(F.col("r") <= k + 1)
+        found = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(rank, "ask_cls long, ask_key long, cls array<long>, key array<long>, score array<double>")
+        # Lists of about FLUSH rows meet in a group: as many queries as the plans' parts allow.
+        lists = sum(p.tables * min(p.parts, p.probes) for p in plans.values()) * (k + 1)
+        groups = n_asks * lists // FLUSH + 1
+        found = found.groupBy(F.pmod(F.xxhash64("ask_cls", "ask_key"), F.lit(groups)).alias("group")).applyInArrow(merge, "ask_cls long, ask_key long, cls long, key long, score double")
         found = found.join(members.drop("d"), ["cls", "key"]).withColumn("r", F.row_number().over(near.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
         return found.select("ask_cls", "ask_key", "vec_id", "score")
 
     asking = classes.where("asks").select("cls", "key", "e", "d")
-    index = classes.select("cls", "key", "e", "band").mapInArrow(index_rows, f"{at}, bucket long")
-    found = stored(search(asking.select("cls", "key", "e").mapInArrow(ask_rows, f"{at}, buckets array<long>"), index), "found")
+    n_asks = asking.count()
+    hashed = stored(classes.select("cls", "key", "e", "band").mapInArrow(index_rows, f"cls long, key long, e array<{kind}>, band int, parts array<int>, buckets array<long>"), "hashed")
+    index = hashed.select("cls", "key", "e", F.size("e").alias("d"), "band", F.posexplode(F.arrays_zip("parts", "buckets")).alias("t", "h")).select("cls", "key", "e", "d", "band", "t", F.col("h.parts").alias("part"), F.col("h.buckets").alias("bucket"))
+    asked = asking.select("cls", "key", "e").mapInArrow(ask_rows, f"ask_cls long, ask_key long, ask_e array<{kind}>, d int, band int, t int, part int, buckets array<long>")
+    found = stored(search(stored(asked, "asked"), index), "found")
     # Those that found too few meet all rows, in blocks.
     got = found.groupBy(F.col("ask_cls").alias("cls"), F.col("ask_key").alias("key")).agg(F.count("*").alias("got"))
     room = members.groupBy("d").agg(F.least(F.count("*"), F.lit(k + 1)).alias("room"))
@@ -263,7 +299,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 16, probes:
     if not short.isEmpty():
         zero = [F.lit(0).alias("band"), F.lit(0).alias("t")]
         blocks = classes.groupBy("d").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("blocks"))
-        asked = short.join(blocks, "d").select("cls", "key", "e", "d", *zero, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.array(F.lit(0).cast("long")).alias("buckets"))
+        asked = short.join(blocks, "d").select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"), F.col("e").alias("ask_e"), "d", *zero, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.array(F.lit(0).cast("long")).alias("buckets"))
         every = classes.join(blocks, "d").select("cls", "key", "e", "d", *zero, F.pmod(F.xxhash64("cls", "key"), F.col("blocks")).cast("int").alias("part"), F.lit(0).cast("long").alias("bucket"))
         done = short.select(F.col("cls").alias("ask_cls"), F.col("key").alias("ask_key"))
         found = found.join(done, ["ask_cls", "ask_key"], "left_anti").unionByName(search(asked, every))
