@@ -27,7 +27,7 @@ BLOCK = 64
 SHARD_SLOTS = 1024
 CHUNK = 1000
 #: Rounds of a permutation; equal cells of the slots' numbers for the join with the sources' ranges.
-ROUNDS = 16
+ROUNDS = 12
 CELLS = 4096
 _P = 2147483647
 
@@ -40,6 +40,19 @@ def _scramble(x: Column) -> Column:
     return (x * F.lit(69621) + F.lit(668265263)) % p
 
 
+def _scramble_int(x: int) -> int:
+    """_scramble of a plain number."""
+    x = (x % _P * 48271 + x // _P % _P + 1013904223) % _P
+    x = (x * (x % 65537 + 1) + 374761393) % _P
+    return (x * 69621 + 668265263) % _P
+
+
+def constant_keys(n: int, key: int) -> Column:
+    """round_keys of plain numbers, worked out once."""
+    at = [key * (ROUNDS + 1) + r for r in range(1, ROUNDS + 1)]
+    return F.array(*[F.lit((_scramble_int(x) * _P + _scramble_int(x + 500_009)) % n).cast("long") for x in at])
+
+
 def round_keys(n: Column, key: Column) -> Column:
     """The keys below n of the permutation numbered `key` of 0 .. n - 1."""
     wide = lambda x: _scramble(x) * F.lit(_P).cast("long") + _scramble(x + F.lit(500_009))
@@ -49,10 +62,12 @@ def round_keys(n: Column, key: Column) -> Column:
 def permuted(x: Column, n: Column, keys: Column) -> Column:
     """Where the permutation of 0 .. n - 1 takes x.  A round pairs x with key - x (modulo n) and
     swaps the two or not, by a hash of the larger: a bijection for any n."""
+    p = F.lit(_P).cast("long")
 
     def swap(x: Column, key: Column) -> Column:
         other = (key + n - x) % n
-        return F.when(_scramble(F.greatest(x, other) + key) % F.lit(2) == 0, x).otherwise(other)
+        mark = (F.greatest(x, other) % p * F.lit(48271) + key % p) % p
+        return F.when((mark * mark + F.lit(1013904223)) % p % F.lit(2) == 1, other).otherwise(x)
 
     return F.aggregate(keys, x, swap)
 
@@ -107,11 +122,11 @@ def mix_plan(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SL
     ranges = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     n = F.lit(total).cast("long")
     draw = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // 1_000_000)).withColumnRenamed("id", "slot")
-    draw = draw.withColumn("t", permuted(F.col("slot"), n, round_keys(n, F.lit(1000 * seed).cast("long")))).withColumn("cell", F.floor(F.col("t") / width))
+    draw = draw.withColumn("t", permuted(F.col("slot"), n, constant_keys(max(1, total), 1000 * seed))).withColumn("cell", F.floor(F.col("t") / width))
     draw = draw.join(ranges, "cell").where("t >= lo AND t < hi").withColumn("i", F.col("t") - F.col("lo"))
     draw = draw.withColumn("epoch", F.floor(F.col("i") / F.col("n_blocks")).cast("int"))
     block_no = permuted(F.col("i") % F.col("n_blocks"), F.col("n_blocks"), F.element_at("keys", F.col("epoch") + 1))
-    return draw.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "sid", "epoch", block_no.alias("block"))
+    return stored(draw.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "sid", "epoch", block_no.alias("block")), "plan")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -165,7 +180,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
     sized = stored(_sized(docs).drop("text"), "sized")
     sources = stored(source_targets(sized, weights, most), "sources")
     placed = stored(_placed(sized, sources).select("doc_id", "sid", "size", "source_size", "target", "at"), "placed")
-    plan = stored(mix_plan(sources, block, shard_slots, most, seed), "plan")
+    plan = mix_plan(sources, block, shard_slots, most, seed)
     pieces = packed_pieces(placed, block).join(plan.select("sid", "block", "slot"), ["sid", "block"], "left")
     taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(F.lit(0))).cast("long")
     out = pieces.groupBy("sid", "at", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"))
@@ -191,7 +206,9 @@ def _keys_sql(n: str, key: str) -> str:
 
 
 def _permuted_sql(x: str, n: str, keys: str) -> str:
-    return f"list_reduce(list_prepend(({x})::BIGINT, {keys}), lambda x, k: CASE WHEN ({_scramble_sql(f'greatest(x, (k + ({n}) - x) % ({n})) + k')}) % 2 = 0 THEN x ELSE (k + ({n}) - x) % ({n}) END)"
+    other = f"((k + ({n}) - x) % ({n}))"
+    mark = f"((greatest(x, {other}) % {_P} * 48271 + k % {_P}) % {_P})"
+    return f"list_reduce(list_prepend(({x})::BIGINT, {keys}), lambda x, k: CASE WHEN ({mark} * {mark} + 1013904223) % {_P} % 2 = 1 THEN {other} ELSE x END)"
 
 
 #: DuckDB SQL for mix_sources' rows; {docs} is a table with doc_id, text and source.
