@@ -73,6 +73,21 @@ def image_subset(manifest: DataFrame, fraction: float, seed: int) -> DataFrame:
     return manifest.where("split <> 'train'").union(manifest.where("split = 'train'").join(kept, "source_image", "left_semi").select(manifest.columns))
 
 
+def patch_lists(stats: DataFrame, splits: DataFrame) -> DataFrame:
+    """The patches of patch_statistics with the split of their image (image_id, split) and whether they
+    hold a positive pixel; patches of images without a split fail."""
+    j = stats.join(splits.select("image_id", "split"), "image_id", "left")
+    split = F.when(F.col("split").isNull(), F.raise_error(F.concat(F.lit("no split for image "), F.col("image_id").cast("string")))).otherwise(F.col("split"))
+    return j.withColumn("split", split).withColumn("is_positive", ~F.col("is_empty"))
+
+
+def image_patch_summary(images: DataFrame, patches: DataFrame) -> DataFrame:
+    """The image summary with the number of each image's non-empty patches (null without patches),
+    fewest first."""
+    n = patches.groupBy("image_id").agg(F.count_if(~F.col("is_empty")).alias("non_empty_patches"))
+    return images.join(n, "image_id", "left").orderBy("non_empty_patches", "image_id")
+
+
 def attach_statistics(manifest: DataFrame, stats: DataFrame) -> DataFrame:
     """Image statistics on every patch; images without any get nulls."""
     return manifest.join(stats.select("source_image", "image_mean", "image_std"), "source_image", "left")
@@ -86,10 +101,23 @@ def image_statistics(px: DataFrame) -> DataFrame:
     return s.select("image_id", "n", mean.alias("mean"), std.alias("std"), (mean / 255).alias("mean01"), (std / 255).alias("std01"), "positive", (F.col("positive") / F.col("n")).alias("positive_fraction"))
 
 
-def normalise(px: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """Adds z, each pixel's z-score within its image (sample deviation)."""
-    s = px.groupBy("image_id").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
-    return px.join(s, "image_id").withColumn("z", (F.col("v") - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")
+def normalise(px: DataFrame, mode: str = "per_image", keys: tuple[str, ...] = ("image_id",), stats: DataFrame | None = None, eps: float = 1e-6) -> DataFrame:
+    """Adds z, the normalised value of each pixel v.
+
+    "fixed": (v - 0.5) / 0.5 for values from 0 to 1.  "per_image": the z-score within each patch, told
+    by `keys` (sample deviation).  "full_image": the z-score by stats (image_id, image_mean,
+    image_std), and the patch's own where the image has none or a NaN."""
+    if mode not in ("fixed", "per_image", "full_image"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "fixed":
+        return px.withColumn("z", (F.col("v") - 0.5) / 0.5)
+    own = px.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
+    px = px.join(own, list(keys))
+    z = (F.col("v") - F.col("_m")) / (F.col("_s") + eps)
+    if mode == "per_image":
+        return px.withColumn("z", z).drop("_m", "_s")
+    px = px.join(stats.select("image_id", F.nanvl(F.col("image_mean"), F.lit(None)).alias("_im"), F.nanvl(F.col("image_std"), F.lit(None)).alias("_is")), "image_id", "left")
+    return px.withColumn("z", F.coalesce((F.col("v") - F.col("_im")) / (F.col("_is") + eps), z)).drop("_m", "_s", "_im", "_is")
 
 
 def add_noise(px: DataFrame, alpha: float, beta: float, multiplier: float, seed: int) -> DataFrame:
@@ -101,9 +129,11 @@ def add_noise(px: DataFrame, alpha: float, beta: float, multiplier: float, seed:
     return px.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), noisy)))
 
 
-def augment(px: DataFrame, size: int, seed: int) -> DataFrame:
-    """Flips and quarter turns of square patches, drawn per image: frame and mask move alike."""
-    bit = lambda k, n: number(f"{seed}|{k}", F.col("image_id")) % n
+def augment(px: DataFrame, size: int, seed: int, keys: tuple[str, ...] = ("image_id",), where: Column | None = None) -> DataFrame:
+    """Flips and quarter turns of square patches, drawn once per patch (told by `keys`), so that frame
+    and mask move alike; only rows that `where` takes (such as those of the train split) move."""
+    still = F.lit(False) if where is None else ~F.coalesce(where, F.lit(False))
+    bit = lambda k, n: F.when(still, 0).otherwise(number(f"{seed}|{k}", *[F.col(c) for c in keys]) % n)
     last = size - 1
     px = px.withColumn("x", F.when(bit("h", 2) == 1, last - F.col("x")).otherwise(F.col("x"))).withColumn("y", F.when(bit("v", 2) == 1, last - F.col("y")).otherwise(F.col("y")))
     k, y, x = bit("r", 4), F.col("y"), F.col("x")
@@ -112,22 +142,25 @@ def augment(px: DataFrame, size: int, seed: int) -> DataFrame:
     return px.withColumns({"y": ny, "x": nx})
 
 
-def stretch(px: DataFrame, low: float, high: float) -> DataFrame:
-    """Clips 8-bit values to two percentiles of their image and scales to 0 to 1; all 0 if they are equal.
+def stretch(px: DataFrame, low: float, high: float, levels: int | None = None) -> DataFrame:
+    """Clips 8-bit values to two percentiles of their image and scales to 0 to 1, or to whole numbers up
+    to `levels` (half-even); all 0 if the percentiles are equal.
 
     The percentiles (linear interpolation) come from a histogram of at most 256 values per image."""
     h = px.groupBy("image_id", "v").agg(F.count("*").alias("k"))
     q = h.groupBy("image_id").agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100)), F.col("k")).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     s = F.when(hi <= lo, F.lit(0.0)).otherwise((F.greatest(lo, F.least(hi, F.col("v").cast("double"))) - lo) / (hi - lo))
-    return px.join(q, "image_id").withColumn("s", s).drop("q")
+    return px.join(q, "image_id").withColumn("s", F.bround(s * levels).cast("int") if levels else s).drop("q")
 
 
 def fill_nonfinite(px: DataFrame, value: str = "v") -> DataFrame:
     """Replaces nulls, NaN and infinities by the image's median finite value; `filled` marks them."""
     v = F.col(value).cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    m = px.groupBy("image_id").agg(F.percentile(F.when(~bad, v), 0.5).alias("_m"))
+    # One row per distinct value with its count: what is held for a frame is its values, not its pixels.
+    h = px.groupBy("image_id", F.when(~bad, v).alias("_v")).agg(F.count("*").alias("_k"))
+    m = h.groupBy("image_id").agg(F.percentile("_v", 0.5, F.col("_k")).alias("_m"))
     m = m.withColumn("_m", F.when(F.col("_m").isNull(), F.raise_error(F.concat(F.lit("no finite pixel in image "), F.col("image_id").cast("string")))).otherwise(F.col("_m")))
     return px.join(m, "image_id").withColumns({value: F.when(bad, F.col("_m")).otherwise(v), "filled": F.coalesce(bad, F.lit(True))}).drop("_m")
 
@@ -164,8 +197,14 @@ def split_leaks(manifest: DataFrame) -> DataFrame:
     return a.join(b, "source_image").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("source_image").alias("example"))
 
 
-def audit(manifest: DataFrame) -> DataFrame:
-    """One row per check of a manifest (split, source_image, patch, fraction): failing rows and ok."""
+def audit(manifest: DataFrame, masks: DataFrame | None = None, files: DataFrame | None = None, strict: bool = False, patch_size: int = 528, tolerance: float = 1e-6) -> DataFrame:
+    """One row per check of a manifest (split, source_image, patch, fraction): failing rows and ok.
+
+    With image_mean and image_std: images of which only some patches, or only one of the two, have
+    statistics, means outside 0 to 1 and deviations not above 0 and, if strict, rows without any.
+    With masks (patch, positive_pixels, pixels): fractions that differ from the mask's by more than
+    the tolerance.  With files (patch, height, width, mask_height, mask_width), one row per patch that
+    is on disk: patches without files, and sides other than patch_size."""
     ok_split = F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False))
     per = manifest.agg(
         F.count_if(~ok_split).alias("split_values"),
@@ -175,8 +214,27 @@ def audit(manifest: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("fraction") > 0, F.col("split"))).alias("_both"), F.countDistinct("split").alias("_splits"),
     ).withColumn("class_balance", F.col("_splits") - F.col("_both")).drop("_both", "_splits")
     rows = per.unpivot([], per.columns, "check", "failing")
-    leaks = split_leaks(manifest).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("failing")).select(F.lit("split_leaks").alias("check"), "failing")
-    return rows.union(leaks).withColumn("ok", F.col("failing") == 0)
+    rows = rows.union(split_leaks(manifest).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("failing")).select(F.lit("split_leaks").alias("check"), "failing"))
+    count = lambda df, name, bad: df.agg(F.count_if(bad).alias("failing")).select(F.lit(name).alias("check"), "failing")
+    if {"image_mean", "image_std"} <= set(manifest.columns):
+        mean, std = (F.when(~F.isnan(c), F.col(c)) for c in ("image_mean", "image_std"))
+        per_image = manifest.groupBy("source_image").agg(F.count("*").alias("n"), F.count(mean).alias("m"), F.count(std).alias("s"))
+        rows = rows.union(count(per_image, "statistics_pattern", (F.col("m") != F.col("s")) | ((F.col("m") > 0) & (F.col("m") < F.col("n")))))
+        rows = rows.union(count(manifest, "statistics_range", (mean < 0) | (mean > 1) | (std <= 0)))
+        if strict:
+            rows = rows.union(count(manifest, "statistics_missing", mean.isNull()))
+    if masks is not None:
+        j = manifest.select("patch", "fraction").join(masks.select("patch", "positive_pixels", "pixels"), "patch")
+        rows = rows.union(count(j, "fraction_recomputed", F.abs(F.col("fraction") - F.col("positive_pixels") / F.col("pixels")) > tolerance))
+    if files is not None:
+        sides = ("height", "width", "mask_height", "mask_width")
+        j = manifest.select("patch").join(files.select("patch", *sides, F.lit(True).alias("_there")), "patch", "left")
+        rows = rows.union(count(j, "absent_files", F.col("_there").isNull()))
+        wrong = F.lit(False)
+        for c in sides:
+            wrong |= F.col(c) != patch_size
+        rows = rows.union(count(j, "patch_shapes", wrong))
+    return rows.withColumn("ok", F.col("failing") == 0)
 
 
 def densest(patches: DataFrame, k: int) -> DataFrame:
@@ -188,14 +246,20 @@ def seeded_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(digest(seed, *[F.col(k) for k in keys]), *keys).limit(n)
 
 
-def quota_sample(df: DataFrame, groups: list[str], quota: int, seed: int, *keys: str) -> DataFrame:
-    """At most `quota` rows of each group, in seeded order."""
-    r = F.row_number().over(Window.partitionBy(*groups).orderBy(digest(seed, *[F.col(k) for k in keys]), *keys))
-    return df.withColumn("_r", r).where(F.col("_r") <= quota).drop("_r")
+def quota_sample(df: DataFrame, groups: list[str], quota: int, seed: int, *keys: str, pooled: int | None = None, pool: tuple[str, ...] = ()) -> DataFrame:
+    """At most `quota` rows of each group, in seeded order; with `pooled`, then at most so many rows of
+    each pool (the columns `pool`, such as the category without its image)."""
+    order = (digest(seed, *[F.col(k) for k in keys]), *keys)
+    df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_r") <= quota)
+    if pooled is not None:
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*pool).orderBy(*order))).where(F.col("_r") <= pooled)
+    return df.drop("_r")
 
 
 def noise_calibration(px: DataFrame) -> DataFrame:
-    """mu, sigma (population, on 0 to 1), alpha = sigma^2 / mu (0 without signal) and beta = sigma of background pixels."""
+    """Of background pixels: mu, sigma (population, on 0 to 1), alpha = sigma^2 / (2 mu) and
+    beta = sigma / sqrt(2), so that alpha * mu + beta^2 is sigma^2; a mean that isn't positive fails."""
     s = px.agg(F.count("*").alias("n"), (F.sum("v") / F.count("*") / 255).alias("mu"), (F.sum(F.col("v") * F.col("v")) / F.count("*") / 65025).alias("q"))
     var = F.greatest(F.lit(0.0), F.col("q") - F.col("mu") * F.col("mu"))
-    return s.select("n", "mu", F.sqrt(var).alias("sigma"), F.when(F.col("mu") > 0, var / F.col("mu")).otherwise(0.0).alias("alpha"), F.sqrt(var).alias("beta"))
+    mu = F.when(F.col("mu") > 0, F.col("mu")).otherwise(F.raise_error(F.lit("the background's mean isn't positive")).cast("double"))
+    return s.select("n", mu.alias("mu"), F.sqrt(var).alias("sigma"), (var / (2 * mu)).alias("alpha"), F.sqrt(var / 2).alias("beta"))

@@ -58,23 +58,50 @@ def centreline_dice(pred: DataFrame, target: DataFrame, keys: list[str]) -> Data
     return both.select(*keys, ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")).alias("centreline_dice"))
 
 
-def component_widths(labelled: DataFrame) -> DataFrame:
-    """Per component twice the median distance of its skeleton to the nearest pixel outside it."""
-
-    def width(p: pd.DataFrame) -> pd.DataFrame:
-        g, _, _ = _grid(p["y"].to_numpy(), p["x"].to_numpy(), 2)
-        oy, ox = np.nonzero(~g)
-        sy, sx = np.nonzero(skeleton(g))
-        d = np.empty(len(sy))
-        step = max(1, 4_000_000 // max(1, len(oy)))
-        for a in range(0, len(sy), step):
-            j = slice(a, a + step)
-            d[j] = ((sy[j, None] - oy) ** 2 + (sx[j, None] - ox) ** 2).min(1)
-        w = 2 * float(np.median(np.sqrt(d))) if len(d) else None
-        return pd.DataFrame({"image_id": [p["image_id"].iloc[0]], "component": [p["component"].iloc[0]], "width": [w]})
+def edge_distances(g: np.ndarray) -> np.ndarray:
+    """The Euclidean distance of each set cell to the nearest unset one: down the columns by counting,
+    then along the rows as far as the largest of those distances."""
+    far = np.full(g.shape, 1 << 20, np.int64)
+    for order in (range(g.shape[0]), range(g.shape[0] - 1, -1, -1)):
+        last = np.full(g.shape[1], 1 << 20, np.int64)
+        for y in order:
+            last = np.where(g[y], last + 1, 0)
+            far[y] = np.minimum(far[y], last)
+    best = far * far
+    step = 1
+    while step < g.shape[1] and step * step < best.max(initial=0):
+        best[:, step:] = np.minimum(best[:, step:], far[:, :-step] ** 2 + step * step)
+        best[:, :-step] = np.minimum(best[:, :-step], far[:, step:] ** 2 + step * step)
+        step += 1
+    return np.sqrt(best)
+
+
+def component_widths(labelled: DataFrame, tile: int = 256, halo: int = 64) -> DataFrame:
+    """Per component twice the median distance of its skeleton to the nearest pixel outside it.
+
+    Components are cut into tiles with a halo, so a task holds one tile however long a streak is;
+    exact where streaks are up to half the halo wide."""
+    keys = ["image_id", "component"]
+    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / tile)))
+    t = labelled.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    t = t.withColumn("ty", F.explode(near("y"))).withColumn("txs", near("x")).withColumn("tx", F.explode("txs")).drop("txs")
+
+    def measure(p: pd.DataFrame) -> pd.DataFrame:
+        g, y0, x0 = _grid(p["y"].to_numpy(), p["x"].to_numpy(), 2)
+        y, x = np.nonzero(skeleton(g))
+        d = edge_distances(g)[y, x]
+        own = ((y + y0) // tile == p["ty"].iloc[0]) & ((x + x0) // tile == p["tx"].iloc[0])
+        return pd.DataFrame({"image_id": p["image_id"].iloc[0], "component": p["component"].iloc[0], "d": d[own]})
 
     kinds = dict(labelled.dtypes)
-    return labelled.groupBy("image_id", "component").applyInPandas(width, f"image_id {kinds['image_id']}, component {kinds['component']}, width double")
+    d = t.groupBy(*keys, "ty", "tx").applyInPandas(measure, f"image_id {kinds['image_id']}, component {kinds['component']}, d double")
+    return d.groupBy(*keys).agg((2 * F.percentile("d", 0.5)).alias("width"))
+
+
+def mean_centreline_dice(scores: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean over the patches (keys) with targets; one without any score counts as 0."""
+    t = target.select(*keys).distinct().join(scores, keys, "left")
+    return t.agg(F.count("*").alias("patches"), F.avg(F.coalesce("centreline_dice", F.lit(0.0))).alias("centreline_dice"))
 
 
 def edges(v: np.ndarray, low: float, high: float) -> np.ndarray:

@@ -18,8 +18,13 @@ def ratio_or_null(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
-def binarise(value: Column, threshold: float, logits: bool = False) -> Column:
-    """Scores (after a sigmoid, for logits) of at least the threshold."""
+def binarise(value: Column, threshold: float, logits: bool = False, kind: str = "score") -> Column:
+    """A mask of values by their kind: booleans ("bool") as they are, whole numbers ("int") above 0,
+    scores of at least the threshold.  Logits of any number go through a sigmoid first."""
+    if kind == "bool":
+        return value
+    if kind == "int" and not logits:
+        return value > 0
     return (1 / (1 + F.exp(-value)) if logits else value) >= threshold
 
 
@@ -62,13 +67,14 @@ def metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def patch_losses(scored: DataFrame, keys: list[str], smooth: float = 1.0, squared: bool = True) -> DataFrame:
-    """Mean log loss plus soft Dice loss per key; probabilities are held within 1e-7 of 0 and 1."""
+def patch_losses(scored: DataFrame, keys: list[str], smooth: float = 1e-4, squared: bool = True, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """Mean log loss and soft Dice loss per key, and their weighted sum; probabilities are held within
+    1e-7 of 0 and 1 in the log loss."""
     t, raw = F.col("target").cast("double"), F.col("prob")
     p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), raw))
     bce = -F.avg(t * F.log(p) + (1 - t) * F.log(1 - p))
     den = F.sum(raw * raw) + F.sum(t * t) if squared else F.sum(raw) + F.sum(t)
-    return scored.groupBy(*keys).agg(bce.alias("bce"), (1 - (2 * F.sum(raw * t) + smooth) / (den + smooth)).alias("dice_loss")).withColumn("loss", F.col("bce") + F.col("dice_loss"))
+    return scored.groupBy(*keys).agg(bce.alias("bce"), (1 - (2 * F.sum(raw * t) + smooth) / (den + smooth)).alias("dice_loss")).withColumn("loss", weights[0] * F.col("bce") + weights[1] * F.col("dice_loss"))
 
 
 def threshold_histogram(scored: DataFrame, prob: Column, first: int, last: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -82,9 +88,11 @@ def sweep(scored: DataFrame, prob: str = "prob", first: int = 5, last: int = 95)
     """Counts, precision, recall and F1 at every threshold from first to last hundredths.
 
     Thresholds come from a running sum over the histogram's at most last - first + 2 rows."""
-    spark = scored.sparkSession
-    h = threshold_histogram(scored, F.col(prob), first, last)
-    grid = spark.range(first - 1, last + 1).select(F.col("id").cast("int").alias("bin"))
+    return _curve(threshold_histogram(scored, F.col(prob), first, last), first, last)
+
+
+def _curve(h: DataFrame, first: int, last: int) -> DataFrame:
+    grid = h.sparkSession.range(first - 1, last + 1).select(F.col("id").cast("int").alias("bin"))
     h = grid.join(h, "bin", "left").na.fill(0, ["pos", "neg"])
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
@@ -98,6 +106,25 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def tuned_scores(scored: DataFrame, choose: Column, score: Column, prob: str = "prob", threshold: float | None = None) -> DataFrame:
+    """The threshold with the best F1 on the rows that `choose` takes (or the one given), and the eight
+    metrics of the rows that `score` takes at it.  One pass makes both histograms.
+
+    The first threshold wins among equals, also where there are no rows to choose by."""
+    n = F.when(choose, F.lit("choose")).when(score, F.lit("score"))
+    h = threshold_histogram(scored.withColumn("part", n).where(F.col("part").isNotNull()), F.col(prob), 5, 95, ("part",))
+    if threshold is None:
+        own = h.where("part = 'choose'")
+        best = best_threshold(_curve(own, 5, 95)).select("threshold", F.col("f1").alias("chosen_f1"))
+    else:
+        best = scored.sparkSession.range(1).select(F.lit(threshold).alias("threshold"), F.lit(None).cast("double").alias("chosen_f1"))
+    at = F.round(F.col("threshold") * 100).cast("int")
+    c = h.where("part = 'score'").join(F.broadcast(best)).groupBy("threshold", "chosen_f1").agg(
+        *[F.sum(F.when(k, F.col(v)).otherwise(0)).alias(c) for c, v, k in (("tp", "pos", F.col("bin") >= at), ("fp", "neg", F.col("bin") >= at), ("tn", "neg", F.col("bin") < at), ("fn", "pos", F.col("bin") < at))]
+    )
+    return metrics(c)
+
+
 def operating_points(curve: DataFrame, least_recall: float) -> DataFrame:
     """For a classifier: the threshold with the largest F1 (the highest of equals) and the highest one
     whose recall is at least least_recall."""
@@ -105,22 +132,36 @@ def operating_points(curve: DataFrame, least_recall: float) -> DataFrame:
     return curve.agg(f1, F.max(F.when(F.col("recall") >= least_recall, F.col("threshold"))).alias("target_recall"))
 
 
+def running_before(df: DataFrame, value: str, sums: list[str], parts: int = 256) -> DataFrame:
+    """Adds <name>_before for each of sums: its sum over the rows with a smaller value (values are
+    distinct).  Sums run within parts cut at a sample of the values, taken by hash, and over the
+    parts' totals, so no task orders more than a few of the `parts` parts of the rows."""
+    sample = df.select(value).orderBy(F.xxhash64(value), value).limit(parts - 1)
+    cuts = sample.agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    df = df.join(F.broadcast(cuts)).withColumn("_part", part).drop("_cuts")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("_part").agg(*[F.sum(s).alias(s) for s in sums]).select("_part", *[F.coalesce(F.sum(s).over(upto), F.lit(0)).alias(f"_{s}") for s in sums])  # at most `parts` rows
+    inner = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.select("*", *[F.coalesce(F.sum(s).over(inner), F.lit(0)).alias(f"{s}_before") for s in sums]).join(F.broadcast(totals), "_part")
+    return df.withColumns({f"{s}_before": F.col(f"{s}_before") + F.col(f"_{s}") for s in sums}).drop("_part", *[f"_{s}" for s in sums])
+
+
 def roc_auc(scored: DataFrame, score: str = "prob") -> DataFrame:
     """Area under the ROC curve with mid-ranks for ties; null when a class is missing.
 
-    Rows are grouped by score first; the running sum is over distinct scores."""
+    Rows are grouped by score first; running sums over distinct scores take two levels."""
     g = scored.groupBy(score).agg(F.count_if("target").cast("double").alias("p"), F.count_if(~F.col("target")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    g = g.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    g = running_before(g, score, ["n"]).withColumn("won", F.col("p") * (F.col("n_before") + F.col("n") / 2))
     return g.agg(ratio_or_null(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def ks_statistic(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """Largest difference of two samples' distribution functions."""
     both = left.select(value, F.lit(1).alias("a"), F.lit(0).alias("b")).union(right.select(value, F.lit(0), F.lit(1))).groupBy(value).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    d = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return both.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    whole = both.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
+    d = F.abs((F.col("a_before") + F.col("a")) / F.col("_na") - (F.col("b_before") + F.col("b")) / F.col("_nb"))
+    return running_before(both, value, ["a", "b"]).join(F.broadcast(whole)).select(d.alias("d")).agg(F.max("d").alias("ks"))
 
 
 def class_weight(patches: DataFrame) -> DataFrame:
@@ -136,9 +177,9 @@ def patch_records(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.groupBy("image_id", "patch_id").agg(ratio(2 * both, p + g).alias("dice"), F.avg("prob").alias("mean_probability"), (g > 0).alias("is_positive"), (p / F.count("*")).alias("predicted_fraction"))
 
 
-def fp_decomposition(scored: DataFrame, threshold: float = 0.5, positive: DataFrame | None = None) -> DataFrame:
-    """False positives in patches without any target against those in patches with some, the rate in
-    empty patches, and which of the two dominates.  `positive` (patch_id, is_positive) says which
+def fp_decomposition(scored: DataFrame, threshold: float = 0.5, positive: DataFrame | None = None, favourable: float = 0.5) -> DataFrame:
+    """False positives in patches without any target (a gate can drop them) against those in patches
+    with some, the rate in empty patches, and whether a gate would help: from the share `favourable` on.  `positive` (patch_id, is_positive) says which
     patches are positive; without it, those with a target pixel."""
     per = scored.groupBy("patch_id").agg(F.count_if(binarise(F.col("prob"), threshold) & ~F.col("target")).alias("fp"), F.bool_or("target").alias("is_positive"))
     if positive is not None:
@@ -148,7 +189,7 @@ def fp_decomposition(scored: DataFrame, threshold: float = 0.5, positive: DataFr
     c = per.agg(inter, intra, F.count_if(~F.col("is_positive")).alias("empty_patches"), F.count_if(~F.col("is_positive") & (F.col("fp") > 0)).alias("empty_fired"))
     total = F.col("inter_patch_fp") + F.col("intra_patch_fp")
     share = ratio(F.col("inter_patch_fp"), total)
-    label = F.when(total == 0, "insufficient-data").when(share > 0.5, "inter-patch").otherwise("intra-patch")
+    label = F.when(total == 0, "insufficient-data").when(share >= favourable, "gate-favourable").otherwise("gate-limited")
     return c.select("inter_patch_fp", "intra_patch_fp", share.alias("inter_fraction"), ratio(F.col("empty_fired"), F.col("empty_patches")).alias("empty_fp_rate"), label.alias("label"))
 
 
@@ -203,10 +244,12 @@ def hard_negatives(scored: DataFrame, k: int, threshold: float = 0.5) -> DataFra
     return per.where(~F.col("is_positive") & (F.col("fp_pixels") > 0)).drop("is_positive").orderBy(F.desc("fp_pixels"), F.desc("mean_probability"), "patch_id").limit(k)
 
 
-def fired_patches(scored: DataFrame, threshold: float) -> DataFrame:
-    """Patches without any target: fired where their peak score reaches the threshold, else quiet."""
+def fired_patches(scored: DataFrame, threshold: float, quiet: float) -> DataFrame:
+    """Patches without any target: fired where their peak score reaches the threshold, quiet where it
+    is below `quiet`; patches between the two are neither and not listed."""
     per = scored.groupBy("image_id", "patch_id").agg(F.bool_or("target").alias("is_positive"), F.max("prob").alias("peak"))
-    return per.where(~F.col("is_positive")).select("image_id", "patch_id", "peak", (F.col("peak") >= threshold).alias("fired"))
+    per = per.where(~F.col("is_positive")).select("image_id", "patch_id", "peak", (F.col("peak") >= threshold).alias("fired"))
+    return per.where(F.col("fired") | (F.col("peak") < quiet))
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -220,10 +263,30 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return n.select("bin", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
-def frame_summary(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per image without labels: predicted pixels and fraction, mean and largest score."""
+def frame_summary(scored: DataFrame, threshold: float = 0.5, lines: DataFrame | None = None) -> DataFrame:
+    """Per image without labels: predicted pixels and fraction, mean and largest score and, with the
+    pixels (image_id, y, x) of lines, how many there are."""
     p = F.count_if(binarise(F.col("prob"), threshold))
-    return scored.groupBy("image_id").agg(p.alias("predicted"), (p / F.count("*")).alias("fraction"), F.avg("prob").alias("mean_probability"), F.max("prob").alias("max_probability"))
+    out = scored.groupBy("image_id").agg(p.alias("predicted"), (p / F.count("*")).alias("fraction"), F.avg("prob").alias("mean_probability"), F.max("prob").alias("max_probability"))
+    if lines is None:
+        return out
+    n = lines.select("image_id", "y", "x").distinct().groupBy("image_id").agg(F.count("*").alias("line_pixels"))
+    return out.join(n, "image_id", "left").na.fill(0, ["line_pixels"])
+
+
+VIEWS = ("as_is", "flip_x", "flip_y", "turned")
+
+
+def view_mean(scored: DataFrame, height: int, width: int) -> DataFrame:
+    """The mean score of each pixel over models and views (image_id, model, view, y, x, prob,
+    normalisation): each view's flip or half turn is undone first.  Fails on other views, and where
+    models of one image were fed by different normalisations."""
+    v, y, x = F.col("view"), F.col("y"), F.col("x")
+    known = F.when(v.isin(*VIEWS), v).otherwise(F.raise_error(F.concat(F.lit("unknown view: "), F.coalesce(v, F.lit("null")))))
+    s = scored.withColumn("view", known)
+    s = s.withColumn("y", F.when(v.isin("flip_y", "turned"), height - 1 - y).otherwise(y)).withColumn("x", F.when(v.isin("flip_x", "turned"), width - 1 - x).otherwise(x))
+    mean = F.when(F.min("normalisation").eqNullSafe(F.max("normalisation")), F.avg("prob")).otherwise(F.raise_error(F.lit("models differ in normalisation")).cast("double"))
+    return s.groupBy("image_id", "y", "x").agg(mean.alias("prob"))
 
 
 def ensemble_mean(scored: DataFrame, probs: list[str]) -> DataFrame:

@@ -71,17 +71,31 @@ def recovered(lines: DataFrame, pred: DataFrame, target: DataFrame) -> DataFrame
     return lines.select(*PX).distinct().join(pred, PX, "left_anti").join(target, PX, "left_semi")
 
 
+def box_distance(px: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """Pixels within the square `reach` of a set pixel, with the distance d to the nearest by rows or
+    columns (Chebyshev).  Rows first, then columns: 2 (2 reach + 1) copies of a pixel."""
+    step = lambda c: F.explode(F.array(*[F.lit(i) for i in range(-reach, reach + 1)]))  # noqa: E731, ARG005
+    rows = px.select(*PX, step("y").alias("i")).select("image_id", (F.col("y") + F.col("i")).alias("y"), "x", F.abs("i").alias("a"))
+    rows = inside(rows, height, width).groupBy(*PX).agg(F.min("a").alias("a"))
+    cols = rows.select(*PX, "a", step("x").alias("i")).select("image_id", "y", (F.col("x") + F.col("i")).alias("x"), F.greatest("a", F.abs("i")).alias("d"))
+    return inside(cols, height, width).groupBy(*PX).agg(F.min("d").alias("d"))
+
+
 def tolerant_counts(pred: DataFrame, target: DataFrame, tolerances: list[int], height: int, width: int) -> DataFrame:
     """Per image and tolerance: predicted pixels within the square tolerance of a target (ptp) and not
-    (fp), target pixels within it of a prediction (rtp) and not (fn)."""
+    (fp), target pixels within it of a prediction (rtp) and not (fn).
+
+    Each side meets the other side's distances once, for all tolerances."""
     p, t = pred.select(*PX).distinct(), target.select(*PX).distinct()
-    out = None
-    for k in tolerances:
-        a = p.join(dilate(t, k, height, width).withColumn("near", F.lit(1)), PX, "left").groupBy("image_id").agg(F.count("near").alias("ptp"), F.count_if(F.col("near").isNull()).alias("fp"))
-        b = t.join(dilate(p, k, height, width).withColumn("near", F.lit(1)), PX, "left").groupBy("image_id").agg(F.count("near").alias("rtp"), F.count_if(F.col("near").isNull()).alias("fn"))
-        one = a.join(b, "image_id", "full").na.fill(0).select("image_id", F.lit(k).alias("tolerance"), "ptp", "fp", "rtp", "fn")
-        out = one if out is None else out.union(one)
-    return out
+    reach = max(tolerances)
+
+    def side(a: DataFrame, b: DataFrame, hit: str, miss: str) -> DataFrame:
+        near = a.join(box_distance(b, reach, height, width), PX, "left")
+        within = [F.struct(F.lit(k).alias("tolerance"), F.count_if(F.col("d") <= k).alias(hit), F.count_if(F.col("d").isNull() | (F.col("d") > k)).alias(miss)) for k in tolerances]
+        return near.groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
+
+    both = side(p, t, "ptp", "fp").join(side(t, p, "rtp", "fn"), ["image_id", "tolerance"], "full").na.fill(0, ["ptp", "fp", "rtp", "fn"])
+    return both.select("image_id", "tolerance", "ptp", "fp", "rtp", "fn")
 
 
 def tolerant_metrics(counts: DataFrame) -> DataFrame:
@@ -91,43 +105,87 @@ def tolerant_metrics(counts: DataFrame) -> DataFrame:
     return c.select("tolerance", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
+def disc_distance(px: DataFrame, reach: int) -> DataFrame:
+    """Pixels within the Euclidean distance `reach` of a set pixel, with the square d2 of the distance to
+    the nearest; pixels beyond the frame are listed too."""
+    at = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("d2")) for dy, dx in offsets(reach, "disc")]))
+    near = px.select(*PX, at.alias("s")).select("image_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("s.d2").alias("d2"))
+    return near.groupBy(*PX).agg(F.min("d2").alias("d2"))
+
+
 def surface_counts(pred: DataFrame, target: DataFrame, taus: list[int], height: int, width: int) -> DataFrame:
     """Per image and tau: boundary pixels of either side, and those with one of the other side within
     the Euclidean distance tau; nsd is their share, null without any boundary."""
     p, t = boundary(pred, height, width), boundary(target, height, width)
-    out = None
-    for tau in taus:
-        parts = []
-        for a, b, n in ((p, t, "p"), (t, p, "t")):
-            near = _shifted(b, offsets(tau, "disc")).distinct().withColumn("near", F.lit(1))
-            parts.append(a.join(near, PX, "left").groupBy("image_id").agg(F.count("*").alias(f"{n}_n"), F.count("near").alias(f"{n}_near")))
-        one = parts[0].join(parts[1], "image_id", "full").na.fill(0)
-        one = one.select("image_id", F.lit(tau).alias("tau"), (F.col("p_near") + F.col("t_near")).alias("near"), (F.col("p_n") + F.col("t_n")).alias("n"))
-        out = one if out is None else out.union(one)
-    return out.withColumn("nsd", F.when(F.col("n") > 0, F.col("near") / F.col("n")))
+
+    def side(a: DataFrame, b: DataFrame, n: str) -> DataFrame:
+        within = [F.struct(F.lit(k).alias("tau"), F.count("*").alias(f"{n}_n"), F.count_if(F.col("d2") <= k * k).alias(f"{n}_near")) for k in taus]
+        return a.join(disc_distance(b, max(taus)), PX, "left").groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
+
+    both = side(p, t, "p").join(side(t, p, "t"), ["image_id", "tau"], "full").na.fill(0)
+    both = both.select("image_id", "tau", (F.col("p_near") + F.col("t_near")).alias("near"), (F.col("p_n") + F.col("t_n")).alias("n"))
+    return both.withColumn("nsd", F.when(F.col("n") > 0, F.col("near") / F.col("n")))
+
+
+def surface_summary(counts: DataFrame, pred: DataFrame, target: DataFrame, images: DataFrame) -> DataFrame:
+    """Per tau of surface_counts: nsd over the boundary pixels of all images and of those with targets,
+    and how many images (image_id) have both sides, none, only a prediction or only a target."""
+    has = lambda d, n: d.select("image_id").distinct().withColumn(n, F.lit(True))
+    kind = images.select("image_id").distinct().join(has(pred, "p"), "image_id", "left").join(has(target, "t"), "image_id", "left").na.fill(False, ["p", "t"])
+    p, t = F.col("p"), F.col("t")
+    totals = kind.agg(F.count_if(p & t).alias("scored"), F.count_if(~p & ~t).alias("empty_both"), F.count_if(p & ~t).alias("empty_target"), F.count_if(~p & t).alias("empty_prediction"))
+    over = counts.join(kind, "image_id").groupBy("tau").agg((F.sum("near") / F.nullif(F.sum("n"), F.lit(0))).alias("nsd_all"), (F.sum(F.when(t, F.col("near"))) / F.nullif(F.sum(F.when(t, F.col("n"))), F.lit(0))).alias("nsd_positive"))
+    return over.join(F.broadcast(totals))
 
 
 def distance_strata(pred: DataFrame, target: DataFrame, near: int, far: int) -> DataFrame:
     """False positives by Euclidean distance to the nearest target: near (<= near), far (> far), else
     ambiguous; in images without targets all are far."""
     t, fp = target.select(*PX).distinct(), pred.select(*PX).distinct().join(target, PX, "left_anti")
-    one = _shifted(t, offsets(near, "disc")).distinct().withColumn("a", F.lit(1))
-    two = _shifted(t, offsets(far, "disc")).distinct().withColumn("b", F.lit(1))
-    stratum = F.when(F.col("a") == 1, "near").when(F.col("b") == 1, "ambiguous").otherwise("far")
-    return fp.join(one, PX, "left").join(two, PX, "left").groupBy("image_id", stratum.alias("stratum")).agg(F.count("*").alias("n"))
+    stratum = F.when(F.col("d2") <= near * near, "near").when(F.col("d2").isNotNull(), "ambiguous").otherwise("far")
+    return fp.join(disc_distance(t, far), PX, "left").groupBy("image_id", stratum.alias("stratum")).agg(F.count("*").alias("n"))
 
 
 def fp_distances(pred: DataFrame, target: DataFrame, cell: int, reach: int) -> DataFrame:
-    """Squared distance of each false positive to its nearest target pixel within `reach`, else null.
+    """(image_id, y, x, d2, has_target): the squared distance of each false positive to the nearest
+    target pixel of its image, at any distance; null in images without targets.
 
-    Pixels meet in cells of `cell` pixels: each target goes to the cells that its reach touches."""
+    Pixels meet in cells of `cell` pixels: each target goes to the cells that its reach touches.  What
+    finds no target within `reach` looks again four times as far, in cells four times as large, until
+    none is left; each round is written, and only whether any are left comes to the driver."""
     t, fp = target.select(*PX).distinct(), pred.select(*PX).distinct().join(target, PX, "left_anti")
-    at = lambda c, d: F.floor((F.col(c) + d) / cell)
-    t = t.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), F.explode(F.sequence(at("y", -reach), at("y", reach))).alias("cy"), F.sequence(at("x", -reach), at("x", reach)).alias("cxs"))
-    t = t.select("image_id", "ty", "tx", "cy", F.explode("cxs").alias("cx"))
-    d2 = (F.col("y") - F.col("ty")) ** 2 + (F.col("x") - F.col("tx")) ** 2
-    near = fp.withColumn("cy", at("y", 0)).withColumn("cx", at("x", 0)).join(t, ["image_id", "cy", "cx"]).where(d2 <= reach * reach).groupBy(*PX).agg(F.min(d2).cast("long").alias("d2"))
-    return fp.join(near, PX, "left")
+    left = fp.join(t.select("image_id").distinct().withColumn("has_target", F.lit(True)), "image_id", "left").na.fill(False, ["has_target"])
+    left = stored(left)
+    out = left.where("NOT has_target").select(*PX, F.lit(None).cast("long").alias("d2"), "has_target")
+    left = left.where("has_target")
+    while True:
+        at = lambda c, d: F.floor((F.col(c) + d) / cell)  # noqa: B023, E731
+        near = t.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), F.explode(F.sequence(at("y", -reach), at("y", reach))).alias("cy"), F.sequence(at("x", -reach), at("x", reach)).alias("cxs"))
+        near = near.select("image_id", "ty", "tx", "cy", F.explode("cxs").alias("cx"))
+        d2 = (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))
+        found = left.withColumn("cy", at("y", 0)).withColumn("cx", at("x", 0)).join(near, ["image_id", "cy", "cx"]).where(d2 <= reach * reach).groupBy(*PX).agg(F.min(d2).cast("long").alias("d2"))
+        step = stored(left.join(found, PX, "left").select(*PX, "d2", "has_target"))
+        out = out.union(step.where("d2 IS NOT NULL"))
+        left = step.where("d2 IS NULL").drop("d2")
+        if left.isEmpty():
+            return out
+        cell, reach = 4 * cell, 4 * reach
+
+
+def fp_distance_summary(distances: DataFrame, last: int = 50) -> DataFrame:
+    """Over the false positives of fp_distances: how many have a distance and how many lie in images
+    without targets, the shares within 1, 2 and 3 pixels of either number (null without any), how
+    many lie beyond `last` pixels, and the median from 1-pixel bins up to there."""
+    known, d2 = F.col("has_target"), F.col("d2")
+    n, total = F.count_if(known), F.count("*")
+    within = [(k, F.count_if(known & (d2 <= k * k))) for k in (1, 2, 3)]
+    null_ratio = lambda a, b: F.when(b != 0, a / b)
+    c = distances.agg(n.alias("with_target"), F.count_if(~known).alias("without_target"), *[null_ratio(w, n).alias(f"within_{k}") for k, w in within], *[null_ratio(w, total).alias(f"within_{k}_of_all") for k, w in within], F.count_if(d2 > last * last).alias("overflow"))
+    bins = distances.where(known & (d2 <= last * last)).groupBy(F.least(F.lit(last - 1), F.floor(F.sqrt("d2"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most `last` bins
+    h = bins.withColumn("c", F.sum("n").over(upto)).withColumn("half", F.sum("n").over(Window.partitionBy()) / 2)
+    median = h.where(F.col("c") >= F.col("half")).agg(F.min_by(F.col("bin") + (F.col("half") - (F.col("c") - F.col("n"))) / F.col("n"), "bin").alias("median"))
+    return c.join(F.broadcast(median))
 
 
 def patch_grid(images: DataFrame, patch: int, stride: int) -> DataFrame:
@@ -162,9 +220,43 @@ def stitch(patches: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def within_support(px: DataFrame, patches: DataFrame, patch: int) -> DataFrame:
-    """Pixels covered by the patches (image_id, y0, x0) of a grid without overlap."""
-    cells = patches.select("image_id", F.floor(F.col("y0") / patch).alias("cy"), F.floor(F.col("x0") / patch).alias("cx")).distinct()
-    return px.withColumn("cy", F.floor(F.col("y") / patch)).withColumn("cx", F.floor(F.col("x") / patch)).join(cells, ["image_id", "cy", "cx"], "left_semi").drop("cy", "cx")
+    """Pixels covered by any of the patches (image_id, y0, x0), which may overlap and stand anywhere.
+
+    Each patch goes to the cells of `patch` pixels that it touches (4 at most)."""
+    at = lambda c, d: F.floor((F.col(c) + d) / patch)
+    cells = patches.select("image_id", "y0", "x0").distinct().select("*", F.explode(F.sequence(at("y0", 0), at("y0", patch - 1))).alias("cy"), F.sequence(at("x0", 0), at("x0", patch - 1)).alias("cxs")).select("image_id", "y0", "x0", "cy", F.explode("cxs").alias("cx"))
+    p = px.withColumn("cy", at("y", 0)).withColumn("cx", at("x", 0)).alias("p")
+    c = cells.alias("c")
+    y, x, y0, x0 = F.col("p.y"), F.col("p.x"), F.col("c.y0"), F.col("c.x0")
+    covers = (F.col("p.image_id") == F.col("c.image_id")) & (F.col("p.cy") == F.col("c.cy")) & (F.col("p.cx") == F.col("c.cx")) & (y >= y0) & (y < y0 + patch) & (x >= x0) & (x < x0 + patch)
+    return p.join(c, covers, "left_semi").select("p.*").drop("cy", "cx")
+
+
+def cut_patches(images: DataFrame, frame: DataFrame, mask: DataFrame, patch: int, stride: int) -> DataFrame:
+    """(image_id, y0, x0, pixels, mask, positive_pixels): the patches of frames as rows of bytes, row by
+    row, with their mask (255 where set); ready to be written as Parquet, a row per patch.
+
+    images (image_id, height, width), frame (image_id, y, x, v: 0 to 255), mask (image_id, y, x).  A
+    pixel goes to every patch that covers it; pixels that the frame doesn't list are 0."""
+    grid = patch_grid(images, patch, stride).select("image_id", F.col("y").alias("y0"), F.col("x").alias("x0"), "grid_y", "grid_x")
+    cover = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - patch) / stride) + 1), F.floor(F.col(c) / stride))
+    px = frame.select(*PX, "v").join(mask.select(*PX).distinct().withColumn("m", F.lit(True)), PX, "full")
+    px = px.select("*", F.explode(cover("y")).alias("grid_y"), cover("x").alias("xs")).select(*PX, "v", "m", "grid_y", F.explode("xs").alias("grid_x"))
+    at = ((F.col("y") - F.col("grid_y") * stride) * patch + F.col("x") - F.col("grid_x") * stride).cast("int")
+    cells = px.groupBy("image_id", "grid_y", "grid_x").agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct(F.coalesce(F.col("v").cast("int"), F.lit(0)).alias("v"), F.coalesce("m", F.lit(False)).alias("m"))))).alias("at"), F.count_if("m").alias("positive_pixels"))
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    places = F.sequence(F.lit(0), F.lit(patch * patch - 1))
+    cell = lambda i: F.element_at(F.col("at"), i)
+    pixels = F.unhex(F.array_join(F.transform(places, lambda i: F.coalesce(byte(cell(i)["v"]), F.lit("00"))), ""))
+    shown = F.unhex(F.array_join(F.transform(places, lambda i: F.when(cell(i)["m"], "FF").otherwise("00")), ""))
+    out = grid.join(cells, ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
+    return out.select("image_id", "y0", "x0", pixels.alias("pixels"), shown.alias("mask"), "positive_pixels")
+
+
+def density_map(stats: DataFrame, columns: int) -> DataFrame:
+    """The positive fractions of patch_statistics of an image or more as a grid: a row per image_id and
+    grid_y, a column per grid_x from 0 to columns - 1."""
+    return stats.groupBy("image_id", "grid_y").pivot("grid_x", list(range(columns))).agg(F.first("positive_pixel_fraction"))
 
 
 def in_windows(px: DataFrame, windows: DataFrame, size: int) -> DataFrame:
@@ -203,7 +295,7 @@ def label_sweep(pred: DataFrame, target: DataFrame, radii: list[int], height: in
     return out
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Writes df in the folder of spark.checkpoint.dir and reads it again; cuts the lineage of a loop."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -219,30 +311,35 @@ def components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     """(image_id, y, x, component): connected components numbered per image in raster order of their
     first pixels, from 1.
 
-    Pixels become runs (gaps and islands in a row); runs of neighbouring rows that touch are edges;
-    each round every run takes the smallest label among its neighbours, then the label of that label
-    (pointer jumping), until nothing changes.  Rounds are cut off by a written table."""
+    Pixels become runs (gaps and islands in a row); runs of neighbouring rows that touch are edges.
+    Alternating large and small stars hand each run's larger neighbours to its smallest one until
+    nothing changes; the number of rounds grows with the logarithm of a component's runs.  Each round
+    is written and cuts the lineage; only a count and a checksum come to the driver."""
     reach = 1 if connectivity == 8 else 0
     row = Window.partitionBy("image_id", "y").orderBy("x")
     p = px.select(*PX).distinct().withColumn("island", F.col("x") - F.row_number().over(row))
     runs = p.groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = _stored(runs.withColumn("run", F.struct("y", "x0")))
+    runs = stored(runs.withColumn("run", F.struct("y", "x0")))
     below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("b"))
     edges = runs.join(below, ["image_id", "y"]).where((F.col("x0") <= F.col("bx1") + reach) & (F.col("bx0") <= F.col("x1") + reach))
-    edges = edges.select("image_id", F.explode(F.array(F.struct(F.col("run").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("run").alias("b")))).alias("e")).select("image_id", "e.a", "e.b")
-    edges = _stored(edges)
-    labels = runs.select("image_id", "run", F.col("run").alias("label"))
+    edges = stored(edges.select("image_id", F.col("b").alias("v"), F.col("run").alias("u")))  # v > u: raster order
+    mark = None
     while True:
-        near = edges.join(labels.select("image_id", F.col("run").alias("b"), F.col("label").alias("near")), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("near").alias("near"))
-        step = labels.join(near, ["image_id", "run"], "left").select("image_id", "run", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        jump = step.select("image_id", F.col("run").alias("to"), F.col("to").alias("jump"))
-        step = _stored(step.join(jump, ["image_id", "to"]).select("image_id", "run", F.least("to", "jump").alias("label"), (F.least("to", "jump") != F.col("label")).alias("moved")))
-        labels = step.drop("moved")
-        if not step.where("moved").limit(1).count():
+        both = edges.union(edges.select("image_id", F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("image_id", "v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        large = both.join(least, ["image_id", "v"]).where("u > v").select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        least = large.groupBy("image_id", "v").agg(F.min("u").alias("m"))
+        small = large.join(least, ["image_id", "v"])
+        small = small.select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("image_id", "v", F.col("m").alias("u"))).where("u <> v").distinct()
+        edges = stored(small)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("image_id", "v", "u").cast("decimal(38,0)"))).first())
+        if now == mark:
             break
-    ids = labels.select("image_id", "label").distinct().withColumn("component", F.row_number().over(Window.partitionBy("image_id").orderBy("label")))
-    named = labels.join(ids, ["image_id", "label"]).join(runs, ["image_id", "run"])
-    return named.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
+        mark = now
+    roots = edges.groupBy("image_id", F.col("v").alias("run")).agg(F.min("u").alias("label"))
+    labels = runs.join(roots, ["image_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
+    ids = labels.where("label = run").select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("label")).alias("component"))
+    return labels.join(ids, ["image_id", "label"]).select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
 
 def component_shapes(labelled: DataFrame, least_area: int = 1) -> DataFrame:
@@ -274,30 +371,56 @@ def line_votes(px: DataFrame, least_votes: int, thetas: int = 180) -> DataFrame:
     return at.groupBy("image_id", "theta", F.bround(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
 
 
-def complete_lines(px: DataFrame, least_votes: int, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180) -> DataFrame:
-    """Pixels of the straight segments found in px: a deterministic standard Hough transform.
+def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list[float] | None = None) -> DataFrame:
+    """(image_id, theta, rho, t[, prob, votes]): the pixels of px on lines with least_votes or more, at
+    their place t along the line.  Only the angles of an image's kept lines are tried the second time.
 
-    The pixels of each line with enough votes are ordered along it; a gap of more than max_gap splits
-    it; segments of at least least_length are drawn, `thickness` wide (square)."""
-    lines = line_votes(px, least_votes, thetas)
+    With levels (of px's column prob), votes are counted for every level at once and a line is kept
+    when any level votes for it; `votes` holds the counts in the order of the levels."""
+    rad = F.radians(F.col("theta") * (180 / thetas))
+    rho = F.bround(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")
+    extra = ["prob"] if levels else []
+    if levels:
+        at = px.select(*PX, *extra, F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
+        lines = at.groupBy("image_id", "theta", rho).agg(F.array(*[F.count_if(F.col("prob") >= s) for s in levels]).alias("votes")).where(F.array_max("votes") >= least_votes)
+    else:
+        lines = line_votes(px, least_votes, thetas)
+    lines = stored(lines)
+    angles = lines.groupBy("image_id").agg(F.collect_set("theta").alias("thetas"))  # at most `thetas` each
+    on = px.join(angles, "image_id").select(*PX, *extra, F.explode("thetas").alias("theta")).select("*", rho).join(lines, ["image_id", "theta", "rho"])
+    return on.select("image_id", "theta", "rho", F.bround(-F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)).cast("int").alias("t"), *extra, "votes")
+
+
+def draw_segments(points: DataFrame, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180, by: tuple[str, ...] = ()) -> DataFrame:
+    """The pixels of the segments of line_points, per value of the columns `by`: a gap of more than
+    max_gap splits a line; segments of at least least_length are drawn, `thickness` wide (square)."""
     rad = F.radians(F.col("theta") * (180 / thetas))
-    on = px.select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta")).withColumn("rho", F.bround(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int"))
-    on = on.join(lines.drop("votes"), ["image_id", "theta", "rho"]).withColumn("t", F.bround(-F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)).cast("int"))
-    line = Window.partitionBy("image_id", "theta", "rho").orderBy("t")
-    on = on.select("image_id", "theta", "rho", "t").distinct().withColumn("new", (F.col("t") - F.lag("t").over(line) > max_gap + 1).cast("int"))
+    keys = [*by, "image_id", "theta", "rho"]
+    line = Window.partitionBy(*keys).orderBy("t")
+    on = points.select(*keys, "t").distinct().withColumn("new", (F.col("t") - F.lag("t").over(line) > max_gap + 1).cast("int"))
     on = on.withColumn("segment", F.sum(F.coalesce("new", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    seg = on.groupBy("image_id", "theta", "rho", "segment").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("b") - F.col("a") >= least_length)
-    drawn = seg.select("image_id", "theta", "rho", F.explode(F.sequence("a", "b")).alias("t"))
-    drawn = drawn.select("image_id", F.bround(F.col("rho") * F.sin(rad) + F.col("t") * F.cos(rad)).cast("long").alias("y"), F.bround(F.col("rho") * F.cos(rad) - F.col("t") * F.sin(rad)).cast("long").alias("x")).distinct()
+    seg = on.groupBy(*keys, "segment").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("b") - F.col("a") >= least_length)
+    drawn = seg.select(*keys, F.explode(F.sequence("a", "b")).alias("t"))
+    drawn = drawn.select(*by, "image_id", F.bround(F.col("rho") * F.sin(rad) + F.col("t") * F.cos(rad)).cast("long").alias("y"), F.bround(F.col("rho") * F.cos(rad) - F.col("t") * F.sin(rad)).cast("long").alias("x")).distinct()
     if thickness > 1:
         side = range(-((thickness - 1) // 2), thickness // 2 + 1)
-        drawn = _shifted(drawn, [(a, b) for a in side for b in side]).distinct()
+        at = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in side for b in side]))
+        drawn = drawn.select("*", at.alias("s")).select(*by, "image_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
     return inside(drawn, height, width)
 
 
-def line_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch: int) -> DataFrame:
-    """Before and after line completion: missed images and patches, recall over positive images,
-    precision over all images, false positives added.  Ratios without a denominator are null.
+def complete_lines(px: DataFrame, least_votes: int, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180) -> DataFrame:
+    """Pixels of the straight segments found in px: a deterministic standard Hough transform.
+
+    The pixels of each line with enough votes are ordered along it; a gap of more than max_gap splits
+    it; segments of at least least_length are drawn, `thickness` wide (square)."""
+    return draw_segments(line_points(px, least_votes, thetas), max_gap, least_length, height, width, thickness, thetas)
+
+
+def image_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch: int) -> DataFrame:
+    """Per image, before (pre) and after (post) line completion: target pixels, predicted ones, hits,
+    false positives and those added, positive patches and missed ones, whether the image is positive
+    and detected (a prediction must meet a target), and precision (null without predictions).
 
     One shuffle of the pixels of all three sets gives every pixel its flags."""
     flag = lambda d, i: d.select(*PX).distinct().select(*PX, *[F.lit(int(i == j)).alias(n) for j, n in enumerate(("pre", "post", "gt"))])
@@ -307,13 +430,22 @@ def line_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch:
     )
     hit = lambda c: F.sum(F.when((F.col("gt") > 0) & (F.col(f"tp_{c}") == 0), 1).otherwise(0)).alias(f"missed_{c}")
     im = per.groupBy("image_id").agg(*[F.sum(c).alias(c) for c in ("gt", "tp_pre", "tp_post", "n_pre", "n_post")], F.count_if(F.col("gt") > 0).alias("patches"), hit("pre"), hit("post"))
-    pos = F.col("gt") > 0
+    fp = {c: F.col(f"n_{c}") - F.col(f"tp_{c}") for c in ("pre", "post")}
+    im = im.withColumns({"is_positive": F.col("gt") > 0, **{f"detected_{c}": F.col(f"tp_{c}") > 0 for c in fp}, **{f"fp_{c}": v for c, v in fp.items()}, "fp_added": fp["post"] - fp["pre"]})
+    return im.withColumns({f"precision_{c}": F.when(F.col(f"n_{c}") != 0, F.col(f"tp_{c}") / F.col(f"n_{c}")) for c in fp})
+
+
+def line_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch: int) -> DataFrame:
+    """Before and after line completion: missed images and patches, recall over positive images,
+    precision over all images, false positives added.  Ratios without a denominator are null."""
+    im = image_accounting(pred, post, target, patch)
+    pos = F.col("is_positive")
     null_ratio = lambda a, b: F.when(b != 0, a / b)
     s = lambda c: F.sum(F.when(pos, F.col(c)))
-    out = [F.count_if(pos).alias("positive_images"), F.sum("patches").alias("positive_patches"), F.sum(F.col("n_post") - F.col("tp_post") - F.col("n_pre") + F.col("tp_pre")).alias("fp_added")]
+    out = [F.count_if(pos).alias("positive_images"), F.sum("patches").alias("positive_patches"), F.sum("fp_added").alias("fp_added")]
     for c in ("pre", "post"):
         out += [
-            null_ratio(F.count_if(pos & (F.col(f"tp_{c}") == 0)), F.count_if(pos)).alias(f"image_fnr_{c}"), null_ratio(F.sum(f"missed_{c}"), F.sum("patches")).alias(f"patch_fnr_{c}"),
+            null_ratio(F.count_if(pos & ~F.col(f"detected_{c}")), F.count_if(pos)).alias(f"image_fnr_{c}"), null_ratio(F.sum(f"missed_{c}"), F.sum("patches")).alias(f"patch_fnr_{c}"),
             null_ratio(s(f"tp_{c}"), s("gt")).alias(f"recall_{c}"), null_ratio(F.sum(f"tp_{c}"), F.sum(f"n_{c}")).alias(f"precision_{c}"),
         ]
     return im.agg(*out)

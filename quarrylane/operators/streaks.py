@@ -22,11 +22,12 @@ def histogram_median(hist: DataFrame, *keys: str) -> DataFrame:
     return first.groupBy(*keys).agg(F.min_by(step, "bin").alias("median"))
 
 
-def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1) -> DataFrame:
+def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1, size: tuple[int, int] | None = None, missing: float | None = None) -> DataFrame:
     """(image_id, component, offset, v): the median value across each component's main axis.
 
     Points between the 5th and 95th percentile along the axis are moved by each offset across it and
-    read by bilinear interpolation; coordinates are held inside the frame."""
+    read by bilinear interpolation; coordinates are held inside the frame.  A frame may list only some
+    of its pixels: `missing` is the value of the others, and size its height and width."""
     s = P.component_shapes(labelled).select("image_id", "component", "angle")
     mid = labelled.groupBy("image_id", "component").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     a = s.join(mid, ["image_id", "component"])
@@ -35,31 +36,40 @@ def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1)
     pts = a.join(span, ["image_id", "component"]).select("*", F.explode(F.sequence(F.ceil(F.col("q")[0]), F.floor(F.col("q")[1]), F.lit(stride).cast("long"))).alias("t")).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"))
     y = F.col("cy") + F.col("t") * F.sin("angle") + F.col("offset") * F.cos("angle")
     x = F.col("cx") + F.col("t") * F.cos("angle") - F.col("offset") * F.sin("angle")
-    size = frame.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    pts = pts.join(size, "image_id").withColumn("py", F.greatest(F.lit(0.0), F.least(F.col("my").cast("double"), y))).withColumn("px", F.greatest(F.lit(0.0), F.least(F.col("mx").cast("double"), x)))
+    if size:
+        pts = pts.withColumn("my", F.lit(size[0] - 1)).withColumn("mx", F.lit(size[1] - 1))
+    else:
+        pts = pts.join(frame.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx")), "image_id")
+    pts = pts.withColumn("py", F.greatest(F.lit(0.0), F.least(F.col("my").cast("double"), y))).withColumn("px", F.greatest(F.lit(0.0), F.least(F.col("mx").cast("double"), x)))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
     pts = pts.select("image_id", "component", "t", "offset", "py", "px", "my", "mx", corner.alias("c"))
     fy, fx = F.col("py") - F.floor("py"), F.col("px") - F.floor("px")
     weight = F.when(F.col("c.i") == 1, fy).otherwise(1 - fy) * F.when(F.col("c.j") == 1, fx).otherwise(1 - fx)
     pts = pts.select("image_id", "component", "t", "offset", weight.alias("w"), F.least(F.col("my"), F.floor("py") + F.col("c.i")).alias("y"), F.least(F.col("mx"), F.floor("px") + F.col("c.j")).alias("x"))
-    read = pts.join(frame, PX).groupBy("image_id", "component", "t", "offset").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    read = pts.join(frame, PX, "inner" if missing is None else "left").withColumn("v", F.coalesce("v", F.lit(missing)) if missing is not None else F.col("v"))
+    read = read.groupBy("image_id", "component", "t", "offset").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return read.groupBy("image_id", "component", "offset").agg(F.percentile("v", 0.5).alias("v"))
 
 
-def profile_metrics(prof: DataFrame, sideband: int, saturation: float = 255.0) -> DataFrame:
-    """Per component: background (median of offsets at or beyond the sideband), scatter (1.4826 times the
-    median deviation from it), peak contrast, contrast in scatters, width at half the contrast, excess
-    (trapezoids over the whole profile) and whether the peak is saturated."""
+def profile_metrics(prof: DataFrame, sideband: int, saturation: float = 250.0) -> DataFrame:
+    """Per component: background (median of offsets at or beyond the sideband; of all, where there are
+    none), scatter (1.4826 times the median deviation from it), peak over the background (at least 0),
+    contrast (peak in scatters; null for a scatter of 1e-6 or less), width between the outermost
+    offsets at half the peak or more (null without a peak), excess (trapezoids over the profile's
+    positive part) and whether the raw peak is saturated."""
     keys = ["image_id", "component"]
-    side = prof.where(F.abs("offset") >= sideband).groupBy(*keys).agg(F.percentile("v", 0.5).alias("background"))
+    aside = F.abs("offset") >= sideband
+    prof = prof.join(prof.groupBy(*keys).agg((F.count_if(aside) == 0).alias("_none")), keys).withColumn("_side", F.col("_none") | aside)
+    side = prof.where("_side").groupBy(*keys).agg(F.percentile("v", 0.5).alias("background"))
     p = prof.join(side, keys)
-    scatter = p.where(F.abs("offset") >= sideband).groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("v") - F.col("background")), 0.5)).alias("scatter"))
+    scatter = p.where("_side").groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("v") - F.col("background")), 0.5)).alias("scatter"))
     w = Window.partitionBy(*keys).orderBy("offset")
     e = F.col("v") - F.col("background")
-    p = p.withColumn("_e", e).withColumn("_area", (F.col("_e") + F.lag("_e").over(w)) / 2 * (F.col("offset") - F.lag("offset").over(w)))
-    peak = p.groupBy(*keys).agg(F.max("_e").alias("contrast"), F.max("v").alias("peak"), F.sum("_area").alias("excess"), F.first("background").alias("background"))
-    wide = p.join(peak.select(*keys, "contrast"), keys).where("contrast > 0 AND _e >= contrast / 2").groupBy(*keys).agg((F.max("offset") - F.min("offset") + 1).cast("double").alias("fwhm"))
-    return peak.join(scatter, keys, "left").join(wide, keys, "left").select(*keys, "background", "scatter", "contrast", F.when(F.col("scatter") > 0, F.col("contrast") / F.col("scatter")).alias("contrast_in_scatters"), "fwhm", "excess", (F.col("peak") >= saturation).alias("saturated"))
+    p = p.withColumn("_e", e).withColumn("_plus", F.greatest(F.col("_e"), F.lit(0.0))).withColumn("_area", (F.col("_plus") + F.lag("_plus").over(w)) / 2 * (F.col("offset") - F.lag("offset").over(w)))
+    peak = p.groupBy(*keys).agg(F.greatest(F.max("_e"), F.lit(0.0)).alias("peak"), F.max("v").alias("raw"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("excess"), F.first("background").alias("background"))
+    wide = p.join(peak.select(*keys, "peak"), keys).where("peak > 0 AND _e >= peak / 2").groupBy(*keys).agg((F.max("offset") - F.min("offset")).cast("double").alias("fwhm"))
+    contrast = F.when(F.col("scatter") > 1e-6, F.col("peak") / F.col("scatter")).alias("contrast")
+    return peak.join(scatter, keys, "left").join(wide, keys, "left").select(*keys, "background", "scatter", "peak", contrast, "fwhm", "excess", (F.col("raw") >= saturation).alias("saturated"))
 
 
 def component_recall(labelled: DataFrame, pred: DataFrame, post: DataFrame) -> DataFrame:
@@ -78,12 +88,14 @@ def recovered_crop(added: DataFrame, height: int, width: int, margin: int) -> Da
 
 
 def strata_lines(prob: DataFrame, strata: list[float], **line) -> DataFrame:
-    """Union of the lines found at each probability level, with the lowest level that found a pixel."""
-    out = None
-    for s in strata:
-        one = P.complete_lines(prob.where(F.col("prob") >= s), **line).withColumn("level", F.lit(s))
-        out = one if out is None else out.union(one)
-    return out.groupBy(*PX).agg(F.min("level").alias("level"))
+    """Union of the lines found at each probability level, with the lowest level that found a pixel.
+    Pixels are turned into lines once; the level is a column."""
+    votes = line["least_votes"]
+    points = P.line_points(prob, votes, levels=strata)
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("level")) for i, s in enumerate(strata)]))
+    points = points.select("*", at.alias("s")).where((F.col("prob") >= F.col("s.level")) & (F.get("votes", F.col("s.i")) >= votes)).withColumn("level", F.col("s.level"))
+    drawn = P.draw_segments(points, by=("level",), **{k: v for k, v in line.items() if k != "least_votes"})
+    return drawn.groupBy(*PX).agg(F.min("level").alias("level"))
 
 
 def gated_line_pass(prob: DataFrame, gates: DataFrame, gate: float, threshold: float, low: float, target: DataFrame, patch: int, **line) -> DataFrame:
@@ -95,10 +107,12 @@ def gated_line_pass(prob: DataFrame, gates: DataFrame, gate: float, threshold: f
 
 
 def detector_grid(px: DataFrame, target: DataFrame, settings: list[dict], area: int, keep: int = 5) -> DataFrame:
-    """Scores of the line detector for each of some settings, best F1 first."""
-    out = None
+    """Scores of the line detector for each of some settings, best F1 first.  Pixels are turned into
+    lines once, at the lowest number of votes."""
+    out, points = None, P.stored(P.line_points(px, min(s["least_votes"] for s in settings)))
     for i, s in enumerate(settings):
-        c = sparse_counts(P.complete_lines(px, **s), target, area).agg(*[F.sum(x).cast("long").alias(x) for x in ("tp", "fp", "tn", "fn")]).na.fill(0)
+        own = points.where(F.col("votes") >= s["least_votes"])
+        c = sparse_counts(P.draw_segments(own, **{k: v for k, v in s.items() if k != "least_votes"}), target, area).agg(*[F.sum(x).cast("long").alias(x) for x in ("tp", "fp", "tn", "fn")]).na.fill(0)
         one = metrics(c).select(F.lit(i).alias("setting"), "tp", "fp", "fn", "precision", "recall", "f1")
         out = one if out is None else out.union(one)
     return out.orderBy(F.desc("f1"), "setting").limit(keep)
@@ -120,14 +134,19 @@ def thickness_recovery(precisions: DataFrame) -> DataFrame:
 
 
 def merge_reviews(inference: DataFrame, reviews: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    """inference with the columns of reviews; fails on a repeated or missing review, or one without an
-    answer or a reviewer."""
+    """inference with the columns of reviews; fails on a repeated, missing or unmatched review, or one
+    without an answer or a reviewer."""
     one = reviews.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in (*flags, "reviewer")])
-    j = inference.join(one, keys, "left")
-    why = F.when(F.col("_n").isNull(), "no review").when(F.col("_n") > 1, "repeated review").when(F.trim(F.coalesce("reviewer", F.lit(""))) == "", "no reviewer")
+    j = inference.withColumn("_known", F.lit(True)).join(one, keys, "full")
+    why = F.when(F.col("_known").isNull(), "review of nothing that was inferred").when(F.col("_n").isNull(), "no review").when(F.col("_n") > 1, "repeated review").when(F.trim(F.coalesce("reviewer", F.lit(""))) == "", "no reviewer")
     for f in flags:
         why = why.when(F.col(f).isNull(), f"no answer: {f}")
-    return j.withColumn(flags[0], F.when(why.isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col(flags[0]))).drop("_n")
+    return j.withColumn(flags[0], F.when(why.isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col(flags[0]))).drop("_n", "_known")
+
+
+def review_summary(reviewed: DataFrame, flags: list[str]) -> DataFrame:
+    """How many rows were reviewed, and how many have each flag."""
+    return reviewed.agg(F.count("*").alias("reviewed"), *[F.count_if(F.col(f)).alias(f) for f in flags])
 
 
 def trial_table(trials: DataFrame, params: DataFrame, attributes: DataFrame, names: list[str], k: int | None = None) -> DataFrame:
@@ -168,6 +187,26 @@ def stratified_components(comps: DataFrame, quota: int, seed: int, least_images:
     return c.join(F.broadcast(ok), "attempt").select("image_id", "component", "tier")
 
 
+def two_component_samples(comps: DataFrame, first: int, second: int, seed: int, **options) -> DataFrame:
+    """Two stratified samples without a component in common; `sample` is 1 or 2."""
+    a = P.stored(stratified_components(comps, first, seed, **options))
+    b = stratified_components(comps.join(a, ["image_id", "component"], "left_anti"), second, seed + 1, **options)
+    return a.withColumn("sample", F.lit(1)).unionByName(b.withColumn("sample", F.lit(2)))
+
+
+def component_ends(labelled: DataFrame, position: float = 0.5) -> DataFrame:
+    """Per component the pixels with the smallest and the largest projection on its main axis, and the
+    one nearest to the share `position` of the way between; ties go to the first in raster order."""
+    keys = ["image_id", "component"]
+    a = P.component_shapes(labelled).select(*keys, "angle")
+    along = F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")
+    p = labelled.join(a, keys).withColumn("_t", F.round(along, 9))
+    ends = p.groupBy(*keys).agg(F.min(F.struct("_t", "y", "x")).alias("a"), F.min(F.struct((-F.col("_t")).alias("_t"), "y", "x")).alias("b"))
+    mid = F.col("a._t") + (-F.col("b._t") - F.col("a._t")) * position
+    at = p.join(ends, keys).groupBy(*keys, "a", "b").agg(F.min(F.struct(F.round(F.abs(F.col("_t") - mid), 9).alias("d"), F.col("y"), F.col("x"))).alias("m"))
+    return at.select(*keys, F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"), F.col("m.y").alias("y"), F.col("m.x").alias("x"))
+
+
 def audit_crops(strata: list[tuple[str, DataFrame]], size: int, height: int, width: int, seed: int) -> DataFrame:
     """Crops (stratum, image_id, y, x points) of several strata under neutral names, in blind order."""
     out = None

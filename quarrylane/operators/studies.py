@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import number
-from .metrics import ratio
+from .metrics import ratio, running_before
 
 CATALOGUE = ("length", "start_ra", "end_ra", "start_dec", "end_dec", "satellite_name")
 
@@ -18,6 +18,11 @@ def require(df: DataFrame, columns=CATALOGUE) -> DataFrame:
     return df
 
 
+def unique_names(cat: DataFrame) -> DataFrame:
+    """The distinct names, sorted."""
+    return cat.where("satellite_name IS NOT NULL").select("satellite_name").distinct().orderBy("satellite_name")
+
+
 def catalogue_summary(cat: DataFrame) -> DataFrame:
     return cat.agg(F.count("*").alias("rows"), F.countDistinct("satellite_name").alias("names"), F.count("satellite_name").alias("labelled"), F.count_if(F.col("satellite_name").isNull()).alias("missing"))
 
@@ -73,9 +78,19 @@ def loss_spikes(history: DataFrame, factor: float = 2.0) -> DataFrame:
     return h.groupBy("run_id").agg(F.count_if(F.col("v") > factor * F.col("b")).alias("spikes"))
 
 
+def _finite(c: str) -> Column:
+    v = F.col(c)
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
 def run_stability(history: DataFrame) -> DataFrame:
-    """Per run: whether a loss is missing or NaN, epochs, and the last epoch's Dice."""
-    return history.groupBy("run_id").agg(F.bool_or(F.col("val_loss").isNull() | F.isnan("val_loss")).alias("bad_loss"), F.count("*").alias("epochs"), F.max_by("val_dice", "epoch").alias("last_dice"))
+    """Per run: whether a train or validation loss is missing or not finite, epochs, and the last
+    epoch's Dice (null when it isn't finite)."""
+    losses = [c for c in ("train_loss", "val_loss") if c in history.columns]
+    bad = F.lit(False)
+    for c in losses:
+        bad |= _finite(c).isNull()
+    return history.groupBy("run_id").agg(F.bool_or(bad).alias("bad_loss"), F.count("*").alias("epochs"), F.max_by(_finite("val_dice"), "epoch").alias("last_dice"))
 
 
 def best_epochs(history: DataFrame) -> DataFrame:
@@ -84,6 +99,40 @@ def best_epochs(history: DataFrame) -> DataFrame:
     return history.groupBy("run_id").agg(best.alias("b")).select("run_id", (-F.col("b.e")).alias("epoch"), F.col("b.val_dice").alias("val_dice"))
 
 
+RUN_TAG = r"^(.+)_t(\d+)_s(\d+)$"
+
+
+def parse_tag(tag: Column, pattern: str = RUN_TAG) -> list[Column]:
+    """prefix, trial and seed of a run tag such as <prefix>_t44_s2804; other tags fail."""
+    ok = F.when(tag.rlike(pattern), tag).otherwise(F.raise_error(F.concat(F.lit("not a run tag: "), F.coalesce(tag, F.lit("null")))))
+    part = lambda i: F.regexp_extract(ok, pattern, i)
+    return [part(1).alias("prefix"), part(2).cast("int").alias("trial"), part(3).cast("int").alias("seed")]
+
+
+def trial_aggregate(results: DataFrame, expected_seeds: list[int], resamples: int, seed: int, expected_trials: list[int] | None = None, level: float = 0.95) -> DataFrame:
+    """Per trial of results (prefix, trial, seed, run, val_f1, bad_loss, last_dice, longest_zero,
+    spikes): mean, sample deviation (0 for one value, null for none) and bootstrap interval of the
+    F1, failed runs (no F1, a bad loss or no last Dice) plus missing seeds, and the runs' stability.
+
+    Fails when an expected trial is absent or a trial's runs have several prefixes; with expected
+    trials only those are listed."""
+    fail = F.col("val_f1").isNull() | F.coalesce("bad_loss", F.lit(False)) | F.col("last_dice").isNull()
+    g = results.groupBy("trial").agg(
+        F.min("prefix").alias("prefix"), F.max("prefix").alias("_p"), F.count("val_f1").alias("n"), F.avg("val_f1").alias("mean"), F.stddev_samp("val_f1").alias("std"), F.count_if(fail).alias("_failed"), F.collect_set("seed").alias("_s"),
+        F.coalesce(F.max("longest_zero"), F.lit(0)).alias("longest_zero"), F.coalesce(F.sum("spikes"), F.lit(0)).alias("spikes"),
+    )
+    if expected_trials is not None:
+        want = results.sparkSession.createDataFrame([(t,) for t in sorted(expected_trials)], "trial long")
+        g = want.join(g.withColumn("trial", F.col("trial").cast("long")), "trial", "left")
+        known = F.when(F.col("prefix").isNull() & F.col("_s").isNull(), F.raise_error(F.concat(F.lit("missing expected trial "), F.col("trial").cast("string"))).cast("long")).otherwise(F.col("trial"))
+        g = g.withColumn("trial", known)
+    one = F.when(F.col("prefix").eqNullSafe(F.col("_p")), F.col("prefix")).otherwise(F.raise_error(F.concat(F.lit("mixed prefixes in trial "), F.col("trial").cast("string"))))
+    gone = F.size(F.array_except(F.array(*[F.lit(s).cast("long") for s in expected_seeds]), F.col("_s").cast("array<long>"))).cast("long")
+    g = g.select("trial", one.alias("prefix"), "n", "mean", F.when(F.col("n") == 1, 0.0).otherwise(F.col("std")).alias("std"), gone.alias("missing_seeds"), (F.col("_failed") + gone).alias("failures"), "longest_zero", "spikes")
+    ci = bootstrap_mean(results.withColumn("trial", F.col("trial").cast("long")), "trial", "run", "val_f1", resamples, seed, level).select("trial", "lo", "hi")
+    return g.join(ci, "trial", "left")
+
+
 def trial_summary(results: DataFrame, expected: list[int]) -> DataFrame:
     """Per trial: seeds, mean and sample deviation (0 for one) of F1, expected seeds that are missing."""
     g = results.groupBy("trial").agg(F.count("val_f1").alias("n"), F.avg("val_f1").alias("mean"), F.stddev_samp("val_f1").alias("std"), F.first("batch_size").alias("batch_size"), F.first("learning_rate").alias("learning_rate"), F.collect_set("seed").alias("_s"))
@@ -104,8 +153,9 @@ def top_trials(results: DataFrame, k: int) -> DataFrame:
 
 
 def band(values: DataFrame, value: str, anchor: float) -> DataFrame:
-    """Mean, sample deviation, missing values, and whether the anchor is within one deviation."""
-    g = values.agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count_if(F.col(value).isNull()).alias("missing"))
+    """Mean, sample deviation (0 for one value, null for none), missing values, and whether the anchor
+    is within one deviation of the mean."""
+    g = values.agg(F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("sd"), F.count_if(F.col(value).isNull()).alias("missing"))
     return g.withColumn("anchor_inside", F.abs(F.lit(anchor) - F.col("mean")) <= F.col("sd"))
 
 
@@ -115,17 +165,28 @@ def verdict_check(crops: DataFrame) -> DataFrame:
     return crops.groupBy("stratum").agg(F.count("*").alias("crops"), F.count_if(F.col("verdict").isNull()).alias("missing"), F.count_if(~known).alias("unknown"))
 
 
-def control_summary(crops: DataFrame, limit: int) -> DataFrame:
-    """Per stratum: verdicts, crops that fired, median and largest false positives, crops over the limit."""
-    v = lambda x: F.count_if(F.col("verdict") == x).alias(x)
-    fp = F.col("fp_pixels")
-    return crops.groupBy("stratum").agg(v("trail"), v("no_trail"), v("uncertain"), F.count_if(fp > 0).alias("fired"), F.percentile("fp_pixels", 0.5).alias("median_fp"), F.max(fp).alias("max_fp"), F.count_if(fp > limit).alias("over"))
+def control_summary(crops: DataFrame, area: int) -> DataFrame:
+    """Per stratum of control crops (stratum, verdict, reference_has_trail, model_fired, fp_pixels) of
+    `area` pixels: verdicts, crops with a trail in the reference, crops in which the model fired, and
+    the false positives' median, largest and share of the crop, over all crops and over those in which
+    the model fired though the reference has no trail; null without such crops, shares to 8 places."""
+    v = lambda x: F.count_if(F.col("verdict") == x).alias(f"verdict_{x}")
+    over = F.coalesce(F.col("model_fired") & ~F.col("reference_has_trail"), F.lit(False))
+    fp, fp_over = F.col("fp_pixels"), F.when(over, F.col("fp_pixels"))
+    stats = lambda c, name: [F.percentile(c, 0.5).alias(f"{name}median_fp"), F.max(c).alias(f"{name}max_fp"), F.round(F.percentile(c, 0.5) / area, 8).alias(f"{name}median_fp_fraction")]
+    return crops.groupBy("stratum").agg(F.count("*").alias("crops"), v("trail"), v("no_trail"), F.count_if("reference_has_trail").alias("reference_has_trail"), F.count_if("model_fired").alias("model_fired"), *stats(fp, ""), F.count_if(over).alias("over_fired"), *stats(fp_over, "over_fired_"))
 
 
-def mechanism(width_a: Column, width_b: Column, f1: Column, ratio_limit: float = 1.5, f1_limit: float = 0.7) -> Column:
-    """Diagnosis from two widths and an F1: 'width' when the second is far wider, 'placement' when the
-    widths agree but the F1 is low, else 'inconclusive' (also for nulls)."""
-    return F.when(width_a.isNull() | width_b.isNull() | f1.isNull(), "inconclusive").when(width_b > ratio_limit * width_a, "width").when(f1 < f1_limit, "placement").otherwise("inconclusive")
+def mechanism(original_reference_f1: Column, model_original_f1: Column, original_width: Column, reference_width: Column, model_width: Column) -> Column:
+    """The fixed diagnosis of why the labels and the model disagree.
+
+    Thin labels: the model scores the labels as well as the reference does (to 0.02), the reference is
+    wider than the labels by 1 px or more and the model as wide as the reference (to 1 px).  A model
+    that overpaints: labels and reference differ in width by less than 1 px and the model is wider by
+    1 px or more.  Otherwise, and without one of the widths, inconclusive."""
+    thin = (original_reference_f1 <= model_original_f1 + 0.02) & (reference_width - original_width >= 1) & (F.abs(model_width - reference_width) <= 1)
+    wide = (F.abs(reference_width - original_width) < 1) & (model_width - reference_width >= 1)
+    return F.when(thin, "thin-original support").when(wide, "model-overpaint support").otherwise("mixed/inconclusive")
 
 
 def category_summary(df: DataFrame, category: str, value: str) -> DataFrame:
@@ -133,11 +194,31 @@ def category_summary(df: DataFrame, category: str, value: str) -> DataFrame:
     return df.groupBy(category).agg(F.count("*").alias("available"), F.count(value).alias("sampled"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
 
 
+TIERS = ("low", "medium", "high")
+
+
 def tertiles(df: DataFrame, value: str) -> DataFrame:
-    """Adds tier: faint, medium or bright by the 33.333 and 66.667 percentiles."""
+    """Adds tier: low, medium or high by the 33.333 and 66.667 percentiles (inclusive)."""
     q = df.agg(F.percentile(value, F.array(F.lit(0.33333), F.lit(0.66667))).alias("_q"))
     v = F.col(value)
-    return df.join(F.broadcast(q)).withColumn("tier", F.when(v <= F.col("_q")[0], "faint").when(v <= F.col("_q")[1], "medium").otherwise("bright")).drop("_q")
+    return df.join(F.broadcast(q)).withColumn("tier", F.when(v <= F.col("_q")[0], "low").when(v <= F.col("_q")[1], "medium").otherwise("high")).drop("_q")
+
+
+def tier_summary(rows: DataFrame, key: str, contrast: str, values: list[str], resamples: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Per contrast tier: components, images, contrast range, and the mean of each value with its
+    interval when images (key) are drawn with replacement (null under two images).  Empty with fewer
+    than 15 components that have a contrast or fewer than 3 images."""
+    valid = rows.where(F.col(contrast).isNotNull())
+    enough = valid.agg(((F.count("*") >= 15) & (F.countDistinct(key) >= 3)).alias("_ok"))
+    t = tertiles(valid, contrast)
+    out = t.groupBy("tier").agg(F.count("*").alias("components"), F.countDistinct(key).alias("images"), F.min(contrast).alias("contrast_min"), F.max(contrast).alias("contrast_max"), *[F.avg(v).alias(f"{v}_mean") for v in values])
+    for v in values:
+        ci = None
+        for i, tier in enumerate(TIERS):
+            one = cluster_mean(t.where(F.col("tier") == tier), key, v, resamples, seed + i, level).select(F.lit(tier).alias("tier"), F.col("mean_lo").alias(f"{v}_lo"), F.col("mean_hi").alias(f"{v}_hi"))
+            ci = one if ci is None else ci.union(one)
+        out = out.join(ci, "tier", "left")
+    return out.join(F.broadcast(enough.where("_ok")).select("_ok")).drop("_ok")
 
 
 def draws(units: DataFrame, resamples: int, seed: int) -> DataFrame:
@@ -151,7 +232,8 @@ def draws(units: DataFrame, resamples: int, seed: int) -> DataFrame:
 
 
 def numbered(units: DataFrame, key: str) -> DataFrame:
-    return units.withColumn("unit_no", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    """Adds unit_no, the rank of each unit by its distinct key from 0 on, by running counts of two levels."""
+    return running_before(units.withColumn("_one", F.lit(1).cast("long")), key, ["_one"]).withColumn("unit_no", F.col("_one_before").cast("long")).drop("_one", "_one_before")
 
 
 def _interval(df: DataFrame, columns: list[str], level: float) -> DataFrame:

@@ -94,8 +94,8 @@ def _(s):
 @query(
     "patch_losses", ("v_scored",),
     """, c AS (SELECT patch_id, CASE WHEN target THEN 1e0 ELSE 0e0 END AS t, prob, greatest(1e-7, least(1 - 1e-7, prob)) AS p FROM v_scored),
-    d AS (SELECT patch_id, -avg(t * ln(p) + (1 - t) * ln(1 - p)) AS bce, 1 - (2 * sum(prob * t) + 1) / (sum(prob * prob) + sum(t) + 1) AS dice_loss FROM c GROUP BY patch_id)
-    SELECT patch_id, round(bce, 6) AS bce, round(dice_loss, 6) AS dice_loss, round(bce + dice_loss, 6) AS loss FROM d""",
+    d AS (SELECT patch_id, -avg(t * ln(p) + (1 - t) * ln(1 - p)) AS bce, 1 - (2 * sum(prob * t) + 1e-4) / (sum(prob * prob) + sum(t) + 1e-4) AS dice_loss FROM c GROUP BY patch_id)
+    SELECT patch_id, round(bce, 6) AS bce, round(dice_loss, 6) AS dice_loss, round(5e-1 * bce + 5e-1 * dice_loss, 6) AS loss FROM d""",
 )
 def _(s):
     return M.patch_losses(s, ["patch_id"])
@@ -128,7 +128,7 @@ def _(s):
     "fp_decomposition", ("v_scored",),
     f""", p AS (SELECT patch_id, count(*) FILTER (prob >= 5e-1 AND NOT target) AS fp, bool_or(target AND prob > 8e-1) AS pos FROM v_scored GROUP BY patch_id),
     c AS (SELECT CAST(sum(CASE WHEN pos THEN 0 ELSE fp END) AS BIGINT) AS a, CAST(sum(CASE WHEN pos THEN fp ELSE 0 END) AS BIGINT) AS b, count(*) FILTER (NOT pos) AS e, count(*) FILTER (NOT pos AND fp > 0) AS f FROM p)
-    SELECT a AS inter_patch_fp, b AS intra_patch_fp, {q0('a', 'a + b')} AS inter_fraction, {q0('f', 'e')} AS empty_fp_rate, CASE WHEN a + b = 0 THEN 'insufficient-data' WHEN a > b THEN 'inter-patch' ELSE 'intra-patch' END AS label FROM c""",
+    SELECT a AS inter_patch_fp, b AS intra_patch_fp, {q0('a', 'a + b')} AS inter_fraction, {q0('f', 'e')} AS empty_fp_rate, CASE WHEN a + b = 0 THEN 'insufficient-data' WHEN a >= 5e-1 * (a + b) THEN 'gate-favourable' ELSE 'gate-limited' END AS label FROM c""",
 )
 def _(s):
     marked = s.groupBy("patch_id").agg(F.bool_or(F.col("target") & (F.col("prob") > 0.8)).alias("is_positive"))
@@ -162,14 +162,36 @@ def _(s):
     return M.joint_sweep(s)
 
 
-@query("hard_negatives", ("v_scored",), "SELECT image_id, patch_id, count(*) FILTER (prob >= 5e-1) AS fp_pixels, round(avg(prob), 6) AS mean_probability FROM v_scored GROUP BY image_id, patch_id HAVING NOT bool_or(target) AND count(*) FILTER (prob >= 5e-1) > 0 ORDER BY fp_pixels DESC, avg(prob) DESC, patch_id LIMIT 20")
+#: Few patches have no target at all; here a target counts where its score is over 0.96.
+STRICT = "target AND prob > 96e-2"
+
+
+def _strict(s):
+    return s.withColumn("target", F.col("target") & (F.col("prob") > 0.96))
+
+
+@query("hard_negatives", ("v_scored",), f"SELECT image_id, patch_id, count(*) FILTER (prob >= 5e-1) AS fp_pixels, round(avg(prob), 6) AS mean_probability FROM v_scored GROUP BY image_id, patch_id HAVING NOT bool_or({STRICT}) AND count(*) FILTER (prob >= 5e-1) > 0 ORDER BY fp_pixels DESC, avg(prob) DESC, patch_id LIMIT 20")
 def _(s):
-    return M.hard_negatives(s, 20)
+    return M.hard_negatives(_strict(s), 20)
 
 
-@query("fired_patches", ("v_scored",), "SELECT image_id, patch_id, round(max(prob), 6) AS peak, max(prob) >= 9e-1 AS fired FROM v_scored GROUP BY image_id, patch_id HAVING NOT bool_or(target)")
+@query("fired_patches", ("v_scored",), f"SELECT image_id, patch_id, round(max(prob), 6) AS peak, max(prob) >= 98e-2 AS fired FROM v_scored GROUP BY image_id, patch_id HAVING NOT bool_or({STRICT}) AND (max(prob) >= 98e-2 OR max(prob) < 9e-1)")
 def _(s):
-    return M.fired_patches(s, 0.9)
+    return M.fired_patches(_strict(s), 0.98, 0.9)
+
+
+@query("tuned_threshold", ("v_scored",), f""", h AS (SELECT greatest(4, least(95, CAST(floor(round(prob * 100, 9)) AS INT))) AS bin, target, gate < 5e-1 AS val FROM v_scored),
+    c AS (SELECT t, count(*) FILTER (bin >= t AND target) AS tp, count(*) FILTER (bin >= t AND NOT target) AS fp, count(*) FILTER (bin < t AND target) AS fn FROM h, (SELECT unnest(range(5, 96)) AS t) g WHERE val GROUP BY t),
+    b AS (SELECT t, 2e0 * tp / (2 * tp + fp + fn) AS f FROM c ORDER BY f DESC, t LIMIT 1),
+    s AS (SELECT t / 100 AS threshold, round(f, 6) AS chosen_f1, count(*) FILTER (bin >= t AND target) AS tp, count(*) FILTER (bin >= t AND NOT target) AS fp, count(*) FILTER (bin < t AND NOT target) AS tn, count(*) FILTER (bin < t AND target) AS fn FROM h, b WHERE NOT val GROUP BY ALL) SELECT *, {eight()} FROM s""")
+def _(s):
+    return M.tuned_scores(s, F.col("gate") < 0.5, F.col("gate") >= 0.5)
+
+
+@query("view_mean", ("v_prob_px",), f", v AS (SELECT image_id, {FRAME - 1} - y AS y, {FRAME - 1} - x AS x, prob / 2 AS prob FROM v_prob_px UNION ALL SELECT * FROM v_prob_px) SELECT image_id, y, x, round(avg(prob), 6) AS prob FROM v GROUP BY ALL")
+def _(p):
+    two = p.withColumn("prob", F.col("prob") / 2).withColumn("view", F.lit("turned")).unionByName(p.withColumn("view", F.lit("as_is")))
+    return M.view_mean(two.withColumn("normalisation", F.lit("fixed")), FRAME, FRAME)
 
 
 @query("frame_summary", ("v_scored",), "SELECT image_id, count(*) FILTER (prob >= 5e-1) AS predicted, round(count(*) FILTER (prob >= 5e-1) / count(*), 6) AS fraction, round(avg(prob), 6) AS mean_probability, round(max(prob), 6) AS max_probability FROM v_scored GROUP BY image_id")
@@ -256,6 +278,12 @@ def _(p, t):
     return P.surface_counts(p, t, [1, 2], FRAME, FRAME)
 
 
+@query("surface_summary", BOTH, f", bp AS ({BOUNDARY('v_pred_px')}), bt AS ({BOUNDARY('v_gt_px')}), s AS ({_surface(1)} UNION ALL {_surface(2)}), p AS (SELECT DISTINCT image_id FROM v_pred_px), t AS (SELECT DISTINCT image_id FROM v_gt_px)"
+    " SELECT tau, round(sum(near) / sum(n), 6) AS nsd_all, round(sum(near) FILTER (image_id IN (FROM t)) / sum(n) FILTER (image_id IN (FROM t)), 6) AS nsd_positive, (SELECT count(*) FROM p SEMI JOIN t USING (image_id)) AS scored, 0::BIGINT AS empty_both, (SELECT count(*) FROM p ANTI JOIN t USING (image_id)) AS empty_target, (SELECT count(*) FROM t ANTI JOIN p USING (image_id)) AS empty_prediction FROM s GROUP BY tau")
+def _(p, t):
+    return P.surface_summary(P.surface_counts(p, t, [1, 2], FRAME, FRAME), p, t, p.select("image_id").union(t.select("image_id")))
+
+
 FP = ", fp AS (SELECT * FROM v_pred_px EXCEPT SELECT * FROM v_gt_px)"
 
 
@@ -264,11 +292,21 @@ def _(p, t):
     return P.distance_strata(p, t, 2, 5)
 
 
-@query("fp_nearest_distance", BOTH, FP + " SELECT fp.image_id, fp.y, fp.x, CAST(min((fp.y - t.y) ** 2 + (fp.x - t.x) ** 2) FILTER ((fp.y - t.y) ** 2 + (fp.x - t.x) ** 2 <= 400) AS BIGINT) AS d2 FROM fp LEFT JOIN v_gt_px t ON fp.image_id = t.image_id AND abs(fp.y - t.y) <= 20 AND abs(fp.x - t.x) <= 20 GROUP BY ALL")
+NEAREST = FP + ", has AS (SELECT DISTINCT image_id FROM v_gt_px), near AS (SELECT fp.image_id, fp.y, fp.x, CAST(min((fp.y - t.y) * (fp.y - t.y) + (fp.x - t.x) * (fp.x - t.x)) AS BIGINT) AS d2, count(t.y) > 0 AS has_target FROM fp LEFT JOIN v_gt_px t ON fp.image_id = t.image_id GROUP BY ALL)"
+
+
+@query("fp_nearest_distance", BOTH, NEAREST + " SELECT * FROM near")
 def _(p, t):
     return P.fp_distances(p, t, 32, 20)
 
 
+@query("fp_distance_summary", BOTH, NEAREST + f""", h AS (SELECT CAST(least(49, floor(sqrt(d2))) AS INT) AS bin, count(*) AS n FROM near WHERE d2 <= 2500 GROUP BY ALL), w AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS c, (SELECT sum(n) FROM h) / 2 AS half FROM h)
+    SELECT count(*) FILTER (has_target) AS with_target, count(*) FILTER (NOT has_target) AS without_target, {", ".join(f"round(count(*) FILTER (d2 <= {k * k}) / count(*) FILTER (has_target), 6) AS within_{k}, round(count(*) FILTER (d2 <= {k * k}) / count(*), 6) AS within_{k}_of_all" for k in (1, 2, 3))},
+    count(*) FILTER (d2 > 2500) AS overflow, (SELECT round(arg_min(bin + (half - (c - n)) / n, bin), 6) FROM w WHERE c >= half) AS median FROM near""")
+def _(p, t):
+    return P.fp_distance_summary(P.fp_distances(p, t, 32, 20))
+
+
 @query("recovered_pixels", ("v_prob_px", "v_gt_px"), "SELECT p.image_id, count(*) AS n FROM v_prob_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x WHERE prob >= 3e-1 AND prob < 5e-1 GROUP BY p.image_id")
 def _(p, t):
     return P.recovered(p.where("prob >= 0.3"), p.where("prob >= 0.5"), t).groupBy("image_id").agg(F.count("*").alias("n"))
@@ -299,6 +337,24 @@ def _(t):
     return P.summarise_patches(_stats(t), "image_id")
 
 
+@query("image_patch_summary", ("v_gt_px", "v_frame_px"), STATS + ", i AS (SELECT image_id, count(*) AS n, round(avg(v), 6) AS mean FROM v_frame_px GROUP BY image_id), k AS (SELECT image_id, count(*) FILTER (positive_pixels > 0) AS non_empty_patches FROM st GROUP BY image_id) SELECT i.image_id, n, mean, non_empty_patches FROM i LEFT JOIN k ON i.image_id = k.image_id")
+def _(t, f):
+    return D.image_patch_summary(D.image_statistics(f).select("image_id", "n", "mean"), _stats(t))
+
+
+@query("density_map", ("v_gt_px",), STATS + " SELECT image_id, grid_y, " + ", ".join(f'round(max(positive_pixels / 1024) FILTER (grid_x = {i}), 6) AS "{i}"' for i in range(11)) + " FROM st GROUP BY image_id, grid_y")
+def _(t):
+    return P.density_map(_stats(t), 11)
+
+
+@query("cut_patches", ("v_frame_px", "v_gt_px"), """, g AS (SELECT image_id, gy * 16 AS y0, gx * 16 AS x0 FROM (SELECT DISTINCT image_id FROM v_frame_px), (SELECT unnest(range(5)) AS gy), (SELECT unnest(range(5)) AS gx) WHERE gy * 16 + 16 <= 64 AND gx * 16 + 16 <= 64),
+    c AS (SELECT g.image_id, y0, x0, dy, dx, coalesce(v, 0) AS v, t.y IS NOT NULL AS m FROM g CROSS JOIN (SELECT unnest(range(16)) AS dy) a CROSS JOIN (SELECT unnest(range(16)) AS dx) b LEFT JOIN v_frame_px f ON f.image_id = g.image_id AND f.y = y0 + dy AND f.x = x0 + dx LEFT JOIN v_gt_px t ON t.image_id = g.image_id AND t.y = y0 + dy AND t.x = x0 + dx)
+    SELECT image_id, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, string_agg(printf('%02X', v), '' ORDER BY dy, dx) AS pixels, string_agg(CASE WHEN m THEN 'FF' ELSE '00' END, '' ORDER BY dy, dx) AS mask, count(*) FILTER (m) AS positive_pixels FROM c GROUP BY image_id, y0, x0""")
+def _(f, t):
+    images = f.select("image_id").distinct().withColumns({"height": F.lit(64), "width": F.lit(64)})
+    return P.cut_patches(images, f, t, 16, 16).withColumns({"pixels": F.hex("pixels"), "mask": F.hex("mask")})
+
+
 @query("stitched_canvas", ("v_prob_px",), "SELECT image_id, y, x, round(max(p), 6) AS prob FROM (SELECT image_id, y + dy AS y, x, prob / (1 + dy) AS p FROM v_prob_px, (SELECT unnest([0, 1]) AS dy)) WHERE y < 192 GROUP BY image_id, y, x")
 def _(p):
     patches = p.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("y0"), F.lit(0).alias("x0"), "y", "x", "prob").withColumn("prob", F.col("prob") / (1 + F.col("y0")))
@@ -322,19 +378,44 @@ def _(t):
     return P.soft_target(t, 1, 0.5, FRAME, FRAME)
 
 
-@query("connected_components", ("v_pred_px",))
+def components_sql(src: str, name: str) -> str:
+    """CTEs that end in `name` (image_id, y, x, component): runs of pixels, joined to those they touch."""
+    return f""", {name}_runs AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1, y * 1000 + min(x) AS run FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM {src}) i GROUP BY image_id, y, island),
+    {name}_edges AS (SELECT a.image_id, a.run AS a, b.run AS b FROM {name}_runs a JOIN {name}_runs b ON a.image_id = b.image_id AND (b.y = a.y + 1 OR b.y = a.y - 1) AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
+    {name}_reach AS (SELECT image_id, run AS a, run AS b FROM {name}_runs UNION SELECT r.image_id, r.a, e.b FROM {name}_reach r JOIN {name}_edges e ON r.image_id = e.image_id AND r.b = e.a),
+    {name}_roots AS (SELECT image_id, a AS run, min(b) AS root FROM {name}_reach GROUP BY image_id, a),
+    {name} AS (SELECT r.image_id, r.y, unnest(range(r.x0, r.x1 + 1)) AS x, CAST(dense_rank() OVER (PARTITION BY r.image_id ORDER BY root) AS INT) AS component FROM {name}_runs r JOIN {name}_roots o ON r.image_id = o.image_id AND r.run = o.run)"""
+
+
+def shapes_sql(src: str, name: str, least: int = 1) -> str:
+    return f""", {name}_c AS (SELECT image_id, component, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, coalesce(var_samp(y), 0) AS vy, coalesce(var_samp(x), 0) AS vx, coalesce(covar_samp(y, x), 0) AS c FROM {src} GROUP BY image_id, component HAVING count(*) >= {least}),
+    {name}_a AS (SELECT *, sqrt(((vy - vx) / 2) ** 2 + c ** 2) AS root, atan2(2 * c, vx - vy) / 2 AS angle FROM {name}_c),
+    {name} AS (SELECT a.image_id, a.component, area, y0, x0, y1, x1, 4 * sqrt((vy + vx) / 2 + root) AS major, 4 * sqrt(greatest(0, (vy + vx) / 2 - root)) AS minor, angle, max(x * cos(angle) + y * sin(angle)) - min(x * cos(angle) + y * sin(angle)) AS length FROM {name}_a a JOIN {src} p ON a.image_id = p.image_id AND a.component = p.component GROUP BY ALL)"""
+
+
+@query("connected_components", ("v_pred_px",), components_sql("v_pred_px", "cc") + " SELECT * FROM cc")
 def _(p):
     return P.components(p)
 
 
-@query("component_shapes", ("v_pred_px",))
-def _(p):
-    return P.component_shapes(P.components(p), 5)
+#: The angle of a component without a longer axis is noise, so shapes are compared without it.
+SHAPE = "image_id, component, area, y0, x0, y1, x1, round(major, 6) AS major, round(minor, 6) AS minor"
 
 
-@query("cleaned_components", ("v_pred_px",))
+@query("component_shapes", ("v_pred_px",), components_sql("v_pred_px", "cc") + shapes_sql("cc", "sh", 5) + f" SELECT {SHAPE} FROM sh")
 def _(p):
-    return P.cleaned_components(p, 1, FRAME, FRAME, 20, 15.0)
+    return P.component_shapes(P.components(p), 5).drop("angle", "length")
+
+
+def closed_sql(src: str) -> str:
+    """CTEs that end in `closed`: the square closing of radius 1, what is beyond the frame counting as set."""
+    n = f"9 - (CASE WHEN y = 0 OR y = {FRAME - 1} THEN 3 ELSE 0 END) - (CASE WHEN x = 0 OR x = {FRAME - 1} THEN 3 ELSE 0 END) + (CASE WHEN (y = 0 OR y = {FRAME - 1}) AND (x = 0 OR x = {FRAME - 1}) THEN 1 ELSE 0 END)"
+    return f", wide AS ({grown(src, box(1))}), closed AS (SELECT image_id, y, x FROM (SELECT image_id, y + dy AS y, x + dx AS x, count(*) AS k FROM wide, ({box(1)}) WHERE y + dy BETWEEN 0 AND {FRAME - 1} AND x + dx BETWEEN 0 AND {FRAME - 1} GROUP BY ALL) e WHERE k = {n})"
+
+
+@query("cleaned_components", ("v_gt_px",), closed_sql("v_gt_px") + components_sql("closed", "cc") + ", own AS (SELECT cc.* FROM cc SEMI JOIN v_gt_px t ON cc.image_id = t.image_id AND cc.y = t.y AND cc.x = t.x)" + shapes_sql("own", "sh", 20) + " SELECT own.* FROM own SEMI JOIN (SELECT * FROM sh WHERE length >= 15) k ON own.image_id = k.image_id AND own.component = k.component")
+def _(t):
+    return P.cleaned_components(t, 1, FRAME, FRAME, 20, 15.0)
 
 
 @query("line_votes", ("v_pred_px",), ", v AS (SELECT image_id, theta, CAST(round_even(x * cos(radians(theta)) + y * sin(radians(theta)), 0) AS INT) AS rho FROM v_pred_px, (SELECT unnest(range(0, 180)) AS theta)) SELECT image_id, theta::INT AS theta, rho, count(*) AS votes FROM v GROUP BY ALL HAVING count(*) >= 40")
@@ -342,13 +423,44 @@ def _(p):
     return P.line_votes(p, 40)
 
 
-@query("line_completion", ("v_prob_px", "v_gt_px"))
+ANGLE = "radians(theta)"
+
+
+def lines_sql(src: str, name: str, votes: int, gap: int, length: int) -> str:
+    """CTEs that end in `name`: the pixels of the segments of a standard Hough transform of src."""
+    return f""", {name}_on AS MATERIALIZED (SELECT image_id, theta, CAST(round_even(x * cos({ANGLE}) + y * sin({ANGLE}), 0) AS INT) AS rho, CAST(round_even(-x * sin({ANGLE}) + y * cos({ANGLE}), 0) AS INT) AS t FROM {src}, (SELECT unnest(range(0, 180)) AS theta) a),
+    {name}_t AS (SELECT DISTINCT * FROM {name}_on SEMI JOIN (SELECT image_id, theta, rho FROM {name}_on GROUP BY ALL HAVING count(*) >= {votes}) k USING (image_id, theta, rho)),
+    {name}_n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY image_id, theta, rho ORDER BY t) > {gap + 1} THEN 1 ELSE 0 END AS fresh FROM {name}_t),
+    {name}_g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, theta, rho ORDER BY t) AS segment FROM {name}_n),
+    {name}_s AS (SELECT image_id, theta, rho, min(t) AS a, max(t) AS b FROM {name}_g GROUP BY image_id, theta, rho, segment HAVING max(t) - min(t) >= {length}),
+    {name} AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT image_id, CAST(round_even(rho * sin({ANGLE}) + t * cos({ANGLE}), 0) AS BIGINT) AS y, CAST(round_even(rho * cos({ANGLE}) - t * sin({ANGLE}), 0) AS BIGINT) AS x FROM (SELECT image_id, theta, rho, unnest(range(a, b + 1)) AS t FROM {name}_s) d) e WHERE y BETWEEN 0 AND {FRAME - 1} AND x BETWEEN 0 AND {FRAME - 1})"""
+
+
+def accounts_sql(pre: str, post: str) -> str:
+    """CTEs that end in c (per cell), i (per image)."""
+    return f""", f AS (SELECT image_id, y, x, max(a) AS pre, max(b) AS post, max(g) AS gt FROM (SELECT image_id, y, x, 1 AS a, 0 AS b, 0 AS g FROM {pre} UNION ALL SELECT image_id, y, x, 0, 1, 0 FROM {post} UNION ALL SELECT image_id, y, x, 0, 0, 1 FROM v_gt_px) GROUP BY ALL),
+    c AS (SELECT image_id, y // 32 AS cy, x // 32 AS cx, sum(gt) AS gt, sum(pre * gt) AS tpa, sum(post * gt) AS tpb, sum(pre) AS na, sum(post) AS nb FROM f GROUP BY ALL),
+    i AS (SELECT image_id, sum(gt) AS gt, sum(tpa) AS tpa, sum(tpb) AS tpb, sum(na) AS na, sum(nb) AS nb, count(*) FILTER (gt > 0) AS patches, count(*) FILTER (gt > 0 AND tpa = 0) AS ma, count(*) FILTER (gt > 0 AND tpb = 0) AS mb FROM c GROUP BY image_id)"""
+
+
+TOTALS = """ SELECT count(*) FILTER (gt > 0) AS positive_images, sum(patches)::BIGINT AS positive_patches, sum(nb - tpb - na + tpa)::BIGINT AS fp_added, round(count(*) FILTER (gt > 0 AND tpa = 0) / count(*) FILTER (gt > 0), 6) AS image_fnr_pre, round(sum(ma) / sum(patches), 6) AS patch_fnr_pre, round(sum(tpa) FILTER (gt > 0) / sum(gt) FILTER (gt > 0), 6) AS recall_pre, round(sum(tpa) / sum(na), 6) AS precision_pre,
+    round(count(*) FILTER (gt > 0 AND tpb = 0) / count(*) FILTER (gt > 0), 6) AS image_fnr_post, round(sum(mb) / sum(patches), 6) AS patch_fnr_post, round(sum(tpb) FILTER (gt > 0) / sum(gt) FILTER (gt > 0), 6) AS recall_post, round(sum(tpb) / sum(nb), 6) AS precision_post FROM i"""
+AT = lambda p: f"SELECT image_id, y, x FROM v_prob_px WHERE prob >= {p}"
+
+
+@query("line_completion", ("v_prob_px", "v_gt_px"), f", low AS ({AT('1e-1')}), pred AS ({AT('5e-1')})" + lines_sql("low", "ln", 30, 5, 20) + ", post AS (SELECT * FROM pred UNION SELECT * FROM ln)" + accounts_sql("pred", "post") + TOTALS)
 def _(p, t):
     pred = p.where("prob >= 0.5").select("image_id", "y", "x")
     post = P.union(pred, P.complete_lines(p.where("prob >= 0.1"), 30, 5, 20, FRAME, FRAME))
     return P.line_accounting(pred, post, t, 32)
 
 
+@query("image_accounting", ("v_prob_px", "v_gt_px"), f", low AS ({AT('1e-1')}), pred AS ({AT('5e-1')})" + accounts_sql("pred", "low") + """ SELECT image_id, gt::BIGINT AS gt, tpa::BIGINT AS tp_pre, tpb::BIGINT AS tp_post, na::BIGINT AS n_pre, nb::BIGINT AS n_post, patches, ma::BIGINT AS missed_pre, mb::BIGINT AS missed_post, gt > 0 AS is_positive, tpa > 0 AS detected_pre, tpb > 0 AS detected_post,
+    (na - tpa)::BIGINT AS fp_pre, (nb - tpb)::BIGINT AS fp_post, (nb - tpb - na + tpa)::BIGINT AS fp_added, round(tpa / nullif(na, 0), 6) AS precision_pre, round(tpb / nullif(nb, 0), 6) AS precision_post FROM i""")
+def _(p, t):
+    return P.image_accounting(p.where("prob >= 0.5"), p.where("prob >= 0.1"), t, 32)
+
+
 @query("line_accounting", ("v_prob_px", "v_gt_px"), """, f AS (SELECT image_id, y, x, max(a) AS pre, max(b) AS post, max(g) AS gt FROM (SELECT image_id, y, x, CASE WHEN prob >= 5e-1 THEN 1 ELSE 0 END AS a, CASE WHEN prob >= 1e-1 THEN 1 ELSE 0 END AS b, 0 AS g FROM v_prob_px UNION ALL SELECT image_id, y, x, 0, 0, 1 FROM v_gt_px) GROUP BY ALL),
     c AS (SELECT image_id, y // 32 AS cy, x // 32 AS cx, sum(gt) AS gt, sum(pre * gt) AS tpa, sum(post * gt) AS tpb, sum(pre) AS na, sum(post) AS nb FROM f GROUP BY ALL),
     i AS (SELECT image_id, sum(gt) AS gt, sum(tpa) AS tpa, sum(tpb) AS tpb, sum(na) AS na, sum(nb) AS nb, count(*) FILTER (gt > 0) AS patches, count(*) FILTER (gt > 0 AND tpa = 0) AS ma, count(*) FILTER (gt > 0 AND tpb = 0) AS mb FROM c GROUP BY image_id)
@@ -364,6 +476,12 @@ def _(f):
     return D.image_statistics(f)
 
 
+@query("normalised_by_image", ("v_frame_px",), ", s AS (SELECT image_id, CASE WHEN image_id % 3 = 0 THEN NULL ELSE avg(v) END AS m, stddev_pop(v) AS d FROM v_frame_px GROUP BY image_id), o AS (SELECT image_id, y // 16 AS cy, avg(v) AS m, stddev_samp(v) AS d FROM v_frame_px GROUP BY ALL) SELECT f.*, f.y // 16 AS cy, round(CASE WHEN s.m IS NULL THEN (v - o.m) / (o.d + 1e-6) ELSE (v - s.m) / (s.d + 1e-6) END, 6) AS z FROM v_frame_px f JOIN s USING (image_id) JOIN o ON f.image_id = o.image_id AND f.y // 16 = o.cy")
+def _(f):
+    stats = f.groupBy("image_id").agg(F.when(F.col("image_id") % 3 != 0, F.avg("v")).alias("image_mean"), F.stddev_pop("v").alias("image_std"))
+    return D.normalise(f.withColumn("cy", F.floor(F.col("y") / 16)), "full_image", ("image_id", "cy"), stats)
+
+
 @query("normalised_pixels", ("v_frame_px",), ", s AS (SELECT image_id, avg(v) AS m, stddev_samp(v) AS s FROM v_frame_px GROUP BY image_id) SELECT f.*, round((v - m) / (s + 1e-6), 6) AS z FROM v_frame_px f JOIN s USING (image_id)")
 def _(f):
     return D.normalise(f)
@@ -385,26 +503,39 @@ def _(f):
     return D.downsample(f, 2.5)
 
 
-@query("noise_calibration", ("v_frame_px",), ", s AS (SELECT count(*) AS n, avg(v) / 255 AS mu, stddev_pop(v) / 255 AS sd FROM v_frame_px WHERE image_id < 5) SELECT n, round(mu, 6) AS mu, round(sd, 6) AS sigma, round(sd * sd / mu, 6) AS alpha, round(sd, 6) AS beta FROM s")
+@query("noise_calibration", ("v_frame_px",), ", s AS (SELECT count(*) AS n, avg(v) / 255 AS mu, stddev_pop(v) / 255 AS sd FROM v_frame_px) SELECT n, round(mu, 6) AS mu, round(sd, 6) AS sigma, round(sd * sd / (2 * mu), 6) AS alpha, round(sd / sqrt(2), 6) AS beta FROM s")
 def _(f):
-    return D.noise_calibration(f.where("image_id < 5"))
+    return D.noise_calibration(f)
+
+
+def md5_of(seed, *keys: str) -> str:
+    return "md5('" + str(seed) + "'" + "".join(f" || '|' || CAST({k} AS VARCHAR)" for k in keys) + ")"
+
+
+def number_of(seed, *keys: str) -> str:
+    return hash_sql(True, md5_of(seed, *keys)[4:-1])
+
+
+UNIT = lambda k: f"(({number_of(f'7|{k}', 'image_id', 'y', 'x')} + 5e-1) / 4294967296e0)"
 
 
-@query("noisy_pixels", ("v_frame_px",), None)
+@query("noisy_pixels", ("v_frame_px",), f"SELECT image_id, y, x, v, round(greatest(0e0, least(1e0, v / 255 + sqrt(2e-2 * v / 255 + 9e-2 * 9e-2) * sqrt(-2 * ln({UNIT('a')})) * cos(2 * pi() * {UNIT('b')}))), 6) AS p FROM v_frame_px")
 def _(f):
     return D.add_noise(f.withColumn("p", F.col("v") / 255), 0.02, 0.09, 1.0, 7)
 
 
-@query("augmented_pixels", ("v_frame_px",), None)
-def _(f):
-    return D.augment(f, 64, 3)
+TURN = lambda k, n: f"{number_of(f'3|{k}', 'image_id', 'cy')} % {n}"
 
 
-# Manifest.
-def md5_of(seed, *keys: str) -> str:
-    return "md5('" + str(seed) + "'" + "".join(f" || '|' || CAST({k} AS VARCHAR)" for k in keys) + ")"
+@query("augmented_pixels", ("v_frame_px",), f""", b AS (SELECT image_id, y // 16 AS cy, y % 16 AS y, x % 16 AS x, x // 16 AS cx, v FROM v_frame_px), m AS (SELECT *, image_id % 4 <> 0 AS train FROM b), d AS (SELECT image_id, cy, cx, v, CASE WHEN train AND {TURN('h', 2)} = 1 THEN 15 - x ELSE x END AS x, CASE WHEN train AND {TURN('v', 2)} = 1 THEN 15 - y ELSE y END AS y, CASE WHEN train THEN {TURN('r', 4)} ELSE 0 END AS k FROM m)
+    SELECT image_id, cy, cx, v, CASE k WHEN 0 THEN y WHEN 1 THEN 15 - x WHEN 2 THEN 15 - y ELSE x END AS y, CASE k WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 15 - x ELSE 15 - y END AS x FROM d""")
+def _(f):
+    """Patches of 16 pixels; images whose number is divisible by 4 stand for another split."""
+    cells = f.select("image_id", F.floor(F.col("y") / 16).alias("cy"), F.floor(F.col("x") / 16).alias("cx"), (F.col("y") % 16).alias("y"), (F.col("x") % 16).alias("x"), "v")
+    return D.augment(cells, 16, 3, ("image_id", "cy"), F.col("image_id") % 4 != 0)
 
 
+# Manifest.
 COUNTS = ", c AS (SELECT source_image AS image, CAST(round(sum(fraction) * 1e5) AS BIGINT) AS positives FROM v_manifest GROUP BY source_image)"
 
 
@@ -415,9 +546,9 @@ def _(m):
     return D.image_splits(m.groupBy(F.col("source_image").alias("image")).agg(F.round(F.sum("fraction") * 1e5).cast("long").alias("positives")), 0.7, 0.15, 2804)
 
 
-@query("sampled_negatives", ("v_manifest",), f", q AS (SELECT split, 3 * count(*) FILTER (fraction > 0 AND patch % 7 = 0) AS quota FROM v_manifest GROUP BY split), m AS (SELECT * FROM v_manifest WHERE fraction <= 0 OR patch % 7 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {md5_of(5, 'patch')}, patch) AS r FROM m WHERE fraction <= 0) SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM m WHERE fraction > 0 UNION ALL SELECT source_image, patch, n.split, round(fraction, 6) FROM n JOIN q ON n.split = q.split WHERE r <= quota")
+@query("sampled_negatives", ("v_manifest",), f", q AS (SELECT split, 3 * count(*) FILTER (fraction > 0) AS quota FROM v_manifest GROUP BY split), m AS (SELECT * FROM v_manifest), n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {md5_of(5, 'patch')}, patch) AS r FROM m WHERE fraction <= 0) SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM m WHERE fraction > 0 UNION ALL SELECT source_image, patch, n.split, round(fraction, 6) FROM n JOIN q ON n.split = q.split WHERE r <= quota")
 def _(m):
-    return D.sample_negatives(m.where("fraction <= 0 OR patch % 7 = 0"), 3, 5)
+    return D.sample_negatives(m, 3, 5)
 
 
 @query("train_image_subset", ("v_manifest",), f", i AS (SELECT source_image, row_number() OVER (ORDER BY {md5_of(1, 'source_image')}, source_image) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source_image FROM v_manifest WHERE split = 'train')), k AS (SELECT source_image FROM i WHERE r <= greatest(1, round_even(n * 0.3, 0))) SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM v_manifest WHERE split <> 'train' OR source_image IN (SELECT * FROM k)")
@@ -436,9 +567,23 @@ def _(m):
     return D.audit(m)
 
 
-@query("hard_negative_append", ("v_manifest",), "SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM v_manifest WHERE split = 'train' UNION ALL SELECT source_image, patch, split, round(fraction, 6) FROM v_manifest, (SELECT unnest([1, 2])) WHERE split = 'train' AND fraction = 0 AND patch % 50 = 0")
+@query("full_audit", ("v_manifest",), """, d AS (SELECT DISTINCT split, source_image FROM v_manifest), m AS (SELECT *, CASE WHEN patch % 5 = 0 THEN NULL ELSE fraction END AS image_mean, CASE WHEN patch % 5 = 0 THEN NULL ELSE fraction - 2e-3 END AS image_std FROM v_manifest), g AS (SELECT source_image, count(*) AS n, count(image_mean) AS a, count(image_std) AS b FROM m GROUP BY source_image),
+    a AS (SELECT 'split_values' AS "check", count(*) FILTER (split NOT IN ('train', 'val', 'test')) AS failing FROM v_manifest UNION ALL SELECT 'fraction_range', count(*) FILTER (fraction < 0 OR fraction > 1) FROM v_manifest UNION ALL SELECT 'missing_values', count(*) FILTER (source_image IS NULL OR patch IS NULL) FROM v_manifest
+    UNION ALL SELECT 'repeated_patches', count(patch) - count(DISTINCT patch) FROM v_manifest UNION ALL SELECT 'class_balance', count(DISTINCT split) - count(DISTINCT split) FILTER (fraction > 0) FROM v_manifest UNION ALL SELECT 'split_leaks', (SELECT count(*) FROM d x JOIN d y ON x.source_image = y.source_image AND x.split < y.split)
+    UNION ALL SELECT 'statistics_pattern', count(*) FILTER (a <> b OR (a > 0 AND a < n)) FROM g UNION ALL SELECT 'statistics_range', count(*) FILTER (image_mean < 0 OR image_mean > 1 OR image_std <= 0) FROM m UNION ALL SELECT 'statistics_missing', count(*) FILTER (image_mean IS NULL) FROM m
+    UNION ALL SELECT 'fraction_recomputed', count(*) FILTER (abs(fraction - (patch % 1000 + 1) / 1e5) > 1e-6) FROM v_manifest UNION ALL SELECT 'absent_files', count(*) FILTER (fraction = 0) FROM v_manifest UNION ALL SELECT 'patch_shapes', count(*) FILTER (fraction > 5e-3) FROM v_manifest) SELECT "check", failing, failing = 0 AS ok FROM a""")
 def _(m):
-    return D.append_hard_negatives(m, m.where("split = 'train' AND fraction = 0 AND patch % 50 = 0"), 2)
+    """Statistics, masks and files as a careless build could leave them."""
+    gone = F.col("patch") % 5 == 0
+    masks = m.select("patch", (F.col("patch") % 1000 + 1).alias("positive_pixels"), F.lit(100_000).alias("pixels"))
+    files = m.where("fraction > 0").select("patch", F.when(F.col("fraction") > 0.005, 500).otherwise(528).alias("height"), *[F.lit(528).alias(c) for c in ("width", "mask_height", "mask_width")])
+    return D.audit(m.withColumns({"image_mean": F.when(~gone, F.col("fraction")), "image_std": F.when(~gone, F.col("fraction") - 0.002)}), masks, files, strict=True)
+
+
+@query("hard_negative_append", ("v_manifest",), f", h AS (SELECT patch FROM v_manifest WHERE split = 'train' AND fraction = 0 ORDER BY {md5_of(8, 'patch')}, patch LIMIT 150) SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM v_manifest WHERE split = 'train' UNION ALL SELECT source_image, patch, split, round(fraction, 6) FROM v_manifest, (SELECT unnest([1, 2])) WHERE split = 'train' AND patch IN (FROM h)")
+def _(m):
+    """The 150 empty patches that score highest; a seeded draw stands in for the score."""
+    return D.append_hard_negatives(m, D.seeded_sample(m.where("split = 'train' AND fraction = 0"), 150, 8, "patch"), 2)
 
 
 @query("densest_patches", ("v_manifest",), "SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM v_manifest WHERE fraction > 0 ORDER BY v_manifest.fraction DESC, source_image, patch LIMIT 12")
@@ -456,6 +601,16 @@ def _(m):
     return D.quota_sample(m, ["source_image", "split"], 2, 4, "patch")
 
 
+@query("observations_per_year", ("v_manifest",), "SELECT CAST(substr(source_image, 5, 4) AS INT) AS year, count(*) AS n FROM v_manifest GROUP BY 1")
+def _(m):
+    return S.per_year(m.withColumn("ts", D.parse_observation(F.col("source_image"))), "ts")
+
+
+@query("pooled_sample", ("v_manifest",), f", a AS (SELECT * FROM v_manifest QUALIFY row_number() OVER (PARTITION BY source_image, split ORDER BY {md5_of(4, 'patch')}, patch) <= 4) SELECT source_image, patch, split, round(fraction, 6) AS fraction FROM a QUALIFY row_number() OVER (PARTITION BY split ORDER BY {md5_of(4, 'patch')}, patch) <= 100")
+def _(m):
+    return D.quota_sample(m, ["source_image", "split"], 4, 4, "patch", pooled=100, pool=("split",))
+
+
 @query("observation_dates", ("v_manifest",), "SELECT DISTINCT source_image, strptime(regexp_extract(source_image, 'ML1_([0-9]{8}_[0-9]{6})', 1), '%Y%m%d_%H%M%S') AS observed, CAST(year(strptime(regexp_extract(source_image, 'ML1_([0-9]{8}_[0-9]{6})', 1), '%Y%m%d_%H%M%S')) AS INT) AS year, regexp_replace(source_image, '_red.fits_full.png$', '_red_mask.png') AS mask FROM v_manifest")
 def _(m):
     t = D.parse_observation(F.col("source_image"))
@@ -471,6 +626,11 @@ def _(c):
 CAT_COLUMNS = ("satellite_name", "length", "start_ra", "end_ra", "start_dec", "end_dec")
 
 
+@query("unique_names", ("v_catalogue",), "SELECT DISTINCT satellite_name FROM v_catalogue WHERE satellite_name IS NOT NULL")
+def _(c):
+    return S.unique_names(c)
+
+
 @query("missing_values", ("v_catalogue",), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM v_catalogue" for c in CAT_COLUMNS))
 def _(c):
     return S.missing_values(c)
@@ -506,7 +666,7 @@ def _(h):
     return S.loss_spikes(h)
 
 
-@query("run_stability", ("v_history",), "SELECT run_id, bool_or(val_loss IS NULL) AS bad_loss, count(*) AS epochs, round(arg_max(val_dice, epoch), 6) AS last_dice FROM v_history GROUP BY run_id")
+@query("run_stability", ("v_history",), "SELECT run_id, bool_or(val_loss IS NULL OR train_loss IS NULL) AS bad_loss, count(*) AS epochs, round(arg_max(val_dice, epoch), 6) AS last_dice FROM v_history GROUP BY run_id")
 def _(h):
     return S.run_stability(h)
 
@@ -525,6 +685,16 @@ def _(t):
     return S.trial_summary(t, list(range(6)))
 
 
+@query("trial_aggregate", ("v_trials",), f""", x AS (SELECT *, 'net_t' || trial || '_s' || seed AS tag, run % 7 = 0 AS bad FROM v_trials), v AS (SELECT trial, val_f1, row_number() OVER (PARTITION BY trial ORDER BY run) - 1 AS unit_no FROM x), n AS (SELECT trial, count(*) AS n FROM v GROUP BY trial),
+    d AS (SELECT trial, resample, {number_of(5, 'trial', 'resample', 'i')} % n AS unit_no FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, unnest(range(20)) AS resample FROM n))), m AS (SELECT d.trial, resample, avg(val_f1) AS m FROM d JOIN v ON d.trial = v.trial AND d.unit_no = v.unit_no GROUP BY ALL),
+    ci AS (SELECT trial, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY trial)
+    SELECT x.trial, 'net' AS prefix, count(val_f1) AS n, round(avg(val_f1), 6) AS mean, round(stddev_samp(val_f1), 6) AS std, CAST(6 - count(DISTINCT seed) AS BIGINT) AS missing_seeds, count(*) FILTER (bad) + 6 - count(DISTINCT seed) AS failures, max(run % 4) AS longest_zero, sum(run % 3)::BIGINT AS spikes, any_value(lo) AS lo, any_value(hi) AS hi FROM x JOIN ci ON x.trial = ci.trial GROUP BY x.trial""")
+def _(t):
+    tag = F.concat(F.lit("net_t"), F.col("trial").cast("string"), F.lit("_s"), F.col("seed").cast("string"))
+    runs = t.select(*S.parse_tag(tag), "run", "val_f1", (F.col("run") % 7 == 0).alias("bad_loss"), F.lit(0.5).alias("last_dice"), (F.col("run") % 4).alias("longest_zero"), (F.col("run") % 3).alias("spikes"))
+    return S.trial_aggregate(runs, list(range(6)), 20, 5, list(range(12)))
+
+
 @query("selected_trial", ("v_trials",), TRIALS + f" SELECT {TRIAL_COLUMNS} FROM s WHERE s.mean >= (SELECT max(s.mean) FROM s) - 5e-3 ORDER BY batch_size, s.learning_rate, trial LIMIT 1")
 def _(t):
     return S.select_trial(S.trial_summary(t, list(range(6))), 0.005)
@@ -545,9 +715,20 @@ def _(a):
     return S.verdict_check(a)
 
 
-@query("control_summary", ("v_audit",), "SELECT stratum, count(*) FILTER (verdict = 'trail') AS trail, count(*) FILTER (verdict = 'no_trail') AS no_trail, count(*) FILTER (verdict = 'uncertain') AS uncertain, count(*) FILTER (fp_pixels > 0) AS fired, round(quantile_cont(CAST(fp_pixels AS DOUBLE), 5e-1), 6) AS median_fp, max(fp_pixels) AS max_fp, count(*) FILTER (fp_pixels > 5000) AS over FROM v_audit GROUP BY stratum")
+OVER = "model_fired AND NOT reference_has_trail"
+MEDIAN = lambda c: f"quantile_cont(CAST(fp_pixels AS DOUBLE), 5e-1) FILTER ({c})"
+
+
+@query("control_summary", ("v_audit",), "SELECT stratum, count(*) AS crops, count(*) FILTER (verdict = 'trail') AS verdict_trail, count(*) FILTER (verdict = 'no_trail') AS verdict_no_trail, count(*) FILTER (reference_has_trail) AS reference_has_trail, count(*) FILTER (model_fired) AS model_fired, "
+    + ", ".join(f"round({MEDIAN(c)}, 6) AS {n}median_fp, max(fp_pixels) FILTER ({c}) AS {n}max_fp, round(round({MEDIAN(c)} / 278784, 8), 6) AS {n}median_fp_fraction" for n, c in (("", "TRUE"), ("over_fired_", OVER))) + f", count(*) FILTER ({OVER}) AS over_fired FROM v_audit GROUP BY stratum")
 def _(a):
-    return S.control_summary(a, 5000)
+    return S.control_summary(a, 528 * 528)
+
+
+@query("mechanisms", ("v_audit",), """, w AS (SELECT crop_name, fp_pixels % 7 * 1e0 AS o, CASE WHEN stratum = 3 THEN NULL ELSE fp_pixels % 5 * 1e0 END AS r, fp_pixels % 6 * 1e0 AS m, fp_pixels % 11 / 1e1 AS a, fp_pixels % 13 / 1e1 AS b FROM v_audit) SELECT crop_name, CASE WHEN o IS NULL OR r IS NULL OR m IS NULL THEN 'mixed/inconclusive' WHEN a <= b + 2e-2 AND r - o >= 1 AND abs(m - r) <= 1 THEN 'thin-original support' WHEN abs(r - o) < 1 AND m - r >= 1 THEN 'model-overpaint support' ELSE 'mixed/inconclusive' END AS mechanism FROM w""")
+def _(a):
+    v = lambda n, d=1: F.col("fp_pixels") % n / d
+    return a.select("crop_name", S.mechanism(v(11, 10), v(13, 10), v(7), F.when(F.col("stratum") != 3, v(5)), v(6)).alias("mechanism"))
 
 
 @query("category_summary", ("v_audit",), "SELECT verdict, count(*) AS available, count(fp_pixels) AS sampled, round(quantile_cont(CAST(fp_pixels AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(fp_pixels AS DOUBLE), 0.25), 6) AS q25, round(quantile_cont(CAST(fp_pixels AS DOUBLE), 0.75), 6) AS q75 FROM v_audit GROUP BY verdict")
@@ -555,16 +736,36 @@ def _(a):
     return S.category_summary(a, "verdict", "fp_pixels")
 
 
-@query("contrast_tiers", ("v_audit",), ", q AS (SELECT quantile_cont(CAST(fp_pixels AS DOUBLE), [0.33333, 0.66667]) AS q FROM v_audit) SELECT CASE WHEN fp_pixels <= q[1] THEN 'faint' WHEN fp_pixels <= q[2] THEN 'medium' ELSE 'bright' END AS tier, count(*) AS n FROM v_audit, q GROUP BY tier")
+TIER = ", q AS (SELECT quantile_cont(CAST(fp_pixels AS DOUBLE), [0.33333, 0.66667]) AS q FROM v_audit), tiers AS (SELECT *, CASE WHEN fp_pixels <= q[1] THEN 'low' WHEN fp_pixels <= q[2] THEN 'medium' ELSE 'high' END AS tier FROM v_audit, q)"
+
+
+@query("contrast_tiers", ("v_audit",), TIER + " SELECT tier, count(*) AS n FROM tiers GROUP BY tier")
 def _(a):
     return S.tertiles(a, "fp_pixels").groupBy("tier").agg(F.count("*").alias("n"))
 
 
-# Resampling.
-def number_of(seed, *keys: str) -> str:
-    return hash_sql(True, md5_of(seed, *keys)[4:-1])
+def _tier_ci(i: int, tier: str) -> str:
+    return f"""SELECT '{tier}' AS tier, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT resample, sum(s) / sum(k) AS m FROM (SELECT resample, {number_of(20 + i, 'resample', 'i')} % n AS unit_no FROM (SELECT n, resample, unnest(range(n)) AS i FROM (SELECT n, unnest(range(50)) AS resample FROM (SELECT count(*) AS n FROM u WHERE tier = '{tier}')))) d JOIN u ON u.tier = '{tier}' AND u.unit_no = d.unit_no GROUP BY resample) r"""
+
+
+@query("tier_summary", ("v_audit",), TIER + ", u AS (SELECT tier, source_image, CAST(sum(stratum) AS DOUBLE) AS s, count(*) AS k, row_number() OVER (PARTITION BY tier ORDER BY source_image) - 1 AS unit_no FROM tiers GROUP BY tier, source_image), ci AS (" + " UNION ALL ".join(_tier_ci(i, t) for i, t in enumerate(S.TIERS)) + ") SELECT t.tier, count(*) AS components, count(DISTINCT source_image) AS images, min(fp_pixels) AS contrast_min, max(fp_pixels) AS contrast_max, round(avg(stratum), 6) AS stratum_mean, any_value(lo) AS stratum_lo, any_value(hi) AS stratum_hi FROM tiers t JOIN ci ON t.tier = ci.tier GROUP BY t.tier")
+def _(a):
+    return S.tier_summary(a, "source_image", "fp_pixels", ["stratum"], 50, 20)
 
 
+@query("stratum_table", ("v_scored",), "SELECT image_id % 4 AS stratum, patch_id % 3 AS pairing, " + ", ".join(f"round(avg(prob) FILTER (l = {i}), 6) AS f1_{i}" for i in range(3)) + " FROM (SELECT *, CAST(round(gate * 100) AS BIGINT) % 3 AS l FROM v_scored) GROUP BY ALL")
+def _(s):
+    scores = s.select((F.col("image_id") % 4).alias("stratum"), (F.col("patch_id") % 3).alias("pairing"), (F.round(F.col("gate") * 100).cast("long") % 3).alias("tolerance"), F.col("prob").alias("f1"))
+    return T.stratum_table(scores, [0, 1, 2])
+
+
+@query("thickness_recovery", ("v_scored",), ", p AS (SELECT image_id % 4 AS thickness, CAST(count(*) FILTER (prob >= 5e-1 AND target) AS DOUBLE) / count(*) FILTER (prob >= 5e-1) AS p FROM v_scored GROUP BY 1), e AS (SELECT max(p) FILTER (thickness = 0) AS pre, arg_max(p, thickness) AS thick FROM p) SELECT thickness, round(pre - p, 6) AS loss, round(CASE WHEN pre = thick THEN 0 ELSE (p - thick) / (pre - thick) END, 6) AS recovered FROM p, e WHERE thickness > 0")
+def _(s):
+    c = s.groupBy((F.col("image_id") % 4).alias("thickness")).agg((F.count_if((F.col("prob") >= 0.5) & F.col("target")) / F.count_if(F.col("prob") >= 0.5)).alias("precision"))
+    return T.thickness_recovery(c)
+
+
+# Resampling.
 UNITS = f", c AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), u AS (SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS unit_no FROM c), nn AS (SELECT count(*) AS n FROM u), d AS (SELECT resample, {number_of(11, 'resample', 'i')} % n AS unit_no FROM (SELECT n, resample, unnest(range(n)) AS i FROM (SELECT n, unnest(range(200)) AS resample FROM nn)))"
 
 
@@ -590,11 +791,11 @@ def _(s):
     return S.paired_bootstrap(s.groupBy("image_id").agg(F.avg("prob").alias("a"), F.avg("prob2").alias("b")), "image_id", "a", "b", 200, 11)
 
 
-@query("bootstrap_mean", ("v_trials",), f""", v AS (SELECT trial, val_f1, row_number() OVER (PARTITION BY trial ORDER BY run) - 1 AS unit_no FROM v_trials WHERE run < 1500), n AS (SELECT trial, count(*) AS n, avg(val_f1) AS mean FROM v GROUP BY trial),
-    d AS (SELECT trial, resample, {number_of(3, 'trial', 'resample', 'i')} % n AS unit_no FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, unnest(range(100)) AS resample FROM n))), m AS (SELECT d.trial, resample, avg(val_f1) AS m FROM d JOIN v ON d.trial = v.trial AND d.unit_no = v.unit_no GROUP BY ALL)
+@query("bootstrap_mean", ("v_trials",), f""", v AS (SELECT trial, val_f1, row_number() OVER (PARTITION BY trial ORDER BY run) - 1 AS unit_no FROM v_trials), n AS (SELECT trial, count(*) AS n, avg(val_f1) AS mean FROM v GROUP BY trial),
+    d AS (SELECT trial, resample, {number_of(3, 'trial', 'resample', 'i')} % n AS unit_no FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, unnest(range(20)) AS resample FROM n))), m AS (SELECT d.trial, resample, avg(val_f1) AS m FROM d JOIN v ON d.trial = v.trial AND d.unit_no = v.unit_no GROUP BY ALL)
     SELECT m.trial, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(any_value(mean), 6) AS mean FROM m JOIN n ON m.trial = n.trial GROUP BY m.trial""")
 def _(t):
-    return S.bootstrap_mean(t.where("run < 1500"), "trial", "run", "val_f1", 100, 3)
+    return S.bootstrap_mean(t, "trial", "run", "val_f1", 20, 3)
 
 
 CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
@@ -606,13 +807,6 @@ def _(s):
 
 
 # Streak studies.
-@query("fp_distance_median", BOTH, FP + """, d AS (SELECT fp.image_id, fp.y, fp.x, min((fp.y - t.y) ** 2 + (fp.x - t.x) ** 2) AS d2 FROM fp JOIN v_gt_px t ON fp.image_id = t.image_id AND abs(fp.y - t.y) <= 20 AND abs(fp.x - t.x) <= 20 WHERE (fp.y - t.y) ** 2 + (fp.x - t.x) ** 2 <= 400 GROUP BY ALL),
-    h AS (SELECT CAST(floor(sqrt(d2)) AS INT) AS bin, count(*) AS n FROM d GROUP BY ALL), w AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS c, (SELECT sum(n) FROM h) / 2 AS half FROM h) SELECT round(arg_min(bin + (half - (c - n)) / n, bin), 6) AS median FROM w WHERE c >= half""")
-def _(p, t):
-    d = P.fp_distances(p, t, 32, 20).where("d2 IS NOT NULL")
-    return T.histogram_median(d.groupBy(F.floor(F.sqrt("d2")).cast("int").alias("bin")).agg(F.count("*").alias("n")))
-
-
 @query("centreline_dice", BOTH)
 def _(p, t):
     cell = lambda d: d.select("image_id", F.floor(F.col("y") / 32).alias("cy"), F.floor(F.col("x") / 32).alias("cx"), "y", "x")
@@ -626,38 +820,57 @@ def _(t):
 
 @query("streak_profiles", ("v_gt_px", "v_prob_px"))
 def _(t, p):
-    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    frame = grid.join(p, ["image_id", "y", "x"], "left").select("image_id", "y", "x", (F.coalesce("prob", F.lit(0.0)) * 200 + 20).alias("v"))
-    return T.profile_metrics(T.profile(P.components(t), frame, 12), 8)
+    frame = p.select("image_id", "y", "x", (F.col("prob") * 200 + 20).alias("v"))
+    return T.profile_metrics(T.profile(P.components(t), frame, 12, size=(FRAME, FRAME), missing=20.0), 8)
 
 
-@query("component_recall", ("v_gt_px", "v_prob_px"))
+@query("component_recall", ("v_gt_px", "v_prob_px"), components_sql("v_gt_px", "cc") + " SELECT cc.image_id, component, count(*) AS area, round(count(*) FILTER (prob >= 5e-1) / count(*), 6) AS recall_pre, round(count(*) FILTER (prob >= 1e-1) / count(*), 6) AS recall_post, round(count(*) FILTER (prob >= 1e-1 AND prob < 5e-1) / count(*), 6) AS recall_added FROM cc LEFT JOIN v_prob_px p ON cc.image_id = p.image_id AND cc.y = p.y AND cc.x = p.x GROUP BY ALL")
 def _(t, p):
     return T.component_recall(P.components(t), p.where("prob >= 0.5"), p.where("prob >= 0.1"))
 
 
-@query("recovered_crops", ("v_prob_px", "v_gt_px"))
+ADDED = ", added AS (SELECT p.image_id, p.y, p.x FROM v_prob_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x WHERE prob >= 1e-1 AND prob < 5e-1)"
+HELD = lambda c: f"CAST(greatest(0, least({FRAME - 1}, {c})) AS BIGINT)"
+
+
+@query("recovered_crops", ("v_prob_px", "v_gt_px"), ADDED + components_sql("added", "cc") + shapes_sql("cc", "sh") + f" SELECT image_id, area, {HELD('y0 - 8')} AS y0, {HELD('x0 - 8')} AS x0, {HELD('y1 + 8')} AS y1, {HELD('x1 + 8')} AS x1 FROM sh QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, component) = 1")
 def _(p, t):
     return T.recovered_crop(P.recovered(p.where("prob >= 0.1"), p.where("prob >= 0.5"), t), FRAME, FRAME, 8)
 
 
+@query("component_ends", ("v_gt_px",))
+def _(t):
+    return T.component_ends(P.components(t))
+
+
 LINE = {"least_votes": 30, "max_gap": 5, "least_length": 20, "height": FRAME, "width": FRAME}
 
 
-@query("strata_line_union", ("v_prob_px",))
+@query("strata_line_union", ("v_prob_px",), f", a AS ({AT('2e-1')}), b AS ({AT('5e-1')})" + lines_sql("a", "la", 30, 5, 20) + lines_sql("b", "lb", 30, 5, 20) + " SELECT image_id, y, x, min(level) AS level FROM (SELECT *, 2e-1 AS level FROM la UNION ALL SELECT *, 5e-1 FROM lb) GROUP BY image_id, y, x")
 def _(p):
     return T.strata_lines(p, [0.2, 0.5], **LINE)
 
 
-@query("gated_line_pass", ("v_prob_px", "v_gt_px"))
+GATED = ", gates AS (SELECT image_id, y // 32 AS cy, x // 32 AS cx FROM v_prob_px GROUP BY ALL HAVING max(prob) >= 8e-1), kept AS (SELECT p.* FROM v_prob_px p SEMI JOIN gates g ON p.image_id = g.image_id AND p.y // 32 = cy AND p.x // 32 = cx), low AS (SELECT image_id, y, x FROM kept WHERE prob >= 1e-1), pred AS (SELECT image_id, y, x FROM kept WHERE prob >= 5e-1)"
+
+
+@query("gated_line_pass", ("v_prob_px", "v_gt_px"), GATED + lines_sql("low", "ln", 30, 5, 20) + ", post AS (SELECT * FROM pred UNION SELECT * FROM ln)" + accounts_sql("pred", "post") + TOTALS)
 def _(p, t):
     gates = p.groupBy("image_id", F.floor(F.col("y") / 32).alias("cy"), F.floor(F.col("x") / 32).alias("cx")).agg(F.max("prob").alias("gate"))
     return T.gated_line_pass(p, gates, 0.8, 0.5, 0.1, t, 32, **LINE)
 
 
-@query("detector_grid", ("v_pred_px", "v_gt_px"))
+SETTINGS = [(v, g) for v in (30, 40) for g in (3, 8)]
+
+
+def _setting(i: int) -> str:
+    n = f"(SELECT image_id, count(*) AS np FROM l{i} GROUP BY image_id)"
+    return f"SELECT {i} AS setting, sum(tp)::BIGINT AS tp, (sum(np) - sum(tp))::BIGINT AS fp, (sum(nt) - sum(tp))::BIGINT AS fn FROM (SELECT count(*) AS tp FROM l{i} l SEMI JOIN v_gt_px t ON l.image_id = t.image_id AND l.y = t.y AND l.x = t.x) a, (SELECT count(*) AS np FROM l{i}) b, (SELECT count(*) AS nt FROM v_gt_px) c"
+
+
+@query("detector_grid", ("v_pred_px", "v_gt_px"), "".join(lines_sql("v_pred_px", f"l{i}", v, g, 20) for i, (v, g) in enumerate(SETTINGS)) + ", s AS (" + " UNION ALL ".join(_setting(i) for i in range(4)) + f") SELECT CAST(setting AS INT) AS setting, tp, fp, fn, {q0('tp', 'tp + fp')} AS precision, {q0('tp', 'tp + fn')} AS recall, {q0('2 * tp', '2 * tp + fp + fn')} AS f1 FROM s")
 def _(p, t):
-    return T.detector_grid(p, t, [LINE | {"least_votes": v, "max_gap": g} for v in (30, 40) for g in (3, 8)], AREA)
+    return T.detector_grid(p, t, [LINE | {"least_votes": v, "max_gap": g} for v, g in SETTINGS], AREA)
 
 
 @query("run_comparison", ("v_scored",), f", a AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), b AS (SELECT image_id, {CONFUSION.replace('prob', 'prob2')} FROM v_scored GROUP BY image_id) SELECT image_id, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change, a.tp = b.tp AND a.fp = b.fp AS same FROM a JOIN b USING (image_id)")
@@ -665,18 +878,28 @@ def _(s):
     return T.compare_runs(M.dense_counts(s, ["image_id"]), M.dense_counts(s, ["image_id"], prob="prob2"), ["image_id"], ["tp", "fp"])
 
 
-@query("annotation_scores", ("v_pred_px", "v_gt_px", "v_prob_px"))
+def _pair_sql(a: str, b: str, k: int) -> str:
+    near = lambda x, y: f"SELECT count(*) FILTER (EXISTS (SELECT 1 FROM cut{y} o WHERE o.image_id = i.image_id AND abs(o.y - i.y) <= {k} AND abs(o.x - i.x) <= {k})) AS hit, count(*) AS n FROM cut{x} i"
+    p, r = "CAST(p.hit AS DOUBLE) / p.n", "CAST(r.hit AS DOUBLE) / r.n"
+    names = {"1": "first", "2": "second", "3": "third"}
+    return f"SELECT '{names[a]}-{names[b]}' AS pairing, {k} AS tolerance, round({p}, 6) AS precision, round({r}, 6) AS recall, {q0(f'2 * ({p}) * ({r})', f'({p}) + ({r})')} AS f1 FROM ({near(a, b)}) p, ({near(b, a)}) r"
+
+
+CUTS_SQL = ", w AS (SELECT image_id, min(y) AS y0, min(x) AS x0 FROM v_gt_px GROUP BY image_id)" + "".join(f", cut{i} AS (SELECT p.image_id, p.y - y0 AS y, p.x - x0 AS x FROM ({src}) p JOIN w ON p.image_id = w.image_id AND p.y >= y0 AND p.y < y0 + 64 AND p.x >= x0 AND p.x < x0 + 64)" for i, src in ((1, "SELECT * FROM v_gt_px"), (2, "SELECT * FROM v_pred_px"), (3, AT("3e-1"))))
+
+
+@query("annotation_scores", ("v_pred_px", "v_gt_px", "v_prob_px"), CUTS_SQL + " " + " UNION ALL ".join(_pair_sql(a, b, k) for a, b in ("12", "13", "23") for k in (0, 1, 2)))
 def _(p, t, q):
     crops = t.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0")).withColumn("name", F.col("image_id").cast("string"))
     return T.annotation_scores(t, p, q.where("prob >= 0.3"), crops, 64, [0, 1, 2])
 
 
-@query("stratified_components", ("v_audit",))
+@query("stratified_components", ("v_audit",), TIER + ", c AS (SELECT *, " + md5_of(3, "attempt", "image_id", "component") + " AS h FROM (SELECT stratum AS image_id, crop_name AS component, tier, unnest(range(10)) AS attempt FROM tiers) x), r AS (SELECT *, row_number() OVER (PARTITION BY attempt, tier ORDER BY h) AS r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY r > 5, h) AS k FROM r), s AS (SELECT * FROM k WHERE k <= 15) SELECT image_id, component, tier FROM s WHERE attempt = (SELECT coalesce(min(attempt) FILTER (n >= 4), min(attempt)) FROM (SELECT attempt, count(DISTINCT image_id) AS n FROM s GROUP BY attempt))")
 def _(a):
     return T.stratified_components(S.tertiles(a.select(F.col("stratum").alias("image_id"), F.col("crop_name").alias("component"), "fp_pixels"), "fp_pixels"), 5, 3, 4)
 
 
-@query("audit_crop_list", BOTH)
+@query("audit_crop_list", BOTH, f", fp AS (SELECT * FROM v_pred_px p ANTI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), tp AS (SELECT * FROM v_pred_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), u AS (SELECT *, 'hit' AS stratum FROM tp UNION ALL SELECT *, 'miss' FROM fp), q AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY stratum, image_id ORDER BY {md5_of(5, 'image_id', 'y', 'x')}, image_id, y, x) <= 3) SELECT 'crop_' || lpad(CAST(row_number() OVER (ORDER BY {md5_of(2, 'stratum', 'image_id', 'y', 'x')}) AS VARCHAR), 4, '0') AS name, stratum, image_id, CAST(greatest(0, least(128, round_even(y - 32.0, 0))) AS INT) AS y0, CAST(greatest(0, least(128, round_even(x - 32.0, 0))) AS INT) AS x0 FROM q")
 def _(p, t):
     hit = P.recovered(p, p.limit(0), t)
     miss = p.join(t, ["image_id", "y", "x"], "left_anti")

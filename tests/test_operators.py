@@ -137,7 +137,53 @@ def test_fp_labels(spark):
     assert none.label == "insufficient-data" and none.inter_fraction == 0
     rows = [(0, p, 0.9, False, 0.0) for p in range(8) for _ in range(16)] + [(0, 8 + p, 0.9, i == 0, 0.0) for p in range(8) for i in range(9)]
     r = M.fp_decomposition(scored(spark, rows)).first()
-    assert (r.inter_patch_fp, r.intra_patch_fp, r.label) == (128, 64, "inter-patch")
+    assert (r.inter_patch_fp, r.intra_patch_fp, r.label) == (128, 64, "gate-favourable")
+
+
+def test_fp_label_at_the_limit(spark):
+    rows = [(0, 0, 0.9, False, 0.0)] * 2 + [(0, 1, 0.9, i == 0, 0.0) for i in range(3)]
+    assert M.fp_decomposition(scored(spark, rows)).first().label == "gate-favourable"  # a half is enough
+    assert M.fp_decomposition(scored(spark, rows[1:])).first().label == "gate-limited"
+
+
+def test_fired_and_quiet(spark):
+    s = scored(spark, [(0, 0, 0.95, False, 0.0), (0, 1, 0.5, False, 0.0), (0, 2, 0.1, False, 0.0), (0, 3, 0.9, True, 0.0)])
+    assert {(r.patch_id, r.fired) for r in M.fired_patches(s, 0.9, 0.3).collect()} == {(0, True), (2, False)}
+
+
+def test_losses_weigh_a_half_each(spark):
+    r = M.patch_losses(scored(spark, [(0, 0, 0.5, True, 0.0), (0, 0, 0.5, False, 0.0)]), ["patch_id"]).first()
+    dice = 1 - (2 * 0.5 + 1e-4) / (0.5 + 1 + 1e-4)
+    assert r.bce == pytest.approx(np.log(2)) and r.dice_loss == pytest.approx(dice) and r.loss == pytest.approx((np.log(2) + dice) / 2)
+
+
+def test_threshold_chosen_on_one_part_and_scored_on_another(spark):
+    val = [(0, 0, 0.6, True, 0.0), (0, 0, 0.4, False, 0.0), (0, 0, 0.3, False, 0.0)]
+    test = [(1, 1, 0.45, True, 0.0), (1, 1, 0.42, False, 0.0), (1, 1, 0.2, True, 0.0), (1, 1, 0.1, False, 0.0)]
+    s = scored(spark, val + test)
+    r = M.tuned_scores(s, F.col("image_id") == 0, F.col("image_id") == 1).first()
+    assert (r.threshold, r.chosen_f1, r.tp, r.fp, r.tn, r.fn) == (0.41, 1.0, 1, 1, 1, 1)
+    fixed = M.tuned_scores(s, F.lit(False), F.col("image_id") == 1, threshold=0.15).first()
+    assert (fixed.tp, fixed.fp, fixed.tn, fixed.fn, fixed.chosen_f1) == (2, 1, 1, 0, None)
+    assert M.tuned_scores(s, F.lit(False), F.col("image_id") == 1).first().threshold == 0.05
+
+
+def test_views_are_turned_back(spark):
+    v = spark.createDataFrame([(0, k, y, x, p, "fixed") for k, y, x, p in [("as_is", 1, 2, 0.2), ("flip_x", 1, 1, 0.4), ("flip_y", 4, 2, 0.6), ("turned", 4, 1, 0.8)]], "image_id int, view string, y int, x int, prob double, normalisation string")
+    r = M.view_mean(v, 6, 4).collect()
+    assert len(r) == 1 and (r[0].y, r[0].x) == (1, 2) and r[0].prob == pytest.approx(0.5)
+    with pytest.raises(Exception, match="normalisation"):
+        M.view_mean(v.withColumn("normalisation", F.col("view")), 6, 4).collect()
+
+
+def test_running_sums_cross_parts(spark):
+    df = spark.createDataFrame([(float(i), i) for i in range(200)], "v double, n long").repartition(7)
+    assert all(r.n_before == sum(range(int(r.v))) for r in M.running_before(df, "v", ["n"], 8).collect())
+
+
+def test_binarise_kinds(spark):
+    b = spark.range(1).select(M.binarise(F.lit(2), 0.5, kind="int").alias("a"), M.binarise(F.lit(0), 0.5, kind="int").alias("b"), M.binarise(F.lit(True), 2, kind="bool").alias("c"), M.binarise(F.lit(0.5), 0.5).alias("d"), M.binarise(F.lit(0), 0.5, True, "int").alias("e"), M.binarise(F.lit(-1), 0.5, True).alias("f")).first()
+    assert tuple(b) == (True, False, True, True, True, False)
 
 
 def test_metrics_without_denominators(spark):
@@ -198,6 +244,127 @@ def test_splits_are_disjoint_and_repeat(spark):
         D.image_splits(c, 0.9, 0.2, 1)
 
 
+def test_noise_calibration_numbers(spark):
+    # mu and sigma of the background give alpha = sigma**2 / (2 mu) and beta = sigma / sqrt(2).
+    r = D.noise_calibration(spark.createDataFrame([(0, 0, x, v) for x, v in enumerate([51, 51, 102, 204])], "image_id int, y int, x int, v int")).first()
+    mu, sd = 0.4, np.std([0.2, 0.2, 0.4, 0.8])
+    assert (r.mu, r.sigma, r.alpha, r.beta) == (pytest.approx(mu), pytest.approx(sd), pytest.approx(sd * sd / (2 * mu)), pytest.approx(sd / 2**0.5))
+    # The published pair: alpha 0.020920 and beta 0.088592 belong to one mu and sigma.
+    sigma = 0.088592 * 2**0.5
+    assert sigma**2 / (2 * 0.020920) == pytest.approx(0.375, abs=1e-2)
+    with pytest.raises(Exception, match="mean"):
+        D.noise_calibration(spark.createDataFrame([(0, 0, 0, 0)], "image_id int, y int, x int, v int")).collect()
+
+
+def test_normalise_modes(spark):
+    px = spark.createDataFrame([(0, 0, 0, 0.2), (0, 0, 1, 0.4), (1, 0, 0, 0.2), (1, 0, 1, 0.6)], "image_id int, y int, x int, v double")
+    st = spark.createDataFrame([(0, 0.3, 0.1), (1, float("nan"), 0.1)], "image_id int, image_mean double, image_std double")
+    z = lambda df: {(r.image_id, r.x): r.z for r in df.collect()}
+    assert z(D.normalise(px, "fixed"))[0, 1] == pytest.approx(-0.2)
+    full, own = z(D.normalise(px, "full_image", stats=st)), z(D.normalise(px))
+    assert full[0, 1] == pytest.approx(0.1 / (0.1 + 1e-6)) and full[1, 0] == own[1, 0] == pytest.approx(-0.2 / (0.2828427 + 1e-6), rel=1e-5)
+    with pytest.raises(ValueError):
+        D.normalise(px, "other")
+
+
+def test_audit_of_statistics_masks_and_files(spark):
+    m = spark.createDataFrame([("train", "a", 1, 0.1, 0.5, 0.1), ("train", "a", 2, 0.0, None, None), ("val", "b", 3, 0.2, 1.5, 0.0), ("test", "c", 4, 0.3, None, 0.1)], "split string, source_image string, patch long, fraction double, image_mean double, image_std double")
+    masks = spark.createDataFrame([(1, 10, 100), (3, 21, 100)], "patch long, positive_pixels long, pixels long")
+    files = spark.createDataFrame([(1, 528, 528, 528, 528), (2, 528, 500, 528, 528), (3, 528, 528, 528, 528)], "patch long, height int, width int, mask_height int, mask_width int")
+    got = {r.check: r.failing for r in D.audit(m, masks, files, strict=True).collect()}
+    assert {k: got[k] for k in ("statistics_pattern", "statistics_range", "statistics_missing", "fraction_recomputed", "absent_files", "patch_shapes")} == {"statistics_pattern": 2, "statistics_range": 1, "statistics_missing": 2, "fraction_recomputed": 1, "absent_files": 1, "patch_shapes": 1}
+    assert all(r.failing == 0 for r in D.audit(m.select("split", "source_image", "patch", "fraction")).collect())
+
+
+def test_mechanism_rule(spark):
+    cases = [(0.5, 0.5, 2.0, 4.0, 4.5), (0.5, 0.5, 2.0, 2.5, 4.0), (0.9, 0.5, 2.0, 4.0, 4.5), (0.5, 0.5, None, 4.0, 4.5), (0.5, 0.5, 2.0, 4.0, 5.5)]
+    df = spark.createDataFrame(cases, "a double, b double, o double, r double, m double")
+    got = [r.k for r in df.select(S.mechanism(*[F.col(c) for c in "abohm".replace("h", "r")]).alias("k")).collect()]
+    assert got == ["thin-original support", "model-overpaint support"] + ["mixed/inconclusive"] * 3
+
+
+def test_control_summary(spark):
+    rows = [("q", "trail", True, True, 10), ("q", "no_trail", False, True, 30), ("q", "no_trail", False, True, 50), ("q", "no_trail", False, False, 0), ("n", "trail", True, False, 4)]
+    got = {r.stratum: r for r in S.control_summary(spark.createDataFrame(rows, "stratum string, verdict string, reference_has_trail boolean, model_fired boolean, fp_pixels long"), 100).collect()}
+    q = got["q"]
+    assert (q.crops, q.verdict_trail, q.verdict_no_trail, q.reference_has_trail, q.model_fired, q.median_fp, q.max_fp, q.median_fp_fraction) == (4, 1, 3, 1, 3, 20, 50, 0.2)
+    assert (q.over_fired, q.over_fired_median_fp, q.over_fired_max_fp, q.over_fired_median_fp_fraction) == (2, 40, 50, 0.4)
+    assert got["n"].over_fired == 0 and got["n"].over_fired_median_fp is None
+
+
+def test_trials_in_several_seeds(spark):
+    rows = [("net", 1, s, s, 0.8 + s / 100, s == 2, 0.5, s, 1) for s in (1, 2)] + [("net", 2, 1, 3, None, False, None, 0, 0)]
+    df = spark.createDataFrame(rows, "prefix string, trial int, seed int, run int, val_f1 double, bad_loss boolean, last_dice double, longest_zero long, spikes long")
+    got = {r.trial: r for r in S.trial_aggregate(df, [1, 2, 3], 50, 1, [1, 2]).collect()}
+    assert (got[1].n, got[1].missing_seeds, got[1].failures, got[1].longest_zero, got[1].spikes) == (2, 1, 2, 2, 2) and got[1].lo <= got[1]["mean"] <= got[1].hi
+    assert (got[2].n, got[2]["mean"], got[2]["std"], got[2].failures, got[2].lo) == (0, None, None, 3, None)
+    with pytest.raises(Exception, match="missing expected trial"):
+        S.trial_aggregate(df, [1], 5, 1, [1, 2, 9]).collect()
+    with pytest.raises(Exception, match="mixed prefixes"):
+        S.trial_aggregate(df.union(df.withColumn("prefix", F.lit("other"))), [1], 5, 1).collect()
+    tag = spark.createDataFrame([("a_b_t44_s2804",)], "t string").select(*S.parse_tag(F.col("t"))).first()
+    assert tuple(tag) == ("a_b", 44, 2804)
+    with pytest.raises(Exception, match="not a run tag"):
+        spark.createDataFrame([("a_t4",)], "t string").select(*S.parse_tag(F.col("t"))).collect()
+
+
+def test_tiers_need_enough(spark):
+    rows = [(f"i{i % 4}", float(i), i / 20) for i in range(15)]
+    df = spark.createDataFrame(rows, "source_image string, contrast double, recall double")
+    got = {r.tier: r for r in S.tier_summary(df, "source_image", "contrast", ["recall"], 30, 1).collect()}
+    assert [got[t].components for t in ("low", "medium", "high")] == [5, 5, 5] and all(r.recall_lo <= r.recall_mean <= r.recall_hi for r in got.values())
+    assert S.tier_summary(df.limit(14), "source_image", "contrast", ["recall"], 5, 1).count() == 0
+    assert S.tier_summary(df.withColumn("source_image", F.lit("x")), "source_image", "contrast", ["recall"], 5, 1).count() == 0
+
+
+def test_false_positives_at_any_distance(spark):
+    rng = np.random.default_rng(1)
+    t, f = {(int(a), int(b)) for a, b in rng.integers(0, 30, (12, 2))}, {(int(a), int(b)) for a, b in rng.integers(0, 900, (60, 2))}
+    got = {(r.y, r.x): (r.d2, r.has_target) for r in P.fp_distances(px(spark, sorted(f | t)).union(px(spark, [(5, 5)], 1)), px(spark, sorted(t)), 8, 4).where("image_id = 0").collect()}
+    assert got == {p: (min((p[0] - a) ** 2 + (p[1] - b) ** 2 for a, b in t), True) for p in f - t}
+    d = P.fp_distances(px(spark, [(5, 7), (5, 8), (5, 99)]).union(px(spark, [(1, 1)], 1)), px(spark, [(5, 5)]), 8, 4)
+    r = P.fp_distance_summary(d).first()
+    assert (r.with_target, r.without_target, r.within_2, r.within_2_of_all, r.overflow, r.median) == (3, 1, pytest.approx(1 / 3), 0.25, 1, 3.0)
+
+
+def test_support_of_patches_that_overlap(spark):
+    pts = [(y, x) for y in range(12) for x in range(12)]
+    got = points(P.within_support(px(spark, pts), spark.createDataFrame([(0, 1, 2), (0, 3, 5)], "image_id int, y0 int, x0 int"), 4))
+    assert got == {(y, x) for y, x in pts if (1 <= y < 5 and 2 <= x < 6) or (3 <= y < 7 and 5 <= x < 9)}
+
+
+def test_patches_are_cut_whole(spark):
+    images = spark.createDataFrame([(0, 6, 6)], "image_id int, height int, width int")
+    frame = spark.createDataFrame([(0, y, x, 10 * y + x) for y in range(6) for x in range(6)], PX + ", v int")
+    got = {(r.y0, r.x0): r for r in P.cut_patches(images, frame, px(spark, [(2, 3), (5, 5)]), 4, 2).collect()}
+    assert set(got) == {(a, b) for a in (0, 2) for b in (0, 2)}
+    for (a, b), r in got.items():
+        assert list(r.pixels) == [10 * (a + i) + b + j for i in range(4) for j in range(4)]
+        assert [i for i, v in enumerate(r["mask"]) if v == 255] == [(y - a) * 4 + x - b for y, x in [(2, 3), (5, 5)] if a <= y < a + 4 and b <= x < b + 4]
+        assert r.positive_pixels == sum(v == 255 for v in r["mask"])
+
+
+def test_surface_categories(spark):
+    a, far = px(spark, [(5, 5)]), px(spark, [(9, 9)])
+    images = spark.createDataFrame([(i,) for i in range(4)], "image_id int")
+    pred, target = a.union(px(spark, [(1, 1)], 1)), a.union(px(spark, [(2, 2)], 2))
+    r = P.surface_summary(P.surface_counts(pred, target, [1], 12, 12), pred, target, images).first()
+    assert (r.scored, r.empty_both, r.empty_target, r.empty_prediction) == (1, 1, 1, 1)
+    assert r.nsd_all == pytest.approx(2 / 4) and r.nsd_positive == pytest.approx(2 / 3) and far.count() == 1
+
+
+def test_summaries_joined(spark):
+    st = P.patch_statistics(spark.createDataFrame([(0, 4, 4), (1, 4, 4)], "image_id int, height int, width int"), px(spark, [(0, 0)]), 2, 2)
+    im = spark.createDataFrame([(0, 9), (1, 8), (2, 7)], "image_id int, n int")
+    assert [(r.image_id, r.non_empty_patches) for r in D.image_patch_summary(im, st).collect()] == [(2, None), (1, 0), (0, 1)]
+    m = {(r.image_id, r.grid_y): (r["0"], r["1"]) for r in P.density_map(st, 2).collect()}
+    assert m[0, 0] == (0.25, 0.0) and m[1, 1] == (0.0, 0.0)
+    lists = D.patch_lists(st, spark.createDataFrame([(0, "train"), (1, "val")], "image_id int, split string"))
+    assert {(r.split, r.n) for r in lists.where("is_positive").groupBy("split").agg(F.count("*").alias("n")).collect()} == {("train", 1)}
+    with pytest.raises(Exception, match="no split"):
+        D.patch_lists(st, spark.createDataFrame([(0, "train")], "image_id int, split string")).collect()
+
+
 def test_noise_has_the_asked_deviation(spark):
     flat = spark.range(20_000).select(F.lit(0).alias("image_id"), F.col("id").cast("int").alias("y"), F.lit(0).alias("x"), F.lit(0.5).alias("p"))
     sd = D.add_noise(flat, 0.02, 0.05, 1.0, 3).agg(F.stddev("p").alias("s")).first().s

@@ -53,6 +53,83 @@ def test_profile_of_a_gaussian(spark):
     rows = [(0, 1, o, 12 + 30 * float(np.exp(-o * o / 18)) + (1 if o > 12 else 0)) for o in range(-20, 21)]
     r = T.profile_metrics(spark.createDataFrame(rows, "image_id int, component int, offset int, v double"), 12).first()
     assert 4 <= r.fwhm <= 10 and r.contrast > 10 and not r.saturated and r.excess > 0
+    assert r.fwhm == 6 and r.peak == pytest.approx(42 - r.background)
+
+
+def test_profiles_without_sideband_or_scatter(spark):
+    df = lambda v: spark.createDataFrame([(0, 1, o, float(x)) for o, x in v], "image_id int, component int, offset int, v double")
+    flat = T.profile_metrics(df([(-1, 10), (0, 251), (1, 10), (9, 10), (10, 10), (11, 10)]), 9).first()
+    assert flat.contrast is None and flat.scatter == 0 and flat.saturated and flat.fwhm == 0 and flat.excess == pytest.approx(241)
+    near = T.profile_metrics(df([(-1, 10), (0, 30), (1, 20)]), 9).first()
+    assert near.background == 20 and near.peak == 10 and near.scatter == pytest.approx(14.826)
+    low = T.profile_metrics(df([(0, 5), (9, 10), (10, 12)]), 9).first()
+    assert low.peak == 1 and not low.saturated
+    none = T.profile_metrics(df([(0, 5), (9, 10), (10, 10)]), 9).first()
+    assert none.peak == 0 and none.fwhm is None
+
+
+def test_widths_do_not_hang_on_tiles(spark):
+    rows = [(y + x // 3, x) for y in range(5) for x in range(0, 90)]
+    named = P.components(px(spark, rows))
+    whole = K.component_widths(named, 1000, 500).first().width
+    assert K.component_widths(named, 16, 12).first().width == pytest.approx(whole, abs=0.9)
+    g = np.zeros((9, 12), bool)
+    g[2:7, 2:10] = True
+    oy, ox = np.nonzero(~g)
+    d = K.edge_distances(g)
+    assert all(d[y, x] == pytest.approx(np.sqrt(((y - oy) ** 2 + (x - ox) ** 2).min())) for y, x in zip(*np.nonzero(g)))
+
+
+def test_two_samples_share_nothing(spark):
+    c = spark.createDataFrame([(i % 6, i, t) for i, t in enumerate(["low", "high"] * 12)], "image_id int, component int, tier string")
+    got = T.two_component_samples(c, 4, 3, 1).collect()
+    assert len(got) == 14 and len({(r.image_id, r.component) for r in got}) == 14
+
+
+def test_ends_of_a_column(spark):
+    r = T.component_ends(P.components(px(spark, [(y, 300) for y in range(100, 500)])), 0.25).first()
+    assert {(r.y0, r.x0), (r.y1, r.x1)} == {(100, 300), (499, 300)} and (r.y, r.x) in ((200, 300), (399, 300))
+
+
+def test_recall_crops_and_strata(spark):
+    t = px(spark, [(10, x) for x in range(40)])
+    pre, post = px(spark, [(10, x) for x in range(10)]), px(spark, [(10, x) for x in range(30)])
+    r = T.component_recall(P.components(t), pre, post).first()
+    assert (r.area, r.recall_pre, r.recall_post, r.recall_added) == (40, 0.25, 0.75, 0.5)
+    box = T.recovered_crop(P.recovered(post, pre, t).union(px(spark, [(30, 30)])), 64, 64, 5).first()
+    assert (box.area, box.y0, box.x0, box.y1, box.x1) == (20, 5, 5, 15, 34)
+    prob = spark.createDataFrame([(0, 20, x, 0.9 if x < 40 else 0.4) for x in range(80)] + [(0, 40, x, 0.4) for x in range(60)], PX + ", prob double")
+    line = {"least_votes": 30, "max_gap": 2, "least_length": 20, "height": 64, "width": 96}
+    levels = {(q.y, q.x): q.level for q in T.strata_lines(prob, [0.3, 0.8], **line).collect()}
+    assert levels[20, 70] == 0.3 and levels[40, 10] == 0.3
+    assert {k for k in levels} >= {(q.y, q.x) for q in P.complete_lines(prob.where("prob >= 0.8"), **line).collect()}
+    grid = T.detector_grid(prob, px(spark, [(20, x) for x in range(80)]), [line, line | {"least_votes": 70}], 64 * 96).collect()
+    assert grid[0].setting == 1 and grid[0].recall == 1.0 and len(grid) == 2
+
+
+def test_gate_annotations_and_tables(spark):
+    prob = spark.createDataFrame([(0, 4, x, 0.9) for x in range(8)] + [(0, 40, x, 0.9) for x in range(8)], PX + ", prob double")
+    gates = spark.createDataFrame([(0, 0, 0, 0.9), (0, 1, 0, 0.1)], "image_id int, cy int, cx int, gate double")
+    acc = T.gated_line_pass(prob, gates, 0.5, 0.5, 0.1, px(spark, [(4, x) for x in range(8)] + [(40, 0)]), 32, least_votes=99, max_gap=1, least_length=5, height=64, width=64).first()
+    assert acc.precision_pre == 1.0 and acc.recall_pre == pytest.approx(8 / 9) and acc.patch_fnr_pre == 0.5
+    crops = spark.createDataFrame([("c", 0, 0, 0)], "name string, image_id int, y0 int, x0 int")
+    a, b = px(spark, [(5, x) for x in range(10)]), px(spark, [(6, x) for x in range(10)])
+    got = {(r.pairing, r.tolerance): r.f1 for r in T.annotation_scores(a, b, a, crops, 16, [0, 1]).collect()}
+    assert got["first-second", 0] == 0 and got["first-second", 1] == 1 and got["first-third", 0] == 1
+    th = spark.createDataFrame([(0, 0.8), (1, 0.7), (2, 0.5), (3, 0.4)], "thickness int, precision double")
+    rec = {r.thickness: round(r.recovered, 6) for r in T.thickness_recovery(th).collect()}
+    assert rec == {1: 0.75, 2: 0.25, 3: 0.0}
+    tab = T.stratum_table(spark.createDataFrame([("s", "p", 0, 0.2), ("s", "p", 0, 0.4), ("s", "p", 1, 1.0)], "stratum string, pairing string, tolerance int, f1 double"), [0, 1]).first()
+    assert (round(tab.f1_0, 6), tab.f1_1) == (0.3, 1.0)
+
+
+def test_reviews_of_nothing(spark):
+    inf = spark.createDataFrame([(1, 1)], "expnum int, detector int")
+    rev = spark.createDataFrame([(1, 1, True, "a"), (2, 1, True, "a")], "expnum int, detector int, hit boolean, reviewer string")
+    with pytest.raises(Exception, match="nothing"):
+        T.merge_reviews(inf, rev, ["expnum", "detector"], ["hit"]).collect()
+    one = T.merge_reviews(inf, rev.where("expnum = 1"), ["expnum", "detector"], ["hit"])
+    assert tuple(T.review_summary(one, ["hit"]).first()) == (1, 1)
 
 
 def test_profile_reads_across_the_line(spark):
