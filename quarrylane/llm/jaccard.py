@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
+from .common import WORD, broadcasts, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
 
 SKETCH_BITS = 20
 BLOOM_BITS = 26
@@ -168,7 +168,7 @@ def _within_bound(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int, share) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have Jaccard num/den or more.
 
     Sets are made again from the texts; only those that a filter of all digests in pairs lets
@@ -176,7 +176,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     named = stored(ends.join(sets.select("node", "digest"), "node"), "ends")
     ends = named.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key"))
-    wanted = pairs.sparkSession.sparkContext.broadcast(build_bloom(ends, "key", BLOOM_BITS, 4))
+    wanted = share(build_bloom(ends, "key", BLOOM_BITS, 4))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, seen = wanted.value, set()
@@ -230,16 +230,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int, share) -> DataFrame:
     """Pairs (a, b) of nodes with different roots that share enough tokens of their prefixes.
 
     Tokens that only one node's prefix holds are dropped first (by a Bloom filter of the others).
     Of each token the nodes of its commonest root never meet one another, so a large group costs
     as many rows as it has nodes.  A shared token counts only where it lies within the prefixes
     that the two sizes ask for, which also bounds the overlap by the places of the first one."""
-    spark = pre.sparkSession
     some = pre.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-    bloom_b = spark.sparkContext.broadcast(build_bloom(some, "token", BLOOM_BITS, 4))
+    bloom_b = share(build_bloom(some, "token", BLOOM_BITS, 4))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,27 +282,27 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -
     rows of their own, told apart by tie, a hash of the text; a null id never names a component unless all its ids are null.  Rows with
     equal sets are one node, so copies cost one row each; root numbers the component (null without words).  Other columns are ignored.  Shingles are
     64-bit hashes, sets 128-bit digests.  An empty table gives an empty result."""
-    spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"]).alias("tie"))
     first = stored(set_digests(docs, size), "digests")
-    sketch = spark.sparkContext.broadcast(read_sketch(first.where("counts IS NOT NULL").select(F.col("doc_id").alias("part"), "counts")))
     rows = first.where("digest IS NOT NULL").drop("counts")
     full = rows.where("n > 0")
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("least_id"))
-    pre = prefixes(docs, size, num, den, sketch, max(1, full.count()))
-
-    # First round: each node with the centre of a few of its tokens, the node whose own tokens are the
-    # most common.  In a group of near copies that is the least edited one, to which most link.
-    few = pre.select("node", "common", F.explode("few").alias("token"))
-    centre = few.groupBy("token").agg(F.max(F.struct("common", "node")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.node").alias("centre"))
-    stars = few.join(centre, "token").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    stars = stored(_within_bound(stars, pre, num, den), "stars")
-    links = stored(verified(stars, pre, docs, size, num, den), "links")
-    roots = stored(components(links), "roots")
-
-    pairs = stored(_within_bound(unconnected_pairs(pre, roots, num, den), pre, num, den), "pairs")
-    more = stored(verified(pairs, pre, docs, size, num, den), "more")
-    top = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "top")
+    with broadcasts(docs.sparkSession) as share:
+        sketch = share(read_sketch(first.where("counts IS NOT NULL").select(F.col("doc_id").alias("part"), "counts")))
+        pre = prefixes(docs, size, num, den, sketch, max(1, full.count()))
+
+        # First round: each node with the centre of a few of its tokens, the node whose own tokens are the
+        # most common.  In a group of near copies that is the least edited one, to which most link.
+        few = pre.select("node", "common", F.explode("few").alias("token"))
+        centre = few.groupBy("token").agg(F.max(F.struct("common", "node")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.node").alias("centre"))
+        stars = few.join(centre, "token").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        stars = stored(_within_bound(stars, pre, num, den), "stars")
+        links = stored(verified(stars, pre, docs, size, num, den, share), "links")
+        roots = stored(components(links), "roots")
+
+        pairs = stored(_within_bound(unconnected_pairs(pre, roots, num, den, share), pre, num, den), "pairs")
+        more = stored(verified(pairs, pre, docs, size, num, den, share), "more")
+        top = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))), "top")
     named = pre.select("digest", "node").join(top, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     ids = nodes.join(named, "digest").groupBy("root").agg(F.min("least_id").alias("component_id"))
     out = rows.join(named.join(ids, "root"), "digest", "left")
@@ -318,14 +317,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
 def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs, any columns, without near-duplicates: of each component the document with the smallest
     id stays (null ids last, then by a hash of the text; equal rows leave one).  Documents without
-    words all stay."""
+    words all stay.  Names that begin with "__near_" are taken."""
     groups = jaccard_groups(docs, size, num, den).where("n_shingles > 0")
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__t"))
-    keyed = docs.withColumn("__tie", F.xxhash64(F.col("text").cast("string")))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("k")).select(F.col("k.doc_id").alias("__near_id"), F.col("k.tie").alias("__near_t"))
+    keyed = docs.withColumn("__near_tie", F.xxhash64(F.col("text").cast("string")))
     words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t"))
-    kept = keyed.where(words).join(first, same, "left_semi").dropDuplicates(["doc_id", "__tie"])
-    return kept.union(keyed.where(~words)).drop("__tie")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_tie") == F.col("__near_t"))
+    kept = keyed.where(words).join(first, same, "left_semi").dropDuplicates(["doc_id", "__near_tie"])
+    return kept.union(keyed.where(~words)).drop("__near_tie")
 
 
 #: DuckDB SQL for the rows of jaccard_components; {docs} is a table with doc_id (unique) and text.
