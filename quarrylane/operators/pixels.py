@@ -278,9 +278,14 @@ def crop_window(y: Column, x: Column, height: int, width: int, size: int) -> tup
     return held(y, height), held(x, width)
 
 
-def soft_target(px: DataFrame, radius: int, band: float, height: int, width: int) -> DataFrame:
-    """1 on set pixels, `band` within the square radius; other pixels (0) are not listed."""
-    grown = dilate(px, radius, height, width).join(px.select(*PX).distinct().withColumn("_core", F.lit(1.0)), PX, "left")
+def soft_target(px: DataFrame, radius: int, band: float, height: int, width: int, train: DataFrame | None = None) -> DataFrame:
+    """1 on set pixels, `band` within the square radius; other pixels (0) are not listed.  With train
+    (image_id) only those images get a band."""
+    wide = px if train is None else px.join(train.select("image_id").distinct(), "image_id", "left_semi")
+    grown = dilate(wide, radius, height, width)
+    if train is not None:
+        grown = union(grown, px)
+    grown = grown.join(px.select(*PX).distinct().withColumn("_core", F.lit(1.0)), PX, "left")
     return grown.select(*PX, F.coalesce("_core", F.lit(band)).alias("value"))
 
 

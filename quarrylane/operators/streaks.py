@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
 from . import pixels as P
+from .dataset import stretch
 from .kernels import edge_pixels
 from .metrics import metrics, ratio, sparse_counts
 
@@ -126,6 +127,20 @@ def edge_mask(px: DataFrame, tile: int, low: float, high: float) -> DataFrame:
     return named.join(strong, ["image_id", "component"], "left_semi").select(*PX)
 
 
+def classical_detector(px: DataFrame, height: int, width: int, edge: tuple[float, float], clip: tuple[float, float] = (1.0, 99.5), tile: int = 256, **line) -> DataFrame:
+    """The pixels that the classical detector marks in frames (image_id, y, x, v: 0 to 255): percentile
+    stretch, edges with hysteresis, straight segments."""
+    s = stretch(px, *clip, levels=255).select(*PX, F.col("s").cast("double").alias("v"))
+    return P.complete_lines(edge_mask(s, tile, *edge), height=height, width=width, **line)
+
+
+def detector_scores(mask: DataFrame, target: DataFrame, area: int) -> DataFrame:
+    """The eight metrics of each image, and of all together (image_id null)."""
+    c = sparse_counts(mask, target, area)
+    every = c.agg(*[F.sum(n).cast("long").alias(n) for n in ("tp", "fp", "tn", "fn")])
+    return metrics(c.unionByName(every.withColumn("image_id", F.lit(None).cast(c.schema["image_id"].dataType))))
+
+
 def thickness_recovery(precisions: DataFrame) -> DataFrame:
     """From precision before lines (thickness 0) and after lines of each thickness: the loss with the
     thickest lines and the share of it that each thinner one recovers."""
@@ -151,8 +166,11 @@ def review_summary(reviewed: DataFrame, flags: list[str]) -> DataFrame:
 
 def trial_table(trials: DataFrame, params: DataFrame, attributes: DataFrame, names: list[str], k: int | None = None) -> DataFrame:
     """Complete trials (trial_id, number, state, value) with their parameters as columns, best first; a
-    user attribute of a parameter's name replaces it; a parameter that is missing fails."""
+    user attribute of a parameter's name replaces it, the attribute val_f1 the value; a parameter that
+    is missing fails."""
     t = trials.where("state = 'COMPLETE'")
+    f1 = attributes.where("key = 'val_f1'").groupBy("trial_id").agg(F.first("value_json").cast("double").alias("_f1"))
+    t = t.join(f1, "trial_id", "left").withColumn("value", F.coalesce("_f1", "value")).drop("_f1")
     t = t.orderBy(F.desc("value"), "number").limit(k) if k else t
     p = params.groupBy("trial_id").pivot("param_name", names).agg(F.first("param_value"))
     a = attributes.groupBy("trial_id").pivot("key", names).agg(F.first("value_json"))

@@ -342,6 +342,12 @@ def _(t, f):
     return D.image_patch_summary(D.image_statistics(f).select("image_id", "n", "mean"), _stats(t))
 
 
+@query("patch_lists", ("v_gt_px",), STATS + " SELECT CASE WHEN image_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, positive_pixels > 0 AS is_positive, count(*) AS n FROM st GROUP BY ALL")
+def _(t):
+    splits = t.select("image_id").distinct().withColumn("split", F.when(F.col("image_id") % 2 == 0, "train").otherwise("val"))
+    return D.patch_lists(_stats(t), splits).groupBy("split", "is_positive").agg(F.count("*").alias("n"))
+
+
 @query("density_map", ("v_gt_px",), STATS + " SELECT image_id, grid_y, " + ", ".join(f'round(max(positive_pixels / 1024) FILTER (grid_x = {i}), 6) AS "{i}"' for i in range(11)) + " FROM st GROUP BY image_id, grid_y")
 def _(t):
     return P.density_map(_stats(t), 11)
@@ -601,6 +607,11 @@ def _(m):
     return D.quota_sample(m, ["source_image", "split"], 2, 4, "patch")
 
 
+@query("patch_names", ("v_manifest",), "SELECT patch, replace(source_image, '.png', '') || '_' || (patch % 7) || '_' || (patch % 5) AS name FROM v_manifest")
+def _(m):
+    return m.select("patch", D.patch_name(F.col("source_image"), F.col("patch") % 7, F.col("patch") % 5).alias("name"))
+
+
 @query("observations_per_year", ("v_manifest",), "SELECT CAST(substr(source_image, 5, 4) AS INT) AS year, count(*) AS n FROM v_manifest GROUP BY 1")
 def _(m):
     return S.per_year(m.withColumn("ts", D.parse_observation(F.col("source_image"))), "ts")
@@ -873,6 +884,14 @@ def _(p, t):
     return T.detector_grid(p, t, [LINE | {"least_votes": v, "max_gap": g} for v, g in SETTINGS], AREA)
 
 
+@query("classical_detector", ("v_prob_px", "v_gt_px"))
+def _(p, t):
+    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1)
+    lit = p.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.bround(F.col("prob") * 255).cast("int").alias("v"))
+    frame = grid.select("image_id", "y", "x").join(lit, ["image_id", "y", "x"], "left").na.fill(0, ["v"])
+    return T.detector_scores(T.classical_detector(frame, FRAME, FRAME, (100.0, 300.0), least_votes=30, max_gap=5, least_length=20), t, AREA)
+
+
 @query("run_comparison", ("v_scored",), f", a AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), b AS (SELECT image_id, {CONFUSION.replace('prob', 'prob2')} FROM v_scored GROUP BY image_id) SELECT image_id, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change, a.tp = b.tp AND a.fp = b.fp AS same FROM a JOIN b USING (image_id)")
 def _(s):
     return T.compare_runs(M.dense_counts(s, ["image_id"]), M.dense_counts(s, ["image_id"], prob="prob2"), ["image_id"], ["tp", "fp"])

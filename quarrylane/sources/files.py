@@ -148,7 +148,11 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return c
 
 
-def read_results(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] = ("test_metrics",)) -> DataFrame:
+#: Keys of test metrics, which a selection among results may not see.
+TEST_KEYS = ("test_precision", "test_recall", "test_dice", "test_iou", "test_counts", "test_metrics", "test_loss")
+
+
+def read_results(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] = TEST_KEYS) -> DataFrame:
     """Result documents with their file; fails when one holds a key that selection may not see."""
     r = spark.read.option("multiLine", "true").json(pattern).withColumn("file", F.input_file_name())
     if seen := sorted(set(forbidden) & set(r.columns)):
@@ -156,6 +160,13 @@ def read_results(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] =
     return r
 
 
+def curve_rows(results: DataFrame, curve: str = "pr_curve") -> DataFrame:
+    """One row per point of the documents' curves (an array of structs), with the other columns;
+    documents without a curve have no rows."""
+    rest = [c for c in results.columns if c != curve]
+    return results.select(*rest, F.explode(curve).alias("_point")).select(*rest, "_point.*")
+
+
 def no_nan(df: DataFrame) -> DataFrame:
     """Nulls in place of NaN and infinities in every double."""
     ok = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)

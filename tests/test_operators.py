@@ -93,6 +93,14 @@ def test_morphology_equals_arrays(spark):
                 assert points(P.erode(src, r, 20, 20, shape, outside)) == small
 
 
+def test_soft_bands_only_in_train(spark):
+    both = px(spark, [(5, 5)]).union(px(spark, [(5, 5)], 1))
+    got = {}
+    for r in P.soft_target(both, 1, 0.5, 9, 9, train=spark.createDataFrame([(0,)], "image_id int")).collect():
+        got.setdefault(r.image_id, []).append(r.value)
+    assert sorted(got[0]) == [0.5] * 8 + [1.0] and got[1] == [1.0]
+
+
 def test_identical_masks_have_full_surface_score(spark):
     a = px(spark, [(y, x) for y in range(5, 12) for x in range(5, 12)])
     assert {r.nsd for r in P.surface_counts(a, a, [1, 2], 20, 20).collect()} == {1.0}
@@ -435,6 +443,13 @@ def test_documents_manifests_and_verdicts(spark, tmp_path):
     assert sorted(str(r.b) for r in S_.read_results(spark, f"{tmp_path}/r").collect()) == ["0.5", "None"]
     with pytest.raises(ValueError):
         S_.read_results(spark, f"{tmp_path}/r", forbidden=("a",))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.json").write_text('{"tag": "n_t1_s2", "pr_curve": [{"threshold": 0.5, "f1": 0.1}, {"threshold": 0.6, "f1": 0.2}]}')
+    curve = S_.curve_rows(S_.read_results(spark, f"{tmp_path}/c"))
+    assert sorted((r.tag, r.threshold, r.f1) for r in curve.collect()) == [("n_t1_s2", 0.5, 0.1), ("n_t1_s2", 0.6, 0.2)]
+    (tmp_path / "c" / "y.json").write_text('{"tag": "n_t1_s3", "test_dice": 0.5}')
+    with pytest.raises(ValueError, match="test_dice"):
+        S_.read_results(spark, f"{tmp_path}/c")
     m = spark.createDataFrame([("train", "i", "p.png", "m.png", 0.1), ("val", "j", "q.png", "n.png", 0.0)], S_.MANIFEST)
     S_.write_manifest(m, f"{tmp_path}/m")
     assert S_.read_manifest(spark, f"{tmp_path}/m", "val").first().source_image == "j"

@@ -123,6 +123,21 @@ def test_gate_annotations_and_tables(spark):
     assert (round(tab.f1_0, 6), tab.f1_1) == (0.3, 1.0)
 
 
+def test_classical_detector_finds_a_bright_line(spark):
+    rows = [(0, y, x, 200 if y in (30, 31) and 5 <= x < 90 else 10 + (y * 7 + x * 3) % 5) for y in range(64) for x in range(96)]
+    target = px(spark, [(y, x) for y in (29, 30, 31, 32) for x in range(4, 91)])
+    mask = T.classical_detector(spark.createDataFrame(rows, PX + ", v int"), 64, 96, (200.0, 400.0), tile=32, least_votes=40, max_gap=3, least_length=30)
+    got = {r.image_id: r for r in T.detector_scores(mask, target, 64 * 96).collect()}
+    assert got[0].precision > 0.8 and got[0].tp >= 80 and got[None].tp == got[0].tp
+
+
+def test_attribute_replaces_the_objective(spark):
+    t = spark.createDataFrame([(1, 0, "COMPLETE", 0.5), (2, 1, "COMPLETE", 0.7)], "trial_id int, number int, state string, value double")
+    p = spark.createDataFrame([(1, "lr", 0.1), (2, "lr", 0.2)], "trial_id int, param_name string, param_value double")
+    a = spark.createDataFrame([(1, "val_f1", "0.9")], "trial_id int, key string, value_json string")
+    assert [(r.trial_id, r.value) for r in T.trial_table(t, p, a, ["lr"], 1).collect()] == [(1, 0.9)]
+
+
 def test_reviews_of_nothing(spark):
     inf = spark.createDataFrame([(1, 1)], "expnum int, detector int")
     rev = spark.createDataFrame([(1, 1, True, "a"), (2, 1, True, "a")], "expnum int, detector int, hit boolean, reviewer string")
