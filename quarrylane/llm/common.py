@@ -198,8 +198,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def labelled_sample(labels: DataFrame, name: str, mod: int, held_out: int, most: int) -> DataFrame:
     """(doc_id, label): at most `most` labelled documents whose crc32 remainder is not held_out, taken
-    in the order of a hash of the id; a document labelled twice has its larger label."""
-    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
+    in the order of a hash of the id; a label is 1 or (any other number) 0; a document labelled twice
+    has its larger one."""
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(name).cast("int") == 1).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     one = one.where(train_rows(F.col("doc_id"), mod, held_out)).groupBy("doc_id").agg(F.max("label").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
