@@ -195,12 +195,13 @@ def stratified_components(comps: DataFrame, quota: int, seed: int, least_images:
     """At most `quota` components (image_id, component, tier) of each tier, topped up from the others
     when a tier is short; of the attempts the first whose sample covers least_images images (else
     the first).  Ranks are by seeded order, an attempt is a column."""
-    tiers = F.lit(quota) * F.size(F.collect_set("tier").over(Window.partitionBy("attempt")))
+    whole = quota * comps.select("tier").distinct().count()
     c = comps.select("image_id", "component", "tier", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     c = c.withColumn("_d", digest(seed, F.col("attempt"), F.col("image_id"), F.col("component")))
-    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("attempt", "tier").orderBy("_d")))
-    c = c.withColumn("_k", F.row_number().over(Window.partitionBy("attempt").orderBy(F.col("_r") > quota, "_d"))).withColumn("_all", tiers)
-    c = c.where(F.col("_k") <= F.col("_all"))
+    # No tier can give more than the whole sample, so few rows of each are ever ordered together.
+    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("attempt", "tier").orderBy("_d"))).where(F.col("_r") <= whole)
+    c = c.withColumn("_k", F.row_number().over(Window.partitionBy("attempt").orderBy(F.col("_r") > quota, "_d")))
+    c = c.where(F.col("_k") <= whole)
     ok = c.groupBy("attempt").agg(F.countDistinct("image_id").alias("n")).agg(F.coalesce(F.min(F.when(F.col("n") >= least_images, F.col("attempt"))), F.min("attempt")).alias("attempt"))
     return c.join(F.broadcast(ok), "attempt").select("image_id", "component", "tier")
 
@@ -226,7 +227,8 @@ def component_ends(labelled: DataFrame, position: float = 0.5) -> DataFrame:
 
 
 def audit_crops(strata: list[tuple[str, DataFrame]], size: int, height: int, width: int, seed: int) -> DataFrame:
-    """Crops (stratum, image_id, y, x points) of several strata under neutral names, in blind order."""
+    """Crops (stratum, image_id, y, x points) of several strata under neutral names, in blind order.
+    The points are a sample for people to look at, few enough for one order over all."""
     out = None
     for name, d in strata:
         one = d.select("image_id", "y", "x").withColumn("stratum", F.lit(name))
