@@ -98,11 +98,11 @@ def tolerant_counts(pred: DataFrame, target: DataFrame, tolerances: list[int], h
     return both.select("image_id", "tolerance", "ptp", "fp", "rtp", "fn")
 
 
-def tolerant_metrics(counts: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per tolerance over all images."""
-    c = counts.groupBy("tolerance").agg(*[F.sum(x).alias(x) for x in ("ptp", "fp", "rtp", "fn")])
+def tolerant_metrics(counts: DataFrame, *keys: str) -> DataFrame:
+    """Precision, recall and F1 per tolerance (and keys) over all images."""
+    c = counts.groupBy(*keys, "tolerance").agg(*[F.sum(x).alias(x) for x in ("ptp", "fp", "rtp", "fn")])
     p, r = ratio(F.col("ptp"), F.col("ptp") + F.col("fp")), ratio(F.col("rtp"), F.col("rtp") + F.col("fn"))
-    return c.select("tolerance", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    return c.select(*keys, "tolerance", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
 def disc_distance(px: DataFrame, reach: int) -> DataFrame:

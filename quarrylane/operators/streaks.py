@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import digest
 from . import pixels as P
 from .dataset import stretch
-from .kernels import edge_pixels
+from .kernels import component_widths, edge_pixels
 from .metrics import metrics, ratio, sparse_counts
 
 PX = P.PX
@@ -80,6 +80,55 @@ def component_recall(labelled: DataFrame, pred: DataFrame, post: DataFrame) -> D
     return j.select("image_id", "component", "area", (F.col("pre") / F.col("area")).alias("recall_pre"), (F.col("post") / F.col("area")).alias("recall_post"), ((F.col("post") - F.col("pre")) / F.col("area")).alias("recall_added"))
 
 
+def component_scores(labelled: DataFrame, pred: DataFrame, lines: DataFrame, patches: DataFrame, patch: int, margin: int, height: int, width: int) -> DataFrame:
+    """Per target component, within the support of patches (image_id, y0, x0): the supported share and
+    pixels, recall of the prediction, of it with lines, and what lines add, and the Dice of the
+    component's box (with a margin, inside the frame) before and after lines, in which all predicted
+    pixels of the support count.  Without supported pixels the share is 0 and the rest null."""
+    keys = ["image_id", "component"]
+    whole = labelled.groupBy(*keys).agg(F.count("*").alias("pixels"))
+    own = P.within_support(labelled, patches, patch)
+    pre, post = pred.select(*PX).distinct(), P.union(pred, lines)
+    flags = pre.withColumn("a", F.lit(True)).join(post.withColumn("b", F.lit(True)), PX, "right")  # a implies b
+    gt = own.join(flags, PX, "left").groupBy(*keys).agg(F.count("*").alias("supported"), F.count("a").alias("pre"), F.count("b").alias("post"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    # Predicted pixels of the boxes meet in cells as large as a patch.
+    low = lambda c: F.greatest(F.lit(0), F.col(c) - margin)
+    high = lambda c, n: F.least(F.lit(n - 1), F.col(c) + margin)
+    box = gt.select(*keys, low("y0").alias("y0"), high("y1", height).alias("y1"), low("x0").alias("x0"), high("x1", width).alias("x1"))
+    at = lambda c: F.floor(F.col(c) / patch)
+    box = box.withColumn("cy", F.explode(F.sequence(at("y0"), at("y1")))).withColumn("cx", F.explode(F.sequence(at("x0"), at("x1"))))
+    seen = P.within_support(flags, patches, patch).withColumn("cy", at("y")).withColumn("cx", at("x"))
+    seen = seen.join(box, ["image_id", "cy", "cx"]).where("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1").groupBy(*keys).agg(F.count("a").alias("n_pre"), F.count("b").alias("n_post"))
+    j = whole.join(gt, keys, "left").join(seen, keys, "left").na.fill(0, ["supported", "n_pre", "n_post"])
+    n = F.col("supported")
+    share = lambda v: F.when(n > 0, v / n)
+    dice = lambda c: F.when(n > 0, 2 * F.col(c) / (F.col(f"n_{c}") + n))
+    added = F.col("post") - F.col("pre")
+    return j.select(
+        *keys, (n / F.col("pixels")).alias("support_fraction"), "supported", share(F.col("pre")).alias("recall_pre"), share(F.col("post")).alias("recall_post"), F.coalesce(added, F.lit(0)).alias("added"), share(added).alias("added_fraction"),
+        dice("pre").alias("dice_pre"), dice("post").alias("dice_post"),
+    )
+
+
+def display_excess(frame: DataFrame, pred: DataFrame, target: DataFrame, patches: DataFrame, patch: int, near: int, far: int) -> DataFrame:
+    """(image_id, y, x, category, excess, fallback): the pixels of frames (image_id, y, x, v) within the
+    support of patches, by what they are (gt_trail; false positives near_gt_fp, ambiguous_fp and
+    far_fp by their distance to a supported target; background), and how far their value is above the
+    median of the image's background.  An image without background uses all its supported pixels that
+    are no target, or all, and says so.  quota_sample draws samples from it, a count its sizes."""
+    t = P.within_support(target.select(*PX).distinct(), patches, patch)
+    px = P.within_support(frame.select(*PX, "v"), patches, patch)
+    px = px.join(t.withColumn("t", F.lit(True)), PX, "left").join(pred.select(*PX).distinct().withColumn("p", F.lit(True)), PX, "left").join(P.disc_distance(t, far), PX, "left")
+    kind = F.when(F.col("t"), "gt_trail").when(F.col("p").isNull(), "background").when(F.col("d2") <= near * near, "near_gt_fp").when(F.col("d2").isNotNull(), "ambiguous_fp").otherwise("far_fp")
+    px = px.select(*PX, "v", kind.alias("category"))
+    median = lambda ok: F.percentile(F.when(ok, F.col("v")), 0.5, F.col("k"))
+    h = px.groupBy("image_id", "category", "v").agg(F.count("*").alias("k"))  # values, not pixels
+    c = F.col("category")
+    m = h.groupBy("image_id").agg(median(c == "background").alias("a"), median(c != "gt_trail").alias("b"), median(F.lit(True)).alias("c"))
+    m = m.select("image_id", F.coalesce("a", "b", "c").alias("_m"), F.col("a").isNull().alias("fallback"))
+    return px.join(m, "image_id").select(*PX, "category", (F.col("v") - F.col("_m")).alias("excess"), "fallback")
+
+
 def recovered_crop(added: DataFrame, height: int, width: int, margin: int) -> DataFrame:
     """Per image the box, with a margin and inside the frame, of the largest component of added pixels."""
     s = P.component_shapes(P.components(added)).select("image_id", "component", "area", "y0", "x0", "y1", "x1")
@@ -249,6 +298,46 @@ def annotation_scores(first: DataFrame, second: DataFrame, third: DataFrame, cro
     return out.select("pairing", "tolerance", "precision", "recall", "f1")
 
 
+def audit_scores(crops: DataFrame, original: DataFrame, reference: DataFrame, model: DataFrame, size: int, tolerances: list[int], boundary: tuple[str, ...]) -> DataFrame:
+    """(name, stratum, status, pairing, tolerance, ptp, fp, rtp, fn) of crops (name, stratum, image_id,
+    y0, x0, verdict): tolerant counts of original and model against the reference and of the model
+    against the original.
+
+    Crops with an uncertain verdict and those of boundary strata without a reference pixel are listed
+    once, with the status "uncertain" or "not_visible" and no counts; the others are "scored"."""
+    cut = {n: P.in_windows(d, crops, size).select(F.col("name").alias("image_id"), "y", "x") for n, d in (("original", original), ("reference", reference), ("model", model))}
+    seen = cut["reference"].select(F.col("image_id").alias("name")).distinct().withColumn("_seen", F.lit(True))
+    lost = F.col("stratum").isin(*boundary) & F.col("_seen").isNull()
+    status = F.when(F.col("verdict") == "uncertain", "uncertain").when(lost, "not_visible").otherwise("scored")
+    c = crops.join(seen, "name", "left").select("name", "stratum", status.alias("status"))
+    out = None
+    for candidate, truth in (("original", "reference"), ("model", "reference"), ("model", "original")):
+        one = P.tolerant_counts(cut[candidate], cut[truth], tolerances, size, size).withColumn("pairing", F.lit(f"{candidate}_vs_{truth}"))
+        out = one if out is None else out.union(one)
+    grid = F.explode(F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pairing"), F.lit(t).alias("tolerance")) for a, b in (("original", "reference"), ("model", "reference"), ("model", "original")) for t in tolerances]))
+    scored = c.where("status = 'scored'").select("*", grid.alias("g")).select("name", "stratum", "status", "g.*")
+    scored = scored.join(out.withColumnRenamed("image_id", "name"), ["name", "pairing", "tolerance"], "left").na.fill(0, ["ptp", "fp", "rtp", "fn"])
+    cols = ["name", "stratum", "status", "pairing", "tolerance", "ptp", "fp", "rtp", "fn"]
+    return scored.select(*cols).unionByName(c.where("status <> 'scored'"), allowMissingColumns=True).select(*cols)
+
+
+def audit_totals(scores: DataFrame, boundary: tuple[str, ...]) -> DataFrame:
+    """Precision, recall and F1 per pairing and tolerance over the scored crops of the boundary strata."""
+    s = scores.where("status = 'scored'").where(F.col("stratum").isin(*boundary))
+    return P.tolerant_metrics(s, "pairing")
+
+
+def crop_widths(crops: DataFrame, masks: dict[str, DataFrame], size: int) -> DataFrame:
+    """(name, source, width): the median width of each mask in each crop; crops without a pixel of a mask
+    have no row for it."""
+    out = None
+    for source, d in masks.items():
+        px = P.in_windows(d, crops, size).select(F.col("name").alias("image_id"), "y", "x", F.lit(1).alias("component"))
+        one = component_widths(px).select(F.col("image_id").alias("name"), F.lit(source).alias("source"), "width")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def stratum_table(scores: DataFrame, tolerances: list[int]) -> DataFrame:
     """Mean F1 per stratum and pairing, a column for each tolerance."""
     return scores.groupBy("stratum", "pairing").pivot("tolerance", tolerances).agg(F.avg("f1")).select("stratum", "pairing", *[F.col(str(t)).alias(f"f1_{t}") for t in tolerances])

@@ -840,6 +840,32 @@ def _(t, p):
     return T.component_recall(P.components(t), p.where("prob >= 0.5"), p.where("prob >= 0.1"))
 
 
+@query("component_scores", ("v_gt_px", "v_prob_px"), components_sql("v_gt_px", "cc") + """, cells AS (SELECT DISTINCT image_id, y // 32 AS cy, x // 32 AS cx FROM v_prob_px WHERE prob >= 8e-1), pr AS (SELECT * FROM v_prob_px WHERE prob >= 1e-1), own AS (SELECT cc.* FROM cc SEMI JOIN cells k ON cc.image_id = k.image_id AND cc.y // 32 = cy AND cc.x // 32 = cx),
+    g AS (SELECT o.image_id, component, count(*) AS supported, count(*) FILTER (prob >= 5e-1) AS pre, count(prob) AS post, greatest(0, min(o.y) - 8) AS y0, least(191, max(o.y) + 8) AS y1, greatest(0, min(o.x) - 8) AS x0, least(191, max(o.x) + 8) AS x1 FROM own o LEFT JOIN pr p ON o.image_id = p.image_id AND o.y = p.y AND o.x = p.x GROUP BY ALL),
+    s AS (SELECT p.* FROM pr p SEMI JOIN cells k ON p.image_id = k.image_id AND p.y // 32 = cy AND p.x // 32 = cx), n AS (SELECT g.image_id, component, count(*) FILTER (prob >= 5e-1) AS n_pre, count(prob) AS n_post FROM g JOIN s ON g.image_id = s.image_id AND s.y BETWEEN y0 AND y1 AND s.x BETWEEN x0 AND x1 GROUP BY ALL),
+    w AS (SELECT image_id, component, count(*) AS pixels FROM cc GROUP BY ALL)
+    SELECT w.image_id, w.component, round(coalesce(supported, 0) / pixels, 6) AS support_fraction, coalesce(supported, 0) AS supported, round(pre / supported, 6) AS recall_pre, round(post / supported, 6) AS recall_post, coalesce(post - pre, 0) AS added, round((post - pre) / supported, 6) AS added_fraction, round(2 * pre / (coalesce(n_pre, 0) + supported), 6) AS dice_pre, round(2 * post / (coalesce(n_post, 0) + supported), 6) AS dice_post
+    FROM w LEFT JOIN g ON w.image_id = g.image_id AND w.component = g.component LEFT JOIN n ON w.image_id = n.image_id AND w.component = n.component""")
+def _(t, p):
+    cells = p.where("prob >= 0.8").select("image_id", (F.floor(F.col("y") / 32) * 32).alias("y0"), (F.floor(F.col("x") / 32) * 32).alias("x0"))
+    return T.component_scores(P.components(t), p.where("prob >= 0.5"), p.where("prob >= 0.1"), cells, 32, 8, FRAME, FRAME)
+
+
+@query("display_excess", ("v_prob_px", "v_gt_px"), f""", t AS (SELECT t.image_id, t.y, t.x FROM v_gt_px t SEMI JOIN v_prob_px p ON t.image_id = p.image_id AND t.y // 32 = p.y // 32 AND t.x // 32 = p.x // 32), a AS ({grown('t', disc(2), False)}), b AS ({grown('t', disc(5), False)}),
+    k AS (SELECT p.image_id, p.y, p.x, p.prob, CASE WHEN t.y IS NOT NULL THEN 'gt_trail' WHEN p.prob < 5e-1 THEN 'background' WHEN a.y IS NOT NULL THEN 'near_gt_fp' WHEN b.y IS NOT NULL THEN 'ambiguous_fp' ELSE 'far_fp' END AS category FROM v_prob_px p LEFT JOIN t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x LEFT JOIN a ON p.image_id = a.image_id AND p.y = a.y AND p.x = a.x LEFT JOIN b ON p.image_id = b.image_id AND p.y = b.y AND p.x = b.x),
+    m AS (SELECT image_id, coalesce(quantile_cont(prob, 5e-1) FILTER (category = 'background'), quantile_cont(prob, 5e-1) FILTER (category <> 'gt_trail'), quantile_cont(prob, 5e-1)) AS m FROM k GROUP BY image_id)
+    SELECT k.image_id, category, count(*) AS n, round(avg(prob - m), 6) AS excess FROM k JOIN m ON k.image_id = m.image_id GROUP BY k.image_id, category""")
+def _(p, t):
+    cells = p.select("image_id", (F.floor(F.col("y") / 32) * 32).alias("y0"), (F.floor(F.col("x") / 32) * 32).alias("x0"))
+    d = T.display_excess(p.withColumnRenamed("prob", "v"), p.where("prob >= 0.5"), t, cells, 32, 2, 5)
+    return d.groupBy("image_id", "category").agg(F.count("*").alias("n"), F.avg("excess").alias("excess"))
+
+
+@query("patch_summary", ("v_gt_px",), STATS + " SELECT count(*) AS patches, count(*) FILTER (positive_pixels = 0) AS empty, round(count(*) FILTER (positive_pixels = 0) / count(*), 6) AS empty_fraction, sum(positive_pixels)::BIGINT AS positive_pixels, round(avg(positive_pixels / 1024), 6) AS mean_fraction FROM st")
+def _(t):
+    return P.summarise_patches(_stats(t))
+
+
 ADDED = ", added AS (SELECT p.image_id, p.y, p.x FROM v_prob_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x WHERE prob >= 1e-1 AND prob < 5e-1)"
 HELD = lambda c: f"CAST(greatest(0, least({FRAME - 1}, {c})) AS BIGINT)"
 

@@ -123,6 +123,39 @@ def test_gate_annotations_and_tables(spark):
     assert (round(tab.f1_0, 6), tab.f1_1) == (0.3, 1.0)
 
 
+def test_component_scores_in_support(spark):
+    named = P.components(px(spark, [(10, x) for x in range(40)] + [(60, 60)]))
+    patches = spark.createDataFrame([(0, 0, 0), (0, 0, 8)], "image_id int, y0 int, x0 int")
+    pred = px(spark, [(10, x) for x in range(6)] + [(12, 3), (12, 23), (10, 39), (0, 0)])
+    lines = px(spark, [(10, x) for x in range(12)])
+    got = {r.component: r for r in T.component_scores(named, pred, lines, patches, 16, 2, 64, 64).collect()}
+    a = got[1]  # x 0 to 23 are supported; (12, 3) and (12, 23) lie in the box, (0, 0) doesn't
+    assert (a.supported, a.support_fraction, a.recall_pre, a.recall_post, a.added) == (24, 0.6, 0.25, 0.5, 6)
+    assert a.dice_pre == pytest.approx(12 / (8 - 0 + 24)) and a.dice_post == pytest.approx(24 / (14 + 24))
+    assert (got[2].supported, got[2].support_fraction, got[2].recall_pre, got[2].dice_pre) == (0, 0.0, None, None)
+
+
+def test_display_excess_hand_case(spark):
+    frame = spark.createDataFrame([(0, y, x, 60.0 if y == 5 or (y, x) == (7, 5) else 10.0) for y in range(12) for x in range(24)], PX + ", v double")
+    target, pred = px(spark, [(5, x) for x in range(24)]), px(spark, [(5, 3), (7, 5), (11, 20), (9, 9)])
+    d = T.display_excess(frame, pred, target, spark.createDataFrame([(0, 0, 0), (0, 0, 12)], "image_id int, y0 int, x0 int"), 12, 2, 5)
+    got = {r.category: (r.n, r.m) for r in d.groupBy("category").agg(F.count("*").alias("n"), F.expr("percentile(excess, 0.5)").alias("m")).collect()}
+    assert got["gt_trail"] == (24, 50.0) and got["near_gt_fp"] == (1, 50.0) and got["ambiguous_fp"] == (1, 0.0) and got["far_fp"] == (1, 0.0) and got["background"] == (12 * 24 - 27, 0.0)
+    one = T.display_excess(frame.where("y = 5"), pred, target, spark.createDataFrame([(0, 0, 0)], "image_id int, y0 int, x0 int"), 12, 2, 5)
+    assert {(r.fallback, r.excess) for r in one.collect()} == {(True, 0.0)}
+
+
+def test_audit_leaves_out_uncertain_and_invisible(spark):
+    crops = spark.createDataFrame([("a", "edge", 0, 0, 0, "trail"), ("b", "edge", 0, 20, 20, "trail"), ("c", "edge", 0, 0, 40, "uncertain"), ("d", "quiet", 0, 40, 40, "no_trail")], "name string, stratum string, image_id int, y0 int, x0 int, verdict string")
+    ref, orig = px(spark, [(5, x) for x in range(10)]), px(spark, [(6, x) for x in range(10)] + [(25, 25), (45, 45)])
+    s = T.audit_scores(crops, orig, ref, ref, 16, [0, 1], ("edge",))
+    assert {(r.name, r.status) for r in s.collect()} == {("a", "scored"), ("b", "not_visible"), ("c", "uncertain"), ("d", "scored")}
+    t = {(r.pairing, r.tolerance): r.f1 for r in T.audit_totals(s, ("edge",)).collect()}
+    assert t["original_vs_reference", 0] == 0 and t["original_vs_reference", 1] == 1 and t["model_vs_reference", 0] == 1 and len(t) == 6
+    w = {(r.name, r.source): r.width for r in T.crop_widths(crops, {"reference": ref, "original": orig}, 16).collect()}
+    assert w["a", "reference"] == pytest.approx(2) and ("b", "reference") not in w and ("d", "original") in w
+
+
 def test_classical_detector_finds_a_bright_line(spark):
     rows = [(0, y, x, 200 if y in (30, 31) and 5 <= x < 90 else 10 + (y * 7 + x * 3) % 5) for y in range(64) for x in range(96)]
     target = px(spark, [(y, x) for y in (29, 30, 31, 32) for x in range(4, 91)])
