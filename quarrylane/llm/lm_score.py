@@ -55,15 +55,27 @@ def bigrams(toks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9FB21C651E98DF25) + toks)
 
 
-def by_segment(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings the keys of each segment together, and where each segment begins."""
+def by_segment(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings the keys of each segment together, the segments that have any, and where
+    each of those begins (and the last ends)."""
     at = keys.view(np.int64) % parts
     order = np.argsort(at, kind="stable")
-    return order, np.searchsorted(at[order], np.arange(parts + 1))
+    segments, begin = np.unique(at[order], return_index=True)
+    return order, segments.astype(np.int32), np.append(begin, len(keys))
 
 
-def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+def _cells(columns: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
+    """Packed values by segment, one row for each segment that any of the columns (name, values in the
+    order of segments, segments, cuts) has; so rows follow the keys and not the number of segments."""
+    every = np.unique(np.concatenate([c[2] for c in columns])) if columns else np.zeros(0, np.int32)
+    out = {"segment": pa.array(every.astype(np.int32))}
+    for name, values, segments, cuts in columns:
+        row = np.searchsorted(every, segments)
+        packed = [b""] * len(every)
+        for r, x, y in zip(row.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            packed[r] = values[x:y].tobytes()
+        out[name] = pa.array(packed, pa.binary())
+    return out
 
 
 def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -80,13 +92,13 @@ def ngram_counts(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             if held[0]:
-                cols = [pa.array(np.arange(parts, dtype=np.int32))]
-                for h in held:
+                cols = []
+                for h, (a, b) in zip(held, (names[1:3], names[3:5])):
                     key, c = np.unique(np.concatenate(h), return_counts=True)
                     h.clear()
-                    order, cuts = by_segment(key, parts)
-                    cols += [_packed(key[order], cuts), _packed(c[order].astype(np.int64), cuts)]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    order, segments, cuts = by_segment(key, parts)
+                    cols += [(a, key[order], segments, cuts), (b, c[order].astype(np.int64), segments, cuts)]
+                yield pa.RecordBatch.from_pydict(_cells(cols))
 
         size = 0
         for batch in batches:
@@ -123,6 +135,13 @@ def _filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.packbits(full, bitorder="little")
 
 
+def _dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """df dealt by key to twice `parts` partitions where that is more than Spark's own number, so that
+    a task holds few segments or chunks however many there are."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(2 * parts, key) if 2 * parts > n else df
+
+
 def model_segments(docs: DataFrame, parts: int) -> DataFrame:
     """(segment, bits, words, counts, total): of each hash range of n-grams of docs (doc_id, text) the
     filter of all of them, the exact counts of its unigrams and their sum."""
@@ -134,7 +153,7 @@ def model_segments(docs: DataFrame, parts: int) -> DataFrame:
         row = {"segment": key[0].as_py(), "bits": bits.tobytes(), "words": words.tobytes(), "counts": c.tobytes(), "n_words": len(words), "total": int(c.sum())}
         return pa.Table.from_pylist([row], pa.schema([("segment", pa.int32()), *((n, pa.binary()) for n in ("bits", "words", "counts")), ("n_words", pa.int64()), ("total", pa.int64())]))
 
-    return ngram_counts(docs, parts).groupBy("segment").applyInArrow(build, "segment int, bits binary, words binary, counts binary, n_words long, total long")
+    return _dealt(ngram_counts(docs, parts), parts, "segment").groupBy("segment").applyInArrow(build, "segment int, bits binary, words binary, counts binary, n_words long, total long")
 
 
 def level_of(c):
@@ -196,11 +215,12 @@ def lm_score(docs: DataFrame, held_out, prior: tuple[float, float] = (PRIOR, PRI
     def ask(key, t):
         """A chunk's distinct n-grams, packed by segment."""
         _, _, uniq, _, pairs, _ = ngrams(t.column("text").combine_chunks())
-        cols = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, key[0].as_py(), np.int32))]
-        for keys in (uniq, pairs):
-            order, cuts = by_segment(keys, parts)
-            cols.append(_packed(keys[order], cuts))
-        return pa.table(cols, ["segment", "chunk", "words", "pairs"])
+        cols = []
+        for name, keys in (("words", uniq), ("pairs", pairs)):
+            order, segments, cuts = by_segment(keys, parts)
+            cols.append((name, keys[order], segments, cuts))
+        cells = _cells(cols)
+        return pa.table([cells["segment"], pa.array(np.full(len(cells["segment"]), key[0].as_py(), np.int32)), cells["words"], cells["pairs"]], ["segment", "chunk", "words", "pairs"])
 
     def answer(key, asks, segment):
         """The levels, and for unigrams the exact counts, of all asked n-grams of a segment."""
@@ -252,9 +272,10 @@ def lm_score(docs: DataFrame, held_out, prior: tuple[float, float] = (PRIOR, PRI
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    chunks = _dealt(chunks, parts, "chunk")
     asks = chunks.groupBy("chunk").applyInArrow(ask, "segment int, chunk int, words binary, pairs binary")
-    answers = asks.groupBy("segment").cogroup(model.select("segment", "bits", "words", "counts").groupBy("segment")).applyInArrow(answer, "segment int, chunk int, levels binary, counts binary, pair_levels binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = _dealt(asks, parts, "segment").groupBy("segment").cogroup(_dealt(model.select("segment", "bits", "words", "counts"), parts, "segment").groupBy("segment")).applyInArrow(answer, "segment int, chunk int, levels binary, counts binary, pair_levels binary")
+    return chunks.groupBy("chunk").cogroup(_dealt(answers, parts, "chunk").groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
