@@ -373,7 +373,7 @@ def line_votes(px: DataFrame, least_votes: int, thetas: int = 180) -> DataFrame:
     and a pixel.  Pixels are counted per line before the shuffle."""
     at = px.select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
     rad = F.radians(F.col("theta") * (180 / thetas))
-    return at.groupBy("image_id", "theta", F.bround(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
+    return at.groupBy("image_id", "theta", F.rint(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
 
 
 def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list[float] | None = None) -> DataFrame:
@@ -383,7 +383,7 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
     With levels (of px's column prob), votes are counted for every level at once and a line is kept
     when any level votes for it; `votes` holds the counts in the order of the levels."""
     rad = F.radians(F.col("theta") * (180 / thetas))
-    rho = F.bround(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")
+    rho = F.rint(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")
     extra = ["prob"] if levels else []
     if levels:
         at = px.select(*PX, *extra, F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
@@ -393,7 +393,7 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
     lines = stored(lines)
     angles = lines.groupBy("image_id").agg(F.collect_set("theta").alias("thetas"))  # at most `thetas` each
     on = px.join(angles, "image_id").select(*PX, *extra, F.explode("thetas").alias("theta")).select("*", rho).join(lines, ["image_id", "theta", "rho"])
-    return on.select("image_id", "theta", "rho", F.bround(-F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)).cast("int").alias("t"), *extra, "votes")
+    return on.select("image_id", "theta", "rho", F.rint(-F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)).cast("int").alias("t"), *extra, "votes")
 
 
 def draw_segments(points: DataFrame, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180, by: tuple[str, ...] = ()) -> DataFrame:
@@ -406,7 +406,7 @@ def draw_segments(points: DataFrame, max_gap: int, least_length: int, height: in
     on = on.withColumn("segment", F.sum(F.coalesce("new", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     seg = on.groupBy(*keys, "segment").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("b") - F.col("a") >= least_length)
     drawn = seg.select(*keys, F.explode(F.sequence("a", "b")).alias("t"))
-    drawn = drawn.select(*by, "image_id", F.bround(F.col("rho") * F.sin(rad) + F.col("t") * F.cos(rad)).cast("long").alias("y"), F.bround(F.col("rho") * F.cos(rad) - F.col("t") * F.sin(rad)).cast("long").alias("x")).distinct()
+    drawn = drawn.select(*by, "image_id", F.rint(F.col("rho") * F.sin(rad) + F.col("t") * F.cos(rad)).cast("long").alias("y"), F.rint(F.col("rho") * F.cos(rad) - F.col("t") * F.sin(rad)).cast("long").alias("x")).distinct()
     if thickness > 1:
         side = range(-((thickness - 1) // 2), thickness // 2 + 1)
         at = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in side for b in side]))
