@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, license_scan, lm_score, mixing, nearest, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import decontaminate, jaccard, lexical, license_scan, lm_score, mixing, nearest, quality, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_ranked_search": lexical.op12_ranked_search,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op12_ranked_search": lexical.ORACLE}
