@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lexical, license_scan, lm_score, mixing, nearest, quality, secret_scan, substring_dedup, toxicity, url_filter
+from . import conversation_trie, decontaminate, jaccard, lexical, license_scan, lm_score, mixing, nearest, quality, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_ranked_search": lexical.op12_ranked_search,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op12_ranked_search": lexical.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op3_mix_sources": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op12_ranked_search": lexical.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
