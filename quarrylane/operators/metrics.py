@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs as R
+
 COUNTS = ("tp", "fp", "tn", "fn")
 
 
@@ -41,11 +43,10 @@ def dense_counts(scored: DataFrame, keys: list[str], prob: str = "prob", thresho
 def sparse_counts(pred: DataFrame, target: DataFrame, area: int, key: str = "image_id") -> DataFrame:
     """Confusion counts per image of two sets of pixels (key, y, x) in frames of `area` pixels.
 
-    Each side counts its own rows and the overlap comes from an inner join, so pixels shuffle once;
-    true negatives are what is left of the area."""
-    p = pred.select(key, "y", "x").distinct().withColumn("p", F.lit(1))
-    t = target.select(key, "y", "x").distinct().withColumn("t", F.lit(1))
-    both = p.join(t, [key, "y", "x"], "full").groupBy(key).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    The runs of both sides meet in one sweep; true negatives are what is left of the area."""
+    side = lambda d: R.runs_of(d.select(F.col(key).alias("image_id"), "y", "x"))
+    p, t = F.col("p") > 0, F.col("t") > 0
+    both = R.sweep(R.named({"p": side(pred), "t": side(target)}), ["p", "t"]).groupBy(F.col("image_id").alias(key)).agg(R.size(p & t).alias("tp"), R.size(p & ~t).alias("fp"), R.size(~p & t).alias("fn"))
     return both.select(key, "tp", "fp", (F.lit(area) - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"), "fn")
 
 

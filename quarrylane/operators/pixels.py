@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs as R
 from .metrics import ratio
 
 PX = ["image_id", "y", "x"]
@@ -24,42 +25,29 @@ def offsets(radius: int, shape: str = "square") -> list[tuple[int, int]]:
     return [(dy, dx) for dy in span for dx in range(-half[dy], half[dy] + 1)]
 
 
-def _shifted(px: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    at = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
-    return px.select("image_id", "y", "x", at.alias("s")).select("image_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-
-
 def inside(px: DataFrame, height: int, width: int) -> DataFrame:
     return px.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
 
 
 def dilate(px: DataFrame, radius: int, height: int, width: int, shape: str = "square") -> DataFrame:
-    """Pixels within the kernel of a set pixel, clipped to the frame.  Squares go by rows, then by
-    columns: 2 (2r + 1) copies of a pixel, not (2r + 1) squared."""
-    if shape == "square":
-        rows = inside(_shifted(px, [(d, 0) for d in range(-radius, radius + 1)]), height, width).distinct()
-        return inside(_shifted(rows, [(0, d) for d in range(-radius, radius + 1)]), height, width).distinct()
-    return inside(_shifted(px, offsets(radius, shape)), height, width).distinct()
+    """Pixels within the kernel of a set pixel, clipped to the frame; a run of pixels is copied once for
+    each row of the kernel."""
+    return R.pixels_of(R.dilate(R.runs_of(px), R.kernel(radius, shape), height, width))
 
 
 def erode(px: DataFrame, radius: int, height: int, width: int, shape: str = "square", outside: bool = True) -> DataFrame:
     """Pixels whose whole kernel is set; outside the frame counts as set or not, as `outside` says."""
-    steps = offsets(radius, shape)
-    votes = inside(_shifted(px.select(*PX).distinct(), steps), height, width).groupBy(*PX).agg(F.count("*").alias("n"))
-    if not outside:
-        return votes.where(F.col("n") == len(steps)).select(*PX)
-    y, x = F.col("y"), F.col("x")
-    beyond = sum((F.when((y - dy < 0) | (y - dy >= height) | (x - dx < 0) | (x - dx >= width), 1).otherwise(0) for dy, dx in steps), F.lit(0))
-    return votes.where(F.col("n") + beyond == len(steps)).select(*PX)
+    return R.pixels_of(R.erode(R.merged(R.runs_of(px)), R.kernel(radius, shape), height, width, outside))
 
 
 def close(px: DataFrame, radius: int, height: int, width: int, shape: str = "square") -> DataFrame:
-    return erode(dilate(px, radius, height, width, shape), radius, height, width, shape)
+    k = R.kernel(radius, shape)
+    return R.pixels_of(R.erode(R.dilate(R.runs_of(px), k, height, width), k, height, width))
 
 
 def boundary(px: DataFrame, height: int, width: int) -> DataFrame:
     """Set pixels with an unset neighbour among eight; outside the frame counts as unset."""
-    return px.select(*PX).distinct().join(erode(px, 1, height, width, outside=False), PX, "left_anti")
+    return R.pixels_of(R.boundaries({"a": R.merged(R.runs_of(px))}, height, width))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -68,34 +56,25 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def recovered(lines: DataFrame, pred: DataFrame, target: DataFrame) -> DataFrame:
     """Target pixels that lines add to a prediction."""
-    return lines.select(*PX).distinct().join(pred, PX, "left_anti").join(target, PX, "left_semi")
-
-
-def box_distance(px: DataFrame, reach: int, height: int, width: int) -> DataFrame:
-    """Pixels within the square `reach` of a set pixel, with the distance d to the nearest by rows or
-    columns (Chebyshev).  Rows first, then columns: 2 (2 reach + 1) copies of a pixel."""
-    step = lambda c: F.explode(F.array(*[F.lit(i) for i in range(-reach, reach + 1)]))  # noqa: E731, ARG005
-    rows = px.select(*PX, step("y").alias("i")).select("image_id", (F.col("y") + F.col("i")).alias("y"), "x", F.abs("i").alias("a"))
-    rows = inside(rows, height, width).groupBy(*PX).agg(F.min("a").alias("a"))
-    cols = rows.select(*PX, "a", step("x").alias("i")).select("image_id", "y", (F.col("x") + F.col("i")).alias("x"), F.greatest("a", F.abs("i")).alias("d"))
-    return inside(cols, height, width).groupBy(*PX).agg(F.min("d").alias("d"))
+    s = R.sweep(R.named({n: R.runs_of(d) for n, d in (("lines", lines), ("pred", pred), ("target", target))}), ["lines", "pred", "target"])
+    return R.pixels_of(s.where("lines > 0 AND pred = 0 AND target > 0"))
 
 
 def tolerant_counts(pred: DataFrame, target: DataFrame, tolerances: list[int], height: int, width: int) -> DataFrame:
     """Per image and tolerance: predicted pixels within the square tolerance of a target (ptp) and not
     (fp), target pixels within it of a prediction (rtp) and not (fn).
 
-    Each side meets the other side's distances once, for all tolerances."""
-    p, t = pred.select(*PX).distinct(), target.select(*PX).distinct()
-    reach = max(tolerances)
-
-    def side(a: DataFrame, b: DataFrame, hit: str, miss: str) -> DataFrame:
-        near = a.join(box_distance(b, reach, height, width), PX, "left")
-        within = [F.struct(F.lit(k).alias("tolerance"), F.count_if(F.col("d") <= k).alias(hit), F.count_if(F.col("d").isNull() | (F.col("d") > k)).alias(miss)) for k in tolerances]
-        return near.groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
-
-    both = side(p, t, "ptp", "fp").join(side(t, p, "rtp", "fn"), ["image_id", "tolerance"], "full").na.fill(0, ["ptp", "fp", "rtp", "fn"])
-    return both.select("image_id", "tolerance", "ptp", "fp", "rtp", "fn")
+    The runs of both sides and of their dilations meet in one sweep, for all tolerances."""
+    levels = sorted({0, *tolerances})
+    runs = None
+    for n, d in (("p", pred), ("t", target)):
+        one = R.tagged(R.runs_of(d), {f"{n}{k}": R.kernel(k) for k in levels}, height, width)
+        runs = one if runs is None else runs.unionByName(one)
+    s = R.sweep(runs, [f"{n}{k}" for n in "pt" for k in levels])
+    p, t = F.col("p0") > 0, F.col("t0") > 0
+    near = lambda n, k: F.col(f"{n}{k}") > 0
+    within = [F.struct(F.lit(k).alias("tolerance"), R.size(p & near("t", k)).alias("ptp"), R.size(p & ~near("t", k)).alias("fp"), R.size(t & near("p", k)).alias("rtp"), R.size(t & ~near("p", k)).alias("fn")) for k in tolerances]
+    return s.groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
 
 
 def tolerant_metrics(counts: DataFrame, *keys: str) -> DataFrame:
@@ -115,15 +94,18 @@ def disc_distance(px: DataFrame, reach: int) -> DataFrame:
 
 def surface_counts(pred: DataFrame, target: DataFrame, taus: list[int], height: int, width: int) -> DataFrame:
     """Per image and tau: boundary pixels of either side, and those with one of the other side within
-    the Euclidean distance tau; nsd is their share, null without any boundary."""
-    p, t = boundary(pred, height, width), boundary(target, height, width)
-
-    def side(a: DataFrame, b: DataFrame, n: str) -> DataFrame:
-        within = [F.struct(F.lit(k).alias("tau"), F.count("*").alias(f"{n}_n"), F.count_if(F.col("d2") <= k * k).alias(f"{n}_near")) for k in taus]
-        return a.join(disc_distance(b, max(taus)), PX, "left").groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
-
-    both = side(p, t, "p").join(side(t, p, "t"), ["image_id", "tau"], "full").na.fill(0)
-    both = both.select("image_id", "tau", (F.col("p_near") + F.col("t_near")).alias("near"), (F.col("p_n") + F.col("t_n")).alias("n"))
+    the Euclidean distance tau; nsd is their share, null without any boundary.
+
+    Two sweeps over runs: one finds the boundaries, one measures them against discs round the others."""
+    edge = R.boundaries({"p": R.merged(R.runs_of(pred)), "t": R.merged(R.runs_of(target))}, height, width)
+    grown = None
+    for n in "pt":
+        one = R.tagged(edge.where(F.col("tag") == n), {n: R.POINT, **{f"{n}{k}": R.kernel(k, "disc") for k in taus}})
+        grown = one if grown is None else grown.unionByName(one)
+    s = R.sweep(grown, [f"{n}{k}" for n in "pt" for k in ("", *taus)])
+    p, t = F.col("p") > 0, F.col("t") > 0
+    within = [F.struct(F.lit(k).alias("tau"), (R.size(p & (F.col(f"t{k}") > 0)) + R.size(t & (F.col(f"p{k}") > 0))).alias("near"), (R.size(p) + R.size(t)).alias("n")) for k in taus]
+    both = s.groupBy("image_id").agg(F.array(*within).alias("c")).select("image_id", F.inline("c"))
     return both.withColumn("nsd", F.when(F.col("n") > 0, F.col("near") / F.col("n")))
 
 
@@ -141,9 +123,10 @@ def surface_summary(counts: DataFrame, pred: DataFrame, target: DataFrame, image
 def distance_strata(pred: DataFrame, target: DataFrame, near: int, far: int) -> DataFrame:
     """False positives by Euclidean distance to the nearest target: near (<= near), far (> far), else
     ambiguous; in images without targets all are far."""
-    t, fp = target.select(*PX).distinct(), pred.select(*PX).distinct().join(target, PX, "left_anti")
-    stratum = F.when(F.col("d2") <= near * near, "near").when(F.col("d2").isNotNull(), "ambiguous").otherwise("far")
-    return fp.join(disc_distance(t, far), PX, "left").groupBy("image_id", stratum.alias("stratum")).agg(F.count("*").alias("n"))
+    discs = R.tagged(R.runs_of(target), {"t": R.POINT, "near": R.kernel(near, "disc"), "far": R.kernel(far, "disc")})
+    s = R.sweep(R.named({"p": R.runs_of(pred)}).unionByName(discs), ["p", "t", "near", "far"]).where("p > 0 AND t = 0")
+    stratum = F.when(F.col("near") > 0, "near").when(F.col("far") > 0, "ambiguous").otherwise("far")
+    return s.groupBy("image_id", stratum.alias("stratum")).agg(R.size(F.lit(True)).alias("n"))
 
 
 def fp_distances(pred: DataFrame, target: DataFrame, cell: int, reach: int) -> DataFrame:
@@ -290,14 +273,23 @@ def soft_target(px: DataFrame, radius: int, band: float, height: int, width: int
 
 
 def label_sweep(pred: DataFrame, target: DataFrame, radii: list[int], height: int, width: int) -> DataFrame:
-    """Precision, recall and Dice with the target grown (radius > 0) or shrunk by an ellipse kernel."""
-    out, p = None, pred.select(*PX).distinct()
+    """Precision, recall and Dice with the target grown (radius > 0) or shrunk by an ellipse kernel, all
+    radii in one sweep."""
+    kernels = {f"t{r}": R.kernel(r, "ellipse") for r in radii if r >= 0}
+    target = R.runs_of(target)
+    runs = R.named({"p": R.runs_of(pred)})
+    runs = runs.unionByName(R.tagged(target, kernels, height, width)) if kernels else runs
+    whole = R.merged(target) if min(radii) < 0 else None
     for r in radii:
-        t = dilate(target, r, height, width, "ellipse") if r > 0 else erode(target, -r, height, width, "ellipse") if r < 0 else target.select(*PX).distinct()
-        both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), PX, "full").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.count("p").alias("np"), F.count("t").alias("nt")).na.fill(0)
-        one = both.select(F.lit(r).alias("radius"), ratio(F.col("tp"), F.col("np")).alias("precision"), ratio(F.col("tp"), F.col("nt")).alias("recall"), ratio(2 * F.col("tp"), F.col("np") + F.col("nt")).alias("dice"))
-        out = one if out is None else out.union(one)
-    return out
+        if r < 0:
+            runs = runs.unionByName(R.shrunk(whole, f"t{r}", R.kernel(-r, "ellipse"), height, width, True))
+    s = R.sweep(runs, ["p", *[f"t{r}" for r in radii]])
+    p = F.col("p") > 0
+    least = lambda r: R.kernel_rows(R.kernel(-r, "ellipse"), height, True) if r < 0 else F.lit(1)
+    t = {r: F.col(f"t{r}") >= least(r) for r in radii}
+    c = s.agg(F.array(*[F.struct(F.lit(r).alias("radius"), R.size(p & t[r]).alias("tp"), R.size(p).alias("np"), R.size(t[r]).alias("nt")) for r in radii]).alias("c")).select(F.inline("c"))
+    tp, np_, nt = F.col("tp"), F.col("np"), F.col("nt")
+    return c.select("radius", ratio(tp, np_).alias("precision"), ratio(tp, nt).alias("recall"), ratio(2 * tp, np_ + nt).alias("dice"))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -427,12 +419,13 @@ def image_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch:
     false positives and those added, positive patches and missed ones, whether the image is positive
     and detected (a prediction must meet a target), and precision (null without predictions).
 
-    One shuffle of the pixels of all three sets gives every pixel its flags."""
-    flag = lambda d, i: d.select(*PX).distinct().select(*PX, *[F.lit(int(i == j)).alias(n) for j, n in enumerate(("pre", "post", "gt"))])
-    f = flag(pred, 0).union(flag(post, 1)).union(flag(target, 2)).groupBy(*PX).agg(*[F.max(c).alias(c) for c in ("pre", "post", "gt")])
-    per = f.groupBy("image_id", F.floor(F.col("y") / patch).alias("cy"), F.floor(F.col("x") / patch).alias("cx")).agg(
-        F.sum("gt").alias("gt"), *[F.sum(F.col(c) * F.col("gt")).alias(f"tp_{c}") for c in ("pre", "post")], *[F.sum(F.col(c)).alias(f"n_{c}") for c in ("pre", "post")]
-    )
+    One sweep over the runs of all three sets; stretches are cut where patches end."""
+    sets = ["pre", "post", "gt"]
+    f = R.sweep(R.named({n: R.runs_of(d) for n, d in zip(sets, (pred, post, target))}), sets)
+    cell = lambda c: F.floor(F.col(c) / patch)
+    f = f.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumns({"x0": F.greatest("x0", F.col("cx") * patch), "x1": F.least("x1", (F.col("cx") + 1) * patch - 1)})
+    on = lambda *names: R.size(F.forall(F.array(*[F.col(n) for n in names]), lambda k: k > 0))
+    per = f.groupBy("image_id", cell("y").alias("cy"), "cx").agg(on("gt").alias("gt"), *[on(c, "gt").alias(f"tp_{c}") for c in ("pre", "post")], *[on(c).alias(f"n_{c}") for c in ("pre", "post")])
     hit = lambda c: F.sum(F.when((F.col("gt") > 0) & (F.col(f"tp_{c}") == 0), 1).otherwise(0)).alias(f"missed_{c}")
     im = per.groupBy("image_id").agg(*[F.sum(c).alias(c) for c in ("gt", "tp_pre", "tp_post", "n_pre", "n_post")], F.count_if(F.col("gt") > 0).alias("patches"), hit("pre"), hit("post"))
     fp = {c: F.col(f"n_{c}") - F.col(f"tp_{c}") for c in ("pre", "post")}
