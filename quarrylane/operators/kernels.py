@@ -9,44 +9,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import labels as L
+from . import runs as R
 from .metrics import ratio
 
 
-def skeleton(g: np.ndarray) -> np.ndarray:
-    """Thinning of Zhang and Suen: two passes that peel edge pixels until none changes."""
+def skeleton(g: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """Thinning of Zhang and Suen: two passes that peel edge pixels until none changes, or so many passes."""
     g = np.pad(g.astype(bool), 1)
+    done = 0
     while True:
         gone = False
         for step in (0, 1):
             n, ne, e, se, s, sw, w, nw = (np.roll(g, d, (0, 1)) for d in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1)))
             ring = [n, ne, e, se, s, sw, w, nw, n]
-            around = sum(x.astype(int) for x in ring[:8])
-            turns = sum((~a & b).astype(int) for a, b in zip(ring, ring[1:]))
+            around = sum(x.astype(np.int8) for x in ring[:8])
+            turns = sum((~a & b).astype(np.int8) for a, b in zip(ring, ring[1:]))
             sides = (~(n & e & s) & ~(e & s & w)) if step == 0 else (~(n & e & w) & ~(n & s & w))
             peel = g & (around >= 2) & (around <= 6) & (turns == 1) & sides
             gone |= bool(peel.any())
             g = g & ~peel
-        if not gone:
+        done += 2
+        if not gone or done == steps:
             return g[1:-1, 1:-1]
 
 
-def _grid(y: np.ndarray, x: np.ndarray, margin: int = 1) -> tuple[np.ndarray, int, int]:
-    y0, x0 = int(y.min()) - margin, int(x.min()) - margin
-    g = np.zeros((int(y.max()) - y0 + 1 + margin, int(x.max()) - x0 + 1 + margin), bool)
-    g[y - y0, x - x0] = True
-    return g, y0, x0
-
-
-def skeletons(px: DataFrame, keys: list[str]) -> DataFrame:
-    """The skeleton pixels of each group of pixels (keys, y, x); a group is a patch or a component."""
-
-    def thin(p: pd.DataFrame) -> pd.DataFrame:
-        g, y0, x0 = _grid(p["y"].to_numpy(), p["x"].to_numpy())
-        y, x = np.nonzero(skeleton(g))
-        return pd.DataFrame({**{k: p[k].iloc[0] for k in keys}, "y": y + y0, "x": x + x0})
-
-    schema = px.select(*keys, F.col("y").cast("long"), F.col("x").cast("long")).schema
-    return px.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).groupBy(*keys).applyInPandas(thin, schema)
+def skeletons(px: DataFrame, keys: list[str], tile: int = 256, steps: int = 32) -> DataFrame:
+    """The skeleton pixels of each group of pixels (keys, y, x); a group is a patch, a component or an image
+    of any size."""
+    return L.with_keys(L.thinned(L.distinct_images(px, keys), skeleton, tile, steps), keys)
 
 
 def centreline_dice(pred: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,44 +49,15 @@ def centreline_dice(pred: DataFrame, target: DataFrame, keys: list[str]) -> Data
     return both.select(*keys, ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")).alias("centreline_dice"))
 
 
-def edge_distances(g: np.ndarray) -> np.ndarray:
-    """The Euclidean distance of each set cell to the nearest unset one: down the columns by counting,
-    then along the rows as far as the largest of those distances."""
-    far = np.full(g.shape, 1 << 20, np.int64)
-    for order in (range(g.shape[0]), range(g.shape[0] - 1, -1, -1)):
-        last = np.full(g.shape[1], 1 << 20, np.int64)
-        for y in order:
-            last = np.where(g[y], last + 1, 0)
-            far[y] = np.minimum(far[y], last)
-    best = far * far
-    step = 1
-    while step < g.shape[1] and step * step < best.max(initial=0):
-        best[:, step:] = np.minimum(best[:, step:], far[:, :-step] ** 2 + step * step)
-        best[:, :-step] = np.minimum(best[:, :-step], far[:, step:] ** 2 + step * step)
-        step += 1
-    return np.sqrt(best)
-
-
-def component_widths(labelled: DataFrame, tile: int = 256, halo: int = 64) -> DataFrame:
-    """Per component twice the median distance of its skeleton to the nearest pixel outside it.
-
-    Components are cut into tiles with a halo, so a task holds one tile however long a streak is;
-    exact where streaks are up to half the halo wide."""
+def component_widths(labelled: DataFrame, tile: int = 256, steps: int = 32) -> DataFrame:
+    """Per component twice the median distance of its skeleton to the nearest pixel outside it, for
+    components of any size; what is beyond the frame counts as outside."""
     keys = ["image_id", "component"]
-    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / tile)))
-    t = labelled.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    t = t.withColumn("ty", F.explode(near("y"))).withColumn("txs", near("x")).withColumn("tx", F.explode("txs")).drop("txs")
-
-    def measure(p: pd.DataFrame) -> pd.DataFrame:
-        g, y0, x0 = _grid(p["y"].to_numpy(), p["x"].to_numpy(), 2)
-        y, x = np.nonzero(skeleton(g))
-        d = edge_distances(g)[y, x]
-        own = ((y + y0) // tile == p["ty"].iloc[0]) & ((x + x0) // tile == p["tx"].iloc[0])
-        return pd.DataFrame({"image_id": p["image_id"].iloc[0], "component": p["component"].iloc[0], "d": d[own]})
-
-    kinds = dict(labelled.dtypes)
-    d = t.groupBy(*keys, "ty", "tx").applyInPandas(measure, f"image_id {kinds['image_id']}, component {kinds['component']}, d double")
-    return d.groupBy(*keys).agg((2 * F.percentile("d", 0.5)).alias("width"))
+    px = L.distinct_images(labelled, keys)
+    # The nearest pixel outside is next to the component, by a side.
+    ring = R.sweep(R.tagged(R.runs_of(px), {"own": R.POINT, "grown": R.kernel(1, "ellipse")}), ["own", "grown"]).where("own = 0")
+    d = L.nearest(L.thinned(px, skeleton, tile, steps), R.pixels_of(ring))
+    return L.with_keys(d, keys).groupBy(*keys).agg((2 * F.percentile(F.sqrt("d2"), 0.5)).alias("width"))
 
 
 def mean_centreline_dice(scores: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

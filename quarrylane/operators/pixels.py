@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import labels as L
 from . import runs as R
 from .metrics import ratio
+from .shared import stored
 
 PX = ["image_id", "y", "x"]
 
@@ -129,30 +131,11 @@ def distance_strata(pred: DataFrame, target: DataFrame, near: int, far: int) ->
     return s.groupBy("image_id", stratum.alias("stratum")).agg(R.size(F.lit(True)).alias("n"))
 
 
-def fp_distances(pred: DataFrame, target: DataFrame, cell: int, reach: int) -> DataFrame:
+def fp_distances(pred: DataFrame, target: DataFrame) -> DataFrame:
     """(image_id, y, x, d2, has_target): the squared distance of each false positive to the nearest
-    target pixel of its image, at any distance; null in images without targets.
-
-    Pixels meet in cells of `cell` pixels: each target goes to the cells that its reach touches.  What
-    finds no target within `reach` looks again four times as far, in cells four times as large, until
-    none is left; each round is written, and only whether any are left comes to the driver."""
-    t, fp = target.select(*PX).distinct(), pred.select(*PX).distinct().join(target, PX, "left_anti")
-    left = fp.join(t.select("image_id").distinct().withColumn("has_target", F.lit(True)), "image_id", "left").na.fill(False, ["has_target"])
-    left = stored(left)
-    out = left.where("NOT has_target").select(*PX, F.lit(None).cast("long").alias("d2"), "has_target")
-    left = left.where("has_target")
-    while True:
-        at = lambda c, d: F.floor((F.col(c) + d) / cell)  # noqa: B023, E731
-        near = t.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), F.explode(F.sequence(at("y", -reach), at("y", reach))).alias("cy"), F.sequence(at("x", -reach), at("x", reach)).alias("cxs"))
-        near = near.select("image_id", "ty", "tx", "cy", F.explode("cxs").alias("cx"))
-        d2 = (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")) + (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx"))
-        found = left.withColumn("cy", at("y", 0)).withColumn("cx", at("x", 0)).join(near, ["image_id", "cy", "cx"]).where(d2 <= reach * reach).groupBy(*PX).agg(F.min(d2).cast("long").alias("d2"))
-        step = stored(left.join(found, PX, "left").select(*PX, "d2", "has_target"))
-        out = out.union(step.where("d2 IS NOT NULL"))
-        left = step.where("d2 IS NULL").drop("d2")
-        if left.isEmpty():
-            return out
-        cell, reach = 4 * cell, 4 * reach
+    target pixel of its image, at any distance; null in images without targets."""
+    fp = R.pixels_of(R.difference(R.runs_of(pred), R.runs_of(target)))
+    return fp.join(L.nearest(fp, target.select(*PX).distinct()), PX, "left").withColumn("has_target", F.col("d2").isNotNull())
 
 
 def fp_distance_summary(distances: DataFrame, last: int = 50) -> DataFrame:
@@ -220,20 +203,28 @@ def cut_patches(images: DataFrame, frame: DataFrame, mask: DataFrame, patch: int
     row, with their mask (255 where set); ready to be written as Parquet, a row per patch.
 
     images (image_id, height, width), frame (image_id, y, x, v: 0 to 255), mask (image_id, y, x).  A
-    pixel goes to every patch that covers it; pixels that the frame doesn't list are 0."""
+    pixel goes to every patch that covers it, once; pixels that the frame doesn't list are 0.  One task puts
+    a patch's pixels in their places, so the cost of a pixel doesn't hang on the patch's size.  Frames in
+    files are cut without single pixels by sources.png.training_patches."""
     grid = patch_grid(images, patch, stride).select("image_id", F.col("y").alias("y0"), F.col("x").alias("x0"), "grid_y", "grid_x")
     cover = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - patch) / stride) + 1), F.floor(F.col(c) / stride))
-    px = frame.select(*PX, "v").join(mask.select(*PX).distinct().withColumn("m", F.lit(True)), PX, "full")
-    px = px.select("*", F.explode(cover("y")).alias("grid_y"), cover("x").alias("xs")).select(*PX, "v", "m", "grid_y", F.explode("xs").alias("grid_x"))
-    at = ((F.col("y") - F.col("grid_y") * stride) * patch + F.col("x") - F.col("grid_x") * stride).cast("int")
-    cells = px.groupBy("image_id", "grid_y", "grid_x").agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct(F.coalesce(F.col("v").cast("int"), F.lit(0)).alias("v"), F.coalesce("m", F.lit(False)).alias("m"))))).alias("at"), F.count_if("m").alias("positive_pixels"))
-    byte = lambda v: F.lpad(F.hex(v), 2, "0")
-    places = F.sequence(F.lit(0), F.lit(patch * patch - 1))
-    cell = lambda i: F.element_at(F.col("at"), i)
-    pixels = F.unhex(F.array_join(F.transform(places, lambda i: F.coalesce(byte(cell(i)["v"]), F.lit("00"))), ""))
-    shown = F.unhex(F.array_join(F.transform(places, lambda i: F.when(cell(i)["m"], "FF").otherwise("00")), ""))
-    out = grid.join(cells, ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
-    return out.select("image_id", "y0", "x0", pixels.alias("pixels"), shown.alias("mask"), "positive_pixels")
+    px = frame.select(*PX, F.col("v").cast("int").alias("v"), F.lit(False).alias("m")).unionByName(mask.select(*PX, F.lit(None).cast("int").alias("v"), F.lit(True).alias("m")))
+    px = px.select("*", F.explode(cover("y")).alias("grid_y"), cover("x").alias("xs")).select("image_id", "grid_y", F.explode("xs").alias("grid_x"), "y", "x", "v", "m")
+    at = ((F.col("y") - F.col("grid_y") * stride) * patch + F.col("x") - F.col("grid_x") * stride).cast("int").alias("at")
+    px = px.select("image_id", F.col("grid_y").cast("int").alias("grid_y"), F.col("grid_x").cast("int").alias("grid_x"), at, "v", "m")
+
+    def put(table: pa.Table) -> pa.Table:
+        at, m = table.column("at").to_numpy(), table.column("m").to_numpy(zero_copy_only=False)
+        pixels, shown = np.zeros(patch * patch, np.uint8), np.zeros(patch * patch, np.uint8)
+        pixels[at[~m]] = table.column("v").filter(pc.invert(table.column("m"))).to_numpy()
+        shown[at[m]] = 255
+        one = table.select(["image_id", "grid_y", "grid_x"]).slice(0, 1)
+        return one.append_column("pixels", pa.array([pixels.tobytes()])).append_column("mask", pa.array([shown.tobytes()])).append_column("positive_pixels", pa.array([np.count_nonzero(shown)]))
+
+    schema = px.select("image_id", "grid_y", "grid_x", F.lit(b"").alias("pixels"), F.lit(b"").alias("mask"), F.lit(0).cast("long").alias("positive_pixels")).schema
+    out = grid.join(px.groupBy("image_id", "grid_y", "grid_x").applyInArrow(put, schema), ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
+    empty = F.unhex(F.repeat(F.lit("00"), patch * patch))
+    return out.select("image_id", "y0", "x0", F.coalesce("pixels", empty).alias("pixels"), F.coalesce("mask", empty).alias("mask"), "positive_pixels")
 
 
 def density_map(stats: DataFrame, columns: int) -> DataFrame:
@@ -292,51 +283,11 @@ def label_sweep(pred: DataFrame, target: DataFrame, radii: list[int], height: in
     return c.select("radius", ratio(tp, np_).alias("precision"), ratio(tp, nt).alias("recall"), ratio(2 * tp, np_ + nt).alias("dice"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df in the folder of spark.checkpoint.dir and reads it again; cuts the lineage of a loop."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/quarrylane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(px: DataFrame, connectivity: int = 8) -> DataFrame:
+def components(px: DataFrame, connectivity: int = 8, tile: int = L.TILE) -> DataFrame:
     """(image_id, y, x, component): connected components numbered per image in raster order of their
-    first pixels, from 1.
-
-    Pixels become runs (gaps and islands in a row); runs of neighbouring rows that touch are edges.
-    Alternating large and small stars hand each run's larger neighbours to its smallest one until
-    nothing changes; the number of rounds grows with the logarithm of a component's runs.  Each round
-    is written and cuts the lineage; only a count and a checksum come to the driver."""
-    reach = 1 if connectivity == 8 else 0
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    p = px.select(*PX).distinct().withColumn("island", F.col("x") - F.row_number().over(row))
-    runs = p.groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = stored(runs.withColumn("run", F.struct("y", "x0")))
-    below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("b"))
-    edges = runs.join(below, ["image_id", "y"]).where((F.col("x0") <= F.col("bx1") + reach) & (F.col("bx0") <= F.col("x1") + reach))
-    edges = stored(edges.select("image_id", F.col("b").alias("v"), F.col("run").alias("u")))  # v > u: raster order
-    mark = None
-    while True:
-        both = edges.union(edges.select("image_id", F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("image_id", "v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, ["image_id", "v"]).where("u > v").select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        least = large.groupBy("image_id", "v").agg(F.min("u").alias("m"))
-        small = large.join(least, ["image_id", "v"])
-        small = small.select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("image_id", "v", F.col("m").alias("u"))).where("u <> v").distinct()
-        edges = stored(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("image_id", "v", "u").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    roots = edges.groupBy("image_id", F.col("v").alias("run")).agg(F.min("u").alias("label"))
-    labels = runs.join(roots, ["image_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
-    ids = labels.where("label = run").select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("label")).alias("component"))
-    return labels.join(ids, ["image_id", "label"]).select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
+    first pixels, from 1."""
+    named = L.component_runs(R.runs_of(px), connectivity, tile)
+    return named.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
 
 def component_shapes(labelled: DataFrame, least_area: int = 1) -> DataFrame:

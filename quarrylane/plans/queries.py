@@ -297,14 +297,14 @@ NEAREST = FP + ", has AS (SELECT DISTINCT image_id FROM v_gt_px), near AS (SELEC
 
 @query("fp_nearest_distance", BOTH, NEAREST + " SELECT * FROM near")
 def _(p, t):
-    return P.fp_distances(p, t, 32, 20)
+    return P.fp_distances(p, t)
 
 
 @query("fp_distance_summary", BOTH, NEAREST + f""", h AS (SELECT CAST(least(49, floor(sqrt(d2))) AS INT) AS bin, count(*) AS n FROM near WHERE d2 <= 2500 GROUP BY ALL), w AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS c, (SELECT sum(n) FROM h) / 2 AS half FROM h)
     SELECT count(*) FILTER (has_target) AS with_target, count(*) FILTER (NOT has_target) AS without_target, {", ".join(f"round(count(*) FILTER (d2 <= {k * k}) / count(*) FILTER (has_target), 6) AS within_{k}, round(count(*) FILTER (d2 <= {k * k}) / count(*), 6) AS within_{k}_of_all" for k in (1, 2, 3))},
     count(*) FILTER (d2 > 2500) AS overflow, (SELECT round(arg_min(bin + (half - (c - n)) / n, bin), 6) FROM w WHERE c >= half) AS median FROM near""")
 def _(p, t):
-    return P.fp_distance_summary(P.fp_distances(p, t, 32, 20))
+    return P.fp_distance_summary(P.fp_distances(p, t))
 
 
 @query("recovered_pixels", ("v_prob_px", "v_gt_px"), "SELECT p.image_id, count(*) AS n FROM v_prob_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x WHERE prob >= 3e-1 AND prob < 5e-1 GROUP BY p.image_id")
@@ -353,12 +353,12 @@ def _(t):
     return P.density_map(_stats(t), 11)
 
 
-@query("cut_patches", ("v_frame_px", "v_gt_px"), """, g AS (SELECT image_id, gy * 16 AS y0, gx * 16 AS x0 FROM (SELECT DISTINCT image_id FROM v_frame_px), (SELECT unnest(range(5)) AS gy), (SELECT unnest(range(5)) AS gx) WHERE gy * 16 + 16 <= 64 AND gx * 16 + 16 <= 64),
-    c AS (SELECT g.image_id, y0, x0, dy, dx, coalesce(v, 0) AS v, t.y IS NOT NULL AS m FROM g CROSS JOIN (SELECT unnest(range(16)) AS dy) a CROSS JOIN (SELECT unnest(range(16)) AS dx) b LEFT JOIN v_frame_px f ON f.image_id = g.image_id AND f.y = y0 + dy AND f.x = x0 + dx LEFT JOIN v_gt_px t ON t.image_id = g.image_id AND t.y = y0 + dy AND t.x = x0 + dx)
+@query("cut_patches", ("v_pred_px", "v_gt_px"), """, g AS (SELECT image_id, gy * 64 AS y0, gx * 64 AS x0 FROM (SELECT DISTINCT image_id FROM v_gt_px), (SELECT unnest(range(2)) AS gy), (SELECT unnest(range(2)) AS gx)),
+    c AS (SELECT g.image_id, y0, x0, dy, dx, coalesce(f.y % 200, 0) AS v, t.y IS NOT NULL AS m FROM g CROSS JOIN (SELECT unnest(range(96)) AS dy) a CROSS JOIN (SELECT unnest(range(96)) AS dx) b LEFT JOIN v_pred_px f ON f.image_id = g.image_id AND f.y = y0 + dy AND f.x = x0 + dx LEFT JOIN v_gt_px t ON t.image_id = g.image_id AND t.y = y0 + dy AND t.x = x0 + dx)
     SELECT image_id, CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, string_agg(printf('%02X', v), '' ORDER BY dy, dx) AS pixels, string_agg(CASE WHEN m THEN 'FF' ELSE '00' END, '' ORDER BY dy, dx) AS mask, count(*) FILTER (m) AS positive_pixels FROM c GROUP BY image_id, y0, x0""")
 def _(f, t):
-    images = f.select("image_id").distinct().withColumns({"height": F.lit(64), "width": F.lit(64)})
-    return P.cut_patches(images, f, t, 16, 16).withColumns({"pixels": F.hex("pixels"), "mask": F.hex("mask")})
+    images = t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)})
+    return P.cut_patches(images, f.withColumn("v", F.col("y") % 200), t, 96, 64).withColumns({"pixels": F.hex("pixels"), "mask": F.hex("mask")})
 
 
 @query("stitched_canvas", ("v_prob_px",), "SELECT image_id, y, x, round(max(p), 6) AS prob FROM (SELECT image_id, y + dy AS y, x, prob / (1 + dy) AS p FROM v_prob_px, (SELECT unnest([0, 1]) AS dy)) WHERE y < 192 GROUP BY image_id, y, x")

@@ -328,9 +328,9 @@ def test_tiers_need_enough(spark):
 def test_false_positives_at_any_distance(spark):
     rng = np.random.default_rng(1)
     t, f = {(int(a), int(b)) for a, b in rng.integers(0, 30, (12, 2))}, {(int(a), int(b)) for a, b in rng.integers(0, 900, (60, 2))}
-    got = {(r.y, r.x): (r.d2, r.has_target) for r in P.fp_distances(px(spark, sorted(f | t)).union(px(spark, [(5, 5)], 1)), px(spark, sorted(t)), 8, 4).where("image_id = 0").collect()}
+    got = {(r.y, r.x): (r.d2, r.has_target) for r in P.fp_distances(px(spark, sorted(f | t)).union(px(spark, [(5, 5)], 1)), px(spark, sorted(t))).where("image_id = 0").collect()}
     assert got == {p: (min((p[0] - a) ** 2 + (p[1] - b) ** 2 for a, b in t), True) for p in f - t}
-    d = P.fp_distances(px(spark, [(5, 7), (5, 8), (5, 99)]).union(px(spark, [(1, 1)], 1)), px(spark, [(5, 5)]), 8, 4)
+    d = P.fp_distances(px(spark, [(5, 7), (5, 8), (5, 99)]).union(px(spark, [(1, 1)], 1)), px(spark, [(5, 5)]))
     r = P.fp_distance_summary(d).first()
     assert (r.with_target, r.without_target, r.within_2, r.within_2_of_all, r.overflow, r.median) == (3, 1, pytest.approx(1 / 3), 0.25, 1, 3.0)
 

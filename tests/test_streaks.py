@@ -68,16 +68,51 @@ def test_profiles_without_sideband_or_scatter(spark):
     assert none.peak == 0 and none.fwhm is None
 
 
-def test_widths_do_not_hang_on_tiles(spark):
-    rows = [(y + x // 3, x) for y in range(5) for x in range(0, 90)]
-    named = P.components(px(spark, rows))
-    whole = K.component_widths(named, 1000, 500).first().width
-    assert K.component_widths(named, 16, 12).first().width == pytest.approx(whole, abs=0.9)
-    g = np.zeros((9, 12), bool)
-    g[2:7, 2:10] = True
+def widths(points):
+    """Twice the median distance of a component's skeleton to the nearest place outside it, on one array."""
+    y0, x0 = min(y for y, _ in points) - 1, min(x for _, x in points) - 1
+    g = np.zeros((max(y for y, _ in points) - y0 + 2, max(x for _, x in points) - x0 + 2), bool)
+    for y, x in points:
+        g[y - y0, x - x0] = True
     oy, ox = np.nonzero(~g)
-    d = K.edge_distances(g)
-    assert all(d[y, x] == pytest.approx(np.sqrt(((y - oy) ** 2 + (x - ox) ** 2).min())) for y, x in zip(*np.nonzero(g)))
+    d = [np.sqrt(((y - oy) ** 2 + (x - ox) ** 2).min()) for y, x in zip(*np.nonzero(K.skeleton(g)))]
+    return 2 * np.median(d)
+
+
+@pytest.mark.parametrize("tile, steps", [(16, 2), (16, 8), (512, 32)])
+def test_widths_of_any_size(spark, tile, steps):
+    streak = [(y + x // 3, x) for y in range(5) for x in range(90)]
+    blob = [(y, x) for y in range(0, 81) for x in range(0, 81) if (y - 40) ** 2 + (x - 40) ** 2 <= 1600 and (y, x) != (20, 25)]
+    named = P.components(px(spark, streak, 0).union(px(spark, blob, 1)))
+    got = {r.image_id: r.width for r in K.component_widths(named, tile, steps).collect()}
+    assert got == {0: pytest.approx(widths(streak)), 1: pytest.approx(widths(blob))}
+
+
+@pytest.mark.parametrize("tile, steps", [(16, 4), (24, 10), (256, 32)])
+def test_skeletons_of_tiles_are_those_of_the_whole(spark, tile, steps):
+    rng = np.random.default_rng(tile)
+    g = np.zeros((70, 90), bool)
+    for y, x, r in zip(rng.integers(5, 65, 12), rng.integers(5, 85, 12), rng.integers(2, 17, 12)):
+        yy, xx = np.ogrid[:70, :90]
+        g |= (yy - y) ** 2 + (xx - x) ** 2 <= r * r
+    pts = [(int(y), int(x)) for y, x in zip(*np.nonzero(g))]
+    got = {(r.y, r.x) for r in K.skeletons(px(spark, pts), ["image_id"], tile, steps).collect()}
+    assert got == {(int(y), int(x)) for y, x in zip(*np.nonzero(K.skeleton(g)))}
+
+
+def test_centreline_dice_equals_arrays(spark):
+    rng = np.random.default_rng(3)
+    rows = {n: [(i, int(y), int(x)) for i in range(4) for y, x in zip(*np.nonzero(np.kron(rng.random((5, 5)) < 0.5, np.ones((6, 6), bool))))] for n in "ab"}
+    frames = {n: spark.createDataFrame(r, PX) for n, r in rows.items()}
+    got = {r.image_id: r.centreline_dice for r in K.centreline_dice(frames["a"], frames["b"], ["image_id"]).collect()}
+    for i in range(4):
+        g = {n: np.zeros((30, 30), bool) for n in "ab"}
+        for n in "ab":
+            for k, y, x in rows[n]:
+                g[n][y, x] |= k == i
+        s = {n: K.skeleton(g[n]) for n in "ab"}
+        p, r = (s["a"] & g["b"]).sum() / s["a"].sum(), (s["b"] & g["a"]).sum() / s["b"].sum()
+        assert got[i] == pytest.approx(2 * p * r / (p + r))
 
 
 def test_two_samples_share_nothing(spark):
