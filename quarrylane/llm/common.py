@@ -32,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a local one of our own where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir.  Where none is set, a temporary one of this machine, on a local
+    master only (tests); on a cluster that would lose what other machines write, so it fails there."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
@@ -205,6 +208,16 @@ def labelled_sample(labels: DataFrame, name: str, mod: int, held_out: int, most:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(text, label): one text for each id of labelled (doc_id, label; bounded) that docs (doc_id, text) has,
+    so at most as many rows however often an id repeats; of several texts the one with the least hash.
+    Null texts count as empty."""
+    known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).join(known, F.col("doc_id") == F.col("_id"))
+    return own.groupBy("_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("text", "label")
+
+
 class BloomBits:
     """A Bloom filter of 2**log_bits bits, the same size for any input (its broadcast is bounded)."""
 

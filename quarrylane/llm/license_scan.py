@@ -38,14 +38,16 @@ TAG = "spdx license identifier"
 #: Licences that let one use the text; a document's score is that of what it may be used under.
 PERMISSIVE = frozenset("mit apache-2 apache-2.0 bsd bsd-2-clause bsd-3-clause isc cc-by cc-by-4.0 cc0-1.0 unlicense bsl-1.0 zlib".split())
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
+_BEFORE = re.compile(rb"[: \t]*")
 _OPS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> tuple[list[str], float] | None:
-    """Reads the longest licence expression at the start of a line: its licence names (lower case,
+def parse_expression(data: bytes, place: int = 0) -> tuple[list[str], float] | None:
+    """Reads the longest licence expression of a line from a place on: its licence names (lower case,
     an exception joined by ' with ') and its score. `or` takes the best side, `and` the worst.
-    None when there is no expression or its operators don't fit together."""
+    None when there is no expression or its operators don't fit together.  Only the expression is
+    looked at, not the rest of the line."""
     out: list[tuple[list[str], float]] = []
     ops: list[str] = []
     want = True  # an operand comes next
@@ -64,11 +66,8 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
             out.append((ln, max(ls, rs) if op == "or" else min(ls, rs)))
         return True
 
-    place = 0
-    for m in _TOKEN.finditer(text):
-        if text[place : m.start()].strip(" \t"):
-            break
-        t = m[0].lower()
+    while m := _TOKEN.match(data, place):
+        t = m[1].decode().lower()
         if t == "(" and want:
             ops.append(t)
         elif t == ")" and not want and "(" in ops:
@@ -141,13 +140,8 @@ def license_scan(docs: DataFrame, base: Mapping[str, str] = BASE, notices: Mappi
                             starts.append(start)
                         if kind == "tag":
                             spans = spans or [m.end() for m in _WORDS.finditer(low)]
-                            # The line's end is sought in the bytes, so each tag decodes its own line only.
-                            begin = spans[start + size - 1]
-                            while begin < len(low) and low[begin] in b": \t":
-                                begin += 1
-                            stop = low.find(b"\n", begin)
-                            line = low[begin : stop if stop >= 0 else len(low)].decode("utf-8", "replace")
-                            if parsed := parse_expression(line):
+                            begin = _BEFORE.match(low, spans[start + size - 1]).end()
+                            if parsed := parse_expression(low, begin):
                                 kept["notice"].update(parsed[0])
                                 scores.append(parsed[1])
                         else:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_held_out, labelled_sample, shingle_hashes, slices, stored, table, tokens
+from .common import crc_held_out, labelled_sample, labelled_texts, shingle_hashes, slices, stored, table, tokens
 
 #: Bound on the labelled rows that the trees are grown on.
 MOST_LABELLED = 20_000
@@ -188,15 +188,14 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame
     have statistics of 0.  Every row is scored by itself; without labels all scores are 0.5."""
     spark = docs.sparkSession
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))  # bounded by MOST_LABELLED rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(list(statistics(part.column(0))), pa.list_(pa.float64())), part.column(1)], ["x", "label"])
 
-    train = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string").alias("text"), "label")
-    rows = stored(train.mapInArrow(count, "x array<double>, label int"), "train").collect()  # bounded by MOST_LABELLED rows
+    train = labelled_texts(docs, labelled)
+    rows = stored(train.mapInArrow(count, "x array<double>, label int"), "train").collect()  # one row per label at most
     x = np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS))
     y = np.array([r.label for r in rows], float)
     order = np.lexsort((*x.T, y))  # no result hangs on the order of rows

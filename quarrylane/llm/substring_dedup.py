@@ -4,9 +4,9 @@ A unit is a run of words up to one that ends in '.', '!' or '?', or to the end o
 sentence of LONG words or more also ends a unit after each word whose hash is divisible by CUT,
 so that a passage set into other text shares most of its units wherever it begins.  A unit is
 normalised to its lower-cased words and hashed; over all documents the earliest occurrence of
-each digest, by doc_id and place, is kept.  Other occurrences go, where consecutive ones make up
-at least min_words words (a short sentence that recurs by chance stays, a repeated paragraph or
-passage goes), and with min_line_words also repeated whole lines of so many words.
+each digest, by doc_id and place, is kept.  Other occurrences go where they are whole lines of
+min_line_words words or more, and inside lines where consecutive ones make up at least min_words
+words (a short sentence that recurs by chance stays, a repeated passage goes).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from .common import _power_tables, broadcasts, build_bloom, mixed, slices, stored, table, tokens
 
 MIN_WORDS = 25
+#: Repeated whole lines and paragraphs go from so many words on.
+MIN_LINE_WORDS = 13
 LONG, CUT = 16, 8
 #: A digest with more than 1 / HOT_SHARE of all repeated units is hot (so at most HOT_SHARE are) and joined in SALTS parts.
 HOT_SHARE, SALTS = 1000, 64
@@ -116,7 +118,7 @@ def _going(marks: list[dict], lines: np.ndarray, min_words: int, min_line_words:
     return out
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int | None = MIN_LINE_WORDS) -> DataFrame:
     """docs with the columns text (what is left), removed (array of start, end, kept_doc_id: places
     in characters of the original text and the document that keeps the first unit) and n_removed.
 

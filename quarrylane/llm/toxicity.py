@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, crc_held_out, labelled_sample, mixed, slices, stored, table, tokens
+from .common import NOT_ALNUM, crc_held_out, labelled_sample, labelled_texts, mixed, slices, stored, table, tokens
 
 #: Bound on the labelled rows that the model is fitted on.
 MOST_LABELLED = 20_000
-MOST_TERMS = 4096
 STEM = 5
 LISTS = 5
 #: A term must be absent from clean texts or e**LEAST_ODDS times as likely in toxic ones.
@@ -46,9 +45,9 @@ def _terms(texts: pa.Array):
     return t, text, t.hashes, t.stems ^ np.uint64(0x5555555555555555)
 
 
-def toxic_terms(docs: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
-    """(hash, log odds) of words and stems that occur mainly in toxic texts of docs (text, label);
-    at most `most`, those in the most contexts.
+def toxic_terms(docs: DataFrame) -> np.ndarray:
+    """(hash, log odds) of all words and stems that occur mainly in toxic texts of docs (text, label), those
+    in the most contexts first.  docs is bounded, so its words are.
 
     What counts is not texts but different words before a term, by 64 hash bits per term and label:
     the copies of one text, near or exact, repeat its words in the same contexts."""
@@ -77,7 +76,7 @@ def toxic_terms(docs: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
     pos, neg = (max(1, sum(r["count"] for r in sizes if (r["label"] == 1) == x)) for x in (True, False))
     c = docs.mapInArrow(scan, "term long, toxic long, clean long").groupBy("term").agg(F.bit_count(F.bit_or("toxic")).alias("toxic"), F.bit_count(F.bit_or("clean")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.05) / pos) - F.log((F.col("clean") + 0.5) / neg)
-    got = c.where(F.col("toxic") >= LEAST_CONTEXTS).withColumn("odds", odds).where((F.col("clean") == 0) | (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("toxic"), F.desc("odds"), "term").limit(most).collect()
+    got = c.where(F.col("toxic") >= LEAST_CONTEXTS).withColumn("odds", odds).where((F.col("clean") == 0) | (F.col("odds") > LEAST_ODDS)).orderBy(F.desc("toxic"), F.desc("odds"), "term").collect()
     return np.array([(r.term & (2**64 - 1), r.odds) for r in got], dtype=[("term", np.uint64), ("odds", np.float64)])
 
 
@@ -146,9 +145,9 @@ class Voters:
     @classmethod
     def inputs(cls, f: np.ndarray) -> np.ndarray:
         k = 2 * LISTS
-        x = np.log1p(f)
+        """Counts and shares for the classifier; no log odds, which come from the labels."""
+        x = np.log1p(f[:, : cls.ODDS])
         x[:, cls.UPPER : cls.SHARE + 1] = f[:, cls.UPPER : cls.SHARE + 1]
-        x[:, cls.ODDS :] = f[:, cls.ODDS :] / 5
         return np.hstack([x, np.minimum(1, f[:, : k + 1]), np.log1p(f[:, :k].sum(1, keepdims=True))])
 
 
@@ -219,7 +218,7 @@ def train_linear(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40
     return w, mean, scale
 
 
-def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) with `score` (replaced if there), from 0 to 1.
 
     labelled (doc_id, label) is a bounded table of training labels (1 toxic), used to find the
@@ -228,9 +227,8 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST
     any word that matters.  Every row is scored by itself: null ids, repeats and order don't matter."""
     spark = docs.sparkSession
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    known = F.broadcast(labelled.select(F.col("doc_id").alias("_id"), "label"))  # bounded by MOST_LABELLED rows
-    train = stored(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "label"), "train")
-    voters = Voters(toxic_terms(train, most_terms))
+    train = stored(labelled_texts(docs, labelled), "train")
+    voters = Voters(toxic_terms(train))
     shared = spark.sparkContext.broadcast(voters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +237,7 @@ def toxicity_scores(docs: DataFrame, labelled: DataFrame, most_terms: int = MOST
                 f = shared.value.features(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64()))], ["f"])
 
-    rows = train.mapInArrow(count, "f array<double>").collect()  # bounded by MOST_LABELLED rows
+    rows = train.mapInArrow(count, "f array<double>").collect()  # one row per label at most
     f = np.array([r.f for r in rows]).reshape(len(rows), Voters.COLUMNS)
     f = f[np.lexsort(f.T)]  # no result hangs on the order of rows
     if len(f):

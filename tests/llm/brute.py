@@ -1,7 +1,9 @@
 """Plain Python forms of the text operators, for small tables."""
 
+import bisect
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 
@@ -64,12 +66,15 @@ def units(text):
     return cut
 
 
-def dedup(docs, min_words):
+def dedup(docs, min_words, min_line_words=None):
     """{doc_id: (text left, [(start, end, kept)])} for what loses something; docs: {doc_id: text}."""
     seen, res = {}, {}
     for k in sorted(docs):
         t = docs[k]
         us = units(t)
+        breaks = [m.start() for m in re.finditer("\n", t)]
+        lines = [bisect.bisect_left(breaks, u[0][0]) for u in us]
+        sizes = Counter(lines)
         gone = []
         for i, u in enumerate(us):
             key = tuple(t[a:b].translate(LOWER) for a, b in u)
@@ -82,9 +87,16 @@ def dedup(docs, min_words):
             q = p
             while q + 1 < len(gone) and gone[q + 1][0] == gone[q][0] + 1:
                 q += 1
-            if sum(x[1] for x in gone[p : q + 1]) >= min_words:
-                nxt = gone[q][0] + 1
-                spans.append((us[gone[p][0]][0][0], us[nxt][0][0] if nxt < len(us) else len(t), gone[p][2]))
+            run = gone[p : q + 1]
+            parts = [run] if sum(x[1] for x in run) >= min_words else []
+            if not parts and min_line_words:
+                for n in sorted({lines[x[0]] for x in run}):
+                    own = [x for x in run if lines[x[0]] == n]
+                    if len(own) == sizes[n] and sum(x[1] for x in own) >= min_line_words:
+                        parts.append(own)
+            for own in parts:
+                nxt = own[-1][0] + 1
+                spans.append((us[own[0][0]][0][0], us[nxt][0][0] if nxt < len(us) else len(t), own[0][2]))
             p = q + 1
         if spans:
             left, at = "", 0
