@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
+from . import labels as L
 from . import pixels as P
+from . import runs as R
 from .dataset import stretch
 from .kernels import component_widths, edge_pixels
 from .metrics import metrics, ratio, sparse_counts
@@ -129,12 +131,25 @@ def display_excess(frame: DataFrame, pred: DataFrame, target: DataFrame, patches
     return px.join(m, "image_id").select(*PX, "category", (F.col("v") - F.col("_m")).alias("excess"), "fallback")
 
 
-def recovered_crop(added: DataFrame, height: int, width: int, margin: int) -> DataFrame:
-    """Per image the box, with a margin and inside the frame, of the largest component of added pixels."""
-    s = P.component_shapes(P.components(added)).select("image_id", "component", "area", "y0", "x0", "y1", "x1")
-    top = F.max(F.struct("area", (-F.col("component")).alias("c"), "y0", "x0", "y1", "x1")).alias("b")
-    held = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("long")
-    return s.groupBy("image_id").agg(top).select("image_id", F.col("b.area").alias("area"), held(F.col("b.y0") - margin, height).alias("y0"), held(F.col("b.x0") - margin, width).alias("x0"), held(F.col("b.y1") + margin, height).alias("y1"), held(F.col("b.x1") + margin, width).alias("x1"))
+def recovered_crop(added: DataFrame, fallback: DataFrame, images: DataFrame, height: int, width: int, margin: int) -> DataFrame:
+    """Per image (of images) a crop round the most solid stretch of the pixels that lines add: rows y0 to
+    y1 - 1, columns x0 to x1 - 1.
+
+    The pixels are eroded by a 3x3 square (beyond the frame counts as set), which drops slivers along
+    known streaks; where nothing is left, all added pixels count, and where there are none, those of
+    `fallback`.  The box of the largest component (first in raster order) gets a margin inside the
+    frame; an image without any pixel is shown as a whole, with an area of 0."""
+    runs = R.merged(R.runs_of(added))
+    core = R.erode(runs, R.kernel(1), height, width)
+    has = lambda d, n: d.select("image_id").distinct().withColumn(n, F.lit(True))
+    whole, other = runs.join(has(core, "_c"), "image_id", "left_anti"), R.merged(R.runs_of(fallback)).join(has(runs, "_r"), "image_id", "left_anti")
+    seeds = core.unionByName(whole).unionByName(other)
+    per = L.component_runs(seeds).groupBy("image_id", "component").agg(R.size(F.lit(True)).alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    top = per.groupBy("image_id").agg(F.max(F.struct("area", (-F.col("component")).alias("c"), "y0", "x0", "y1", "x1")).alias("b"))
+    low = lambda c: F.coalesce(F.greatest(F.lit(0).cast("long"), F.col(f"b.{c}") - margin), F.lit(0).cast("long")).alias(c)
+    high = lambda c, n: F.coalesce(F.least(F.lit(n).cast("long"), F.col(f"b.{c}") + margin), F.lit(n).cast("long")).alias(c)
+    shown = images.select("image_id").distinct().join(top, "image_id", "left")
+    return shown.select("image_id", F.coalesce("b.area", F.lit(0).cast("long")).alias("area"), low("y0"), low("x0"), high("y1", height), high("x1", width))
 
 
 def strata_lines(prob: DataFrame, strata: list[float], **line) -> DataFrame:
@@ -213,20 +228,45 @@ def review_summary(reviewed: DataFrame, flags: list[str]) -> DataFrame:
     return reviewed.agg(F.count("*").alias("reviewed"), *[F.count_if(F.col(f)).alias(f) for f in flags])
 
 
-def trial_table(trials: DataFrame, params: DataFrame, attributes: DataFrame, names: list[str], k: int | None = None) -> DataFrame:
-    """Complete trials (trial_id, number, state, value) with their parameters as columns, best first; a
-    user attribute of a parameter's name replaces it, the attribute val_f1 the value; a parameter that
-    is missing fails."""
-    t = trials.where("state = 'COMPLETE'")
-    f1 = attributes.where("key = 'val_f1'").groupBy("trial_id").agg(F.first("value_json").cast("double").alias("_f1"))
-    t = t.join(f1, "trial_id", "left").withColumn("value", F.coalesce("_f1", "value")).drop("_f1")
-    t = t.orderBy(F.desc("value"), "number").limit(k) if k else t
-    p = params.groupBy("trial_id").pivot("param_name", names).agg(F.first("param_value"))
-    a = attributes.groupBy("trial_id").pivot("key", names).agg(F.first("value_json"))
-    a = a.select("trial_id", *[F.col(n).cast("double").alias(f"_{n}") for n in names])
-    j = t.join(p, "trial_id", "left").join(a, "trial_id", "left")
-    need = lambda n: F.coalesce(f"_{n}", n, F.raise_error(F.lit(f"missing parameter {n}")).cast("double")).alias(n)
-    return j.select("trial_id", "number", "value", *[need(n) for n in names]).orderBy(F.desc("value"), "number")
+def decoded_params(params: DataFrame) -> DataFrame:
+    """(trial_id, param_name, value as text) of stored parameters (trial_id, param_name, param_value,
+    distribution_json): a place in the choices of a categorical one, else the number itself."""
+    choices = F.expr("try_variant_get(try_parse_json(distribution_json), '$.attributes.choices', 'array<string>')")
+    value = F.when(choices.isNull(), F.col("param_value").cast("string")).otherwise(F.get(choices, F.col("param_value").cast("int")))
+    return params.select("trial_id", "param_name", value.alias("value"))
+
+
+def _attributes(attributes: DataFrame) -> DataFrame:
+    """(trial_id, key, value as text) of attributes stored as JSON, whatever their kinds."""
+    return attributes.select("trial_id", "key", F.expr("try_variant_get(try_parse_json(value_json), '$', 'string')").alias("value"))
+
+
+def top_trials(trials: DataFrame, values: DataFrame, params: DataFrame, attributes: DataFrame, k: int, needed: tuple[str, ...], either: tuple[str, ...] = ()) -> DataFrame:
+    """The k complete trials (trial_id, number, state) with the best first objective (values: trial_id,
+    objective, value), with their parameters as numbers, best first, equal ones by number.
+
+    Parameters of `needed` come from params, those of `either` from a user attribute of that name, else
+    from params; one that is missing, or no number, fails.  Nothing but the stored objective orders and
+    limits, so only k trials meet their parameters."""
+    best = trials.select("trial_id", "number", "state").where("state = 'COMPLETE'").join(values.where("objective = 0").select("trial_id", "value"), "trial_id").orderBy(F.desc("value"), "number").limit(k)
+    names = [*needed, *either]
+    own = lambda d, name, keep: d.join(F.broadcast(best.select("trial_id")), "trial_id", "left_semi").groupBy("trial_id").pivot(name, keep).agg(F.max("value"))
+    p = own(decoded_params(params), "param_name", names).select("trial_id", *[F.col(n).alias(f"_p_{n}") for n in names])
+    j = best.select("trial_id", "number", "value").join(p, "trial_id", "left")
+    if either:
+        a = own(_attributes(attributes), "key", list(either)).select("trial_id", *[F.col(n).alias(f"_a_{n}") for n in either])
+        j = j.join(a, "trial_id", "left")
+    text = lambda n: F.coalesce(f"_a_{n}", f"_p_{n}") if n in either else F.col(f"_p_{n}")
+    fail = lambda n: F.raise_error(F.concat(F.lit("trial "), F.col("number").cast("string"), F.lit(f" lacks {n}"))).cast("double")
+    return j.select("trial_id", "number", "value", *[F.coalesce(text(n).try_cast("double"), fail(n)).alias(n) for n in names]).orderBy(F.desc("value"), "number")
+
+
+def trial_table(trials: DataFrame, values: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:
+    """All trials (trial_id, number, state) by number, with their objective (null where there is none), the
+    attributes `names` as text and val_f1: the attribute of that name, else the objective."""
+    a = _attributes(attributes).groupBy("trial_id").pivot("key", sorted({"val_f1", *names})).agg(F.max("value"))
+    j = trials.select("trial_id", "number", "state").join(values.where("objective = 0").select("trial_id", F.col("value").alias("objective")), "trial_id", "left").join(a.withColumnRenamed("val_f1", "_f1"), "trial_id", "left")
+    return j.select("trial_id", "number", "state", "objective", *[n for n in names if n != "val_f1"], F.coalesce(F.col("_f1").try_cast("double"), "objective").alias("val_f1")).orderBy("number")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -240,25 +280,37 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
     return j.select(*keys, *[(F.col(f"_b_{v}") - F.col(f"_a_{v}")).alias(f"{v}_change") for v in values], same.alias("same"))
 
 
-def stratified_components(comps: DataFrame, quota: int, seed: int, least_images: int = 1, attempts: int = 10) -> DataFrame:
-    """At most `quota` components (image_id, component, tier) of each tier, topped up from the others
-    when a tier is short; of the attempts the first whose sample covers least_images images (else
-    the first).  Ranks are by seeded order, an attempt is a column."""
-    whole = quota * comps.select("tier").distinct().count()
-    c = comps.select("image_id", "component", "tier", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    c = c.withColumn("_d", digest(seed, F.col("attempt"), F.col("image_id"), F.col("component")))
-    # No tier can give more than the whole sample, so few rows of each are ever ordered together.
-    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("attempt", "tier").orderBy("_d"))).where(F.col("_r") <= whole)
-    c = c.withColumn("_k", F.row_number().over(Window.partitionBy("attempt").orderBy(F.col("_r") > quota, "_d")))
-    c = c.where(F.col("_k") <= whole)
-    ok = c.groupBy("attempt").agg(F.countDistinct("image_id").alias("n")).agg(F.coalesce(F.min(F.when(F.col("n") >= least_images, F.col("attempt"))), F.min("attempt")).alias("attempt"))
-    return c.join(F.broadcast(ok), "attempt").select("image_id", "component", "tier")
+def stratified_components(comps: DataFrame, total: int, seed: int, least_images: int = 1, attempts: int = 200) -> DataFrame:
+    """`total` components (image_id, component, tier), evenly from the tiers (the first ones by name give one
+    more where it doesn't divide) and topped up from all others when a tier is short: of the attempts
+    the first whose sample has least_images images.  Fails when none has.
+
+    Ranks are by seeded order.  Attempts are tried a few at a time, as a column, and the order of a tier
+    is cut off at `total` rows before it is sorted as a whole."""
+    tiers = sorted(r.tier for r in comps.select("tier").distinct().collect())  # a handful
+    if not tiers:
+        return comps.select("image_id", "component", "tier")
+    quota = F.create_map(*[x for i, t in enumerate(tiers) for x in (F.lit(t), F.lit(total // len(tiers) + (i < total % len(tiers))))])
+    done, size = 0, 1
+    while done < attempts:
+        size = min(size, attempts - done)
+        c = comps.select("image_id", "component", "tier", F.explode(F.sequence(F.lit(done), F.lit(done + size - 1))).alias("attempt"))
+        c = c.withColumn("_d", digest(seed, F.col("attempt"), F.col("image_id"), F.col("component")))
+        c = c.withColumn("_r", F.row_number().over(Window.partitionBy("attempt", "tier").orderBy("_d", "image_id", "component"))).where(F.col("_r") <= total)
+        c = c.withColumn("_k", F.row_number().over(Window.partitionBy("attempt").orderBy(F.col("_r") > quota[F.col("tier")], "_d", "image_id", "component"))).where(F.col("_k") <= total)
+        c = P.stored(c.select("image_id", "component", "tier", "attempt"))  # `total` rows an attempt
+        first = c.groupBy("attempt").agg(F.countDistinct("image_id").alias("n")).where(F.col("n") >= least_images).agg(F.min("attempt")).first()[0]
+        if first is not None:
+            return c.where(F.col("attempt") == first).drop("attempt")
+        done, size = done + size, 4 * size
+    raise ValueError(f"no sample of {attempts} has {least_images} images")
 
 
 def two_component_samples(comps: DataFrame, first: int, second: int, seed: int, **options) -> DataFrame:
-    """Two stratified samples without a component in common; `sample` is 1 or 2."""
-    a = P.stored(stratified_components(comps, first, seed, **options))
-    b = stratified_components(comps.join(a, ["image_id", "component"], "left_anti"), second, seed + 1, **options)
+    """A stratified sample and, of the rest, a plain seeded one; `sample` is 1 or 2."""
+    a = stratified_components(comps, first, seed, **options)
+    rest = comps.select("image_id", "component", "tier").join(a, ["image_id", "component"], "left_anti")
+    b = rest.orderBy(digest(seed + 1, F.col("image_id"), F.col("component")), "image_id", "component").limit(second)
     return a.withColumn("sample", F.lit(1)).unionByName(b.withColumn("sample", F.lit(2)))
 
 

@@ -13,6 +13,7 @@ from ..operators import pixels as P
 from ..operators import studies as S
 from ..operators import streaks as T
 from ..operators.kernels import centreline_dice, component_widths
+from ..sources import files
 from .views import FRAME, hash_sql, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -867,12 +868,26 @@ def _(t):
 
 
 ADDED = ", added AS (SELECT p.image_id, p.y, p.x FROM v_prob_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x WHERE prob >= 1e-1 AND prob < 5e-1)"
-HELD = lambda c: f"CAST(greatest(0, least({FRAME - 1}, {c})) AS BIGINT)"
+def eroded_sql(src: str) -> str:
+    """Pixels of src whose 3x3 square is set; what is beyond the frame counts as set."""
+    n = f"9 - (CASE WHEN y = 0 OR y = {FRAME - 1} THEN 3 ELSE 0 END) - (CASE WHEN x = 0 OR x = {FRAME - 1} THEN 3 ELSE 0 END) + (CASE WHEN (y = 0 OR y = {FRAME - 1}) AND (x = 0 OR x = {FRAME - 1}) THEN 1 ELSE 0 END)"
+    return f"SELECT image_id, y, x FROM (SELECT image_id, y + dy AS y, x + dx AS x, count(*) AS k FROM {src}, ({box(1)}) WHERE y + dy BETWEEN 0 AND {FRAME - 1} AND x + dx BETWEEN 0 AND {FRAME - 1} GROUP BY ALL) e WHERE k = {n}"
+
+
+CROPS = f""", core AS ({eroded_sql('added')}), seeds AS (SELECT * FROM core UNION ALL SELECT * FROM added WHERE image_id NOT IN (SELECT image_id FROM core) UNION ALL SELECT * FROM v_gt_px WHERE image_id NOT IN (SELECT image_id FROM added))""" + components_sql("seeds", "cc") + f""", sh AS (SELECT image_id, component, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cc GROUP BY ALL),
+    top AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, component) = 1), im AS (SELECT DISTINCT image_id FROM v_prob_px UNION SELECT image_id + 1000 FROM v_prob_px)
+    SELECT im.image_id, coalesce(area, 0) AS area, coalesce(greatest(0, y0 - 8), 0)::BIGINT AS y0, coalesce(greatest(0, x0 - 8), 0)::BIGINT AS x0, coalesce(least({FRAME}, y1 + 8), {FRAME})::BIGINT AS y1, coalesce(least({FRAME}, x1 + 8), {FRAME})::BIGINT AS x1 FROM im LEFT JOIN top USING (image_id)"""
+IMAGES = lambda p: p.select(F.explode(F.array("image_id", F.col("image_id") + 1000)).alias("image_id"))
+
+
+@query("recovered_crops", ("v_prob_px", "v_gt_px"), ADDED + CROPS)
+def _(p, t):
+    return T.recovered_crop(P.recovered(p.where("prob >= 0.1"), p.where("prob >= 0.5"), t), t, IMAGES(p), FRAME, FRAME, 8)
 
 
-@query("recovered_crops", ("v_prob_px", "v_gt_px"), ADDED + components_sql("added", "cc") + shapes_sql("cc", "sh") + f" SELECT image_id, area, {HELD('y0 - 8')} AS y0, {HELD('x0 - 8')} AS x0, {HELD('y1 + 8')} AS y1, {HELD('x1 + 8')} AS x1 FROM sh QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, component) = 1")
+@query("recovered_crops_fallback", ("v_prob_px", "v_gt_px"), ADDED.replace("prob < 5e-1", "prob < 5e-1 AND p.image_id % 3 = 0") + CROPS)
 def _(p, t):
-    return T.recovered_crop(P.recovered(p.where("prob >= 0.1"), p.where("prob >= 0.5"), t), FRAME, FRAME, 8)
+    return T.recovered_crop(P.recovered(p.where("prob >= 0.1 AND image_id % 3 = 0"), p.where("prob >= 0.5"), t), t, IMAGES(p), FRAME, FRAME, 8)
 
 
 @query("component_ends", ("v_gt_px",))
@@ -939,9 +954,128 @@ def _(p, t, q):
     return T.annotation_scores(t, p, q.where("prob >= 0.3"), crops, 64, [0, 1, 2])
 
 
-@query("stratified_components", ("v_audit",), TIER + ", c AS (SELECT *, " + md5_of(3, "attempt", "image_id", "component") + " AS h FROM (SELECT stratum AS image_id, crop_name AS component, tier, unnest(range(10)) AS attempt FROM tiers) x), r AS (SELECT *, row_number() OVER (PARTITION BY attempt, tier ORDER BY h) AS r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY r > 5, h) AS k FROM r), s AS (SELECT * FROM k WHERE k <= 15) SELECT image_id, component, tier FROM s WHERE attempt = (SELECT coalesce(min(attempt) FILTER (n >= 4), min(attempt)) FROM (SELECT attempt, count(DISTINCT image_id) AS n FROM s GROUP BY attempt))")
+SAMPLED = TIER + ", c AS (SELECT *, " + md5_of(3, "attempt", "image_id", "component") + """ AS h FROM (SELECT CAST(substr(crop_name, 6) AS BIGINT) // 20 AS image_id, crop_name AS component, tier, unnest(range(200)) AS attempt FROM tiers) x),
+    t AS (SELECT tier, row_number() OVER (ORDER BY tier) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT tier FROM tiers)), quo AS (SELECT tier, 17 // n + CASE WHEN i <= 17 % n THEN 1 ELSE 0 END AS quota FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY attempt, tier ORDER BY h) AS r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY attempt ORDER BY r > quota, h) AS k FROM r JOIN quo USING (tier)),
+    s AS (SELECT * FROM k WHERE k <= 17), f AS (SELECT image_id, component, tier FROM s WHERE attempt = (SELECT min(attempt) FROM (SELECT attempt FROM s GROUP BY attempt HAVING count(DISTINCT image_id) >= 15)))"""
+
+
+def _comps(a):
+    return S.tertiles(a.select(F.floor(F.substring("crop_name", 6, 20).cast("long") / 20).alias("image_id"), F.col("crop_name").alias("component"), "fp_pixels"), "fp_pixels")
+
+
+@query("stratified_components", ("v_audit",), SAMPLED + " SELECT * FROM f")
 def _(a):
-    return T.stratified_components(S.tertiles(a.select(F.col("stratum").alias("image_id"), F.col("crop_name").alias("component"), "fp_pixels"), "fp_pixels"), 5, 3, 4)
+    return T.stratified_components(_comps(a), 17, 3, 15)
+
+
+@query("two_component_samples", ("v_audit",), SAMPLED + ", o AS (SELECT image_id, component, tier FROM c ANTI JOIN f USING (component) WHERE attempt = 0 ORDER BY " + md5_of(4, "image_id", "component") + " LIMIT 9) SELECT *, 1 AS sample FROM f UNION ALL SELECT *, 2 FROM o")
+def _(a):
+    return T.two_component_samples(_comps(a), 17, 9, 3, least_images=15)
+
+
+STUDY = ("v_study", "v_params", "v_attributes")
+
+
+@query("top_trials", STUDY, """, best AS (SELECT trial_id, number, value FROM v_study WHERE state = 'COMPLETE' ORDER BY value DESC, number LIMIT 20),
+    p AS (SELECT trial_id, param_name, CASE WHEN json_extract(distribution_json, '$.attributes.choices') IS NULL THEN param_value ELSE CAST(json_extract_string(distribution_json, '$.attributes.choices[' || CAST(param_value AS INT) || ']') AS DOUBLE) END AS v FROM v_params)
+    SELECT trial_id, number, round(value, 6) AS value, round(l.v, 6) AS learning_rate, round(w.v, 6) AS bce_weight, round(coalesce(CAST(a.value_json AS DOUBLE), b.v), 6) AS batch_size FROM best JOIN p l USING (trial_id) JOIN p w USING (trial_id) JOIN p b USING (trial_id) LEFT JOIN v_attributes a ON a.trial_id = best.trial_id AND a.key = 'batch_size'
+    WHERE l.param_name = 'learning_rate' AND w.param_name = 'bce_weight' AND b.param_name = 'batch_size'""")
+def _(t, p, a):
+    return T.top_trials(t, t.where("value IS NOT NULL"), p, a, 20, ("learning_rate", "bce_weight"), ("batch_size",))
+
+
+@query("trial_table", STUDY, """, a AS (SELECT trial_id, max(value_json) FILTER (key = 'batch_size') AS batch_size, max(json_extract_string(value_json, '$')) FILTER (key = 'note') AS note, CAST(max(value_json) FILTER (key = 'val_f1') AS DOUBLE) AS f FROM v_attributes GROUP BY trial_id)
+    SELECT t.trial_id, number, state, round(value, 6) AS objective, batch_size, note, round(coalesce(f, value), 6) AS val_f1 FROM v_study t LEFT JOIN a USING (trial_id)""")
+def _(t, p, a):
+    return T.trial_table(t, t.where("value IS NOT NULL"), a, ["batch_size", "note"])
+
+
+@query("annotation_problems", ("v_audit",), """, m AS (SELECT crop_name AS name, fp_pixels % 11 = 0 AS size, fp_pixels % 13 = 0 AS other, fp_pixels % 17 = 0 AND fp_pixels % 13 <> 0 AS every FROM v_audit WHERE stratum <> 1), e AS (SELECT crop_name AS name FROM v_audit WHERE stratum <> 2), v AS (SELECT crop_name AS name, verdict = 'uncertain' AS odd FROM v_audit WHERE verdict IS NOT NULL),
+    j AS (SELECT coalesce(e.name, m.name, v.name) AS name, e.name IS NOT NULL AS e, m.name IS NOT NULL AS m, v.name IS NOT NULL AS v, size, other, every, odd FROM e FULL JOIN m ON e.name = m.name FULL JOIN v ON v.name = coalesce(e.name, m.name))
+    SELECT name, unnest(list_filter([CASE WHEN e AND NOT m THEN 'missing mask' END, CASE WHEN m AND NOT e THEN 'extra mask' END, CASE WHEN size THEN 'wrong size' END, CASE WHEN other THEN 'other values' END, CASE WHEN every THEN 'all set' END, CASE WHEN e AND NOT v THEN 'missing verdict' END, CASE WHEN v AND NOT e THEN 'extra verdict' END, CASE WHEN odd THEN 'unknown verdict' END], lambda p: p IS NOT NULL)) AS problem FROM j""")
+def _(a):
+    n = F.col("fp_pixels")
+    flag = lambda k: F.when(n % k == 0, 5).otherwise(0).cast("long")
+    masks = a.where("stratum <> 1").select(F.col("crop_name").alias("name"), F.when(n % 11 == 0, 500).otherwise(528).alias("height"), F.lit(528).alias("width"), F.when(n % 17 == 0, 0).otherwise(9).cast("long").alias("unset"), F.lit(7).cast("long").alias("full"), flag(13).alias("other"))
+    verdicts = a.where("verdict IS NOT NULL").select("crop_name", F.when(F.col("verdict") == "uncertain", "unsure").otherwise(F.concat(F.lit(" "), "verdict")).alias("verdict"))
+    return files.annotation_problems(a.where("stratum <> 2").select(F.col("crop_name").alias("name")), masks, verdicts, 528)
+
+
+@query("checked_verdicts", ("v_audit",), "SELECT crop_name, verdict FROM v_audit WHERE verdict IS NOT NULL")
+def _(a):
+    return files.check_verdicts(a.where("verdict IS NOT NULL").select(F.concat(F.lit(" "), "crop_name").alias("crop_name"), F.concat("verdict", F.lit(" ")).alias("verdict")))
+
+
+@query("absent_files", ("v_manifest",), """ SELECT split, patch, 'patch_path' AS absent_column, split || '/p' || patch || '.png' AS absent_path FROM v_manifest WHERE patch % 7 = 0 UNION ALL SELECT split, patch, 'mask_path', '/data/root/' || split || '/m' || patch || '.png' FROM v_manifest WHERE patch % 5 = 0""")
+def _(m):
+    name = lambda kind: F.concat("split", F.lit(f"/{kind}"), F.col("patch").cast("string"), F.lit(".png"))
+    manifest = m.select("split", "patch", name("p").alias("patch_path"), F.concat(F.lit("/data/root/"), name("m")).alias("mask_path"))
+    here = m.where("patch % 7 <> 0").select(F.concat(F.lit("file:/data/root/"), name("p")).alias("path")).union(m.where("patch % 5 <> 0").select(F.concat(F.lit("hdfs://host:8020/data/root//"), name("m"))))
+    # The same names in another folder are other files.
+    elsewhere = m.select(F.concat(F.lit("file:/data/root/other/"), name("p")).alias("path"))
+    return files.absent_files(manifest, here.union(elsewhere), ["patch_path", "mask_path"], "/data/root").select("split", "patch", "absent_column", "absent_path")
+
+
+@query("reviewed_inference", ("v_study",), " SELECT trial_id, number, number % 2 = 0 AS trail_visible, number % 3 = 0 AS model_fired, 'r' || number % 4 AS reviewer FROM v_study")
+def _(t):
+    reviews = t.select("trial_id", (F.col("number") % 2 == 0).alias("trail_visible"), (F.col("number") % 3 == 0).alias("model_fired"), F.concat(F.lit("r"), (F.col("number") % 4).cast("string")).alias("reviewer"))
+    return T.merge_reviews(t.select("trial_id", "number"), reviews, ["trial_id"], ["trail_visible", "model_fired"])
+
+
+@query("review_summary", ("v_study",), " SELECT count(*) AS reviewed, count(*) FILTER (number % 2 = 0) AS trail_visible, count(*) FILTER (number % 3 = 0) AS model_fired FROM v_study")
+def _(t):
+    return T.review_summary(t.select((F.col("number") % 2 == 0).alias("trail_visible"), (F.col("number") % 3 == 0).alias("model_fired")), ["trail_visible", "model_fired"])
+
+
+@query("patch_places", ("v_manifest",), " SELECT patch, CAST(patch % 97 * 528 AS INT) AS y, CAST(patch % 19 * 528 AS INT) AS x FROM v_manifest")
+def _(m):
+    name = F.concat(F.lit("p/"), D.patch_name(F.col("source_image"), F.col("patch") % 97 * 528, F.col("patch") % 19 * 528), F.lit("_image.png"))
+    y, x = D.parse_patch(name)
+    return m.select("patch", y.alias("y"), x.alias("x"))
+
+
+@query("run_tags", ("v_trials",), " SELECT run, 'study_a' AS prefix, CAST(trial AS INT) AS trial, CAST(seed AS INT) AS seed FROM v_trials")
+def _(t):
+    tag = F.concat(F.lit("study_a_t"), F.col("trial").cast("string"), F.lit("_s"), F.col("seed").cast("string"))
+    return t.select("run", *S.parse_tag(tag))
+
+
+@query("scored_tiles", ("v_pred_px", "v_gt_px"), f""", c AS (SELECT g.image_id, y, x, coalesce(p.y % 200, 0) AS v FROM (SELECT DISTINCT image_id FROM v_gt_px) g CROSS JOIN (SELECT unnest(range(100)) AS y) a CROSS JOIN (SELECT unnest(range(100)) AS x) b LEFT JOIN v_pred_px p USING (image_id, y, x)),
+    s AS (SELECT *, CAST(1 / (1 + exp(-(4 * (v / 255e0) - 1))) AS FLOAT) AS prob FROM c) SELECT CAST(image_id AS VARCHAR) AS path, y, x, round(CAST(prob AS DOUBLE), 6) AS prob FROM s WHERE prob >= 5e-1""")
+def _(f, t):
+    images = t.select("image_id").distinct().withColumns({"height": F.lit(100), "width": F.lit(100)})
+    cut = P.cut_patches(images, P.inside(f, 100, 100).withColumn("v", F.col("y") % 200), t.limit(0), 100, 100)
+    rasters = cut.select(F.col("image_id").cast("string").alias("path"), F.lit(100).alias("height"), F.lit(100).alias("width"), F.lit(1).alias("channels"), F.col("pixels").alias("data"))
+    return files.scored_pixels(files.score_tiles(files.padded_tiles(rasters, 48), lambda: lambda v: 4 * v - 1), 0.5)
+
+
+AUDITED = CUTS_SQL + """, crop AS (SELECT image_id, CAST(image_id AS VARCHAR) AS name, CASE WHEN image_id % 3 = 0 THEN 'quiet' ELSE 'boundary' END AS stratum, CASE WHEN image_id % 5 = 1 THEN 'uncertain' ELSE 'trail' END AS verdict FROM w),
+    st AS (SELECT *, CASE WHEN verdict = 'uncertain' THEN 'uncertain' WHEN stratum = 'boundary' AND image_id NOT IN (SELECT image_id FROM cut2) THEN 'not_visible' ELSE 'scored' END AS status FROM crop)"""
+
+
+def _audit_counts(name: str, a: str, b: str, k: int) -> str:
+    near = lambda x, y: f"SELECT image_id, count(*) FILTER (EXISTS (SELECT 1 FROM cut{y} o WHERE o.image_id = i.image_id AND abs(o.y - i.y) <= {k} AND abs(o.x - i.x) <= {k})) AS hit, count(*) AS n FROM cut{x} i GROUP BY image_id"
+    return f"SELECT name, stratum, status, '{name}' AS pairing, {k} AS tolerance, coalesce(p.hit, 0) AS ptp, coalesce(p.n - p.hit, 0) AS fp, coalesce(r.hit, 0) AS rtp, coalesce(r.n - r.hit, 0) AS fn FROM st LEFT JOIN ({near(a, b)}) p USING (image_id) LEFT JOIN ({near(b, a)}) r USING (image_id) WHERE status = 'scored'"
+
+
+AUDITED += ", sc AS (" + " UNION ALL ".join(_audit_counts(n, a, b, k) for n, a, b in (("original_vs_reference", "1", "2"), ("model_vs_reference", "3", "2"), ("model_vs_original", "3", "1")) for k in (0, 2)) + ")"
+
+
+def _audit(p, t, q):
+    w = t.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"))
+    crops = w.select(F.col("image_id").cast("string").alias("name"), F.when(F.col("image_id") % 3 == 0, "quiet").otherwise("boundary").alias("stratum"), "image_id", "y0", "x0", F.when(F.col("image_id") % 5 == 1, "uncertain").otherwise("trail").alias("verdict"))
+    return T.audit_scores(crops, t, p, q.where("prob >= 0.3"), 64, [0, 2], ("boundary",))
+
+
+@query("audit_scores", ("v_pred_px", "v_gt_px", "v_prob_px"), AUDITED + " SELECT * FROM sc UNION ALL SELECT name, stratum, status, NULL, NULL, NULL, NULL, NULL, NULL FROM st WHERE status <> 'scored'")
+def _(p, t, q):
+    return _audit(p, t, q)
+
+
+@query("audit_totals", ("v_pred_px", "v_gt_px", "v_prob_px"), AUDITED + f", tt AS (SELECT pairing, tolerance, sum(ptp) AS ptp, sum(fp) AS fp, sum(rtp) AS rtp, sum(fn) AS fn FROM sc WHERE stratum = 'boundary' GROUP BY ALL), r AS (SELECT *, ptp / nullif(ptp + fp, 0) AS p, rtp / nullif(rtp + fn, 0) AS r FROM tt) SELECT pairing, tolerance, {q0('ptp', 'ptp + fp')} AS precision, {q0('rtp', 'rtp + fn')} AS recall, {q0('2 * p * r', 'p + r')} AS f1 FROM r")
+def _(p, t, q):
+    return T.audit_totals(_audit(p, t, q), ("boundary",))
 
 
 @query("audit_crop_list", BOTH, f", fp AS (SELECT * FROM v_pred_px p ANTI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), tp AS (SELECT * FROM v_pred_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), u AS (SELECT *, 'hit' AS stratum FROM tp UNION ALL SELECT *, 'miss' FROM fp), q AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY stratum, image_id ORDER BY {md5_of(5, 'image_id', 'y', 'x')}, image_id, y, x) <= 3) SELECT 'crop_' || lpad(CAST(row_number() OVER (ORDER BY {md5_of(2, 'stratum', 'image_id', 'y', 'x')}) AS VARCHAR), 4, '0') AS name, stratum, image_id, CAST(greatest(0, least(128, round_even(y - 32.0, 0))) AS INT) AS y0, CAST(greatest(0, least(128, round_even(x - 32.0, 0))) AS INT) AS x0 FROM q")

@@ -52,6 +52,10 @@ def sql(name: str, duck: bool) -> str:
         "v_trials": f"SELECT o_custkey % 12 AS trial, o_orderkey % 5 AS seed, o_orderkey AS run, o_totalprice / 500000 AS val_f1, 8 * (1 + o_custkey % 12 % 3) AS batch_size, (o_custkey % 12 + 1) / 1e4 AS learning_rate FROM orders",
         "v_catalogue": "SELECT CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand || '-' || p_type END AS satellite_name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS length, p_partkey * 7 % 360 + 0e0 AS start_ra, p_partkey * 11 % 360 + 0e0 AS end_ra, p_partkey * 3 % 180 - 9e1 AS start_dec, p_partkey * 5 % 180 - 9e1 AS end_dec FROM part",
         "v_audit": "SELECT 'crop_' || " + _text(duck, "d.doc_id") + " AS crop_name, d.doc_id % 4 AS stratum, d.n_chars AS fp_pixels, d.lang = 'en' AS model_fired, coalesce(l.quality = 1, FALSE) AS reference_has_trail, d.source AS source_image, l.doc_id IS NOT NULL AS annotated, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'uncertain' WHEN l.quality = 1 THEN 'trail' ELSE 'no_trail' END AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+        "v_study": "SELECT o_orderkey AS trial_id, o_orderkey % 100000 AS number, CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'O' THEN 'PRUNED' ELSE 'FAIL' END AS state, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) / 1e6 END AS value, 0 AS objective FROM orders",
+        "v_params": """SELECT o_orderkey AS trial_id, 'learning_rate' AS param_name, (o_custkey % 1000 + 1) / 1e5 AS param_value, '{"name": "FloatDistribution", "attributes": {"low": 0.0, "high": 1.0}}' AS distribution_json FROM orders
+            UNION ALL SELECT o_orderkey, 'bce_weight', o_orderkey % 10 / 1e1, '{"name": "FloatDistribution", "attributes": {"step": null}}' FROM orders UNION ALL SELECT o_orderkey, 'batch_size', o_orderkey % 4 + 0e0, '{"name": "CategoricalDistribution", "attributes": {"choices": [8, 16, 32, 64]}}' FROM orders""",
+        "v_attributes": f"""SELECT o_orderkey AS trial_id, 'batch_size' AS key, '24' AS value_json FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'val_f1', '0.' || {pad('o_custkey % 90 + 10')} FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'note', '"run ' || {_text(duck, 'o_custkey')} || '"' FROM orders WHERE o_orderkey % 2 = 0""",
     }[name]
 
 
@@ -59,6 +63,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table over the tables in sf_dir."""
     text = sql(name, duck=False)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text or f"JOIN {t}" in text}
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(text, **used)

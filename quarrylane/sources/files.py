@@ -160,6 +160,28 @@ def read_results(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] =
     return r
 
 
+def read_documents(spark: SparkSession, pattern: str, fields: dict[str, str], forbidden: tuple[str, ...] = TEST_KEYS) -> DataFrame:
+    """(file, document, <field>...): whole JSON documents as variants, whatever their shapes, in one pass
+    without inferring a schema; fields are given as {name: "path type"}, such as {"f1": "$.best.f1
+    double"}, and null where a document lacks them or holds another kind.  A file that is no JSON, or has
+    a key that selection may not see, fails when it is read."""
+    text = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), F.expr("try_parse_json(value)").alias("document"))
+    seen = [F.when(F.expr(f"try_variant_get(document, '$.{k}', 'variant')").isNotNull(), F.lit(k)) for k in forbidden]
+    fail = lambda *why: F.raise_error(F.concat(F.col("file"), *why)).cast("string")
+    keys = F.array_join(F.filter(F.array(*seen), lambda k: k.isNotNull()), ", ") if forbidden else F.lit("")
+    bad = F.when(F.col("document").isNull(), fail(F.lit(" is no JSON"))).when(keys != "", fail(F.lit(" holds "), keys))
+    get = lambda spec: F.expr(f"try_variant_get(document, '{spec.split(maxsplit=1)[0]}', '{spec.split(maxsplit=1)[1]}')")
+    return text.select(F.coalesce(bad, "file").alias("file"), "document").select("*", *[get(s).alias(n) for n, s in fields.items()])
+
+
+def document_points(documents: DataFrame, path: str, fields: dict[str, str]) -> DataFrame:
+    """(file, place, <field>...): one row per element of an array in documents of read_documents (a curve, the
+    results of all images), fields as there, within the element."""
+    each = documents.select("file", F.posexplode(F.expr(f"try_variant_get(document, '{path}', 'array<variant>')")).alias("place", "_v"))
+    get = lambda spec: F.expr(f"try_variant_get(_v, '{spec.split(maxsplit=1)[0]}', '{spec.split(maxsplit=1)[1]}')")
+    return each.select("file", "place", *[get(s).alias(n) for n, s in fields.items()])
+
+
 def curve_rows(results: DataFrame, curve: str = "pr_curve") -> DataFrame:
     """One row per point of the documents' curves (an array of structs), with the other columns;
     documents without a curve have no rows."""
@@ -181,20 +203,68 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def absent_files(manifest: DataFrame, listing: DataFrame, column: str) -> DataFrame:
-    """Rows of a manifest whose file is not in a listing (path); paths are compared by name."""
-    name: Column = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    return manifest.withColumn("_name", F.regexp_extract(column, r"([^/]+)$", 1)).join(listing.select(name.alias("_name")).distinct(), "_name", "left_anti").drop("_name")
+def below(path: str | Column, root: str = "") -> Column:
+    """A path without scheme, host and the root folder, so that names in a manifest (absolute or relative to
+    the root) and listed files compare."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"/+", "/")
+    top = plain(F.lit(root.rstrip("/") + "/"))
+    p = plain(F.col(path) if isinstance(path, str) else path)
+    p = F.when(F.startswith(p, top), F.substring(p, F.length(top) + 1, F.length(p))).otherwise(p) if root else p
+    return F.regexp_replace(p, r"^(\./)+", "")
+
+
+def absent_files(manifest: DataFrame, listing: DataFrame, columns: str | list[str], root: str = "") -> DataFrame:
+    """Rows of a manifest with `absent_column` and `absent_path` for each of its files that is not in a listing
+    (path); files are the same when their paths below the root are, so equal names in other folders
+    don't count.  A null path is absent."""
+    columns = [columns] if isinstance(columns, str) else columns
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("absent_column"), F.col(c).alias("absent_path")) for c in columns]))
+    rows = manifest.withColumn("_f", each).select(*manifest.columns, "_f.*").withColumn("_p", below("absent_path", root))
+    return rows.join(listing.select(below("path", root).alias("_p")).distinct(), "_p", "left_anti").drop("_p")
 
 
 def check_verdicts(v: DataFrame) -> DataFrame:
-    """Trimmed verdicts (crop_name, verdict); fails on a repeated name or an unknown verdict."""
-    v = v.select(F.trim("crop_name").alias("crop_name"), F.trim("verdict").alias("verdict"))
-    one = v.groupBy("crop_name").agg(F.count("*").alias("n"), F.first("verdict").alias("verdict"))
-    bad = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated: "), F.col("crop_name")))).when(~F.col("verdict").isin(*VERDICTS), F.raise_error(F.concat(F.lit("unknown verdict: "), F.col("verdict"))))
+    """Trimmed verdicts (crop_name, verdict); fails on a repeated or missing name and on an unknown or missing
+    verdict (an empty field of a CSV file is null)."""
+    v = v.select(F.trim(F.coalesce("crop_name", F.lit(""))).alias("crop_name"), F.trim(F.coalesce("verdict", F.lit(""))).alias("verdict"))
+    one = v.groupBy("crop_name").agg(F.count("*").alias("n"), F.max("verdict").alias("verdict"))
+    fail = lambda why, c: F.raise_error(F.concat(F.lit(why), F.col(c)))
+    bad = F.when(F.col("crop_name") == "", fail("no name for the verdict ", "verdict")).when(F.col("n") > 1, fail("repeated: ", "crop_name")).when(~F.col("verdict").isin(*VERDICTS), fail("unknown verdict: ", "verdict"))
     return one.select("crop_name", F.coalesce(bad.cast("string"), F.col("verdict")).alias("verdict"))
 
 
+def mask_values(strips: DataFrame) -> DataFrame:
+    """(name, height, width, unset, full, other): pixels of each mask file at 0, at 255 and at other values,
+    from its strips."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = [np.bincount(np.frombuffer(d, np.uint8), minlength=256) for d in b["data"]]
+            yield b[["path", "height", "width"]].assign(unset=[x[0] for x in n], full=[x[255] for x in n], other=[x[1:255].sum() for x in n])
+
+    one = strips.select("path", "height", "width", "data").mapInPandas(count, "path string, height int, width int, unset long, full long, other long")
+    return one.groupBy(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "height", "width").agg(*[F.sum(c).alias(c) for c in ("unset", "full", "other")])
+
+
+def annotation_problems(expected: DataFrame, masks: DataFrame, verdicts: DataFrame, size: int) -> DataFrame:
+    """(name, problem) of everything that keeps an annotation set from being used: expected (name), masks as
+    mask_values, verdicts (crop_name, verdict).  An empty result means that the masks and verdicts have
+    just the expected names, once each, the masks are `size` pixels wide and high, hold 0 and 255 alone
+    and are not all 255, and the verdicts are known ones."""
+    e = expected.select("name").distinct().withColumn("_e", F.lit(True))
+    m = masks.groupBy("name").agg(F.count("*").alias("_m"), F.max((F.col("height") != size) | (F.col("width") != size)).alias("_size"), F.max(F.col("other") > 0).alias("_other"), F.max((F.col("full") > 0) & (F.col("unset") + F.col("other") == 0)).alias("_all"))
+    v = verdicts.select(F.trim(F.coalesce("crop_name", F.lit(""))).alias("name"), F.trim(F.coalesce("verdict", F.lit(""))).alias("verdict"))
+    v = v.groupBy("name").agg(F.count("*").alias("_v"), F.max(~F.col("verdict").isin(*VERDICTS)).alias("_unknown"))
+    j = e.join(m, "name", "full").join(v, "name", "full")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    wanted, mask, verdict = is_("_e"), F.col("_m").isNotNull(), F.col("_v").isNotNull()
+    rules = [
+        ("missing mask", wanted & ~mask), ("extra mask", mask & ~wanted), ("repeated mask", F.coalesce(F.col("_m") > 1, F.lit(False))), ("wrong size", is_("_size")), ("other values", is_("_other")), ("all set", is_("_all")),
+        ("missing verdict", wanted & ~verdict), ("extra verdict", verdict & ~wanted), ("repeated verdict", F.coalesce(F.col("_v") > 1, F.lit(False))), ("unknown verdict", is_("_unknown")),
+    ]
+    return j.select("name", F.explode(F.array(*[F.when(rule, F.lit(what)) for what, rule in rules])).alias("problem")).where("problem IS NOT NULL")
+
+
 def reconcile(expected: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """Names that are expected but missing, or found but not expected."""
     e, f = expected.select(name).distinct().withColumn("e", F.lit(1)), found.select(name).distinct().withColumn("f", F.lit(1))

@@ -10,6 +10,7 @@ from quarrylane.operators import metrics as M
 from quarrylane.operators import pixels as P
 from quarrylane.operators import studies as S
 from quarrylane.sources import files as S_
+from quarrylane.sources.png import png_strips
 
 PX = "image_id int, y int, x int"
 
@@ -453,11 +454,50 @@ def test_documents_manifests_and_verdicts(spark, tmp_path):
     m = spark.createDataFrame([("train", "i", "p.png", "m.png", 0.1), ("val", "j", "q.png", "n.png", 0.0)], S_.MANIFEST)
     S_.write_manifest(m, f"{tmp_path}/m")
     assert S_.read_manifest(spark, f"{tmp_path}/m", "val").first().source_image == "j"
-    assert [r.patch_path for r in S_.absent_files(m, spark.createDataFrame([("x/p.png",)], "path string"), "patch_path").collect()] == ["q.png"]
+    listing = spark.createDataFrame([("file:/r/p.png",), ("file:///r/x/q.png",), ("hdfs://h:9/r//m.png",)], "path string")
+    got = S_.absent_files(m, listing, ["patch_path", "mask_path"], "/r/").collect()
+    assert sorted((r.absent_column, r.absent_path) for r in got) == [("mask_path", "n.png"), ("patch_path", "q.png")]  # q.png stands in another folder
+    assert S_.absent_files(m.withColumn("patch_path", F.concat(F.lit("/r/./"), "patch_path")), listing, "patch_path", "/r").count() == 1
     v = lambda rows: spark.createDataFrame(rows, "crop_name string, verdict string")
     assert S_.check_verdicts(v([("a ", " trail")])).first() == ("a", "trail")
-    for bad in ([("a", "trail"), ("a", "trail")], [("a", "maybe")]):
-        with pytest.raises(Exception, match="repeated|unknown"):
+    for bad in ([("a", "trail"), ("a ", "trail")], [("a", "maybe")], [("a", None)], [("a", " ")], [(None, "trail")]):
+        with pytest.raises(Exception, match="repeated|unknown|no name"):
             S_.check_verdicts(v(bad)).collect()
     assert {(r.crop_name, r.problem) for r in S_.reconcile(v([("a", ""), ("b", "")]), v([("b", ""), ("c", "")]), "crop_name").collect()} == {("a", "missing"), ("c", "extra")}
     assert S_.file_hashes(spark, f"{tmp_path}/r").count() >= 1
+
+
+def test_annotations_are_checked(spark, tmp_path):
+    mask = np.zeros((6, 6), np.uint8)
+    mask[2, 1:4] = 255
+    grids = {"c001": mask, "c002": mask * 0, "c003": mask * 0 + 255, "c004": mask // 2, "c005": mask[:5], "extra": mask}
+    for n, g in grids.items():
+        png(tmp_path / f"{n}.png", g)
+    masks = S_.mask_values(png_strips(spark, str(tmp_path), "*.png", 4))
+    assert {(r.name, r.unset, r.full, r.other) for r in masks.collect()} >= {("c001.png", 33, 3, 0), ("c003.png", 0, 36, 0), ("c004.png", 33, 0, 3)}
+    names = [f"c00{i}.png" for i in range(1, 7)]
+    expected = spark.createDataFrame([(n,) for n in names], "name string")
+    verdicts = spark.createDataFrame([(n, v) for n, v in zip(names[:5], [" trail", "no_trail", "maybe", None, "uncertain"])] + [("c001.png ", "trail"), ("other.png", "trail")], "crop_name string, verdict string")
+    got = {(r.name, r.problem) for r in S_.annotation_problems(expected, masks, verdicts, 6).collect()}
+    assert got == {
+        ("c003.png", "all set"), ("c004.png", "other values"), ("c005.png", "wrong size"), ("c006.png", "missing mask"), ("extra.png", "extra mask"), ("c006.png", "missing verdict"),
+        ("other.png", "extra verdict"), ("c001.png", "repeated verdict"), ("c003.png", "unknown verdict"), ("c004.png", "unknown verdict"),
+    }
+    two = lambda d, c: d.where(F.col(c).isin("c001.png", "c002.png"))
+    assert S_.annotation_problems(two(expected, "name"), two(masks, "name"), two(verdicts, "crop_name"), 6).count() == 0
+
+
+def test_documents_of_many_shapes(spark, tmp_path):
+    for n, text in (("a", '{"tag": "x", "best": {"f1": 0.5}, "pr_curve": [{"t": 0.1, "p": 1}, {"t": 0.2}]}'), ("b", '{"tag": 7, "best": [1], "pr_curve": null}'), ("c", '{"best": {"f1": "high"}, "pr_curve": [{"t": "z", "p": 0.25}]}')):
+        (tmp_path / f"{n}.json").write_text(text)
+    read = lambda: S_.read_documents(spark, f"{tmp_path}/*.json", {"tag": "$.tag string", "f1": "$.best.f1 double"})
+    docs = read()
+    assert {(r.file[-6], r.tag, r.f1) for r in docs.collect()} == {("a", "x", 0.5), ("b", "7", None), ("c", None, None)}
+    points_ = S_.document_points(docs, "$.pr_curve", {"t": "$.t double", "p": "$.p double"})
+    assert {(r.file[-6], r.place, r.t, r.p) for r in points_.collect()} == {("a", 0, 0.1, 1.0), ("a", 1, 0.2, None), ("c", 0, None, 0.25)}
+    (tmp_path / "d.json").write_text('{"test_dice": 1}')
+    with pytest.raises(Exception, match="d.json holds test_dice"):
+        read().collect()
+    (tmp_path / "d.json").write_text("{")
+    with pytest.raises(Exception, match="no JSON"):
+        read().collect()

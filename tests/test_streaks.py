@@ -1,10 +1,14 @@
+import sqlite3
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan
 
 from quarrylane.operators import kernels as K
 from quarrylane.operators import pixels as P
 from quarrylane.operators import streaks as T
+from quarrylane.sources import sqlite
 
 PX = "image_id int, y int, x int"
 
@@ -116,9 +120,22 @@ def test_centreline_dice_equals_arrays(spark):
 
 
 def test_two_samples_share_nothing(spark):
-    c = spark.createDataFrame([(i % 6, i, t) for i, t in enumerate(["low", "high"] * 12)], "image_id int, component int, tier string")
-    got = T.two_component_samples(c, 4, 3, 1).collect()
+    c = spark.createDataFrame([(i % 6, i, t) for i, t in enumerate(["low", "mid", "high"] * 8)], "image_id int, component int, tier string")
+    got = T.two_component_samples(c, 9, 5, 2804, least_images=3).collect()
     assert len(got) == 14 and len({(r.image_id, r.component) for r in got}) == 14
+    tiers = [r.tier for r in got if r["sample"] == 1]
+    assert tiers.count("low") == tiers.count("mid") == tiers.count("high") == 3
+    assert sorted(map(tuple, got)) == sorted(map(tuple, T.two_component_samples(c.repartition(7), 9, 5, 2804, least_images=3).collect()))
+    # What doesn't divide goes to the first tiers; what is left is all there is.
+    tiers = [r.tier for r in T.stratified_components(c, 11, 1).collect()]
+    assert (tiers.count("high"), tiers.count("low"), tiers.count("mid")) == (4, 4, 3)
+    assert T.two_component_samples(c, 20, 9, 1).groupBy("sample").count().where("sample = 2").first()["count"] == 4
+
+
+def test_images_out_of_reach_fail(spark):
+    c = spark.createDataFrame([(0, i, t) for i, t in enumerate(["low", "mid", "high"] * 2)], "image_id int, component int, tier string")
+    with pytest.raises(ValueError, match="200 has 2 images"):
+        T.stratified_components(c, 3, 0, least_images=2)
 
 
 def test_ends_of_a_column(spark):
@@ -131,8 +148,14 @@ def test_recall_crops_and_strata(spark):
     pre, post = px(spark, [(10, x) for x in range(10)]), px(spark, [(10, x) for x in range(30)])
     r = T.component_recall(P.components(t), pre, post).first()
     assert (r.area, r.recall_pre, r.recall_post, r.recall_added) == (40, 0.25, 0.75, 0.5)
-    box = T.recovered_crop(P.recovered(post, pre, t).union(px(spark, [(30, 30)])), 64, 64, 5).first()
+    box = T.recovered_crop(P.recovered(post, pre, t).union(px(spark, [(30, 30)])), t, t, 64, 64, 5).first()
     assert (box.area, box.y0, box.x0, box.y1, box.x1) == (20, 5, 5, 15, 34)
+    # The fat block survives the erosion, the long sliver doesn't; elsewhere the fallback or nothing counts.
+    sliver, block = [(10, x) for x in range(10, 40)], [(y, x) for y in range(70, 82) for x in range(64, 80)]
+    images = spark.createDataFrame([(i,) for i in range(4)], "image_id int")
+    added, fallback = px(spark, sliver + block).union(px(spark, sliver, 1)), px(spark, [(0, 0)]).union(px(spark, block, 2))
+    got = {r.image_id: tuple(r)[1:] for r in T.recovered_crop(added, fallback, images, 120, 140, 8).collect()}
+    assert got == {0: (140, 63, 57, 88, 86), 1: (30, 2, 2, 18, 47), 2: (192, 62, 56, 89, 87), 3: (0, 0, 0, 120, 140)}
     prob = spark.createDataFrame([(0, 20, x, 0.9 if x < 40 else 0.4) for x in range(80)] + [(0, 40, x, 0.4) for x in range(60)], PX + ", prob double")
     line = {"least_votes": 30, "max_gap": 2, "least_length": 20, "height": 64, "width": 96}
     levels = {(q.y, q.x): q.level for q in T.strata_lines(prob, [0.3, 0.8], **line).collect()}
@@ -199,11 +222,64 @@ def test_classical_detector_finds_a_bright_line(spark):
     assert got[0].precision > 0.8 and got[0].tp >= 80 and got[None].tp == got[0].tp
 
 
-def test_attribute_replaces_the_objective(spark):
-    t = spark.createDataFrame([(1, 0, "COMPLETE", 0.5), (2, 1, "COMPLETE", 0.7)], "trial_id int, number int, state string, value double")
-    p = spark.createDataFrame([(1, "lr", 0.1), (2, "lr", 0.2)], "trial_id int, param_name string, param_value double")
-    a = spark.createDataFrame([(1, "val_f1", "0.9")], "trial_id int, key string, value_json string")
-    assert [(r.trial_id, r.value) for r in T.trial_table(t, p, a, ["lr"], 1).collect()] == [(1, 0.9)]
+FLOAT, CHOICE = '{"name": "FloatDistribution", "attributes": {"low": 0.0}}', '{"name": "CategoricalDistribution", "attributes": {"choices": [8, 16, "32"]}}'
+
+
+def study(spark):
+    rows = {
+        "trials": ("trial_id long, number long, state string", [(1, 0, "COMPLETE"), (2, 1, "FAIL"), (3, 2, "COMPLETE"), (4, 3, "COMPLETE"), (5, 4, "RUNNING")]),
+        "values": ("trial_id long, objective long, value double", [(1, 0, 0.5), (2, 0, 0.9), (3, 0, 0.7), (4, 0, 0.7), (3, 1, 0.99)]),
+        "params": ("trial_id long, param_name string, param_value double, distribution_json string", [(t, n, v, d) for t in (1, 2, 3, 4) for n, v, d in (("lr", t / 10, FLOAT), ("bs", float(t % 3), CHOICE))]),
+        "attributes": ("trial_id long, key string, value_json string", [(3, "bs", "64"), (1, "val_f1", "0.95"), (4, "note", '"x"'), (9, "note", "1"), (3, "odd", "{")]),
+    }
+    return {k: spark.createDataFrame(r, kind) for k, (kind, r) in rows.items()}
+
+
+def test_best_trials_by_the_stored_objective(spark):
+    s = study(spark)
+    got = T.top_trials(s["trials"], s["values"], s["params"], s["attributes"], 2, ("lr",), ("bs",)).collect()
+    assert [(r.trial_id, r.value, r.lr, r.bs) for r in got] == [(3, 0.7, 0.3, 64.0), (4, 0.7, 0.4, 16.0)]
+    last = T.top_trials(s["trials"], s["values"], s["params"], s["attributes"], 9, ("lr", "bs")).collect()[-1]
+    assert (last.trial_id, last.value, last.bs) == (1, 0.5, 16.0)  # not by val_f1
+    for lacking in (s["params"].where("param_name = 'lr'"), s["params"].where("param_name = 'bs'")):
+        with pytest.raises(Exception, match="lacks"):
+            T.top_trials(s["trials"], s["values"], lacking, s["attributes"], 2, ("lr",), ("bs",)).collect()
+
+
+def test_trial_table(spark):
+    s = study(spark)
+    got = T.trial_table(s["trials"], s["values"], s["attributes"], ["note", "bs"]).collect()
+    assert [(r.number, r.state, r.objective, r.note, r.bs, r.val_f1) for r in got] == [
+        (0, "COMPLETE", 0.5, None, None, 0.95), (1, "FAIL", 0.9, None, None, 0.9), (2, "COMPLETE", 0.7, None, "64", 0.7), (3, "COMPLETE", 0.7, "x", None, 0.7), (4, "RUNNING", None, None, None, None),
+    ]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_study_from_its_database(spark, tmp_path, partitions):
+    path, s = f"{tmp_path}/study {partitions}.db", study(spark)
+    con = sqlite3.connect(path)
+    for name, table in (("trials", "trials"), ("values", "trial_values"), ("params", "trial_params"), ("attributes", "trial_user_attributes")):
+        kinds = {"bigint": "INTEGER", "double": "FLOAT", "string": "VARCHAR(9)"}
+        con.execute(f"CREATE TABLE {table} ({', '.join(f'{n} {kinds[k]}' for n, k in s[name].dtypes)})")
+        con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(s[name].columns))})", [tuple(r) for r in s[name].collect()])
+    con.execute("DELETE FROM trial_values WHERE trial_id = 2")
+    con.execute("CREATE TABLE none (x, y TEXT)")
+    con.commit()
+    d = sqlite.study_tables(spark, path, partitions)
+    assert d["trials"].schema == s["trials"].schema and sorted(d["params"].collect()) == sorted(s["params"].collect())
+    got = T.top_trials(d["trials"], d["values"], d["params"], d["attributes"], 2, ("lr",), ("bs",)).collect()
+    assert [(r.trial_id, r.lr, r.bs) for r in got] == [(3, 0.3, 64.0), (4, 0.4, 16.0)]
+    done = d["values"].where("value > 0.6 AND objective = 0 AND trial_id IS NOT NULL")
+    assert sorted(r.trial_id for r in done.collect()) == [3, 4]
+    reader = sqlite.TableReader(d["values"].schema, {"path": path, "table": "trial_values", "partitions": "2"})
+    left = list(reader.pushFilters([EqualTo(("objective",), 0), GreaterThan(("value",), 0.6), EqualTo(("value",), "x"), EqualTo(("a", "b"), 1)]))
+    assert len(left) == 2 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+    assert sqlite.sqlite_table(spark, path, "none").count() == 0
+    con.execute("DROP TABLE trial_user_attributes")
+    con.commit()
+    assert sqlite.study_tables(spark, path)["attributes"].count() == 0
+    with pytest.raises(Exception, match="no table"):
+        sqlite.sqlite_table(spark, path, "absent").count()
 
 
 def test_reviews_of_nothing(spark):
@@ -231,21 +307,12 @@ def test_reviews(spark):
             T.merge_reviews(inf, rev(bad), ["expnum", "detector"], ["hit"]).collect()
 
 
-def test_trial_table(spark):
-    t = spark.createDataFrame([(1, 0, "COMPLETE", 0.5), (2, 1, "FAIL", 0.9), (3, 2, "COMPLETE", 0.7)], "trial_id int, number int, state string, value double")
-    p = spark.createDataFrame([(1, "lr", 0.1), (3, "lr", 0.2), (1, "bs", 8.0), (3, "bs", 16.0)], "trial_id int, param_name string, param_value double")
-    a = spark.createDataFrame([(3, "bs", "32")], "trial_id int, key string, value_json string")
-    assert [(r.trial_id, r.lr, r.bs) for r in T.trial_table(t, p, a, ["lr", "bs"]).collect()] == [(3, 0.2, 32.0), (1, 0.1, 8.0)]
-    with pytest.raises(Exception, match="missing parameter"):
-        T.trial_table(t, p.where("param_name = 'lr'"), a, ["lr", "bs"]).collect()
-
-
 def test_stratified_sample_tops_up(spark):
     rows = [(i % 12, i, t) for i, t in enumerate(["faint"] * 2 + ["medium"] * 8 + ["bright"] * 8)]
     c = spark.createDataFrame(rows, "image_id int, component int, tier string")
-    got = T.stratified_components(c, 4, 1, least_images=3)
+    got = T.stratified_components(c, 12, 1, least_images=3)
     n = {r.tier: r["count"] for r in got.groupBy("tier").count().collect()}
-    assert sum(n.values()) == 12 and n["faint"] == 2 and got.exceptAll(T.stratified_components(c.repartition(5), 4, 1, least_images=3)).count() == 0
+    assert sum(n.values()) == 12 and n["faint"] == 2 and got.exceptAll(T.stratified_components(c.repartition(5), 12, 1, least_images=3)).count() == 0
 
 
 def test_median_of_a_histogram(spark):
