@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import number
 from .metrics import ratio, running_before
+from .quantiles import percentile_columns, percentiles
 
 CATALOGUE = ("length", "start_ra", "end_ra", "start_dec", "end_dec", "satellite_name")
 
@@ -40,8 +41,9 @@ def name_frequency(cat: DataFrame, n: int) -> DataFrame:
 
 def length_summary(cat: DataFrame) -> DataFrame:
     """Of lengths that are numbers: count, mean, median, min and max."""
-    v = F.col("length").cast("string").try_cast("double")
-    return cat.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+    v = cat.select(F.col("length").cast("string").try_cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    median = percentile_columns(v, {"median": ("v", 0.5)}, [])
+    return v.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).join(F.broadcast(median)).select("n", "mean", "median", "min", "max")
 
 
 def coordinate_ranges(cat: DataFrame) -> DataFrame:
@@ -50,10 +52,13 @@ def coordinate_ranges(cat: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, min, exact quartiles and max of each column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v").where(F.col("v").isNotNull())
-    q = lambda p: F.percentile("v", p)
-    return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("v").alias("max"))
+    """Count, mean, sample deviation, min, exact quartiles and max of each column that has a value."""
+    v = F.col("v")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v").where(v.isNotNull() & ~F.isnan("v"))
+    q = percentiles(df, columns, [0.25, 0.5, 0.75])
+    q = q.groupBy("column").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    one = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return one.join(F.broadcast(q), "column").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def per_year(df: DataFrame, ts: str) -> DataFrame:
@@ -172,9 +177,12 @@ def control_summary(crops: DataFrame, area: int) -> DataFrame:
     the model fired though the reference has no trail; null without such crops, shares to 8 places."""
     v = lambda x: F.count_if(F.col("verdict") == x).alias(f"verdict_{x}")
     over = F.coalesce(F.col("model_fired") & ~F.col("reference_has_trail"), F.lit(False))
-    fp, fp_over = F.col("fp_pixels"), F.when(over, F.col("fp_pixels"))
-    stats = lambda c, name: [F.percentile(c, 0.5).alias(f"{name}median_fp"), F.max(c).alias(f"{name}max_fp"), F.round(F.percentile(c, 0.5) / area, 8).alias(f"{name}median_fp_fraction")]
-    return crops.groupBy("stratum").agg(F.count("*").alias("crops"), v("trail"), v("no_trail"), F.count_if("reference_has_trail").alias("reference_has_trail"), F.count_if("model_fired").alias("model_fired"), *stats(fp, ""), F.count_if(over).alias("over_fired"), *stats(fp_over, "over_fired_"))
+    c = crops.withColumn("over_fired_fp", F.when(over, F.col("fp_pixels")))
+    medians = percentile_columns(c, {"median_fp": ("fp_pixels", 0.5), "over_fired_median_fp": ("over_fired_fp", 0.5)}, ["stratum"])
+    one = c.groupBy("stratum").agg(F.count("*").alias("crops"), v("trail"), v("no_trail"), F.count_if("reference_has_trail").alias("reference_has_trail"), F.count_if("model_fired").alias("model_fired"), F.max("fp_pixels").alias("max_fp"), F.count_if(over).alias("over_fired"), F.max("over_fired_fp").alias("over_fired_max_fp"))
+    j = one.join(medians.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    stats = lambda name: [f"{name}median_fp", f"{name}max_fp", F.round(F.col(f"{name}median_fp") / area, 8).alias(f"{name}median_fp_fraction")]
+    return j.select("stratum", "crops", "verdict_trail", "verdict_no_trail", "reference_has_trail", "model_fired", *stats(""), "over_fired", *stats("over_fired_"))
 
 
 def mechanism(original_reference_f1: Column, model_original_f1: Column, original_width: Column, reference_width: Column, model_width: Column) -> Column:
@@ -190,8 +198,9 @@ def mechanism(original_reference_f1: Column, model_original_f1: Column, original
 
 
 def category_summary(df: DataFrame, category: str, value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(category).agg(F.count("*").alias("available"), F.count(value).alias("sampled"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    q = percentile_columns(df, {"median": (value, 0.5), "q25": (value, 0.25), "q75": (value, 0.75)}, [category]).withColumnRenamed(category, "_c")
+    one = df.groupBy(category).agg(F.count("*").alias("available"), F.count(value).alias("sampled"))
+    return one.join(q, F.col(category).eqNullSafe(F.col("_c")), "left").drop("_c")
 
 
 TIERS = ("low", "medium", "high")
@@ -199,9 +208,9 @@ TIERS = ("low", "medium", "high")
 
 def tertiles(df: DataFrame, value: str) -> DataFrame:
     """Adds tier: low, medium or high by the 33.333 and 66.667 percentiles (inclusive)."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.33333), F.lit(0.66667))).alias("_q"))
+    q = percentile_columns(df, {"_low": (value, 0.33333), "_high": (value, 0.66667)}, [])  # one row
     v = F.col(value)
-    return df.join(F.broadcast(q)).withColumn("tier", F.when(v <= F.col("_q")[0], "low").when(v <= F.col("_q")[1], "medium").otherwise("high")).drop("_q")
+    return df.join(F.broadcast(q)).withColumn("tier", F.when(v <= F.col("_low"), "low").when(v <= F.col("_high"), "medium").otherwise("high")).drop("_low", "_high")
 
 
 def tier_summary(rows: DataFrame, key: str, contrast: str, values: list[str], resamples: int, seed: int, level: float = 0.95) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.operators import labels as L
 from quarrylane.operators import pixels as P
+from quarrylane.operators import quantiles as Q
 from quarrylane.operators import runs as R
 from quarrylane.operators import shared
 from quarrylane.sources import files as S_
@@ -249,3 +250,31 @@ def test_stored_tables_are_cleared(spark):
     shared.clear_stored(spark)
     t = shared.stored(spark.range(5))
     assert t.count() == 5 and shared.clear_stored(spark) == 1 and shared.clear_stored(spark) == 0
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-12, 12, 300), [0.0, -0.0, np.inf, -np.inf, 5e-324, -1e308], np.repeat(7.25, 50)])
+    rows = [("a" if i % 3 else None, float(v), int(i) - 100, None if i % 2 else float(v)) for i, v in enumerate(values)] + [("b", 1.5, 3, None), ("a", float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, k int, half double").repartition(3)
+    shares = [0.0, 0.05, 1 / 3, 0.5, 0.99, 1.0]
+    got = {(r.g, r.column, r.share): r.value for r in Q.percentiles(df, ["v", "k", "half"], shares, ["g"]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        for j, c in ((1, "v"), (2, "k"), (3, "half")):
+            own = sorted(r[j] for r in rows if r[0] == g and r[j] is not None and r[j] == r[j])
+            for s in shares if own else ():
+                at = s * (len(own) - 1)
+                low, high = own[int(np.floor(at))], own[int(np.ceil(at))]
+                want[g, c, s] = low if low == high else low * (1 - at % 1) + high * (at % 1)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True) for k in want)
+    two = {r.g: (r.m, r.top) for r in Q.percentile_columns(df, {"m": ("k", 0.5), "top": ("half", 1.0)}, ["g"]).collect()}
+    assert two["b"] == (3.0, None) and two["a"][0] == want["a", "k", 0.5]
+    assert Q.percentiles(df.limit(0), ["v"], [0.5]).count() == 0
+
+
+def test_percentiles_of_many_groups_meet_in_a_join(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MOST_BROADCAST", 5)
+    df = spark.range(400).select((F.col("id") % 20).alias("g"), (F.col("id") * 7 % 400).alias("v"))
+    got = {r.g: r.value for r in Q.percentiles(df, ["v"], [0.25], ["g"]).collect()}
+    assert got == {g: pytest.approx(np.percentile([i * 7 % 400 for i in range(g, 400, 20)], 25)) for g in range(20)}
