@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,17 +33,29 @@ def parse_patch(path: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(ok.cast("int"), part(i).cast("int")) for i in (1, 2))
 
 
+def seeded_ranks(df: DataFrame, group: str, seed: int, key: str) -> DataFrame:
+    """Adds _r, each row's place from 0 on in its group by seeded order of a key, and _n, the group's rows.
+
+    Rows are ordered within the first three hex digits of their digests, and the counts of those give what
+    stands before: no task orders more than a few of 4,096 parts of a group."""
+    d = df.withColumn("_d", digest(seed, F.col(key))).withColumn("_b", F.substring("_d", 1, 3))
+    parts = d.groupBy(group, "_b").agg(F.count("*").alias("_k"))  # at most 4,096 rows per group
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(group, "_b", before.alias("_before"), F.sum("_k").over(Window.partitionBy(group)).alias("_n"))
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_d", key)) - 1)
+    return d.join(parts, [group, "_b"]).withColumn("_r", F.col("_before") + F.col("_i")).select(*df.columns, "_r", "_n")
+
+
 def image_splits(counts: DataFrame, train: float, val: float, seed: int) -> DataFrame:
     """(image, positives, quartile, split): images of each quartile of positives, in seeded order, are cut
-    by floors of the ratios; test takes the rest.  Sorts one row per image."""
+    by floors of the ratios; test takes the rest."""
     if not (0 < train and 0 < val and train + val < 1):
         raise ValueError("ratios must be positive and leave something for test")
     q = counts.agg(F.percentile("positives", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     p = F.col("positives")
     quartile = F.when(p <= F.col("q")[0], 0).when(p <= F.col("q")[1], 1).when(p <= F.col("q")[2], 2).otherwise(3)
     c = counts.join(F.broadcast(q)).withColumn("quartile", quartile).drop("q")
-    w = Window.partitionBy("quartile")
-    c = c.withColumn("_r", F.row_number().over(w.orderBy(digest(seed, F.col("image")), "image")) - 1).withColumn("_n", F.count("*").over(w))
+    c = seeded_ranks(c, "quartile", seed, "image")
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
     return c.withColumn("split", F.when(F.col("_r") < a, "train").when(F.col("_r") < a + b, "val").otherwise("test")).drop("_r", "_n")
 
@@ -66,10 +80,8 @@ def sample_negatives(manifest: DataFrame, per_positive: int, seed: int) -> DataF
 def image_subset(manifest: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Other splits whole, and of train the first max(1, round(fraction * n)) images in seeded order:
     smaller fractions are subsets of larger ones."""
-    images = manifest.where("split = 'train'").select("source_image").distinct()
-    r = F.row_number().over(Window.orderBy(digest(seed, F.col("source_image")), "source_image"))
-    n = F.count("*").over(Window.partitionBy())
-    kept = images.select("source_image", r.alias("_r"), n.alias("_n")).where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction))).select("source_image")
+    images = manifest.where("split = 'train'").select("source_image", F.lit(0).alias("_all")).distinct()
+    kept = seeded_ranks(images, "_all", seed, "source_image").where(F.col("_r") < F.greatest(F.lit(1), F.bround(F.col("_n") * fraction))).select("source_image")
     return manifest.where("split <> 'train'").union(manifest.where("split = 'train'").join(kept, "source_image", "left_semi").select(manifest.columns))
 
 
@@ -205,36 +217,47 @@ def audit(manifest: DataFrame, masks: DataFrame | None = None, files: DataFrame
     With masks (patch, positive_pixels, pixels): fractions that differ from the mask's by more than
     the tolerance.  With files (patch, height, width, mask_height, mask_width), one row per patch that
     is on disk: patches without files, and sides other than patch_size."""
+    m = manifest
+    checks = ["split_values", "fraction_range", "missing_values", "repeated_patches", "class_balance", "split_leaks"]
     ok_split = F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False))
-    per = manifest.agg(
-        F.count_if(~ok_split).alias("split_values"),
-        F.count_if(F.col("fraction").isNull() | (F.col("fraction") < 0) | (F.col("fraction") > 1)).alias("fraction_range"),
-        F.count_if(F.col("source_image").isNull() | F.col("patch").isNull()).alias("missing_values"),
-        (F.count("patch") - F.countDistinct("patch")).alias("repeated_patches"),
-        F.countDistinct(F.when(F.col("fraction") > 0, F.col("split"))).alias("_both"), F.countDistinct("split").alias("_splits"),
-    ).withColumn("class_balance", F.col("_splits") - F.col("_both")).drop("_both", "_splits")
-    rows = per.unpivot([], per.columns, "check", "failing")
-    rows = rows.union(split_leaks(manifest).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("failing")).select(F.lit("split_leaks").alias("check"), "failing"))
-    count = lambda df, name, bad: df.agg(F.count_if(bad).alias("failing")).select(F.lit(name).alias("check"), "failing")
+    fraction, none = F.col("fraction"), F.lit(None).cast("double")
+    bad = {
+        "split_values": ~ok_split,
+        "fraction_range": fraction.isNull() | (fraction < 0) | (fraction > 1),
+        "missing_values": F.col("source_image").isNull() | F.col("patch").isNull(),
+    }
+    mean = std = none
     if {"image_mean", "image_std"} <= set(manifest.columns):
         mean, std = (F.when(~F.isnan(c), F.col(c)) for c in ("image_mean", "image_std"))
-        per_image = manifest.groupBy("source_image").agg(F.count("*").alias("n"), F.count(mean).alias("m"), F.count(std).alias("s"))
-        rows = rows.union(count(per_image, "statistics_pattern", (F.col("m") != F.col("s")) | ((F.col("m") > 0) & (F.col("m") < F.col("n")))))
-        rows = rows.union(count(manifest, "statistics_range", (mean < 0) | (mean > 1) | (std <= 0)))
+        checks.append("statistics_pattern")
+        bad["statistics_range"] = (mean < 0) | (mean > 1) | (std <= 0)
         if strict:
-            rows = rows.union(count(manifest, "statistics_missing", mean.isNull()))
+            bad["statistics_missing"] = mean.isNull()
     if masks is not None:
-        j = manifest.select("patch", "fraction").join(masks.select("patch", "positive_pixels", "pixels"), "patch")
-        rows = rows.union(count(j, "fraction_recomputed", F.abs(F.col("fraction") - F.col("positive_pixels") / F.col("pixels")) > tolerance))
+        m = m.join(masks.select("patch", F.col("positive_pixels").alias("_on"), F.col("pixels").alias("_of")), "patch", "left")
+        bad["fraction_recomputed"] = F.abs(fraction - F.col("_on") / F.col("_of")) > tolerance
     if files is not None:
         sides = ("height", "width", "mask_height", "mask_width")
-        j = manifest.select("patch").join(files.select("patch", *sides, F.lit(True).alias("_there")), "patch", "left")
-        rows = rows.union(count(j, "absent_files", F.col("_there").isNull()))
-        wrong = F.lit(False)
-        for c in sides:
-            wrong |= F.col(c) != patch_size
-        rows = rows.union(count(j, "patch_shapes", wrong))
-    return rows.withColumn("ok", F.col("failing") == 0)
+        m = m.join(files.select("patch", *[F.col(c).alias(f"_{c}") for c in sides], F.lit(True).alias("_there")), "patch", "left")
+        bad["absent_files"] = F.col("_there").isNull()
+        bad["patch_shapes"] = reduce(lambda x, y: x | y, [F.col(f"_{c}") != patch_size for c in sides])
+    # One scan: every row counts once for its image, once for its patch and once for its split.
+    row = m.select("source_image", "patch", "split", (fraction > 0).alias("_positive"), mean.alias("_mean"), std.alias("_std"), *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in bad.items()])
+    image, patch, split = F.col("source_image"), F.col("patch"), F.col("split")
+    g = row.withColumn("_s", split).groupingSets([[image], [patch], [split]], image, patch, split).agg(
+        F.grouping("source_image").alias("_i"), F.grouping("patch").alias("_p"), F.grouping("split").alias("_k"), F.count("*").alias("_n"), F.count("_mean").alias("_m"), F.count("_std").alias("_d"),
+        F.coalesce(F.max("_positive"), F.lit(False)).alias("_any"), F.countDistinct("_s").alias("_splits"), *[F.sum(n).alias(n) for n in bad],
+    )
+    of_image, of_patch, of_split = (F.col(c) == 0 for c in ("_i", "_p", "_k"))
+    total = lambda rule, v: F.coalesce(F.sum(F.when(rule, v)), F.lit(0)).cast("long")
+    sums = {n: total(of_image, F.col(n)) for n in bad}
+    sums["repeated_patches"] = total(of_patch & patch.isNotNull(), F.col("_n") - 1)
+    sums["class_balance"] = total(of_split & split.isNotNull() & ~F.col("_any"), F.lit(1))
+    sums["split_leaks"] = total(of_image & image.isNotNull(), F.floor(F.col("_splits") * (F.col("_splits") - 1) / 2))
+    if "statistics_pattern" in checks:
+        sums["statistics_pattern"] = total(of_image, ((F.col("_m") != F.col("_d")) | ((F.col("_m") > 0) & (F.col("_m") < F.col("_n")))).cast("long"))
+    one = g.agg(*[v.alias(n) for n, v in sums.items()])
+    return one.unpivot([], one.columns, "check", "failing").withColumn("ok", F.col("failing") == 0)
 
 
 def densest(patches: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,17 @@ def write_manifest(m: DataFrame, path: str) -> None:
     m.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.partitionBy("split").parquet(path)
 
 
+def write_audited_manifest(m: DataFrame, path: str) -> dict[str, int]:
+    """Writes a manifest and returns, counted while it is written, its rows and those with an unknown split, a
+    fraction outside 0 to 1 or a missing value; nothing is read twice."""
+    seen = Observation()
+    ok = F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False))
+    fraction = F.col("positive_pixel_fraction")
+    gone = F.col("source_image").isNull() | F.col("patch_path").isNull() | F.col("mask_path").isNull()
+    write_manifest(m.observe(seen, F.count("*").alias("rows"), F.count_if(~ok).alias("split_values"), F.count_if(fraction.isNull() | (fraction < 0) | (fraction > 1)).alias("fraction_range"), F.count_if(gone).alias("missing_values")), path)
+    return dict(seen.get)
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue; fails when one of its columns is missing."""
     c = spark.read.csv(path, header=True)

@@ -454,6 +454,9 @@ def test_documents_manifests_and_verdicts(spark, tmp_path):
     m = spark.createDataFrame([("train", "i", "p.png", "m.png", 0.1), ("val", "j", "q.png", "n.png", 0.0)], S_.MANIFEST)
     S_.write_manifest(m, f"{tmp_path}/m")
     assert S_.read_manifest(spark, f"{tmp_path}/m", "val").first().source_image == "j"
+    bad = m.unionByName(spark.createDataFrame([("other", "i", "p.png", None, 1.5)], S_.MANIFEST))
+    assert S_.write_audited_manifest(bad, f"{tmp_path}/audited") == {"rows": 3, "split_values": 1, "fraction_range": 1, "missing_values": 1}
+    assert S_.read_manifest(spark, f"{tmp_path}/audited").count() == 3
     listing = spark.createDataFrame([("file:/r/p.png",), ("file:///r/x/q.png",), ("hdfs://h:9/r//m.png",)], "path string")
     got = S_.absent_files(m, listing, ["patch_path", "mask_path"], "/r/").collect()
     assert sorted((r.absent_column, r.absent_path) for r in got) == [("mask_path", "n.png"), ("patch_path", "q.png")]  # q.png stands in another folder
