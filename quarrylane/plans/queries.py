@@ -704,7 +704,7 @@ def _(t):
 def _(t):
     tag = F.concat(F.lit("net_t"), F.col("trial").cast("string"), F.lit("_s"), F.col("seed").cast("string"))
     runs = t.select(*S.parse_tag(tag), "run", "val_f1", (F.col("run") % 7 == 0).alias("bad_loss"), F.lit(0.5).alias("last_dice"), (F.col("run") % 4).alias("longest_zero"), (F.col("run") % 3).alias("spikes"))
-    return S.trial_aggregate(runs, list(range(6)), 20, 5, list(range(12)))
+    return S.trial_aggregate(runs, list(range(6)), 20, 5)
 
 
 @query("selected_trial", ("v_trials",), TRIALS + f" SELECT {TRIAL_COLUMNS} FROM s WHERE s.mean >= (SELECT max(s.mean) FROM s) - 5e-3 ORDER BY batch_size, s.learning_rate, trial LIMIT 1")
@@ -977,7 +977,7 @@ def _(a):
 STUDY = ("v_study", "v_params", "v_attributes")
 
 
-@query("top_trials", STUDY, """, best AS (SELECT trial_id, number, value FROM v_study WHERE state = 'COMPLETE' ORDER BY value DESC, number LIMIT 20),
+@query("top_study_trials", STUDY, """, best AS (SELECT trial_id, number, value FROM v_study WHERE state = 'COMPLETE' ORDER BY value DESC, number LIMIT 20),
     p AS (SELECT trial_id, param_name, CASE WHEN json_extract(distribution_json, '$.attributes.choices') IS NULL THEN param_value ELSE CAST(json_extract_string(distribution_json, '$.attributes.choices[' || CAST(param_value AS INT) || ']') AS DOUBLE) END AS v FROM v_params)
     SELECT trial_id, number, round(value, 6) AS value, round(l.v, 6) AS learning_rate, round(w.v, 6) AS bce_weight, round(coalesce(CAST(a.value_json AS DOUBLE), b.v), 6) AS batch_size FROM best JOIN p l USING (trial_id) JOIN p w USING (trial_id) JOIN p b USING (trial_id) LEFT JOIN v_attributes a ON a.trial_id = best.trial_id AND a.key = 'batch_size'
     WHERE l.param_name = 'learning_rate' AND w.param_name = 'bce_weight' AND b.param_name = 'batch_size'""")

@@ -39,7 +39,8 @@ def sql(name: str, duck: bool) -> str:
     inside = f"y >= 0 AND y < {FRAME} AND x >= 0 AND x < {FRAME}"
     specks = f"SELECT {_div(duck, 'event_id', 1000)} AS image_id, (event_id * 7919 + user_id * 31) % {FRAME} AS y, (event_id * 104729 + user_id) % {FRAME} AS x, least(value / 100, 1e0) AS prob FROM events"
     line = f"SELECT image_id, yc + dy AS y, x, gap FROM (SELECT *, {rows2} AS dy, {gap} AS gap FROM ({_centre(duck, 's_suppkey % 3 - 1')}) c) d"
-    k = "o_custkey % 178"
+    k, trial = "o_custkey", _div(duck, "o_custkey", 100)
+    part = lambda n, m: f"{_div(duck, k, n)} % {m}"
     pad = lambda x: f"lpad({_text(duck, x)}, 2, '0')"
     return {
         "v_scored": "SELECT l_suppkey AS image_id, l_suppkey * 16 + l_partkey % 16 AS patch_id, l_quantity / 50 AS prob, l_returnflag = 'R' AS target, l_discount * 10 AS prob2, l_tax * 12 AS gate FROM lineitem",
@@ -47,9 +48,9 @@ def sql(name: str, duck: bool) -> str:
         "v_pred_px": f"SELECT DISTINCT image_id, y, x FROM (SELECT image_id, y, x FROM ({line}) l WHERE NOT gap UNION ALL SELECT image_id, y, x FROM ({specks}) s) e WHERE {inside}",
         "v_prob_px": f"SELECT image_id, y, x, max(prob) AS prob FROM (SELECT image_id, y, x, CASE WHEN gap THEN 3e-1 ELSE 9e-1 END AS prob FROM ({line}) l UNION ALL SELECT image_id, y, x, prob FROM ({specks}) s) e WHERE {inside} GROUP BY image_id, y, x",
         "v_frame_px": "SELECT l_suppkey AS image_id, l_partkey % 64 AS y, l_orderkey % 64 AS x, CAST(max(l_quantity) * 4 + max(l_linenumber) AS INT) AS v FROM lineitem GROUP BY l_suppkey, l_partkey % 64, l_orderkey % 64",
-        "v_manifest": f"SELECT 'ML1_' || {_text(duck, f'20180101 + {k} % 28')} || '_' || {pad(f'{k} % 24')} || {pad(f'{k} % 60')} || '00_red.fits_full.png' AS source_image, o_orderkey AS patch, CASE o_orderpriority WHEN '1-URGENT' THEN 'val' WHEN '2-HIGH' THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderstatus <> 'P' THEN 0e0 ELSE (o_orderkey % 1000 + 1) / 1e5 END AS fraction FROM orders",
+        "v_manifest": f"SELECT 'ML1_' || {_text(duck, f'({k} % 6 + 2018) * 10000 + 101 + {part(6, 28)}')} || '_' || {pad(part(168, 24))} || {pad(part(4032, 60))} || {pad(part(241920, 60))} || '_red.fits_full.png' AS source_image, o_orderkey AS patch, CASE o_orderpriority WHEN '1-URGENT' THEN 'val' WHEN '2-HIGH' THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderstatus <> 'P' THEN 0e0 ELSE (o_orderkey % 1000 + 1) / 1e5 END AS fraction FROM orders",
         "v_history": "SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS val_loss, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS train_loss, CASE WHEN event_type = 'error' THEN 0e0 ELSE least(value / 500, 1e0) END AS val_dice FROM events",
-        "v_trials": f"SELECT o_custkey % 12 AS trial, o_orderkey % 5 AS seed, o_orderkey AS run, o_totalprice / 500000 AS val_f1, 8 * (1 + o_custkey % 12 % 3) AS batch_size, (o_custkey % 12 + 1) / 1e4 AS learning_rate FROM orders",
+        "v_trials": f"SELECT {trial} AS trial, o_orderkey % 5 AS seed, o_orderkey AS run, o_totalprice / 500000 AS val_f1, 8 * (1 + {trial} % 3) AS batch_size, ({trial} % 12 + 1) / 1e4 AS learning_rate FROM orders",
         "v_catalogue": "SELECT CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand || '-' || p_type END AS satellite_name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS length, p_partkey * 7 % 360 + 0e0 AS start_ra, p_partkey * 11 % 360 + 0e0 AS end_ra, p_partkey * 3 % 180 - 9e1 AS start_dec, p_partkey * 5 % 180 - 9e1 AS end_dec FROM part",
         "v_audit": "SELECT 'crop_' || " + _text(duck, "d.doc_id") + " AS crop_name, d.doc_id % 4 AS stratum, d.n_chars AS fp_pixels, d.lang = 'en' AS model_fired, coalesce(l.quality = 1, FALSE) AS reference_has_trail, d.source AS source_image, l.doc_id IS NOT NULL AS annotated, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'uncertain' WHEN l.quality = 1 THEN 'trail' ELSE 'no_trail' END AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
         "v_study": "SELECT o_orderkey AS trial_id, o_orderkey % 100000 AS number, CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'O' THEN 'PRUNED' ELSE 'FAIL' END AS state, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) / 1e6 END AS value, 0 AS objective FROM orders",
