@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ def bounded_batches(stage):
     """A stage under which Spark's default number of rows of an Arrow batch is lowered for the session; another
     number that the user has set stays."""
 
+    @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if spark.conf.get(_SETTING, "10000") == "10000":
             spark.conf.set(_SETTING, str(TEXTS_AT_ONCE))
