@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import labels as L
 from . import runs as R
@@ -311,12 +314,57 @@ def cleaned_components(px: DataFrame, radius: int, height: int, width: int, leas
     return named.join(kept, ["image_id", "component"], "left_semi").select("image_id", "y", "x", "component")
 
 
+#: Lines of one angle, over the images of a batch, up to which each has a counter of its own.
+MOST_LINES = 1 << 20
+
+
+def _angles(px: DataFrame, thetas: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and sines of all angles, as Spark works them out."""
+    rad = F.radians(F.col("id") * (180 / thetas))
+    rows = px.sparkSession.range(thetas).select("id", F.cos(rad).alias("c"), F.sin(rad).alias("s")).orderBy("id").collect()
+    return np.array([r.c for r in rows]), np.array([r.s for r in rows])
+
+
+def _counted_lines(px: DataFrame, thetas: int, levels: list[float] | None = None) -> DataFrame:
+    """(image_id, theta, rho, v0, v1, ...): votes for each line, per level of the column prob where levels are
+    given.  A batch of pixels is counted in arrays, so what is shuffled are lines of a batch: a pixel never
+    becomes a row for each angle."""
+    cos, sin = _angles(px, thetas)
+    names = [f"v{i}" for i in range(len(levels or [0]))]
+    cols = ["image_id", F.col("y").cast("double"), F.col("x").cast("double"), *(["prob"] if levels else [])]
+    image = px.schema["image_id"].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, x = b.column(1).to_numpy(), b.column(2).to_numpy()
+            own, first, code = np.unique(R.codes(b.column(0)), return_index=True, return_inverse=True)
+            reach = int(np.hypot(np.abs(y).max(), np.abs(x).max())) + 2
+            span = 2 * reach + 1
+            on = [b.column(3).to_numpy() >= s for s in levels] if levels else [slice(None)]
+            out = []
+            for theta in range(thetas):
+                key = code * span + np.rint(x * cos[theta] + y * sin[theta]).astype(np.int64) + reach
+                # Counts in place where the images of the batch are few, else of the lines that there are.
+                at = np.arange(len(own) * span) if len(own) * span <= MOST_LINES else np.unique(key)
+                place = key if len(own) * span <= MOST_LINES else np.searchsorted(at, key)
+                n = np.stack([np.bincount(place[i], minlength=len(at)) for i in on])
+                hit = n.any(0)
+                at, n = at[hit], n[:, hit]
+                out.append((at // span, np.full(len(at), theta, np.int32), (at % span - reach).astype(np.int32), n))
+            who, theta, rho = (np.concatenate([o[i] for o in out]) for i in range(3))
+            n = np.concatenate([o[3] for o in out], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first[who])), pa.array(theta), pa.array(rho), *map(pa.array, n)], names=["image_id", "theta", "rho", *names])
+
+    schema = T.StructType([T.StructField("image_id", image), T.StructField("theta", T.IntegerType()), T.StructField("rho", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+    return px.select(*cols).mapInArrow(count, schema).groupBy("image_id", "theta", "rho").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def line_votes(px: DataFrame, least_votes: int, thetas: int = 180) -> DataFrame:
     """Standard Hough votes: (image_id, theta, rho, votes) of at least least_votes, in steps of a degree
-    and a pixel.  Pixels are counted per line before the shuffle."""
-    at = px.select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
-    rad = F.radians(F.col("theta") * (180 / thetas))
-    return at.groupBy("image_id", "theta", F.rint(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
+    and a pixel."""
+    return _counted_lines(px, thetas).select("image_id", "theta", "rho", F.col("v0").alias("votes")).where(F.col("votes") >= least_votes)
 
 
 def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list[float] | None = None) -> DataFrame:
@@ -329,8 +377,7 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
     rho = F.rint(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")
     extra = ["prob"] if levels else []
     if levels:
-        at = px.select(*PX, *extra, F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
-        lines = at.groupBy("image_id", "theta", rho).agg(F.array(*[F.count_if(F.col("prob") >= s) for s in levels]).alias("votes")).where(F.array_max("votes") >= least_votes)
+        lines = _counted_lines(px, thetas, levels).select("image_id", "theta", "rho", F.array(*[f"v{i}" for i in range(len(levels))]).alias("votes")).where(F.array_max("votes") >= least_votes)
     else:
         lines = line_votes(px, least_votes, thetas)
     lines = stored(lines)

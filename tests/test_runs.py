@@ -278,3 +278,24 @@ def test_percentiles_of_many_groups_meet_in_a_join(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 20).alias("g"), (F.col("id") * 7 % 400).alias("v"))
     got = {r.g: r.value for r in Q.percentiles(df, ["v"], [0.25], ["g"]).collect()}
     assert got == {g: pytest.approx(np.percentile([i * 7 % 400 for i in range(g, 400, 20)], 25)) for g in range(20)}
+
+
+@pytest.mark.parametrize("thetas", [180, 12])
+def test_line_votes_equal_plain_counts(spark, thetas):
+    from collections import Counter
+
+    rng = np.random.default_rng(thetas)
+    rows = [(str(i), int(y), int(x), float(p)) for i, y, x, p in zip(rng.integers(0, 4, 500), rng.integers(0, 300, 500), rng.integers(0, 200, 500), rng.random(500).round(1))]
+    rows += [(f"many{i}", 70_000 + i, 90_000 - i, 0.5) for i in range(40)]  # many images far from the corner
+    px_ = spark.createDataFrame(rows, PX + ", prob double").repartition(3)
+    want, level = Counter(), Counter()
+    angles = [(np.cos(np.radians(t * (180 / thetas))), np.sin(np.radians(t * (180 / thetas)))) for t in range(thetas)]
+    for i, y, x, p in rows:
+        for t, (c, s) in enumerate(angles):
+            line = (i, t, int(np.rint(x * c + y * s)))
+            want[line] += 1
+            level[line] += p >= 0.5
+    got = {(r.image_id, r.theta, r.rho): r.votes for r in P.line_votes(px_, 2, thetas).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 2}
+    two = {(r.image_id, r.theta, r.rho): list(r.votes) for r in P.line_points(px_, 2, thetas, [0.0, 0.5]).select("image_id", "theta", "rho", "votes").distinct().collect()}
+    assert two == {k: [n, level[k]] for k, n in want.items() if n >= 2}
