@@ -190,6 +190,7 @@ def fp_decomposition(scored: DataFrame, threshold: float = 0.5, positive: DataFr
     c = per.agg(inter, intra, F.count_if(~F.col("is_positive")).alias("empty_patches"), F.count_if(~F.col("is_positive") & (F.col("fp") > 0)).alias("empty_fired"))
     total = F.col("inter_patch_fp") + F.col("intra_patch_fp")
     share = ratio(F.col("inter_patch_fp"), total)
+    # The three labels.
     label = F.when(total == 0, "insufficient-data").when(share >= favourable, "gate-favourable").otherwise("gate-limited")
     return c.select("inter_patch_fp", "intra_patch_fp", share.alias("inter_fraction"), ratio(F.col("empty_fired"), F.col("empty_patches")).alias("empty_fp_rate"), label.alias("label"))
 

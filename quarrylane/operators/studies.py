@@ -194,6 +194,7 @@ def mechanism(original_reference_f1: Column, model_original_f1: Column, original
     1 px or more.  Otherwise, and without one of the widths, inconclusive."""
     thin = (original_reference_f1 <= model_original_f1 + 0.02) & (reference_width - original_width >= 1) & (F.abs(model_width - reference_width) <= 1)
     wide = (F.abs(reference_width - original_width) < 1) & (model_width - reference_width >= 1)
+    # The three labels.
     return F.when(thin, "thin-original support").when(wide, "model-overpaint support").otherwise("mixed/inconclusive")
 
 
