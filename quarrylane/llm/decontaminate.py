@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _power_tables, broadcasts, build_bloom, mixed, shingle_hashes, slices, stored, table, tokens
 
 SEED = 5
+#: A seed in more than 1 / HOT_SHARE of all hits is hot (so at most HOT_SHARE are) and joined in SALTS parts.
+HOT_SHARE, SALTS = 1000, 64
 COVERAGE = 0.6
 BLOOM_BITS = 24
 
@@ -101,6 +103,26 @@ def _item_seeds(classes: DataFrame) -> DataFrame:
     return classes.select("item", "words").mapInArrow(scan, "item string, place int, seed long, n int")
 
 
+def _asked_seeds(seeds: DataFrame, held: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(seed, salt, item, place, least) that documents must meet, and (seed, hot) of the hot seeds, of which
+    there are HOT_SHARE at most.
+
+    Tiles of at least SEED words that cover c words hold m = c / SEED seeds or more.  Of an item's seeds
+    that are hot among the documents, the commonest are left out, up to m / 2 of them: a document must
+    then share `least`, m less those, of the others, so a phrase that everyone has makes no pairs by
+    itself.  Hot seeds that stay are met in SALTS parts."""
+    n = held.groupBy("seed").agg(F.count("*").alias("docs"))
+    total = held.count()
+    hot = stored(n.where(F.col("docs") * HOT_SHARE > total).select("seed", "docs", F.lit(True).alias("hot")), "hot")
+    s = seeds.join(F.broadcast(hot), "seed", "left")
+    m = F.greatest(F.lit(1), F.ceil(F.col("n") * coverage / SEED - 1e-9))
+    nth = F.row_number().over(Window.partitionBy("item").orderBy(F.desc_nulls_last("docs"), "place"))
+    s = s.withColumn("out", F.coalesce(F.col("hot") & (nth <= F.floor(m / 2)), F.lit(False)))
+    s = s.withColumn("least", m - F.count_if("out").over(Window.partitionBy("item"))).where("NOT out")
+    salt = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt")
+    return s.select("seed", "item", "place", "least", salt), hot.select("seed", "hot")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, tie, item_id, coverage, n_tiles, tiles) for each document and item of which tiles
     cover the share `coverage` of the words or more; tiles are (doc_word, item_word, words).
@@ -136,10 +158,11 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
                         at = at[one]
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), part.column(1).take(pa.array(of[at])), pa.array(s[at].view(np.int64))], ["doc_id", "tie", "seed"])
 
-        found = docs.select("doc_id", "tie", "text").mapInArrow(hits, "doc_id long, tie long, seed long").join(seeds, "seed")
-        # Tiles of at least SEED words that cover c words hold c / SEED seeds or more.
-        found = found.groupBy("doc_id", "tie", "item", "n").agg(F.countDistinct("place").alias("k"))
-        pairs = stored(found.where(F.col("k") * SEED >= F.col("n") * coverage).select("doc_id", "tie", "item"), "pairs")
+        held = stored(docs.select("doc_id", "tie", "text").mapInArrow(hits, "doc_id long, tie long, seed long"), "hits")
+        asked, salts = _asked_seeds(seeds, held, coverage)
+        held = held.join(F.broadcast(salts), "seed", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+        found = held.join(asked, ["seed", "salt"]).groupBy("doc_id", "tie", "item", "least").agg(F.countDistinct("place").alias("k"))
+        pairs = stored(found.where("k >= least").select("doc_id", "tie", "item"), "pairs")
         wanted = share(build_bloom(pairs.select(key.alias("key")).distinct(), "key", BLOOM_BITS, 4))
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

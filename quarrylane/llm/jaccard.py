@@ -29,6 +29,9 @@ SKETCH_BITS = 20
 BLOOM_BITS = 26
 MOST_MATCHES = 4
 STAR_TOKENS = 3
+#: A token in more than 1 / HOT_SHARE of all rows of prefixes (so at most HOT_SHARE are), and in LEAST_HOT or more, is hot
+#: and its nodes meet in SALTS parts.
+HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 32
 
 
 def _sets(part: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
@@ -253,11 +256,13 @@ def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int, shar
 
     q = pre.select("node", "n", "matches", "prefix").mapInArrow(scan, "token long, node long, n int, matches int, pos int")
     q = stored(q.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shared")
-    of = q.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"))
-    q = q.join(of.where("roots > 1").select("token", F.col("most.root").alias("major")), "token")
+    of = q.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("held"))
+    # The nodes of a hot token meet in SALTS parts; there are HOT_SHARE such tokens at most.
+    parts = F.when((F.col("held") * HOT_SHARE > F.lit(q.count())) & (F.col("held") >= LEAST_HOT), SALTS).otherwise(1).alias("parts")
+    q = q.join(of.where("roots > 1").select("token", F.col("most.root").alias("major"), parts), "token")
     # A node's first token that some other root has: no pair of it can share an earlier one.
     q = q.withColumn("start", F.min("pos").over(Window.partitionBy("node")))
-    r = q.select([F.col(c).alias(f"{c}_r") for c in q.columns])
+    r = q.select(*[F.col(c).alias(f"{c}_r") for c in q.columns], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt_r"))
     total = F.col("n") + F.col("n_r")
     alpha = F.floor((total * num + (num + den - 1)) / (num + den)).cast("int")  # the overlap that a link of these sizes needs
     m = F.least("matches", "matches_r")
@@ -265,7 +270,8 @@ def unconnected_pairs(pre: DataFrame, roots: DataFrame, num: int, den: int, shar
     within &= (F.col("start") <= F.col("n") - alpha) & (F.col("start_r") <= F.col("n_r") - alpha)
     sized = (F.col("n") * den >= F.col("n_r") * num) & (F.col("n_r") * den >= F.col("n") * num)
     once = (F.col("root_r") == F.col("major_r")) | (F.col("node") < F.col("node_r"))
-    rows = q.where("root <> major").join(r, (F.col("token") == F.col("token_r")) & (F.col("root") != F.col("root_r")) & once & sized & within)
+    q = q.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    rows = q.where("root <> major").join(r, (F.col("token") == F.col("token_r")) & (F.col("salt") == F.col("salt_r")) & (F.col("root") != F.col("root_r")) & once & sized & within)
     rows = rows.groupBy(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).agg(
         F.count("*").alias("shared"), F.min(m).alias("m"), F.min(alpha).alias("alpha"), F.max(F.least(F.col("n") - F.col("pos"), F.col("n_r") - F.col("pos_r"))).alias("rest")
     )

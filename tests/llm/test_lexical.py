@@ -54,7 +54,7 @@ def world():
     return docs, items
 
 
-@pytest.mark.parametrize("k, shard, block", [(10, 3000, 60), (3, 500, 1 << 16), (50, 8 << 20, 1 << 16), (1, 1, 10)])
+@pytest.mark.parametrize("k, shard, block", [(10, 3000, 200), (50, 8 << 20, 1 << 16), (1, 1, 1 << 16)])
 def test_search_equals_brute_force(spark, world, k, shard, block):
     docs, items = world
     got = lexical.ranked_search(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string"), k, shard, block)

@@ -248,6 +248,13 @@ def test_jaccard_equals_brute_force(spark, corpus, size, num, den):
     assert got == brute.components([(r[0], r[1]) for r in corpus], size, num, den)
 
 
+def test_jaccard_splits_hot_tokens(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 1)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, corpus), 3, 1, 2).collect()}
+    assert got == brute.components([r[:2] for r in corpus], 3, 1, 2)
+
+
 def test_jaccard_hot_group_and_odd_ids(spark):
     rng = random.Random(1)
     t = prose(rng, 120)
@@ -356,6 +363,29 @@ def test_contaminated_equals_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("share", [0, 5, 1000])
+def test_hot_seeds_lose_no_item(spark, monkeypatch, share):
+    """A phrase that most documents and items have: the same items are found however many seeds are hot."""
+    monkeypatch.setattr(decontaminate, "HOT_SHARE", share)
+    rng = random.Random(3)
+    phrase = "every page of ours says these same eleven words at its end"
+    items = [(i, f"{prose(rng, 4 * i + 6)} {phrase}" if i % 2 else f"{phrase} {prose(rng, 9)}") for i in range(10)] + [(90, phrase), (91, "short one")]
+    docs = []
+    for i in range(80):
+        t = rng.choice(items)[1].split(" ")
+        cut = rng.randrange(len(t) + 1)
+        docs.append((i, " ".join([prose(rng, 12), *t[cut:], prose(rng, 5), *t[:cut], phrase, "short one" if i % 9 == 0 else ""])))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for d, text in docs:
+        w = brute.words(text)
+        for k, item in items:
+            v = brute.words(item)
+            if sum(x[2] for x in longest_first(w, v, min(5, len(v)))) / len(v) >= 0.6:
+                want.add((d, k))
+    assert got == want and len(want) > 100
+
+
 # 6 and 7.
 def labelled(spark, n=400):
     rng = random.Random(8)
