@@ -830,7 +830,23 @@ def _(t):
     return component_widths(P.components(t))
 
 
-@query("streak_profiles", ("v_gt_px", "v_prob_px"))
+PROFILES = f"""{components_sql("v_gt_px", "cc")}{shapes_sql("cc", "sh")}, mid AS (SELECT image_id, component, avg(y) AS cy, avg(x) AS cx FROM cc GROUP BY ALL),
+    ax AS (SELECT sh.image_id, sh.component, angle, cy, cx FROM sh JOIN mid ON sh.image_id = mid.image_id AND sh.component = mid.component),
+    sp AS (SELECT ax.image_id, ax.component, any_value(angle) AS angle, any_value(cy) AS cy, any_value(cx) AS cx, quantile_cont((cc.x - cx) * cos(angle) + (cc.y - cy) * sin(angle), 5e-2) AS qa, quantile_cont((cc.x - cx) * cos(angle) + (cc.y - cy) * sin(angle), 95e-2) AS qb FROM ax JOIN cc ON cc.image_id = ax.image_id AND cc.component = ax.component GROUP BY ALL),
+    pt AS (SELECT *, unnest(range(-12, 13)) AS offs FROM (SELECT *, unnest(range(CAST(ceil(qa) AS BIGINT), CAST(floor(qb) AS BIGINT) + 1)) AS t FROM sp WHERE floor(qb) >= ceil(qa))),
+    po AS (SELECT image_id, component, t, offs, greatest(0, least({FRAME - 1}, cy + t * sin(angle) + offs * cos(angle))) AS py, greatest(0, least({FRAME - 1}, cx + t * cos(angle) - offs * sin(angle))) AS px FROM pt),
+    co AS (SELECT image_id, component, t, offs, least({FRAME - 1}, floor(py) + i) AS y, least({FRAME - 1}, floor(px) + j) AS x, (CASE WHEN i = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN j = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM po, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS j) b),
+    rd AS (SELECT co.image_id, component, t, offs, sum(coalesce(prob * 200 + 20, 20) * w) AS v FROM co LEFT JOIN v_prob_px p ON p.image_id = co.image_id AND p.y = co.y AND p.x = co.x GROUP BY ALL),
+    pr AS (SELECT image_id, component, offs, quantile_cont(v, 5e-1) AS v FROM rd GROUP BY ALL),
+    bg AS (SELECT image_id, component, quantile_cont(v, 5e-1) FILTER (abs(offs) >= 8) AS background FROM pr GROUP BY ALL),
+    pe AS (SELECT pr.*, background, v - background AS e, greatest(v - background, 0) AS plus FROM pr JOIN bg ON pr.image_id = bg.image_id AND pr.component = bg.component),
+    ar AS (SELECT *, (plus + lag(plus) OVER w) / 2 * (offs - lag(offs) OVER w) AS area FROM pe WINDOW w AS (PARTITION BY image_id, component ORDER BY offs)),
+    pk AS (SELECT image_id, component, any_value(background) AS background, 1.4826 * quantile_cont(abs(v - background), 5e-1) FILTER (abs(offs) >= 8) AS scatter, greatest(max(e), 0) AS peak, coalesce(sum(area), 0) AS excess, max(v) >= 250 AS saturated FROM ar GROUP BY ALL),
+    wd AS (SELECT ar.image_id, ar.component, CAST(max(offs) - min(offs) AS DOUBLE) AS fwhm FROM ar JOIN pk ON ar.image_id = pk.image_id AND ar.component = pk.component WHERE peak > 0 AND e >= peak / 2 GROUP BY ALL)
+    SELECT pk.image_id, pk.component, round(background, 6) AS background, round(scatter, 6) AS scatter, round(peak, 6) AS peak, round(CASE WHEN scatter > 1e-6 THEN peak / scatter END, 6) AS contrast, fwhm, round(excess, 6) AS excess, saturated FROM pk LEFT JOIN wd ON pk.image_id = wd.image_id AND pk.component = wd.component"""
+
+
+@query("streak_profiles", ("v_gt_px", "v_prob_px"), PROFILES)
 def _(t, p):
     frame = p.select("image_id", "y", "x", (F.col("prob") * 200 + 20).alias("v"))
     return T.profile_metrics(T.profile(P.components(t), frame, 12, size=(FRAME, FRAME), missing=20.0), 8)
@@ -890,7 +906,13 @@ def _(p, t):
     return T.recovered_crop(P.recovered(p.where("prob >= 0.1 AND image_id % 3 = 0"), p.where("prob >= 0.5"), t), t, IMAGES(p), FRAME, FRAME, 8)
 
 
-@query("component_ends", ("v_gt_px",))
+ENDS = """, al AS (SELECT cc.*, round(cc.x * cos(angle) + cc.y * sin(angle), 9) AS t FROM cc JOIN sh ON cc.image_id = sh.image_id AND cc.component = sh.component),
+    en AS (SELECT image_id, component, min(struct_pack(t := t, y := y, x := x)) AS a, min(struct_pack(t := -t, y := y, x := x)) AS b FROM al GROUP BY ALL),
+    mi AS (SELECT al.image_id, al.component, min(struct_pack(d := round(abs(al.t - (a.t + (-b.t - a.t) * 5e-1)), 9), y := al.y, x := al.x)) AS m FROM al JOIN en ON al.image_id = en.image_id AND al.component = en.component GROUP BY ALL)
+    SELECT en.image_id, en.component, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1, m.y AS y, m.x AS x FROM en JOIN mi ON en.image_id = mi.image_id AND en.component = mi.component"""
+
+
+@query("component_ends", ("v_gt_px",), components_sql("v_gt_px", "cc") + shapes_sql("cc", "sh") + ENDS)
 def _(t):
     return T.component_ends(P.components(t))
 
