@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import reflected
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by colour type (grey, RGB, grey with alpha, RGB with alpha).
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -179,6 +181,36 @@ def patches_of_strips(strips: DataFrame, patch: int, stride: int) -> DataFrame:
     return whole.unionByName(met.select("path", "y0", "x0", F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("data")))
 
 
+def padded_strip_tiles(strips: DataFrame, size: int) -> DataFrame:
+    """(path, height, width, y0, x0, h, w, data): square tiles of strips padded by reflection to whole tiles, as
+    files.padded_tiles has them, for files.score_tiles and files.scored_pixels.
+
+    A strip gives its rows to the tiles they lie in and, near the lower edge, mirrored ones to the tiles
+    beyond; the parts of a tile meet by (path, y0, x0) unless a strip holds all its rows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                y, h, height, width = r["y0"], r["h"], r["height"], r["width"]
+                g = np.frombuffer(r["data"], np.uint8).reshape(h, width)[:, reflected(width, size)]
+                source = reflected(height, size)
+                own = np.flatnonzero((source >= y) & (source < y + h))  # padded rows that this strip has
+                for rows in np.split(own, np.flatnonzero((np.diff(own) > 1) | (np.diff(own // size) > 0)) + 1):
+                    top = int(rows[0]) // size * size
+                    xs = range(0, g.shape[1], size)
+                    data = [np.ascontiguousarray(g[source[rows] - y, x : x + size]).tobytes() for x in xs]
+                    n = len(xs)
+                    numbers = [pa.array([v] * n, pa.int32()) for v in (height, width, top)] + [pa.array(list(xs), pa.int32())] + [pa.array([v] * n, pa.int32()) for v in (int(rows[0]) - top, len(rows))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), *numbers, pa.array(data, pa.binary())], names=["path", "height", "width", "y0", "x0", "from", "rows", "data"])
+
+    parts = strips.select("path", "height", "width", "y0", "h", "data").mapInArrow(cut, "path string, height int, width int, y0 int, x0 int, from int, rows int, data binary")
+    keys = ["path", "height", "width", "y0", "x0"]
+    whole = parts.where(F.col("rows") == size).select(*keys, "data")
+    met = parts.where(F.col("rows") < size).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("from", "data"))).alias("p"))  # a tile's own bytes
+    met = met.select(*keys, F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("data"))
+    return whole.unionByName(met).select(*keys, F.lit(size).alias("h"), F.lit(size).alias("w"), "data")
+
+
 def training_patches(frames: DataFrame, masks: DataFrame, pairs: DataFrame, patch: int, stride: int) -> DataFrame:
     """(image_id, y0, x0, pixels, mask, positive_pixels): patches of frames with those of their masks (255 where
     above 0), from strips of both and pairs (image_id, image_path, mask_path)."""

@@ -228,6 +228,16 @@ def test_patches_from_strips(spark, folder, rows, patch, stride):
         assert bytes(r.pixels) == frames[n][y : y + patch, x : x + patch].tobytes() and bytes(r["mask"]) == ((m > 0) * np.uint8(255)).tobytes() and r.positive_pixels == (m > 0).sum()
 
 
+@pytest.mark.parametrize("rows, size", [(8, 8), (5, 16), (64, 48), (3, 7)])
+def test_padded_tiles_of_strips(spark, folder, rows, size):
+    key = lambda r: (r.path.rsplit("/", 1)[1], r.height, r.width, r.y0, r.x0, r.h, r.w, bytes(r.data))
+    want = sorted(key(r) for r in S_.padded_tiles(S_.images(spark, str(folder[0]), "*full.png"), size).collect())
+    tiles = png.padded_strip_tiles(png.png_strips(spark, str(folder[0]), "*full.png", rows), size)
+    assert sorted(key(r) for r in tiles.collect()) == want
+    back = S_.scored_pixels(S_.score_tiles(tiles, lambda: lambda v: v)).where("path LIKE '%b_red%'").collect()
+    assert len(back) == folder[1]["b"].size and all(abs(r.prob - 1 / (1 + np.exp(-float(folder[1]["b"][r.y, r.x]) / 255))) < 1e-6 for r in back)
+
+
 def test_tiles_and_runs_of_strips(spark, folder):
     path, frames, masks_ = folder
     back = {(r.path.rsplit('/', 1)[1], r.ty, r.tx): np.frombuffer(bytes(r.data), np.uint8).reshape(r.h, r.w) for r in png.strip_tiles(png.png_strips(spark, str(path), "*full.png", 16), 16).collect()}
