@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 FRAME = 192  # side of the frames that hold streaks
+#: Rows that one task turns into pixels; a small file is else one task's, however many pixels come of it.
+ROWS = {"supplier": ("s_suppkey", 1_000), "events": ("event_id", 100_000)}
 
 
 def _div(duck: bool, a: str, b: int) -> str:
@@ -60,10 +62,17 @@ def sql(name: str, duck: bool) -> str:
     }[name]
 
 
+def spread(table: DataFrame, key: str, rows: int) -> DataFrame:
+    """A table in parts of about so many rows."""
+    return table.repartition(max(1, -(-table.count() // rows)), key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table over the tables in sf_dir."""
+    """A domain table over the tables in sf_dir.  Tables that pixels are made of are cut by rows."""
     text = sql(name, duck=False)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text or f"JOIN {t}" in text}
+    if name.endswith("_px"):
+        used = {t: spread(d, *ROWS[t]) if t in ROWS else d for t, d in used.items()}
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
