@@ -42,8 +42,8 @@ def centreline_dice(pred: DataFrame, target: DataFrame, keys: list[str]) -> Data
     """Per patch: the harmonic mean of the share of the prediction's skeleton within the target and the
     other way round; 0 where one side is empty.  Patches with both sides empty are not listed (1)."""
     at = [*keys, "y", "x"]
-    part = lambda a, b, n: skeletons(a, keys).join(b.select(*at).distinct().withColumn("hit", F.lit(1)), at, "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias(n))
-    both = part(pred, target, "p").join(part(target, pred, "r"), keys, "full").na.fill(0.0, ["p", "r"])
+    part = lambda a, b, n: skeletons(a, keys).hint("merge").join(b.select(*at).distinct().withColumn("hit", F.lit(1)), at, "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias(n))
+    both = part(pred, target, "p").hint("merge").join(part(target, pred, "r"), keys, "full").na.fill(0.0, ["p", "r"])
     return both.select(*keys, ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")).alias("centreline_dice"))
 
 
@@ -60,7 +60,7 @@ def component_widths(labelled: DataFrame, tile: int = 256, steps: int = 32) -> D
 
 def mean_centreline_dice(scores: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """The mean over the patches (keys) with targets; one without any score counts as 0."""
-    t = target.select(*keys).distinct().join(scores, keys, "left")
+    t = target.select(*keys).distinct().hint("merge").join(scores, keys, "left")
     return t.agg(F.count("*").alias("patches"), F.avg(F.coalesce("centreline_dice", F.lit(0.0))).alias("centreline_dice"))
 
 

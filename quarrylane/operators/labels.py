@@ -82,10 +82,10 @@ def component_runs(runs: DataFrame, connectivity: int = 8, tile: int = TILE) ->
     local = stored(tile_runs(runs, tile).groupBy("image_id", "ty", "tx").applyInArrow(label, kinds), "tiles")
     edges = stored(_border_edges(local, reach, tile), "borders")
     roots = joined_labels(edges)
-    labels = local.select("image_id", "label").distinct().join(roots, ["image_id", "label"], "left").withColumn("root", F.coalesce("root", "label"))
+    labels = local.select("image_id", "label").distinct().hint("merge").join(roots, ["image_id", "label"], "left").withColumn("root", F.coalesce("root", "label"))
     ids = labels.where("root = label").select("image_id", "root", F.row_number().over(Window.partitionBy("image_id").orderBy("root")).alias("component"))
-    ids = labels.join(ids, ["image_id", "root"]).select("image_id", "label", "component")
-    return local.join(ids, ["image_id", "label"]).select(*R.RUN, "component")
+    ids = labels.hint("merge").join(ids, ["image_id", "root"]).select("image_id", "label", "component")
+    return local.hint("merge").join(ids, ["image_id", "label"]).select(*R.RUN, "component")
 
 
 def _border_edges(local: DataFrame, reach: int, tile: int) -> DataFrame:
@@ -96,9 +96,9 @@ def _border_edges(local: DataFrame, reach: int, tile: int) -> DataFrame:
     a = local.select("image_id", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("label").alias("a"))
     b = local.select("image_id", F.col("y").alias("by"), "x0", "x1", F.col("label").alias("b"))
     down = a.where(row == last).select("image_id", (F.col("y") + 1).alias("by"), "a0", "a1", "a", F.explode(F.sequence(at(F.col("a0") - reach), at(F.col("a1") + reach))).alias("tx"))
-    down = down.join(b.where(F.pmod("by", F.lit(tile)) == first).withColumn("tx", at(F.col("x0"))), ["image_id", "by", "tx"]).where((F.col("x0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("x1") + reach))
+    down = down.hint("merge").join(b.where(F.pmod("by", F.lit(tile)) == first).withColumn("tx", at(F.col("x0"))), ["image_id", "by", "tx"]).where((F.col("x0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("x1") + reach))
     side = a.where(F.pmod("a1", F.lit(tile)) == last).select("image_id", (F.col("a1") + 1).alias("x0"), "a", F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("by"))
-    side = side.join(b.where(F.pmod("x0", F.lit(tile)) == first), ["image_id", "by", "x0"])
+    side = side.hint("merge").join(b.where(F.pmod("x0", F.lit(tile)) == first), ["image_id", "by", "x0"])
     both = down.select("image_id", "a", "b").union(side.select("image_id", "a", "b")).where("a <> b")
     return both.select("image_id", F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
 
@@ -109,9 +109,9 @@ def joined_labels(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("image_id", F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("image_id", "v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, ["image_id", "v"]).where("u > v").select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        large = both.hint("merge").join(least, ["image_id", "v"]).where("u > v").select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
         least = large.groupBy("image_id", "v").agg(F.min("u").alias("m"))
-        small = large.join(least, ["image_id", "v"])
+        small = large.hint("merge").join(least, ["image_id", "v"])
         small = small.select("image_id", F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("image_id", "v", F.col("m").alias("u"))).where("u <> v").distinct()
         edges = stored(small, "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("image_id", "v", "u").cast("decimal(38,0)"))).first())
@@ -161,8 +161,8 @@ def nearest(queries: DataFrame, targets: DataFrame, band: int = BAND) -> DataFra
     between = lambda a, b: F.floor((a + b) / 2)
     t = t.select("image_id", "x", "y0", "y1", (between(F.lag("y1").over(nth), F.col("y0")) + 1).alias("from"), between(F.col("y1"), F.lead("y0").over(nth)).alias("to"))
     rows = q.groupBy("image_id").agg(F.min("band").alias("low"), F.max("band").alias("high"))
-    t = t.join(rows, "image_id").withColumns({"from": F.greatest(F.coalesce("from", F.col("low") * band), F.col("low") * band), "to": F.least(F.coalesce("to", (F.col("high") + 1) * band - 1), (F.col("high") + 1) * band - 1)}).where("from <= to")
-    t = t.withColumn("band", F.explode(F.sequence(F.floor(F.col("from") / band), F.floor(F.col("to") / band)))).join(q.select("image_id", "band").distinct(), ["image_id", "band"], "left_semi")
+    t = t.hint("merge").join(rows, "image_id").withColumns({"from": F.greatest(F.coalesce("from", F.col("low") * band), F.col("low") * band), "to": F.least(F.coalesce("to", (F.col("high") + 1) * band - 1), (F.col("high") + 1) * band - 1)}).where("from <= to")
+    t = t.withColumn("band", F.explode(F.sequence(F.floor(F.col("from") / band), F.floor(F.col("to") / band)))).hint("merge").join(q.select("image_id", "band").distinct(), ["image_id", "band"], "left_semi")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         b = (left if left.num_rows else right).column("band")[0].as_py() if left.num_rows or right.num_rows else 0

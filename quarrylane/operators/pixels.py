@@ -121,7 +121,7 @@ def surface_summary(counts: DataFrame, pred: DataFrame, target: DataFrame, image
     kind = images.select("image_id").distinct().join(has(pred, "p"), "image_id", "left").join(has(target, "t"), "image_id", "left").na.fill(False, ["p", "t"])
     p, t = F.col("p"), F.col("t")
     totals = kind.agg(F.count_if(p & t).alias("scored"), F.count_if(~p & ~t).alias("empty_both"), F.count_if(p & ~t).alias("empty_target"), F.count_if(~p & t).alias("empty_prediction"))
-    over = counts.join(kind, "image_id").groupBy("tau").agg((F.sum("near") / F.nullif(F.sum("n"), F.lit(0))).alias("nsd_all"), (F.sum(F.when(t, F.col("near"))) / F.nullif(F.sum(F.when(t, F.col("n"))), F.lit(0))).alias("nsd_positive"))
+    over = counts.hint("merge").join(kind, "image_id").groupBy("tau").agg((F.sum("near") / F.nullif(F.sum("n"), F.lit(0))).alias("nsd_all"), (F.sum(F.when(t, F.col("near"))) / F.nullif(F.sum(F.when(t, F.col("n"))), F.lit(0))).alias("nsd_positive"))
     return over.join(F.broadcast(totals))
 
 
@@ -138,7 +138,7 @@ def fp_distances(pred: DataFrame, target: DataFrame) -> DataFrame:
     """(image_id, y, x, d2, has_target): the squared distance of each false positive to the nearest
     target pixel of its image, at any distance; null in images without targets."""
     fp = R.pixels_of(R.difference(R.runs_of(pred), R.runs_of(target)))
-    return fp.join(L.nearest(fp, target.select(*PX).distinct()), PX, "left").withColumn("has_target", F.col("d2").isNotNull())
+    return fp.hint("merge").join(L.nearest(fp, target.select(*PX).distinct()), PX, "left").withColumn("has_target", F.col("d2").isNotNull())
 
 
 def fp_distance_summary(distances: DataFrame, last: int = 50) -> DataFrame:
@@ -172,7 +172,7 @@ def patch_statistics(images: DataFrame, px: DataFrame, patch: int, stride: int)
     cover = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - patch) / stride) + 1), F.floor(F.col(c) / stride))
     hits = px.select("image_id", F.explode(cover("y")).alias("grid_y"), cover("x").alias("xs")).select("image_id", "grid_y", F.explode("xs").alias("grid_x"))
     n = hits.groupBy("image_id", "grid_y", "grid_x").agg(F.count("*").alias("positive_pixels"))
-    g = patch_grid(images, patch, stride).join(n, ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
+    g = patch_grid(images, patch, stride).hint("merge").join(n, ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
     return g.withColumn("positive_pixel_fraction", F.col("positive_pixels") / (patch * patch)).withColumn("is_empty", F.col("positive_pixels") == 0)
 
 
@@ -198,7 +198,7 @@ def within_support(px: DataFrame, patches: DataFrame, patch: int) -> DataFrame:
     c = cells.alias("c")
     y, x, y0, x0 = F.col("p.y"), F.col("p.x"), F.col("c.y0"), F.col("c.x0")
     covers = (F.col("p.image_id") == F.col("c.image_id")) & (F.col("p.cy") == F.col("c.cy")) & (F.col("p.cx") == F.col("c.cx")) & (y >= y0) & (y < y0 + patch) & (x >= x0) & (x < x0 + patch)
-    return p.join(c, covers, "left_semi").select("p.*").drop("cy", "cx")
+    return p.hint("merge").join(c, covers, "left_semi").select("p.*").drop("cy", "cx")
 
 
 def cut_patches(images: DataFrame, frame: DataFrame, mask: DataFrame, patch: int, stride: int) -> DataFrame:
@@ -225,7 +225,7 @@ def cut_patches(images: DataFrame, frame: DataFrame, mask: DataFrame, patch: int
         return one.append_column("pixels", pa.array([pixels.tobytes()])).append_column("mask", pa.array([shown.tobytes()])).append_column("positive_pixels", pa.array([np.count_nonzero(shown)]))
 
     schema = px.select("image_id", "grid_y", "grid_x", F.lit(b"").alias("pixels"), F.lit(b"").alias("mask"), F.lit(0).cast("long").alias("positive_pixels")).schema
-    out = grid.join(px.groupBy("image_id", "grid_y", "grid_x").applyInArrow(put, schema), ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
+    out = grid.hint("merge").join(px.groupBy("image_id", "grid_y", "grid_x").applyInArrow(put, schema), ["image_id", "grid_y", "grid_x"], "left").na.fill(0, ["positive_pixels"])
     empty = F.unhex(F.repeat(F.lit("00"), patch * patch))
     return out.select("image_id", "y0", "x0", F.coalesce("pixels", empty).alias("pixels"), F.coalesce("mask", empty).alias("mask"), "positive_pixels")
 
@@ -242,7 +242,7 @@ def in_windows(px: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     Each window goes to the cells of `size` that it touches (4 at most); the rest is an equi-join."""
     at = lambda c, d: F.floor((F.col(c) + d) / size)
     w = windows.select("name", "image_id", "y0", "x0", F.explode(F.sequence(at("y0", 0), at("y0", size - 1))).alias("cy"), F.sequence(at("x0", 0), at("x0", size - 1)).alias("cxs")).select("*", F.explode("cxs").alias("cx")).drop("cxs")
-    p = px.select(*PX, at("y", 0).alias("cy"), at("x", 0).alias("cx")).join(w, ["image_id", "cy", "cx"])
+    p = px.select(*PX, at("y", 0).alias("cy"), at("x", 0).alias("cx")).hint("merge").join(w, ["image_id", "cy", "cx"])
     dy, dx = F.col("y") - F.col("y0"), F.col("x") - F.col("x0")
     return p.where((dy >= 0) & (dy < size) & (dx >= 0) & (dx < size)).select("name", "image_id", dy.alias("y"), dx.alias("x"))
 
@@ -262,7 +262,7 @@ def soft_target(px: DataFrame, radius: int, band: float, height: int, width: int
     grown = dilate(wide, radius, height, width)
     if train is not None:
         grown = union(grown, px)
-    grown = grown.join(px.select(*PX).distinct().withColumn("_core", F.lit(1.0)), PX, "left")
+    grown = grown.hint("merge").join(px.select(*PX).distinct().withColumn("_core", F.lit(1.0)), PX, "left")
     return grown.select(*PX, F.coalesce("_core", F.lit(band)).alias("value"))
 
 
@@ -303,15 +303,15 @@ def component_shapes(labelled: DataFrame, least_area: int = 1) -> DataFrame:
     half, root = (F.col("vy") + F.col("vx")) / 2, F.sqrt(((F.col("vy") - F.col("vx")) / 2) ** 2 + F.col("c") ** 2)
     g = g.select("*", (4 * F.sqrt(half + root)).alias("major"), (4 * F.sqrt(F.greatest(F.lit(0.0), half - root))).alias("minor"), (F.atan2(2 * F.col("c"), F.col("vx") - F.col("vy")) / 2).alias("angle"))
     along = F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")
-    spans = labelled.join(g.select("image_id", "component", "angle"), ["image_id", "component"]).groupBy("image_id", "component").agg((F.max(along) - F.min(along)).alias("length"))
-    return g.join(spans, ["image_id", "component"]).select("image_id", "component", "area", "y0", "x0", "y1", "x1", "major", "minor", "angle", "length")
+    spans = labelled.hint("merge").join(g.select("image_id", "component", "angle"), ["image_id", "component"]).groupBy("image_id", "component").agg((F.max(along) - F.min(along)).alias("length"))
+    return g.hint("merge").join(spans, ["image_id", "component"]).select("image_id", "component", "area", "y0", "x0", "y1", "x1", "major", "minor", "angle", "length")
 
 
 def cleaned_components(px: DataFrame, radius: int, height: int, width: int, least_area: int, least_length: float) -> DataFrame:
     """Components of the closed mask, with their original pixels, of at least the area and length."""
-    named = components(close(px, radius, height, width)).join(px.select(*PX).distinct(), PX, "left_semi")
+    named = components(close(px, radius, height, width)).hint("merge").join(px.select(*PX).distinct(), PX, "left_semi")
     kept = component_shapes(named, least_area).where(F.col("length") >= least_length).select("image_id", "component")
-    return named.join(kept, ["image_id", "component"], "left_semi").select("image_id", "y", "x", "component")
+    return named.hint("merge").join(kept, ["image_id", "component"], "left_semi").select("image_id", "y", "x", "component")
 
 
 #: Lines of one angle, over the images of a batch, up to which each has a counter of its own.
@@ -382,7 +382,7 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
         lines = line_votes(px, least_votes, thetas)
     lines = stored(lines)
     angles = lines.groupBy("image_id").agg(F.collect_set("theta").alias("thetas"))  # at most `thetas` each
-    on = px.join(angles, "image_id").select(*PX, *extra, F.explode("thetas").alias("theta")).select("*", rho).join(lines, ["image_id", "theta", "rho"])
+    on = px.join(angles, "image_id").select(*PX, *extra, F.explode("thetas").alias("theta")).select("*", rho).hint("merge").join(lines, ["image_id", "theta", "rho"])
     return on.select("image_id", "theta", "rho", F.rint(-F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)).cast("int").alias("t"), *extra, "votes")
 
 

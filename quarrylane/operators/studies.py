@@ -231,12 +231,17 @@ def tier_summary(rows: DataFrame, key: str, contrast: str, values: list[str], re
     return out.join(F.broadcast(enough.where("_ok")).select("_ok")).drop("_ok")
 
 
+#: Parts of the (group and) resample rows before draws are made of them: rows so few would be one task's.
+DRAW_PARTS = 48
+
+
 def draws(units: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(resample, unit_no): n draws with replacement of units numbered 0 to n-1, for each resample.
 
-    Units are few (images, trials); resamples times units rows are made where they are used."""
+    Resamples times units rows are made where they are used.  Spark takes them for one row, so what joins
+    them has to ask for a merge, or it would send all of them to every task."""
     n = units.agg(F.count("*").alias("n"))
-    d = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).repartition("resample")
+    d = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).repartition(DRAW_PARTS)
     d = d.where("n > 0").select("n", "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     return d.select("resample", (number(seed, F.col("resample"), F.col("i")) % F.col("n")).alias("unit_no"))
 
@@ -255,7 +260,7 @@ def cluster_bootstrap(counts: DataFrame, key: str, resamples: int, seed: int, le
     """Percentile intervals of precision, recall, Dice and IoU when images are drawn with replacement;
     the counts of drawn images are summed.  Does not depend on the order of rows."""
     units = numbered(counts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), key)
-    s = draws(units, resamples, seed).join(units, "unit_no").groupBy("resample").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    s = draws(units, resamples, seed).hint("merge").join(units, "unit_no").groupBy("resample").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     s = s.select(ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("dice"), ratio(tp, tp + fp + fn).alias("iou"))
     return _interval(s, s.columns, level)
@@ -267,9 +272,9 @@ def bootstrap_mean(values: DataFrame, group: str, key: str, value: str, resample
     w = Window.partitionBy(group).orderBy(key)
     v = v.select(group, F.col(value).alias("_v"), (F.row_number().over(w) - 1).cast("long").alias("unit_no"))
     n = v.groupBy(group).agg(F.count("*").alias("_n"), F.avg("_v").alias("mean"))
-    d = n.select(group, "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("i"))
+    d = n.select(group, "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).repartition(DRAW_PARTS).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("i"))
     d = d.select(group, "resample", (number(seed, F.col(group), F.col("resample"), F.col("i")) % F.col("_n")).alias("unit_no"))
-    m = d.join(v, [group, "unit_no"]).groupBy(group, "resample").agg(F.avg("_v").alias("m"))
+    m = d.hint("merge").join(v, [group, "unit_no"]).groupBy(group, "resample").agg(F.avg("_v").alias("m"))
     a = (1 - level) / 2
     return m.groupBy(group).agg(F.percentile("m", a).alias("lo"), F.percentile("m", 1 - a).alias("hi")).join(n.select(group, "mean"), group)
 
@@ -277,7 +282,7 @@ def bootstrap_mean(values: DataFrame, group: str, key: str, value: str, resample
 def cluster_mean(rows: DataFrame, key: str, value: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
     """Interval of the mean over the pooled rows of images drawn with replacement; null under two images."""
     units = numbered(rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.sum(value).alias("s"), F.count("*").alias("k")), key)
-    m = draws(units, resamples, seed).join(units, "unit_no").groupBy("resample").agg((F.sum("s") / F.sum("k")).alias("mean"))
+    m = draws(units, resamples, seed).hint("merge").join(units, "unit_no").groupBy("resample").agg((F.sum("s") / F.sum("k")).alias("mean"))
     enough = units.agg((F.count("*") >= 2).alias("_ok"))
     i = _interval(m, ["mean"], level).join(F.broadcast(enough))
     return i.select(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in ("mean_lo", "mean_hi")])
@@ -286,7 +291,7 @@ def cluster_mean(rows: DataFrame, key: str, value: str, resamples: int, seed: in
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, resamples: int, seed: int, level: float = 0.95) -> DataFrame:
     """Interval of the mean difference of two values of the same units, drawn together; spans_zero."""
     units = numbered(rows.select(key, (F.col(a) - F.col(b)).alias("d")), key)
-    m = draws(units, resamples, seed).join(units, "unit_no").groupBy("resample").agg(F.avg("d").alias("difference"))
+    m = draws(units, resamples, seed).hint("merge").join(units, "unit_no").groupBy("resample").agg(F.avg("d").alias("difference"))
     return _interval(m, ["difference"], level).withColumn("spans_zero", (F.col("difference_lo") <= 0) & (F.col("difference_hi") >= 0))
 
 

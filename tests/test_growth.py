@@ -26,3 +26,16 @@ def test_a_small_file_of_streaks_is_cut_before_it_becomes_pixels(spark, tmp_path
     assert "RoundRobin" in plan(px) or "REPARTITION_BY_NUM" in plan(px)
     assert V.spread(spark.read.parquet(f"{tmp_path}/supplier.parquet"), "s_suppkey", 1_000).rdd.getNumPartitions() == 3
     assert px.where("image_id = 249").select("image_id").distinct().count() == 1
+
+
+def test_pixels_are_not_broadcast(spark):
+    px = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 2, 3)], PX)
+    score = px.select("image_id", F.col("x").alias("component"), "y", "x")
+    for df in (P.soft_target(px, 1, 0.5, 8, 8), P.cleaned_components(px, 1, 8, 8, 1, 0.0), K.centreline_dice(px, px, ["image_id"]), P.patch_statistics(px.select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width")).distinct(), px, 4, 4), K.component_widths(score), T.component_recall(score, px, px)):
+        assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_draws_are_merged(spark):
+    c = spark.createDataFrame([(i, 1, 1, 1, i / 7, i / 9) for i in range(5)], "image_id long, tp long, fp long, fn long, a double, b double")
+    for df in (S.cluster_bootstrap(c, "image_id", 3, 1), S.cluster_mean(c, "image_id", "a", 3, 1), S.paired_bootstrap(c, "image_id", "a", "b", 3, 1), S.bootstrap_mean(c.withColumn("g", F.lit(1)), "g", "image_id", "a", 3, 1)):
+        assert "SortMergeJoin" in plan(df)
