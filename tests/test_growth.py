@@ -39,3 +39,10 @@ def test_draws_are_merged(spark):
     c = spark.createDataFrame([(i, 1, 1, 1, i / 7, i / 9) for i in range(5)], "image_id long, tp long, fp long, fn long, a double, b double")
     for df in (S.cluster_bootstrap(c, "image_id", 3, 1), S.cluster_mean(c, "image_id", "a", 3, 1), S.paired_bootstrap(c, "image_id", "a", "b", 3, 1), S.bootstrap_mean(c.withColumn("g", F.lit(1)), "g", "image_id", "a", 3, 1)):
         assert "SortMergeJoin" in plan(df)
+
+
+def test_ratios_of_splits_are_exact(spark):
+    # 0.7 of 90 is 63; in doubles it is less.
+    images = spark.range(90).select(F.col("id").cast("string").alias("image"), F.lit(5).cast("long").alias("positives"))
+    n = Counter(r.split for r in D.image_splits(images, 0.7, 0.15, 1).collect())
+    assert n == {"train": 63, "val": 13, "test": 14}
