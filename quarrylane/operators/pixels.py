@@ -314,8 +314,9 @@ def cleaned_components(px: DataFrame, radius: int, height: int, width: int, leas
     return named.hint("merge").join(kept, ["image_id", "component"], "left_semi").select("image_id", "y", "x", "component")
 
 
-#: Lines of one angle, over the images of a batch, up to which each has a counter of its own.
-MOST_LINES = 1 << 20
+#: Side of the tiles in which pixels vote for lines and are put on them.
+LINE_TILE = 512
+TILE = ["image_id", "ty", "tx"]
 
 
 def _angles(px: DataFrame, thetas: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,46 +326,97 @@ def _angles(px: DataFrame, thetas: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.c for r in rows]), np.array([r.s for r in rows])
 
 
-def _counted_lines(px: DataFrame, thetas: int, levels: list[float] | None = None) -> DataFrame:
-    """(image_id, theta, rho, v0, v1, ...): votes for each line, per level of the column prob where levels are
-    given.  A batch of pixels is counted in arrays, so what is shuffled are lines of a batch: a pixel never
-    becomes a row for each angle."""
-    cos, sin = _angles(px, thetas)
+def _tiled(px: DataFrame, extra: list[str]) -> DataFrame:
+    """Pixels with their tile (ty, tx) and whether their image has no other (whole)."""
+    at = lambda c: F.floor(F.col(c) / LINE_TILE).alias(f"t{c}")
+    t = px.where("y IS NOT NULL AND x IS NOT NULL").select("image_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), *extra, at("y"), at("x"))
+    one = t.groupBy("image_id").agg(((F.min("ty") == F.max("ty")) & (F.min("tx") == F.max("tx"))).alias("whole"))
+    return t.hint("merge").join(one, "image_id")
+
+
+def _counted_lines(tiled: DataFrame, least_votes: int, thetas: int, levels: list[float] | None = None) -> DataFrame:
+    """(image_id, theta, rho, v0, v1, ...): lines that have least_votes, at any level of the column prob where
+    levels are given, with their votes at each.
+
+    A tile's pixels vote in arrays, so a pixel never becomes a row for each angle.  An image of one tile
+    gives away only the lines with enough votes; the tiles of larger ones add up theirs first."""
+    cos, sin = _angles(tiled, thetas)
     names = [f"v{i}" for i in range(len(levels or [0]))]
-    cols = ["image_id", F.col("y").cast("double"), F.col("x").cast("double"), *(["prob"] if levels else [])]
-    image = px.schema["image_id"].dataType
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            y, x = b.column(1).to_numpy(), b.column(2).to_numpy()
-            own, first, code = np.unique(R.codes(b.column(0)), return_index=True, return_inverse=True)
-            reach = int(np.hypot(np.abs(y).max(), np.abs(x).max())) + 2
-            span = 2 * reach + 1
-            on = [b.column(3).to_numpy() >= s for s in levels] if levels else [slice(None)]
-            out = []
-            for theta in range(thetas):
-                key = code * span + np.rint(x * cos[theta] + y * sin[theta]).astype(np.int64) + reach
-                # Counts in place where the images of the batch are few, else of the lines that there are.
-                at = np.arange(len(own) * span) if len(own) * span <= MOST_LINES else np.unique(key)
-                place = key if len(own) * span <= MOST_LINES else np.searchsorted(at, key)
-                n = np.stack([np.bincount(place[i], minlength=len(at)) for i in on])
-                hit = n.any(0)
-                at, n = at[hit], n[:, hit]
-                out.append((at // span, np.full(len(at), theta, np.int32), (at % span - reach).astype(np.int32), n))
-            who, theta, rho = (np.concatenate([o[i] for o in out]) for i in range(3))
-            n = np.concatenate([o[3] for o in out], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first[who])), pa.array(theta), pa.array(rho), *map(pa.array, n)], names=["image_id", "theta", "rho", *names])
-
-    schema = T.StructType([T.StructField("image_id", image), T.StructField("theta", T.IntegerType()), T.StructField("rho", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
-    return px.select(*cols).mapInArrow(count, schema).groupBy("image_id", "theta", "rho").agg(*[F.sum(n).alias(n) for n in names])
+
+    def count(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        least = least_votes if table.column("whole")[0].as_py() else 1
+        on = [table.column("prob").to_numpy() >= s for s in levels] if levels else [slice(None)]
+        out = []
+        for theta in range(thetas):
+            rho = np.rint(x * cos[theta] + y * sin[theta]).astype(np.int64)
+            low, span = rho.min(), int(np.ptp(rho)) + 1
+            n = np.stack([np.bincount(rho[i] - low, minlength=span) for i in on])
+            hit = np.flatnonzero(n.max(0) >= least)
+            out.append((np.full(len(hit), theta, np.int32), (hit + low).astype(np.int32), n[:, hit]))
+        theta, rho = (np.concatenate([o[i] for o in out]) for i in range(2))
+        n = np.concatenate([o[2] for o in out], 1)
+        image = table.column("image_id").combine_chunks().take(pa.array(np.zeros(len(theta), np.int64)))
+        return pa.table({"image_id": image, "theta": theta, "rho": rho, **dict(zip(names, n))})
+
+    schema = T.StructType([T.StructField("image_id", tiled.schema["image_id"].dataType), T.StructField("theta", T.IntegerType()), T.StructField("rho", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+    votes = tiled.groupBy(*TILE).applyInArrow(count, schema).groupBy("image_id", "theta", "rho").agg(*[F.sum(n).alias(n) for n in names])
+    return votes.where(F.array_max(F.array(*names)) >= least_votes)
 
 
 def line_votes(px: DataFrame, least_votes: int, thetas: int = 180) -> DataFrame:
     """Standard Hough votes: (image_id, theta, rho, votes) of at least least_votes, in steps of a degree
     and a pixel."""
-    return _counted_lines(px, thetas).select("image_id", "theta", "rho", F.col("v0").alias("votes")).where(F.col("votes") >= least_votes)
+    return _counted_lines(_tiled(px, []), least_votes, thetas).select("image_id", "theta", "rho", F.col("v0").alias("votes"))
+
+
+def line_runs(px: DataFrame, least_votes: int, max_gap: int, thetas: int = 180, levels: list[float] | None = None) -> DataFrame:
+    """(image_id, theta, rho, votes, a, b[, level]): the stretches a to b, along the lines with least_votes, of
+    pixels with gaps of at most max_gap between them, within a tile; draw_segments joins them.
+
+    Pixels meet the lines of their image tile by tile, so what is shuffled are stretches, not a row for
+    each pixel and line.  With levels (of px's column prob) a stretch belongs to one level: its line has the
+    votes there, and so have its pixels."""
+    cos, sin = _angles(px, thetas)
+    tiled = stored(_tiled(px, ["prob"] if levels else []), "tiled")
+    names = [f"v{i}" for i in range(len(levels or [0]))]
+    lines = stored(_counted_lines(tiled, least_votes, thetas, levels), "lines")
+    own = lines.hint("merge").join(tiled.select("image_id", F.col("ty").alias("ty"), F.col("tx").alias("tx")).distinct(), "image_id")
+    kinds = [("theta", T.IntegerType()), ("rho", T.IntegerType()), ("votes", T.LongType()), ("a", T.LongType()), ("b", T.LongType()), ("level", T.DoubleType())]
+    schema = T.StructType([T.StructField("image_id", px.schema["image_id"].dataType), *[T.StructField(n, t) for n, t in kinds]])
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 4]  # line, level, a, b
+        if left.num_rows and right.num_rows:
+            right = right.sort_by([("theta", "ascending"), ("rho", "ascending")])
+            theta, rho = (right.column(n).to_numpy() for n in ("theta", "rho"))
+            y, x = left.column("y").to_numpy(), left.column("x").to_numpy()
+            first = np.flatnonzero(np.diff(theta, prepend=-1))
+            for i, j in zip(first, [*first[1:], len(theta)]):
+                c, s = cos[theta[i]], sin[theta[i]]
+                r = np.rint(x * c + y * s).astype(np.int64)
+                line = np.minimum(np.searchsorted(rho[i:j], r), j - i - 1) + i
+                on = rho[line] == r
+                t = np.rint(-x * s + y * c).astype(np.int64)
+                for k, name in enumerate(names):
+                    kept = on & (right.column(name).to_numpy()[line] >= least_votes)
+                    if levels:
+                        kept &= left.column("prob").to_numpy() >= levels[k]
+                    if not kept.any():
+                        continue
+                    at, n = t[kept], line[kept]
+                    order = np.lexsort((at, n))
+                    at, n = at[order], n[order]
+                    new = np.flatnonzero((np.diff(n, prepend=-1) > 0) | (np.diff(at, prepend=at[0]) > max_gap + 1))
+                    out.append([n[new], np.full(len(new), k), at[new], at[np.append(new[1:], len(at)) - 1]])
+        n, k, a, b = (np.concatenate([o[i] for o in out]) for i in range(4))
+        level = np.array(levels or [np.nan])[k]
+        where = right.take(pa.array(n))
+        votes = np.stack([right.column(m).to_numpy() for m in names])[k, n]
+        return pa.table({"image_id": where.column("image_id"), "theta": where.column("theta"), "rho": where.column("rho"), "votes": votes, "a": a, "b": b, "level": level})
+
+    runs = tiled.drop("whole").groupBy(*TILE).cogroup(own.groupBy(*TILE)).applyInArrow(place, schema)
+    return runs if levels else runs.drop("level")
 
 
 def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list[float] | None = None) -> DataFrame:
@@ -376,10 +428,8 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
     rad = F.radians(F.col("theta") * (180 / thetas))
     rho = F.rint(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad)).cast("int").alias("rho")
     extra = ["prob"] if levels else []
-    if levels:
-        lines = _counted_lines(px, thetas, levels).select("image_id", "theta", "rho", F.array(*[f"v{i}" for i in range(len(levels))]).alias("votes")).where(F.array_max("votes") >= least_votes)
-    else:
-        lines = line_votes(px, least_votes, thetas)
+    lines = _counted_lines(_tiled(px, extra), least_votes, thetas, levels)
+    lines = lines.select("image_id", "theta", "rho", (F.array(*[f"v{i}" for i in range(len(levels))]) if levels else F.col("v0")).alias("votes"))
     lines = stored(lines)
     angles = lines.groupBy("image_id").agg(F.collect_set("theta").alias("thetas"))  # at most `thetas` each
     on = px.join(angles, "image_id").select(*PX, *extra, F.explode("thetas").alias("theta")).select("*", rho).hint("merge").join(lines, ["image_id", "theta", "rho"])
@@ -387,14 +437,20 @@ def line_points(px: DataFrame, least_votes: int, thetas: int = 180, levels: list
 
 
 def draw_segments(points: DataFrame, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180, by: tuple[str, ...] = ()) -> DataFrame:
-    """The pixels of the segments of line_points, per value of the columns `by`: a gap of more than
-    max_gap splits a line; segments of at least least_length are drawn, `thickness` wide (square)."""
+    """The pixels of the segments of line_runs or line_points, per value of the columns `by`: a gap of more
+    than max_gap (not under that of the runs) splits a line; segments of at least least_length are drawn,
+    `thickness` wide (square)."""
     rad = F.radians(F.col("theta") * (180 / thetas))
     keys = [*by, "image_id", "theta", "rho"]
-    line = Window.partitionBy(*keys).orderBy("t")
-    on = points.select(*keys, "t").distinct().withColumn("new", (F.col("t") - F.lag("t").over(line) > max_gap + 1).cast("int"))
+    ends = ["a", "b"] if "a" in points.columns else ["t", "t"]
+    on = points.select(*keys, *[F.col(c).alias(n) for c, n in zip(ends, "ab")])
+    # Lines beside one another cover the same pixels, so they are drawn in the same task: most repeats end there.
+    near = ["image_id", "_theta", "_rho"]
+    on = on.withColumns({"_theta": F.floor(F.col("theta") * 6 / thetas), "_rho": F.floor(F.col("rho") / 256)}).repartition(*near)
+    line = Window.partitionBy(*near, *[k for k in keys if k not in near]).orderBy("a", "b")
+    on = on.withColumn("new", (F.col("a") - F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)) > max_gap + 1).cast("int"))
     on = on.withColumn("segment", F.sum(F.coalesce("new", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    seg = on.groupBy(*keys, "segment").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("b") - F.col("a") >= least_length)
+    seg = on.groupBy(*near, *[k for k in keys if k not in near], "segment").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("b") - F.col("a") >= least_length)
     drawn = seg.select(*keys, F.explode(F.sequence("a", "b")).alias("t"))
     drawn = drawn.select(*by, "image_id", F.rint(F.col("rho") * F.sin(rad) + F.col("t") * F.cos(rad)).cast("long").alias("y"), F.rint(F.col("rho") * F.cos(rad) - F.col("t") * F.sin(rad)).cast("long").alias("x")).distinct()
     if thickness > 1:
@@ -409,7 +465,7 @@ def complete_lines(px: DataFrame, least_votes: int, max_gap: int, least_length:
 
     The pixels of each line with enough votes are ordered along it; a gap of more than max_gap splits
     it; segments of at least least_length are drawn, `thickness` wide (square)."""
-    return draw_segments(line_points(px, least_votes, thetas), max_gap, least_length, height, width, thickness, thetas)
+    return draw_segments(line_runs(px, least_votes, max_gap, thetas), max_gap, least_length, height, width, thickness, thetas)
 
 
 def image_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch: int) -> DataFrame:

@@ -46,3 +46,23 @@ def test_ratios_of_splits_are_exact(spark):
     images = spark.range(90).select(F.col("id").cast("string").alias("image"), F.lit(5).cast("long").alias("positives"))
     n = Counter(r.split for r in D.image_splits(images, 0.7, 0.15, 1).collect())
     assert n == {"train": 63, "val": 13, "test": 14}
+
+
+@pytest.mark.parametrize("tile", [512, 20])
+def test_lines_do_not_depend_on_tiles(spark, monkeypatch, tile):
+    """Stretches of tiles join into the segments of points, and votes of tiles add up."""
+    monkeypatch.setattr(P, "LINE_TILE", tile)
+    rng = np.random.default_rng(4)
+    rows = sorted({(i, int(10 + x // 2), int(x), 0.9 if x % 3 else 0.3) for i in (0, 1) for x in range(60) if x % 11} | {(0, int(a), int(b), 0.6) for a, b in rng.integers(0, 60, (150, 2)) if b % 2})
+    px = spark.createDataFrame(list({r[:3]: r for r in rows}.values()), PX + ", prob double")
+    votes = Counter()
+    for i, y, x in px.select("image_id", "y", "x").toLocalIterator():
+        for t in range(180):
+            votes[i, t, int(np.rint(x * np.cos(np.radians(t)) + y * np.sin(np.radians(t))))] += 1
+    assert {(r.image_id, r.theta, r.rho): r.votes for r in P.line_votes(px, 12).collect()} == {k: n for k, n in votes.items() if n >= 12}
+    line = {"max_gap": 3, "least_length": 10, "height": 60, "width": 60}
+    got = {tuple(r) for r in P.complete_lines(px, 12, **line).select("image_id", "y", "x").collect()}
+    assert got and got == {tuple(r) for r in P.draw_segments(P.line_points(px, 12), **line).select("image_id", "y", "x").collect()}
+    kept = {tuple(r) for r in T.strata_lines(px, [0.2, 0.5], least_votes=12, **line).collect()}
+    each = {s: {tuple(r) for r in P.complete_lines(px.where(F.col("prob") >= s), 12, **line).select("image_id", "y", "x").collect()} for s in (0.2, 0.5)}
+    assert kept == {(*p, min(s for s in each if p in each[s])) for p in each[0.2] | each[0.5]}
