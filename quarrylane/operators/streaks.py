@@ -61,6 +61,7 @@ def profile_metrics(prof: DataFrame, sideband: int, saturation: float = 250.0) -
     offsets at half the peak or more (null without a peak), excess (trapezoids over the profile's
     positive part) and whether the raw peak is saturated."""
     keys = ["image_id", "component"]
+    prof = P.stored(prof, "profiles")  # read five times
     aside = F.abs("offset") >= sideband
     prof = prof.hint("merge").join(prof.groupBy(*keys).agg((F.count_if(aside) == 0).alias("_none")), keys).withColumn("_side", F.col("_none") | aside)
     side = prof.where("_side").groupBy(*keys).agg(F.percentile("v", 0.5).alias("background"))
