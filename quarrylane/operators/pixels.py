@@ -89,12 +89,44 @@ def tolerant_metrics(counts: DataFrame, *keys: str) -> DataFrame:
     return c.select(*keys, "tolerance", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def disc_distance(px: DataFrame, reach: int) -> DataFrame:
-    """Pixels within the Euclidean distance `reach` of a set pixel, with the square d2 of the distance to
-    the nearest; pixels beyond the frame are listed too."""
-    at = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("d2")) for dy, dx in offsets(reach, "disc")]))
-    near = px.select(*PX, at.alias("s")).select("image_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("s.d2").alias("d2"))
-    return near.groupBy(*PX).agg(F.min("d2").alias("d2"))
+def disc_marks(px: DataFrame, sets: dict[str, tuple[DataFrame, dict[str, int]]], tile: int = L.TILE) -> DataFrame:
+    """Adds to px, which has no column for it yet, whether a pixel of each set lies within the Euclidean radii
+    given by column name (0: at the pixel itself).
+
+    A tile's pixels meet those of the sets that its discs reach in one task, in arrays; nothing is copied for the
+    places of a disc."""
+    at = lambda c, d: F.floor((F.col(c) + d) / tile)
+    near, reach = None, max(r for _, radii in sets.values() for r in radii.values())
+    for i, (one, radii) in enumerate(sets.values()):
+        far = max(radii.values())
+        one = one.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.lit(i).alias("set"), F.explode(F.sequence(at("y", -far), at("y", far))).alias("ty"), F.sequence(at("x", -far), at("x", far)).alias("txs"))
+        one = one.select("image_id", "y", "x", "set", "ty", F.explode("txs").alias("tx"))
+        near = one if near is None else near.unionByName(one)
+    kinds = [list(radii.items()) for _, radii in sets.values()]
+    own = px.withColumns({"y": F.col("y").cast("long"), "x": F.col("x").cast("long"), "ty": at("y", 0), "tx": at("x", 0)})
+
+    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = left.drop_columns(["ty", "tx"])
+        y, x = (out.column(n).to_numpy() for n in ("y", "x"))
+        y0, x0 = (int(v.min(initial=0 if not len(v) else v[0])) - reach for v in (y, x))
+        shape = tuple(int(v.max(initial=0 if not len(v) else v[0])) + reach + 1 - v0 for v, v0 in ((y, y0), (x, x0)))
+        ry, rx, of = (right.column(n).to_numpy() for n in ("y", "x", "set"))
+        ry, rx = ry - y0, rx - x0
+        inside = (ry >= 0) & (ry < shape[0]) & (rx >= 0) & (rx < shape[1])
+        for i, radii in enumerate(kinds):
+            n = np.zeros((shape[0], shape[1] + 1), np.int32)
+            n[ry[inside & (of == i)], rx[inside & (of == i)] + 1] = 1
+            n = np.cumsum(n, 1, dtype=np.int32)
+            for name, r in radii:
+                hit = np.zeros(len(y), bool)
+                for dy, dx in R.kernel(r, "disc").items():
+                    row = y - y0 + dy
+                    hit |= n[row, x - x0 + dx + 1] > n[row, x - x0 - dx]
+                out = out.append_column(name, pa.array(hit))
+        return out
+
+    schema = T.StructType([*own.drop("ty", "tx").schema, *[T.StructField(name, T.BooleanType()) for radii in kinds for name, _ in radii]])
+    return own.groupBy(*TILE).cogroup(near.groupBy(*TILE)).applyInArrow(mark, schema)
 
 
 def surface_counts(pred: DataFrame, target: DataFrame, taus: list[int], height: int, width: int) -> DataFrame:

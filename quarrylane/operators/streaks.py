@@ -121,8 +121,8 @@ def display_excess(frame: DataFrame, pred: DataFrame, target: DataFrame, patches
     are no target, or all, and says so.  quota_sample draws samples from it, a count its sizes."""
     t = P.within_support(target.select(*PX).distinct(), patches, patch)
     px = P.within_support(frame.select(*PX, "v"), patches, patch)
-    px = px.hint("merge").join(t.withColumn("t", F.lit(True)), PX, "left").hint("merge").join(pred.select(*PX).distinct().withColumn("p", F.lit(True)), PX, "left").hint("merge").join(P.disc_distance(t, far), PX, "left")
-    kind = F.when(F.col("t"), "gt_trail").when(F.col("p").isNull(), "background").when(F.col("d2") <= near * near, "near_gt_fp").when(F.col("d2").isNotNull(), "ambiguous_fp").otherwise("far_fp")
+    px = P.disc_marks(px, {"t": (t, {"_t": 0, "_near": min(near, far), "_far": far}), "p": (pred, {"_p": 0})})
+    kind = F.when(F.col("_t"), "gt_trail").when(~F.col("_p"), "background").when(F.col("_near"), "near_gt_fp").when(F.col("_far"), "ambiguous_fp").otherwise("far_fp")
     px = px.select(*PX, "v", kind.alias("category"))
     median = lambda ok: F.percentile(F.when(ok, F.col("v")), 0.5, F.col("k"))
     h = px.groupBy("image_id", "category", "v").agg(F.count("*").alias("k"))  # values, not pixels

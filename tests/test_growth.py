@@ -66,3 +66,13 @@ def test_lines_do_not_depend_on_tiles(spark, monkeypatch, tile):
     kept = {tuple(r) for r in T.strata_lines(px, [0.2, 0.5], least_votes=12, **line).collect()}
     each = {s: {tuple(r) for r in P.complete_lines(px.where(F.col("prob") >= s), 12, **line).select("image_id", "y", "x").collect()} for s in (0.2, 0.5)}
     assert kept == {(*p, min(s for s in each if p in each[s])) for p in each[0.2] | each[0.5]}
+
+
+def test_discs_are_marked_across_tiles(spark):
+    rng = np.random.default_rng(7)
+    own, a, b = ([(int(i), int(y), int(x)) for i, y, x in np.unique(rng.integers((0, -3, -3), (3, 40, 40), (n, 3)), axis=0)] for n in (300, 60, 40))
+    df = [spark.createDataFrame(r, PX) for r in (own, [r for r in a if r[0] != 2], b)]
+    got = P.disc_marks(df[0], {"a": (df[1], {"a0": 0, "a3": 3}), "b": (df[2], {"b2": 2})}, tile=8).collect()
+    near = lambda p, s, r: any(q[0] == p[0] and (q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2 <= r * r for q in s)
+    left = [r for r in a if r[0] != 2]
+    assert sorted(tuple(r) for r in got) == sorted((*p, near(p, left, 0), near(p, left, 3), near(p, b, 2)) for p in own)
