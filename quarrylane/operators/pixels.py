@@ -492,12 +492,94 @@ def draw_segments(points: DataFrame, max_gap: int, least_length: int, height: in
     return inside(drawn, height, width)
 
 
+#: Pixels of whole images that one task draws lines for: their rows are few for the work in them.
+DRAWN_ROWS = 50_000
+
+
+def _image_lines(table: pa.Table, cases: list[dict], cos: np.ndarray, sin: np.ndarray) -> pa.Table:
+    """drawn_runs of one image that has one tile: all arrays are as large as a tile at most."""
+    y, x = (table.column(n).to_numpy() for n in ("y", "x"))
+    edge = max(c.get("thickness", 1) for c in cases) + 2
+    y0, x0 = int(np.floor(y.min())) - edge, int(np.floor(x.min())) - edge
+    seen = np.zeros((len(cases), int(np.ceil(y.max())) + edge + 1 - y0, int(np.ceil(x.max())) + edge + 1 - x0), bool)
+    by_level: dict = {}
+    for k, case in enumerate(cases):
+        by_level.setdefault(case.get("level"), []).append(k)
+    on = {s: slice(None) if s is None else np.flatnonzero(table.column("prob").to_numpy() >= s) for s in by_level}
+    for c, s in zip(cos, sin):
+        rho, t = np.rint(x * c + y * s).astype(np.int64), np.rint(-x * s + y * c).astype(np.int64)
+        r0, t0 = rho.min(), t.min()
+        rho, t = rho - r0, t - t0
+        h, w = int(rho.max()) + 1, int(t.max()) + 1
+        for level, of in by_level.items():
+            r = rho[on[level]]
+            votes = np.bincount(r, minlength=h)
+            line = votes >= min(cases[k]["least_votes"] for k in of)
+            kept = line[r]
+            grid = np.zeros(h * w, bool)
+            grid[r[kept] * w + t[on[level]][kept]] = True
+            all_ = np.flatnonzero(grid)
+            for k in of:
+                p = all_[(votes >= cases[k]["least_votes"])[all_ // w]]
+                if not len(p):
+                    continue
+                n = p // w
+                new = np.flatnonzero((np.diff(n, prepend=-1) > 0) | (np.diff(p, prepend=p[0]) > cases[k]["max_gap"] + 1))
+                a, b = p[new], p[np.append(new[1:], len(p)) - 1]
+                long = b - a >= cases[k]["least_length"]
+                step = np.zeros(h * w + 1, np.int8)
+                step[a[long]] += 1
+                step[b[long] + 1] -= 1
+                at_r, at_t = np.divmod(np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8)), w)
+                at_r, at_t = at_r + r0, at_t + t0
+                seen[k, np.rint(at_r * s + at_t * c).astype(np.int64) - y0, np.rint(at_r * c - at_t * s).astype(np.int64) - x0] = True
+    out = []
+    for k, case in enumerate(cases):
+        mask, thick = seen[k], case.get("thickness", 1)
+        side = range(-((thick - 1) // 2), thick // 2 + 1)
+        for axis in (0, 1):  # nothing set comes round the border of `edge` pixels
+            mask = np.logical_or.reduce([np.roll(mask, d, axis) for d in side])
+        mask = mask[max(0, -y0) : max(0, case["height"] - y0), max(0, -x0) : max(0, case["width"] - x0)]
+        d = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(d == 1)
+        out.append((np.full(len(row), k, np.int32), row + max(0, y0), first + max(0, x0), np.nonzero(d == -1)[1] - 1 + max(0, x0)))
+    k, row, first, last = (np.concatenate([o[i] for o in out]) for i in range(4))
+    image = table.column("image_id").combine_chunks().take(pa.array(np.zeros(len(k), np.int64)))
+    return pa.table({"image_id": image, "y": row, "x0": first, "x1": last, "case": k})
+
+
+def drawn_runs(px: DataFrame, cases: list[dict], thetas: int = 180) -> DataFrame:
+    """(image_id, y, x0, x1, case): runs of the pixels of the segments found in each of some cases (by number),
+    as complete_lines has them.  A case may have a `level` of px's column prob, for all or for none.
+
+    An image of one tile votes, is cut into segments and is drawn in one task, for all cases, and only what is
+    drawn leaves it.  The stretches of larger images are joined by draw_segments."""
+    levels = sorted({c["level"] for c in cases}) if cases[0].get("level") is not None else None
+    cos, sin = _angles(px, thetas)
+    extra = ["prob"] if levels else []
+    tiled = stored(_tiled(px, extra), "tiled")
+    schema = R.run_schema(px.schema["image_id"].dataType).add("case", T.IntegerType())
+    parts = max(1, -(-tiled.count() // DRAWN_ROWS))
+    out = tiled.where("whole").repartition(parts, *TILE).groupBy(*TILE).applyInArrow(lambda table: _image_lines(table, cases, cos, sin), schema)
+    rest = tiled.where("NOT whole").select(*PX, *extra)
+    if rest.isEmpty():
+        return out
+    points = stored(line_runs(rest, min(c["least_votes"] for c in cases), min(c["max_gap"] for c in cases), thetas, levels))
+    for k, c in enumerate(cases):
+        own = points.where(F.col("votes") >= c["least_votes"])
+        own = own.where(F.col("level") == c["level"]) if levels else own
+        drawn = draw_segments(own, thetas=thetas, **{n: v for n, v in c.items() if n not in ("least_votes", "level")})
+        out = out.unionByName(drawn.select("image_id", "y", F.col("x").alias("x0"), F.col("x").alias("x1"), F.lit(k).alias("case")))
+    return out
+
+
 def complete_lines(px: DataFrame, least_votes: int, max_gap: int, least_length: int, height: int, width: int, thickness: int = 1, thetas: int = 180) -> DataFrame:
     """Pixels of the straight segments found in px: a deterministic standard Hough transform.
 
     The pixels of each line with enough votes are ordered along it; a gap of more than max_gap splits
     it; segments of at least least_length are drawn, `thickness` wide (square)."""
-    return draw_segments(line_runs(px, least_votes, max_gap, thetas), max_gap, least_length, height, width, thickness, thetas)
+    case = {"least_votes": least_votes, "max_gap": max_gap, "least_length": least_length, "height": height, "width": width, "thickness": thickness}
+    return R.pixels_of(drawn_runs(px, [case], thetas))
 
 
 def image_accounting(pred: DataFrame, post: DataFrame, target: DataFrame, patch: int) -> DataFrame:

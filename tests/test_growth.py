@@ -76,3 +76,16 @@ def test_discs_are_marked_across_tiles(spark):
     near = lambda p, s, r: any(q[0] == p[0] and (q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2 <= r * r for q in s)
     left = [r for r in a if r[0] != 2]
     assert sorted(tuple(r) for r in got) == sorted((*p, near(p, left, 0), near(p, left, 3), near(p, b, 2)) for p in own)
+
+
+def test_lines_of_an_image_are_drawn_in_one_task(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted({(0, int(10 + x // 2), int(x)) for x in range(60) if x % 11} | {(1, int(a), int(b)) for a, b in rng.integers(0, 60, (700, 2))})
+    px = spark.createDataFrame(rows, PX)
+    cases = [{"least_votes": v, "max_gap": g, "least_length": 9, "height": 50, "width": 58, "thickness": k} for v, g, k in ((12, 3, 1), (15, 1, 2), (12, 2, 3))]
+    drawn = P.drawn_runs(px, cases)
+    assert "Window" not in plan(drawn) and "MapInArrow" not in plan(drawn)
+    got = [{tuple(r) for r in P.R.pixels_of(drawn.where(F.col("case") == k)).collect()} for k in range(3)]
+    for k, c in enumerate(cases):
+        whole = {n: v for n, v in c.items() if n != "least_votes"}
+        assert got[k] and got[k] == {tuple(r) for r in P.draw_segments(P.line_points(px, c["least_votes"]), **whole).select("image_id", "y", "x").collect()}
