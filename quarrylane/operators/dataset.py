@@ -156,16 +156,27 @@ def augment(px: DataFrame, size: int, seed: int, keys: tuple[str, ...] = ("image
     return px.withColumns({"y": ny, "x": nx})
 
 
-def stretch(px: DataFrame, low: float, high: float, levels: int | None = None) -> DataFrame:
+def stretch(px: DataFrame, low: float, high: float, levels: int | None = None, unlisted: tuple[int, int] | None = None) -> DataFrame:
     """Clips 8-bit values to two percentiles of their image and scales to 0 to 1, or to whole numbers up
     to `levels` (half-even); all 0 if the percentiles are equal.
 
-    The percentiles (linear interpolation) come from a histogram of at most 256 values per image."""
+    The percentiles (linear interpolation) come from a histogram of at most 256 values per image.  A frame
+    may list only some of its pixels: `unlisted` is the value of the others and the pixels of a frame, and the
+    column `rest` is what that value becomes."""
     h = px.groupBy("image_id", "v").agg(F.count("*").alias("k"))
+    if unlisted:
+        value, area = unlisted
+        others = h.groupBy("image_id").agg((F.lit(area) - F.sum("k")).alias("k")).where("k > 0")
+        h = h.unionByName(others.withColumn("v", F.lit(value).cast(px.schema["v"].dataType)))
     q = h.groupBy("image_id").agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100)), F.col("k")).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
-    s = F.when(hi <= lo, F.lit(0.0)).otherwise((F.greatest(lo, F.least(hi, F.col("v").cast("double"))) - lo) / (hi - lo))
-    return px.join(q, "image_id").withColumn("s", F.bround(s * levels).cast("int") if levels else s).drop("q")
+
+    def scaled(v):
+        s = F.when(hi <= lo, F.lit(0.0)).otherwise((F.greatest(lo, F.least(hi, v.cast("double"))) - lo) / (hi - lo))
+        return F.bround(s * levels).cast("int") if levels else s
+
+    out = px.join(q, "image_id").withColumn("s", scaled(F.col("v")))
+    return (out.withColumn("rest", scaled(F.lit(unlisted[0]))) if unlisted else out).drop("q")
 
 
 def fill_nonfinite(px: DataFrame, value: str = "v") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,23 +83,34 @@ def edges(v: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.where(top & (m >= high), 2, np.where(top & (m >= low), 1, 0)).astype(np.int8)
 
 
-def edge_pixels(px: DataFrame, tile: int, low: float, high: float, halo: int = 4) -> DataFrame:
-    """(image_id, y, x, strong) of edge pixels of dense frames (image_id, y, x, v).
+def edge_pixels(px: DataFrame, tile: int, low: float, high: float, halo: int = 4, size: tuple[int, int] | None = None) -> DataFrame:
+    """(image_id, y, x, strong) of edge pixels of frames (image_id, y, x, v).
 
-    Tiles get a halo wider than the filters reach, so a tile's own pixels come out as in the frame."""
+    Tiles get a halo wider than the filters reach, so a tile's own pixels come out as in the frame.  Frames
+    are dense, or of the `size` (height, width) given, with the pixels that aren't listed at the value in the
+    column `rest` (one for an image); there is no edge where none is listed."""
     near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(c) + d) / tile)))
-    t = px.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+    t = px.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"), *(["rest"] if size else []))
     t = t.withColumn("ty", F.explode(near("y"))).withColumn("txs", near("x")).withColumn("tx", F.explode("txs")).drop("txs")
-
-    def find(p: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = p["y"].min(), p["x"].min()
-        g = np.zeros((p["y"].max() - y0 + 1, p["x"].max() - x0 + 1))
-        g[p["y"] - y0, p["x"] - x0] = p["v"]
+    if size:  # beyond the frame there is nothing to find
+        t = t.where((F.col("ty") >= 0) & (F.col("ty") * tile < size[0]) & (F.col("tx") >= 0) & (F.col("tx") * tile < size[1]))
+
+    def find(table: pa.Table) -> pa.Table:
+        y, x = (table.column(n).to_numpy() for n in ("y", "x"))
+        ty, tx = (table.column(n)[0].as_py() for n in ("ty", "tx"))
+        if size:
+            (y0, y1), (x0, x1) = ((max(0, i * tile - halo), min(n, (i + 1) * tile + halo)) for i, n in ((ty, size[0]), (tx, size[1])))
+        else:
+            y0, y1, x0, x1 = y.min(), y.max() + 1, x.min(), x.max() + 1
+        g = np.full((y1 - y0, x1 - x0), float(table.column("rest")[0].as_py()) if size else 0.0)
+        g[y - y0, x - x0] = table.column("v").to_numpy()
         e = edges(g, low, high)
         y, x = np.nonzero(e)
         s = e[y, x] == 2
         y, x = y + y0, x + x0
-        own = (y // tile == p["ty"].iloc[0]) & (x // tile == p["tx"].iloc[0])
-        return pd.DataFrame({"image_id": p["image_id"].iloc[0], "y": y[own], "x": x[own], "strong": s[own]})
+        own = (y // tile == ty) & (x // tile == tx)
+        image = table.column("image_id").combine_chunks().take(pa.array(np.zeros(int(own.sum()), np.int64)))
+        return pa.table({"image_id": image, "y": y[own], "x": x[own], "strong": s[own]})
 
-    return t.groupBy("image_id", "ty", "tx").applyInPandas(find, f"image_id {dict(px.dtypes)['image_id']}, y long, x long, strong boolean")
+    schema = t.select("image_id", "y", "x", F.lit(True).alias("strong")).schema
+    return t.groupBy("image_id", "ty", "tx").applyInArrow(find, schema)

@@ -183,19 +183,22 @@ def detector_grid(px: DataFrame, target: DataFrame, settings: list[dict], area:
     return out.orderBy(F.desc("f1"), "setting").limit(keep)
 
 
-def edge_mask(px: DataFrame, tile: int, low: float, high: float) -> DataFrame:
+def edge_mask(px: DataFrame, tile: int, low: float, high: float, size: tuple[int, int] | None = None) -> DataFrame:
     """Edge pixels with hysteresis: components of edges that hold a strong pixel."""
-    e = edge_pixels(px, tile, low, high)
-    named = P.components(e)
+    e = P.stored(edge_pixels(px, tile, low, high, size=size), "edges")  # read twice
+    named = P.components(e.select(*PX))
     strong = named.hint("merge").join(e.where("strong"), PX, "left_semi").select("image_id", "component").distinct()
     return named.hint("merge").join(strong, ["image_id", "component"], "left_semi").select(*PX)
 
 
-def classical_detector(px: DataFrame, height: int, width: int, edge: tuple[float, float], clip: tuple[float, float] = (1.0, 99.5), tile: int = 256, **line) -> DataFrame:
+def classical_detector(px: DataFrame, height: int, width: int, edge: tuple[float, float], clip: tuple[float, float] = (1.0, 99.5), tile: int = 256, missing: int | None = None, **line) -> DataFrame:
     """The pixels that the classical detector marks in frames (image_id, y, x, v: 0 to 255): percentile
-    stretch, edges with hysteresis, straight segments."""
-    s = stretch(px, *clip, levels=255).select(*PX, F.col("s").cast("double").alias("v"))
-    return P.complete_lines(edge_mask(s, tile, *edge), height=height, width=width, **line)
+    stretch, edges with hysteresis, straight segments.  A frame may list only some of its pixels, inside it:
+    `missing` is the value of the others, which are made in arrays, tile by tile."""
+    sparse = missing is not None
+    s = stretch(px, *clip, levels=255, unlisted=(missing, height * width) if sparse else None)
+    s = s.select(*PX, F.col("s").cast("double").alias("v"), *(["rest"] if sparse else []))
+    return P.complete_lines(edge_mask(s, tile, *edge, size=(height, width) if sparse else None), height=height, width=width, **line)
 
 
 def detector_scores(mask: DataFrame, target: DataFrame, area: int) -> DataFrame:

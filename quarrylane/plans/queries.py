@@ -949,10 +949,9 @@ def _(p, t):
 
 @query("classical_detector", ("v_prob_px", "v_gt_px"))
 def _(p, t):
-    grid = P.patch_grid(t.select("image_id").distinct().withColumns({"height": F.lit(FRAME), "width": F.lit(FRAME)}), 1, 1)
-    lit = p.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.bround(F.col("prob") * 255).cast("int").alias("v"))
-    frame = grid.select("image_id", "y", "x").join(lit, ["image_id", "y", "x"], "left").na.fill(0, ["v"])
-    return T.detector_scores(T.classical_detector(frame, FRAME, FRAME, (100.0, 300.0), least_votes=30, max_gap=5, least_length=20), t, AREA)
+    lit = p.hint("merge").join(t.select("image_id").distinct(), "image_id", "left_semi")
+    frame = lit.select("image_id", "y", "x", F.bround(F.col("prob") * 255).cast("int").alias("v"))
+    return T.detector_scores(T.classical_detector(frame, FRAME, FRAME, (100.0, 300.0), missing=0, least_votes=30, max_gap=5, least_length=20), t, AREA)
 
 
 @query("run_comparison", ("v_scored",), f", a AS (SELECT image_id, {CONFUSION} FROM v_scored GROUP BY image_id), b AS (SELECT image_id, {CONFUSION.replace('prob', 'prob2')} FROM v_scored GROUP BY image_id) SELECT image_id, b.tp - a.tp AS tp_change, b.fp - a.fp AS fp_change, a.tp = b.tp AND a.fp = b.fp AS same FROM a JOIN b USING (image_id)")

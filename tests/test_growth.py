@@ -89,3 +89,14 @@ def test_lines_of_an_image_are_drawn_in_one_task(spark):
     for k, c in enumerate(cases):
         whole = {n: v for n, v in c.items() if n != "least_votes"}
         assert got[k] and got[k] == {tuple(r) for r in P.draw_segments(P.line_points(px, c["least_votes"]), **whole).select("image_id", "y", "x").collect()}
+
+
+@pytest.mark.parametrize("tile", [256, 16])
+def test_classical_detector_takes_sparse_frames(spark, tile):
+    lit = [(i, 10 + x // 3 + i, x, 120 + x % 40) for i in (0, 1) for x in range(2, 60)] + [(0, 3, 50, 255), (1, 39, 0, 90)]
+    sparse = spark.createDataFrame(lit, PX + ", v int")
+    known = {r[:3]: r[3] for r in lit}
+    dense = spark.createDataFrame([(i, y, x, known.get((i, y, x), 0)) for i in (0, 1) for y in range(40) for x in range(64)], PX + ", v int")
+    line = {"tile": tile, "least_votes": 20, "max_gap": 3, "least_length": 15}
+    a, b = ({tuple(r) for r in T.classical_detector(d, 40, 64, (100.0, 300.0), missing=m, **line).collect()} for d, m in ((sparse, 0), (dense, None)))
+    assert a and a == b
