@@ -11,6 +11,7 @@ from quarrylane.operators import kernels as K
 from quarrylane.operators import pixels as P
 from quarrylane.operators import streaks as T
 from quarrylane.operators import studies as S
+from quarrylane.plans import queries as Q
 from quarrylane.plans import views as V
 
 PX = "image_id long, y long, x long"
@@ -100,3 +101,7 @@ def test_classical_detector_takes_sparse_frames(spark, tile):
     line = {"tile": tile, "least_votes": 20, "max_gap": 3, "least_length": 15}
     a, b = ({tuple(r) for r in T.classical_detector(d, 40, 64, (100.0, 300.0), missing=m, **line).collect()} for d, m in ((sparse, 0), (dense, None)))
     assert a and a == b
+
+
+def test_audit_crops_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in plan(Q.QUERIES["audit_crop_list"](spark, "/root/testdata/sf0.001"))
