@@ -108,25 +108,30 @@ def kernel_rows(k: dict[int, int], height: int, outside: bool) -> Column:
 
 def sweep(runs: DataFrame, tags: list[str]) -> DataFrame:
     """(image_id, y, x0, x1, <tag>...): the stretches of each row between places where a run begins or ends,
-    and how many runs of each tag lie over them; stretches under no run are left out."""
-    edge = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e")
-    e = runs.select("image_id", "y", "tag", edge).repartition("image_id", "y")
-    e = e.groupBy("image_id", "y", "e.x").agg(*[F.sum(F.when(F.col("tag") == t, F.col("e.d")).otherwise(0)).alias(t) for t in tags])
-    row = Window.partitionBy("image_id", "y").orderBy("x")
+    and how many runs of each tag lie over them; stretches under no run are left out.
+
+    A task sorts narrow rows once and keeps nothing else: of ends at one place the last has the full sums."""
+    nth = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag")).cast("int")
+    edge = F.explode(F.array(F.struct(F.col("x0").alias("x0"), nth.alias("k")), F.struct((F.col("x1") + 1).alias("x0"), (-nth).alias("k")))).alias("e")
+    e = runs.select("image_id", "y", edge).select("image_id", "y", "e.x0", "e.k").repartition("image_id", "y")
+    row = Window.partitionBy("image_id", "y").orderBy("x0")
     upto = row.rowsBetween(Window.unboundedPreceding, 0)
-    s = e.select("image_id", "y", F.col("x").alias("x0"), (F.lead("x").over(row) - 1).alias("x1"), *[F.sum(t).over(upto).alias(t) for t in tags])
-    over = F.lit(False)
+    over = [F.sum(F.when(F.col("k") == i, 1).when(F.col("k") == -i, -1).otherwise(0)).over(upto).alias(t) for i, t in enumerate(tags, 1)]
+    s = e.select("image_id", "y", "x0", (F.lead("x0").over(row) - 1).alias("x1"), *over).where("x0 <= x1")
+    some = F.lit(False)
     for t in tags:
-        over |= F.col(t) > 0
-    return s.where(over)
+        some |= F.col(t) > 0
+    return s.where(some)
 
 
 def where(stretches: DataFrame, rule: Column) -> DataFrame:
-    """Merged runs of the stretches where a rule holds."""
+    """Merged runs of the stretches where a rule holds: their first and last stretches, in the order of the sweep."""
     row = Window.partitionBy("image_id", "y").orderBy("x0")
-    s = stretches.where(rule).select(*RUN, (F.lag("x1").over(row) == F.col("x0") - 1).alias("on"))
-    s = s.withColumn("n", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("image_id", "y", "n").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).select(*RUN)
+    on = F.coalesce(F.lag("x1").over(row) == F.col("x0") - 1, F.lit(False)).alias("on")
+    goes = F.coalesce(F.lead("x0").over(row) == F.col("x1") + 1, F.lit(False)).alias("goes")
+    ends = stretches.where(rule).select(*RUN, on, goes).where("NOT on OR NOT goes")
+    ends = ends.select(*RUN[:3], F.when(F.col("goes"), F.lead("x1").over(row)).otherwise(F.col("x1")).alias("x1"), "on")
+    return ends.where("NOT on").select(*RUN)
 
 
 def named(sets: dict[str, DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylane.operators import dataset as D
 from quarrylane.operators import kernels as K
 from quarrylane.operators import pixels as P
+from quarrylane.operators import runs as R
 from quarrylane.operators import streaks as T
 from quarrylane.operators import studies as S
 from quarrylane.plans import queries as Q
@@ -105,3 +106,12 @@ def test_classical_detector_takes_sparse_frames(spark, tile):
 
 def test_audit_crops_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(Q.QUERIES["audit_crop_list"](spark, "/root/testdata/sf0.001"))
+
+
+def test_sweeps_keep_no_hash_table(spark):
+    runs = spark.createDataFrame([(0, 1, a, b, t) for a, b, t in ((0, 3, "a"), (2, 5, "a"), (4, 4, "b"), (6, 7, "a"), (9, 9, "b"))], "image_id long, y long, x0 long, x1 long, tag string")
+    s = R.sweep(runs, ["a", "b"])
+    merged = R.where(s, F.col("a") > 0)
+    assert "HashAggregate" not in plan(merged) and plan(merged).count("Sort [") == 1
+    assert {tuple(r) for r in s.collect()} == {(0, 1, 0, 1, 1, 0), (0, 1, 2, 3, 2, 0), (0, 1, 4, 4, 1, 1), (0, 1, 5, 5, 1, 0), (0, 1, 6, 7, 1, 0), (0, 1, 9, 9, 0, 1)}
+    assert [tuple(r) for r in merged.collect()] == [(0, 1, 0, 7)]
