@@ -34,17 +34,17 @@ def parse_patch(path: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(ok.cast("int"), part(i).cast("int")) for i in (1, 2))
 
 
-def seeded_ranks(df: DataFrame, group: str, seed: int, key: str) -> DataFrame:
-    """Adds _r, each row's place from 0 on in its group by seeded order of a key, and _n, the group's rows.
+def seeded_ranks(df: DataFrame, group: str, seed: int, *keys: str) -> DataFrame:
+    """Adds _r, each row's place from 0 on in its group by seeded order of the keys, and _n, the group's rows.
 
     Rows are ordered within the first three hex digits of their digests, and the counts of those give what
     stands before: no task orders more than a few of 4,096 parts of a group."""
-    d = df.withColumn("_d", digest(seed, F.col(key))).withColumn("_b", F.substring("_d", 1, 3))
+    d = df.withColumn("_d", digest(seed, *[F.col(k) for k in keys])).withColumn("_b", F.substring("_d", 1, 3))
     parts = d.groupBy(group, "_b").agg(F.count("*").alias("_k"))  # at most 4,096 rows per group
     before = F.coalesce(F.sum("_k").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(group, "_b", before.alias("_before"), F.sum("_k").over(Window.partitionBy(group)).alias("_n"))
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_d", key)) - 1)
-    return d.join(parts, [group, "_b"]).withColumn("_r", F.col("_before") + F.col("_i")).select(*df.columns, "_r", "_n")
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_d", *keys)) - 1)
+    return d.hint("merge").join(parts, [group, "_b"]).withColumn("_r", F.col("_before") + F.col("_i")).select(*df.columns, "_r", "_n")
 
 
 def image_splits(counts: DataFrame, train: float, val: float, seed: int) -> DataFrame:

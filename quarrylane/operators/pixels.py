@@ -65,6 +65,12 @@ def recovered(lines: DataFrame, pred: DataFrame, target: DataFrame) -> DataFrame
     return R.pixels_of(s.where("lines > 0 AND pred = 0 AND target > 0"))
 
 
+def hits(pred: DataFrame, target: DataFrame) -> DataFrame:
+    """(image_id, y, x, hit): the predicted pixels, and whether they are target pixels, from one sweep."""
+    s = R.sweep(R.named({"p": R.runs_of(pred), "t": R.runs_of(target)}), ["p", "t"]).where("p > 0")
+    return s.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), (F.col("t") > 0).alias("hit"))
+
+
 def tolerant_counts(pred: DataFrame, target: DataFrame, tolerances: list[int], height: int, width: int) -> DataFrame:
     """Per image and tolerance: predicted pixels within the square tolerance of a target (ptp) and not
     (fp), target pixels within it of a prediction (rtp) and not (fn).

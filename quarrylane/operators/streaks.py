@@ -9,7 +9,7 @@ from ..functions.hashing import digest
 from . import labels as L
 from . import pixels as P
 from . import runs as R
-from .dataset import stretch
+from .dataset import seeded_ranks, stretch
 from .kernels import component_widths, edge_pixels
 from .metrics import metrics, ratio, sparse_counts
 
@@ -331,15 +331,15 @@ def component_ends(labelled: DataFrame, position: float = 0.5) -> DataFrame:
 
 
 def audit_crops(strata: list[tuple[str, DataFrame]], size: int, height: int, width: int, seed: int) -> DataFrame:
-    """Crops (stratum, image_id, y, x points) of several strata under neutral names, in blind order.
-    The points are a sample for people to look at, few enough for one order over all."""
+    """Crops (stratum, image_id, y, x points) of several strata under neutral names, in blind order, which
+    takes two levels: no task orders more than a few of 4,096 parts of the points."""
     out = None
     for name, d in strata:
         one = d.select("image_id", "y", "x").withColumn("stratum", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    r = F.row_number().over(Window.orderBy(digest(seed, F.col("stratum"), F.col("image_id"), F.col("y"), F.col("x"))))
+    r = seeded_ranks(out.withColumn("_all", F.lit(0)), "_all", seed, "stratum", "image_id", "y", "x")
     y0, x0 = P.crop_window(F.col("y"), F.col("x"), height, width, size)
-    return out.select(F.concat(F.lit("crop_"), F.lpad(r.cast("string"), 4, "0")).alias("name"), "stratum", "image_id", y0.alias("y0"), x0.alias("x0"))
+    return r.select(F.concat(F.lit("crop_"), F.lpad((F.col("_r") + 1).cast("string"), 4, "0")).alias("name"), "stratum", "image_id", y0.alias("y0"), x0.alias("x0"))
 
 
 def annotation_scores(first: DataFrame, second: DataFrame, third: DataFrame, crops: DataFrame, size: int, tolerances: list[int]) -> DataFrame:

@@ -1101,10 +1101,8 @@ def _(p, t, q):
 
 @query("audit_crop_list", BOTH, f", fp AS (SELECT * FROM v_pred_px p ANTI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), tp AS (SELECT * FROM v_pred_px p SEMI JOIN v_gt_px t ON p.image_id = t.image_id AND p.y = t.y AND p.x = t.x), u AS (SELECT *, 'hit' AS stratum FROM tp UNION ALL SELECT *, 'miss' FROM fp), q AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY stratum, image_id ORDER BY {md5_of(5, 'image_id', 'y', 'x')}, image_id, y, x) <= 3) SELECT 'crop_' || lpad(CAST(row_number() OVER (ORDER BY {md5_of(2, 'stratum', 'image_id', 'y', 'x')}) AS VARCHAR), 4, '0') AS name, stratum, image_id, CAST(greatest(0, least(128, round_even(y - 32.0, 0))) AS INT) AS y0, CAST(greatest(0, least(128, round_even(x - 32.0, 0))) AS INT) AS x0 FROM q")
 def _(p, t):
-    hit = P.recovered(p, p.limit(0), t)
-    miss = p.hint("merge").join(t, ["image_id", "y", "x"], "left_anti")
-    pick = lambda d: D.quota_sample(d, ["image_id"], 3, 5, "image_id", "y", "x")
-    return T.audit_crops([("hit", pick(hit)), ("miss", pick(miss))], 64, FRAME, FRAME, 2)
+    picked = P.stored(D.quota_sample(P.hits(p, t), ["hit", "image_id"], 3, 5, "image_id", "y", "x"))  # read four times
+    return T.audit_crops([("hit", picked.where("hit")), ("miss", picked.where("NOT hit"))], 64, FRAME, FRAME, 2)
 
 
 @query("joined_image_statistics", ("v_manifest", "v_frame_px"), ", s AS (SELECT image_id, avg(v) AS image_mean, stddev_pop(v) AS image_std FROM v_frame_px GROUP BY image_id), i AS (SELECT DISTINCT source_image FROM v_manifest), k AS (SELECT source_image, row_number() OVER (ORDER BY source_image) - 1 AS image_id FROM i) SELECT m.source_image, m.patch, m.split, round(m.fraction, 6) AS fraction, round(image_mean, 6) AS image_mean, round(image_std, 6) AS image_std FROM v_manifest m JOIN k ON m.source_image = k.source_image LEFT JOIN s ON s.image_id = k.image_id")

@@ -1,5 +1,6 @@
 """Work that must grow no faster than the tables: sizes of tasks, joins of frames, lines in tiles."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,14 @@ def test_audit_crops_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(Q.QUERIES["audit_crop_list"](spark, "/root/testdata/sf0.001"))
 
 
+def test_order_of_audit_crops_takes_two_levels(spark):
+    px = spark.range(3_000).select((F.col("id") % 7).alias("image_id"), (F.col("id") % 50).alias("y"), F.col("id").alias("x"))
+    got = T.audit_crops([("a", px.where("x < 900")), ("b", px.where("x >= 900"))], 10, 60, 4_000, 2)
+    assert "row_number() windowspecdefinition(_all" in plan(got) and "SinglePartition" not in plan(got)
+    points = sorted((hashlib.md5(f"2|{'a' if i < 900 else 'b'}|{i % 7}|{i % 50}|{i}".encode()).hexdigest(), i) for i in range(3_000))
+    assert {(r.name, r.image_id, r.stratum) for r in got.collect()} == {(f"crop_{n:04}", i % 7, "a" if i < 900 else "b") for n, (_, i) in enumerate(points, 1)}
+
+
 def test_sweeps_keep_no_hash_table(spark):
     runs = spark.createDataFrame([(0, 1, a, b, t) for a, b, t in ((0, 3, "a"), (2, 5, "a"), (4, 4, "b"), (6, 7, "a"), (9, 9, "b"))], "image_id long, y long, x0 long, x1 long, tag string")
     s = R.sweep(runs, ["a", "b"])
