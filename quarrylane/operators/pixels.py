@@ -308,13 +308,12 @@ def label_sweep(pred: DataFrame, target: DataFrame, radii: list[int], height: in
     """Precision, recall and Dice with the target grown (radius > 0) or shrunk by an ellipse kernel, all
     radii in one sweep."""
     kernels = {f"t{r}": R.kernel(r, "ellipse") for r in radii if r >= 0}
-    target = R.runs_of(target)
+    target = R.merged(R.runs_of(target))  # whole runs are grown, not pixels
     runs = R.named({"p": R.runs_of(pred)})
     runs = runs.unionByName(R.tagged(target, kernels, height, width)) if kernels else runs
-    whole = R.merged(target) if min(radii) < 0 else None
     for r in radii:
         if r < 0:
-            runs = runs.unionByName(R.shrunk(whole, f"t{r}", R.kernel(-r, "ellipse"), height, width, True))
+            runs = runs.unionByName(R.shrunk(target, f"t{r}", R.kernel(-r, "ellipse"), height, width, True))
     s = R.sweep(runs, ["p", *[f"t{r}" for r in radii]])
     p = F.col("p") > 0
     least = lambda r: R.kernel_rows(R.kernel(-r, "ellipse"), height, True) if r < 0 else F.lit(1)
