@@ -124,3 +124,10 @@ def test_sweeps_keep_no_hash_table(spark):
     assert "HashAggregate" not in plan(merged) and plan(merged).count("Sort [") == 1
     assert {tuple(r) for r in s.collect()} == {(0, 1, 0, 1, 1, 0), (0, 1, 2, 3, 2, 0), (0, 1, 4, 4, 1, 1), (0, 1, 5, 5, 1, 0), (0, 1, 6, 7, 1, 0), (0, 1, 9, 9, 0, 1)}
     assert [tuple(r) for r in merged.collect()] == [(0, 1, 0, 7)]
+
+
+def test_label_sweep_grows_runs_not_pixels(spark):
+    px = spark.createDataFrame([(0, 2, x) for x in range(1, 5)], PX)
+    got = P.label_sweep(px, px, [0, 1], 6, 6)
+    assert plan(got).count("REPARTITION_BY_COL") == 2  # the target's pixels become runs in a sweep of their own
+    assert {r.radius: (r.precision, r.recall) for r in got.collect()} == {0: (1.0, 1.0), 1: (1.0, 4 / 14)}
