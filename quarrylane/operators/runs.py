@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 RUN = ["image_id", "y", "x0", "x1"]
 POINT = {0: 0}
+#: Pixels that a task makes runs of together.
+PACKED = 1 << 19
 
 
 def kernel(radius: int, shape: str = "square") -> dict[int, int]:
@@ -55,19 +57,28 @@ def row_runs(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarra
 
 
 def runs_of(px: DataFrame) -> DataFrame:
-    """Runs of pixels (image_id, y, x), made batch by batch without a shuffle: long ones where pixels come in
-    the order of rows, single pixels where they don't."""
+    """Runs of pixels (image_id, y, x), made of PACKED pixels at a time without a shuffle: whole ones where a
+    part of px has whole rows of images, in any order, and single pixels where it has not."""
     schema = run_schema(px.schema["image_id"].dataType)
 
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        image, y, x = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+        code, y, x = codes(image), y.to_numpy(), x.to_numpy()
+        order = np.lexsort((x, y, code))
+        first, last = row_runs(code[order], y[order], x[order])
+        at = order[first]
+        return pa.RecordBatch.from_arrays([image.take(pa.array(at)), pa.array(y[at]), pa.array(x[at]), pa.array(x[order[last]])], names=RUN)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            image = b.column(0)
-            code = codes(image)
-            y, x = (b.column(i).to_numpy() for i in (1, 2))
-            order = np.lexsort((x, y, code))
-            first, last = row_runs(code[order], y[order], x[order])
-            at = order[first]
-            yield pa.RecordBatch.from_arrays([image.take(pa.array(at)), pa.array(y[at]), pa.array(x[at]), pa.array(x[order[last]])], names=RUN)
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
 
     return px.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).where("y IS NOT NULL AND x IS NOT NULL").mapInArrow(pack, schema)
 

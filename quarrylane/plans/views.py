@@ -6,11 +6,12 @@ Integer arithmetic wherever the result is a key, so both engines give the same r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 FRAME = 192  # side of the frames that hold streaks
-#: Rows that one task turns into pixels; a small file is else one task's, however many pixels come of it.
-ROWS = {"supplier": ("s_suppkey", 1_000), "events": ("event_id", 100_000)}
+#: The image of a row, and rows that one task turns into pixels; a small file is else one task's, however many pixels come of it.
+ROWS = {"supplier": ("s_suppkey div 10", 250), "events": ("event_id div 1000", 25_000)}
 
 
 def _div(duck: bool, a: str, b: int) -> str:
@@ -35,6 +36,11 @@ def _centre(duck: bool, shift: str) -> str:
         (s_suppkey * 53) % 120 + {_div(duck, 'i * (s_suppkey % 5)', 4)} + {shift} AS yc FROM (SELECT s_suppkey, {_steps(duck, 60)} AS i FROM supplier) s"""
 
 
+def _whole(duck: bool, pixels: str) -> str:
+    """Pixels of two tables, for Spark with each image in one part; view() fills in the number of parts."""
+    return pixels if duck else f"SELECT /*+ REPARTITION(:parts, image_id) */ * FROM ({pixels}) w"
+
+
 def sql(name: str, duck: bool) -> str:
     rows3, rows2 = ("unnest([-1, 0, 1])", "unnest([0, 1])") if duck else ("explode(array(-1, 0, 1))", "explode(array(0, 1))")
     gap = f"{hash_sql(duck, _text(duck, 's_suppkey') + " || '|' || " + _text(duck, _div(duck, 'i', 6)))} % 5 = 0"
@@ -47,8 +53,8 @@ def sql(name: str, duck: bool) -> str:
     return {
         "v_scored": "SELECT l_suppkey AS image_id, l_suppkey * 16 + l_partkey % 16 AS patch_id, l_quantity / 50 AS prob, l_returnflag = 'R' AS target, l_discount * 10 AS prob2, l_tax * 12 AS gate FROM lineitem",
         "v_gt_px": f"SELECT DISTINCT image_id, y, x FROM (SELECT image_id, yc + dy AS y, x FROM (SELECT *, {rows3} AS dy FROM ({_centre(duck, '0')}) c) d) e WHERE {inside}",
-        "v_pred_px": f"SELECT DISTINCT image_id, y, x FROM (SELECT image_id, y, x FROM ({line}) l WHERE NOT gap UNION ALL SELECT image_id, y, x FROM ({specks}) s) e WHERE {inside}",
-        "v_prob_px": f"SELECT image_id, y, x, max(prob) AS prob FROM (SELECT image_id, y, x, CASE WHEN gap THEN 3e-1 ELSE 9e-1 END AS prob FROM ({line}) l UNION ALL SELECT image_id, y, x, prob FROM ({specks}) s) e WHERE {inside} GROUP BY image_id, y, x",
+        "v_pred_px": f"SELECT DISTINCT image_id, y, x FROM ({_whole(duck, f'SELECT image_id, y, x FROM ({line}) l WHERE NOT gap UNION ALL SELECT image_id, y, x FROM ({specks}) s')}) e WHERE {inside}",
+        "v_prob_px": f"SELECT image_id, y, x, max(prob) AS prob FROM ({_whole(duck, f'SELECT image_id, y, x, CASE WHEN gap THEN 3e-1 ELSE 9e-1 END AS prob FROM ({line}) l UNION ALL SELECT image_id, y, x, prob FROM ({specks}) s')}) e WHERE {inside} GROUP BY image_id, y, x",
         "v_frame_px": "SELECT l_suppkey AS image_id, l_partkey % 64 AS y, l_orderkey % 64 AS x, CAST(max(l_quantity) * 4 + max(l_linenumber) AS INT) AS v FROM lineitem GROUP BY l_suppkey, l_partkey % 64, l_orderkey % 64",
         "v_manifest": f"SELECT 'ML1_' || {_text(duck, f'({k} % 6 + 2018) * 10000 + 101 + {part(6, 28)}')} || '_' || {pad(part(168, 24))} || {pad(part(4032, 60))} || {pad(part(241920, 60))} || '_red.fits_full.png' AS source_image, o_orderkey AS patch, CASE o_orderpriority WHEN '1-URGENT' THEN 'val' WHEN '2-HIGH' THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderstatus <> 'P' THEN 0e0 ELSE (o_orderkey % 1000 + 1) / 1e5 END AS fraction FROM orders",
         "v_history": "SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS val_loss, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS train_loss, CASE WHEN event_type = 'error' THEN 0e0 ELSE least(value / 500, 1e0) END AS val_dice FROM events",
@@ -62,17 +68,24 @@ def sql(name: str, duck: bool) -> str:
     }[name]
 
 
-def spread(table: DataFrame, key: str, rows: int) -> DataFrame:
-    """A table in parts of about so many rows."""
-    return table.repartition(max(1, -(-table.count() // rows)), key)
+def parts(table: DataFrame, rows: int) -> int:
+    return max(1, -(-table.count() // rows))
+
+
+def spread(table: DataFrame, key: str, rows: int, n: int | None = None) -> DataFrame:
+    """A table in parts of about so many rows, or in n parts."""
+    return table.repartition(n or parts(table, rows), F.expr(key))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table over the tables in sf_dir.  Tables that pixels are made of are cut by rows."""
+    """A domain table over the tables in sf_dir.  Tables that pixels are made of are cut by images into parts that
+    grow in number with their rows, so all pixels of an image are in one part."""
     text = sql(name, duck=False)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text or f"JOIN {t}" in text}
     if name.endswith("_px"):
-        used = {t: spread(d, *ROWS[t]) if t in ROWS else d for t, d in used.items()}
+        n = sum(parts(d, ROWS[t][1]) for t, d in used.items() if t in ROWS)
+        used = {t: spread(d, *ROWS[t], n) if t in ROWS else d for t, d in used.items()}
+        text = text.replace(":parts", str(n))
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")

@@ -31,6 +31,21 @@ def test_a_small_file_of_streaks_is_cut_before_it_becomes_pixels(spark, tmp_path
     assert px.where("image_id = 249").select("image_id").distinct().count() == 1
 
 
+def test_images_come_whole_from_pixel_views(spark, tmp_path):
+    spark.range(1_500).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(40_000).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("user_id"), (F.col("id") % 100).cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    for name, parts in (("v_gt_px", 6), ("v_pred_px", 8), ("v_prob_px", 8)):
+        px = V.view(spark, str(tmp_path), name)
+        assert px.rdd.getNumPartitions() == parts  # by the tables' rows, not by a setting
+        runs = R.runs_of(px)
+        assert runs.count() == R.merged(runs).count() < px.count()
+
+
+def test_runs_are_whole_over_arrow_batches(spark):
+    px = spark.range(25_000).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") % 5).alias("y"), F.floor(F.col("id") / 5).alias("x")).coalesce(1)
+    assert {tuple(r) for r in R.runs_of(px).collect()} == {(0, y, 0, 4_999) for y in range(5)}
+
+
 def test_pixels_are_not_broadcast(spark):
     px = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (0, 2, 3)], PX)
     score = px.select("image_id", F.col("x").alias("component"), "y", "x")
