@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
@@ -25,15 +25,31 @@ def histogram_median(hist: DataFrame, *keys: str) -> DataFrame:
     return first.groupBy(*keys).agg(F.min_by(step, "bin").alias("median"))
 
 
+def main_axes(labelled: DataFrame) -> DataFrame:
+    """(image_id, component, angle, cy, cx): angle of each component's main axis and its centre.  Sums of whole
+    numbers are exact, so no order of the pixels changes a bit."""
+    y, x = F.col("y").cast("long"), F.col("x").cast("long")
+    s = labelled.groupBy("image_id", "component").agg(*[F.sum(c).alias(n) for n, c in {"n": F.lit(1).cast("long"), "sy": y, "sx": x, "syy": y * y, "sxx": x * x, "sxy": x * y}.items()])
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    spread = lambda ab, a, b: (whole("n") * whole(ab) - whole(a) * whole(b)).cast("double")
+    angle = F.atan2(2 * spread("sxy", "sx", "sy"), spread("sxx", "sx", "sx") - spread("syy", "sy", "sy")) / 2
+    return s.select("image_id", "component", angle.alias("angle"), (F.col("sy") / F.col("n")).alias("cy"), (F.col("sx") / F.col("n")).alias("cx"))
+
+
+def between(corners: list[Column], fy: Column, fx: Column) -> Column:
+    """The bilinear value between four corners (y0 x0, y0 x1, y1 x0, y1 x1).  Where they are equal it is theirs to
+    the last bit, which a sum of weighted values is not."""
+    low, high = (corners[k] + fx * (corners[k + 1] - corners[k]) for k in (0, 2))
+    return low + fy * (high - low)
+
+
 def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1, size: tuple[int, int] | None = None, missing: float | None = None) -> DataFrame:
     """(image_id, component, offset, v): the median value across each component's main axis.
 
     Points between the 5th and 95th percentile along the axis are moved by each offset across it and
     read by bilinear interpolation; coordinates are held inside the frame.  A frame may list only some
     of its pixels: `missing` is the value of the others, and size its height and width."""
-    s = P.component_shapes(labelled).select("image_id", "component", "angle")
-    mid = labelled.groupBy("image_id", "component").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    a = s.hint("merge").join(mid, ["image_id", "component"])
+    a = main_axes(labelled)
     along = (F.col("x") - F.col("cx")) * F.cos("angle") + (F.col("y") - F.col("cy")) * F.sin("angle")
     span = labelled.hint("merge").join(a, ["image_id", "component"]).groupBy("image_id", "component").agg(F.percentile(along, F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     pts = a.hint("merge").join(span, ["image_id", "component"]).select("*", F.explode(F.sequence(F.ceil(F.col("q")[0]), F.floor(F.col("q")[1]), F.lit(stride).cast("long"))).alias("t")).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"))
@@ -47,10 +63,10 @@ def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1,
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
     pts = pts.select("image_id", "component", "t", "offset", "py", "px", "my", "mx", corner.alias("c"))
     fy, fx = F.col("py") - F.floor("py"), F.col("px") - F.floor("px")
-    weight = F.when(F.col("c.i") == 1, fy).otherwise(1 - fy) * F.when(F.col("c.j") == 1, fx).otherwise(1 - fx)
-    pts = pts.select("image_id", "component", "t", "offset", weight.alias("w"), F.least(F.col("my"), F.floor("py") + F.col("c.i")).alias("y"), F.least(F.col("mx"), F.floor("px") + F.col("c.j")).alias("x"))
+    pts = pts.select("image_id", "component", "t", "offset", "c", fy.alias("fy"), fx.alias("fx"), F.least(F.col("my"), F.floor("py") + F.col("c.i")).alias("y"), F.least(F.col("mx"), F.floor("px") + F.col("c.j")).alias("x"))
     read = pts.hint("merge").join(frame, PX, "inner" if missing is None else "left").withColumn("v", F.coalesce("v", F.lit(missing)) if missing is not None else F.col("v"))
-    read = read.groupBy("image_id", "component", "t", "offset").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    corners = [F.coalesce(F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col("v"))), F.lit(0.0)) for i in (0, 1) for j in (0, 1)]
+    read = read.groupBy("image_id", "component", "t", "offset").agg(between(corners, F.first("fy"), F.first("fx")).alias("v"))
     return read.groupBy("image_id", "component", "offset").agg(F.percentile("v", 0.5).alias("v"))
 
 

@@ -298,6 +298,26 @@ def test_profile_reads_across_the_line(spark):
     assert got[0] == pytest.approx(100) and all(got[o] == pytest.approx(10) for o in (-3, -2, -1, 1, 2, 3))
 
 
+def slanted(spark, length):
+    """Lines at forty slopes, one to an image."""
+    return P.components(spark.createDataFrame([(i, 30 + x * i // 40 + d, 10 + x) for i in range(40) for x in range(length) for d in (0, 1, 2)], PX))
+
+
+def test_flat_profiles_are_flat_to_the_last_bit(spark):
+    one = spark.createDataFrame([(99, 0, 0, 1.0)], PX + ", v double")
+    prof = T.profile(slanted(spark, 8), one, 4, size=(120, 120), missing=20.3)
+    assert [r.v for r in prof.select("v").distinct().collect()] == [20.3]
+    got = T.profile_metrics(prof, 2)
+    assert got.count() == 40 and got.where("peak <> 0 OR fwhm IS NOT NULL OR scatter <> 0").isEmpty()
+
+
+def test_profiles_do_not_depend_on_the_order_of_rows(spark):
+    line = slanted(spark, 60)
+    frame = line.select("image_id", "y", "x", (F.pmod(F.xxhash64("image_id", "y", "x"), F.lit(1000)) / 7).alias("v"))
+    a, b = ({tuple(r) for r in T.profile(line.repartition(n, F.rand(n)), frame.repartition(n, F.rand(n)), 3, size=(120, 120), missing=20.3).collect()} for n in (3, 7))
+    assert len(a) == 280 and a == b
+
+
 def test_reviews(spark):
     inf = spark.createDataFrame([(1, 1), (1, 2)], "expnum int, detector int")
     rev = lambda rows: spark.createDataFrame(rows, "expnum int, detector int, hit boolean, reviewer string")
