@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,38 +40,110 @@ def main_axes(labelled: DataFrame) -> DataFrame:
     return s.select("image_id", "component", angle.alias("angle"), (F.col("sy") / F.col("n")).alias("cy"), (F.col("sx") / F.col("n")).alias("cx"))
 
 
-def between(corners: list[Column], fy: Column, fx: Column) -> Column:
-    """The bilinear value between four corners (y0 x0, y0 x1, y1 x0, y1 x1).  Where they are equal it is theirs to
-    the last bit, which a sum of weighted values is not."""
-    low, high = (corners[k] + fx * (corners[k + 1] - corners[k]) for k in (0, 2))
-    return low + fy * (high - low)
-
-
-def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1, size: tuple[int, int] | None = None, missing: float | None = None) -> DataFrame:
+#: Places along an axis that go to a tile together, and values that a task reads at once.
+ALONG = 256
+AT_ONCE = 1 << 19
+
+
+def medians(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and the median of each one's values, as F.percentile has it."""
+    order = np.lexsort((v, key))
+    key, v = key[order], v[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first, append=len(key))
+    return key[first], 0.5 * v[first + (n - 1) // 2] + 0.5 * v[first + n // 2]
+
+
+def read_tile(blocks: pa.Table, px: pa.Table, reach: int, stride: int, missing: float | None, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of blocks, offsets, values): what blocks of places along axes read in their tile, by bilinear
+    interpolation; components that are whole in it give their medians only.
+
+    Values lie between corners, so where those are equal the value is theirs to the last bit, which a sum of
+    weighted values is not."""
+    n = {c: blocks.column(c).to_numpy() for c in ("ty", "tx", "cy", "cx", "sin", "cos", "t0", "t1", "my", "mx")}
+    whole = blocks.column("whole").to_numpy(zero_copy_only=False)
+    (ty, y0), (tx, x0) = ((n[c][0], n[c][0] * tile) for c in ("ty", "tx"))
+    my, mx = n["my"][0], n["mx"][0]
+    shape = tuple(int(min(tile, m - v)) + 1 for m, v in ((my, y0), (mx, x0)))
+    grid = np.full(shape, float(missing or 0))
+    y, x = px.column("y").to_numpy() - y0, px.column("x").to_numpy() - x0
+    inside = (y < shape[0]) & (x < shape[1])
+    grid[y[inside], x[inside]] = px.column("v").to_numpy(zero_copy_only=False)[inside]
+    listed = None
+    if missing is None:
+        listed = np.zeros(shape, bool)
+        listed[y[inside], x[inside]] = True
+    offsets = np.arange(-reach, reach + 1)
+    count = (n["t1"] - n["t0"]) // stride + 1
+    for rows in np.split(np.arange(len(count)), np.flatnonzero(np.diff(np.cumsum(count * len(offsets)) // AT_ONCE)) + 1):
+        row = np.repeat(rows, count[rows])
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+        at = {c: v[row] for c, v in n.items() if c in ("cy", "cx", "sin", "cos", "t0")}
+        t = at["t0"] + k * stride
+        qy = (at["cy"] + t * at["sin"])[:, None] + offsets * at["cos"][:, None]
+        qx = (at["cx"] + t * at["cos"])[:, None] - offsets * at["sin"][:, None]
+        qy, qx = np.clip(qy, 0.0, float(my)), np.clip(qx, 0.0, float(mx))
+        iy, ix = np.floor(qy).astype(np.int64), np.floor(qx).astype(np.int64)
+        fy, fx = qy - iy, qx - ix
+        own = (iy // tile == ty) & (ix // tile == tx)
+        a, b = np.where(own, iy - y0, 0), np.where(own, ix - x0, 0)
+        c, d = np.minimum(a + 1, my - y0), np.minimum(b + 1, mx - x0)
+        low = grid[a, b] + fx * (grid[a, d] - grid[a, b])
+        high = grid[c, b] + fx * (grid[c, d] - grid[c, b])
+        v = low + fy * (high - low)
+        if listed is not None:
+            own &= listed[a, b] | listed[a, d] | listed[c, b] | listed[c, d]
+        i, o = np.nonzero(own)
+        i, v = row[i], v[own]
+        key, mid = medians((i * len(offsets) + o)[whole[i]], v[whole[i]])
+        yield np.append(i[~whole[i]], key // len(offsets)), offsets[np.append(o[~whole[i]], key % len(offsets))], np.append(v[~whole[i]], mid)
+
+
+def profile(labelled: DataFrame, frame: DataFrame, reach: int, stride: int = 1, size: tuple[int, int] | None = None, missing: float | None = None, tile: int = L.TILE) -> DataFrame:
     """(image_id, component, offset, v): the median value across each component's main axis.
 
     Points between the 5th and 95th percentile along the axis are moved by each offset across it and
     read by bilinear interpolation; coordinates are held inside the frame.  A frame may list only some
-    of its pixels: `missing` is the value of the others, and size its height and width."""
+    of its pixels: `missing` is the value of the others, and size its height and width.
+
+    Axes meet the pixels of the tiles that they cross, and points exist in the arrays of a tile's task only: what
+    is shuffled are pixels, axes cut into pieces, and values of components that cross a tile's border."""
+    keys = ["image_id", "component"]
     a = main_axes(labelled)
     along = (F.col("x") - F.col("cx")) * F.cos("angle") + (F.col("y") - F.col("cy")) * F.sin("angle")
-    span = labelled.hint("merge").join(a, ["image_id", "component"]).groupBy("image_id", "component").agg(F.percentile(along, F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    pts = a.hint("merge").join(span, ["image_id", "component"]).select("*", F.explode(F.sequence(F.ceil(F.col("q")[0]), F.floor(F.col("q")[1]), F.lit(stride).cast("long"))).alias("t")).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"))
-    y = F.col("cy") + F.col("t") * F.sin("angle") + F.col("offset") * F.cos("angle")
-    x = F.col("cx") + F.col("t") * F.cos("angle") - F.col("offset") * F.sin("angle")
+    span = labelled.hint("merge").join(a, keys).groupBy(*keys).agg(F.percentile(along, F.array(F.lit(0.05), F.lit(0.95))).alias("q"), *[F.first(c).alias(c) for c in ("cy", "cx", "angle")])
+    axes = span.select(*keys, "cy", "cx", F.sin("angle").alias("sin"), F.cos("angle").alias("cos"), F.ceil(F.col("q")[0]).alias("t0"), F.floor(F.col("q")[1]).alias("last")).where("t0 <= last")
     if size:
-        pts = pts.withColumn("my", F.lit(size[0] - 1)).withColumn("mx", F.lit(size[1] - 1))
+        axes = axes.withColumns({"my": F.lit(size[0] - 1).cast("long"), "mx": F.lit(size[1] - 1).cast("long")})
     else:
-        pts = pts.join(frame.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx")), "image_id")
-    pts = pts.withColumn("py", F.greatest(F.lit(0.0), F.least(F.col("my").cast("double"), y))).withColumn("px", F.greatest(F.lit(0.0), F.least(F.col("mx").cast("double"), x)))
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    pts = pts.select("image_id", "component", "t", "offset", "py", "px", "my", "mx", corner.alias("c"))
-    fy, fx = F.col("py") - F.floor("py"), F.col("px") - F.floor("px")
-    pts = pts.select("image_id", "component", "t", "offset", "c", fy.alias("fy"), fx.alias("fx"), F.least(F.col("my"), F.floor("py") + F.col("c.i")).alias("y"), F.least(F.col("mx"), F.floor("px") + F.col("c.j")).alias("x"))
-    read = pts.hint("merge").join(frame, PX, "inner" if missing is None else "left").withColumn("v", F.coalesce("v", F.lit(missing)) if missing is not None else F.col("v"))
-    corners = [F.coalesce(F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col("v"))), F.lit(0.0)) for i in (0, 1) for j in (0, 1)]
-    read = read.groupBy("image_id", "component", "t", "offset").agg(between(corners, F.first("fy"), F.first("fx")).alias("v"))
-    return read.groupBy("image_id", "component", "offset").agg(F.percentile("v", 0.5).alias("v"))
+        axes = axes.hint("merge").join(frame.groupBy("image_id").agg(F.max("y").cast("long").alias("my"), F.max("x").cast("long").alias("mx")), "image_id")
+
+    def tiles(end: str, c: str, along: str, across: str) -> Column:
+        """The rows or columns of tiles between the places t0 and end, with all offsets; a hair more, for rounding."""
+        ends = [F.col(f"c{c}") + F.col(t) * F.col(along) for t in ("t0", end)]
+        wide = F.lit(reach) * F.abs(across) + 1e-6
+        held = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.col(f"m{c}").cast("double"), v)) / tile)
+        return F.sequence(held(F.least(*ends) - wide), held(F.greatest(*ends) + wide))
+
+    whole = (F.size(tiles("last", "y", "sin", "cos")) == 1) & (F.size(tiles("last", "x", "cos", "sin")) == 1)
+    starts = F.when(F.col("whole"), F.array("t0")).otherwise(F.sequence("t0", "last", F.lit(ALONG * stride).cast("long")))
+    blocks = axes.withColumn("whole", whole).withColumn("t0", F.explode(starts))
+    blocks = blocks.withColumn("t1", F.when(F.col("whole"), F.col("last")).otherwise(F.least("last", F.col("t0") + (ALONG - 1) * stride)))
+    blocks = blocks.withColumn("ty", F.explode(tiles("t1", "y", "sin", "cos"))).withColumn("tx", F.explode(tiles("t1", "x", "cos", "sin"))).drop("last")
+    # A tile also has the first pixels of the next ones, which are corners of its last points.
+    near = lambda c: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - 1) / tile)), F.floor(F.col(c) / tile))
+    v = F.col("v").cast("double")
+    px = frame.select(F.col("image_id").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (v if missing is None else F.coalesce(v, F.lit(missing))).alias("v")).where("y >= 0 AND x >= 0 AND v IS NOT NULL")
+    px = px.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    schema = labelled.select(*keys, F.lit(0).alias("offset"), F.lit(0.0).alias("v")).schema
+
+    def read(blocks: pa.Table, px: pa.Table) -> pa.Table:
+        parts = list(read_tile(blocks, px, reach, stride, missing, tile)) if blocks.num_rows else []
+        row, offset, v = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+        return pa.Table.from_arrays([*blocks.select(keys).take(pa.array(row)).columns, pa.array(offset.astype(np.int32)), pa.array(v.astype(np.float64))], names=[*keys, "offset", "v"])
+
+    values = blocks.groupBy(*P.TILE).cogroup(px.groupBy(*P.TILE)).applyInArrow(read, schema)
+    return values.groupBy(*keys, "offset").agg(F.percentile("v", 0.5).alias("v"))
 
 
 def profile_metrics(prof: DataFrame, sideband: int, saturation: float = 250.0) -> DataFrame:
@@ -77,19 +153,19 @@ def profile_metrics(prof: DataFrame, sideband: int, saturation: float = 250.0) -
     offsets at half the peak or more (null without a peak), excess (trapezoids over the profile's
     positive part) and whether the raw peak is saturated."""
     keys = ["image_id", "component"]
-    prof = P.stored(prof, "profiles")  # read five times
-    aside = F.abs("offset") >= sideband
-    prof = prof.hint("merge").join(prof.groupBy(*keys).agg((F.count_if(aside) == 0).alias("_none")), keys).withColumn("_side", F.col("_none") | aside)
-    side = prof.where("_side").groupBy(*keys).agg(F.percentile("v", 0.5).alias("background"))
-    p = prof.hint("merge").join(side, keys)
-    scatter = p.where("_side").groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("v") - F.col("background")), 0.5)).alias("scatter"))
-    w = Window.partitionBy(*keys).orderBy("offset")
-    e = F.col("v") - F.col("background")
-    p = p.withColumn("_e", e).withColumn("_plus", F.greatest(F.col("_e"), F.lit(0.0))).withColumn("_area", (F.col("_plus") + F.lag("_plus").over(w)) / 2 * (F.col("offset") - F.lag("offset").over(w)))
-    peak = p.groupBy(*keys).agg(F.greatest(F.max("_e"), F.lit(0.0)).alias("peak"), F.max("v").alias("raw"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("excess"), F.first("background").alias("background"))
-    wide = p.hint("merge").join(peak.select(*keys, "peak"), keys).where("peak > 0 AND _e >= peak / 2").groupBy(*keys).agg((F.max("offset") - F.min("offset")).cast("double").alias("fwhm"))
+    own = Window.partitionBy(*keys)
+    line = own.orderBy("offset")
+    p = prof.withColumn("_side", (F.abs("offset") >= sideband) | (F.count_if(F.abs("offset") >= sideband).over(own) == 0))
+    p = p.withColumn("background", F.percentile(F.when(F.col("_side"), F.col("v")), 0.5).over(own)).withColumn("_e", F.col("v") - F.col("background"))
+    p = p.withColumn("peak", F.greatest(F.max("_e").over(own), F.lit(0.0))).withColumn("_plus", F.greatest(F.col("_e"), F.lit(0.0)))
+    p = p.withColumn("_area", (F.col("_plus") + F.lag("_plus").over(line)) / 2 * (F.col("offset") - F.lag("offset").over(line)))
+    wide = F.when((F.col("peak") > 0) & (F.col("_e") >= F.col("peak") / 2), F.col("offset"))
+    m = p.groupBy(*keys).agg(
+        F.first("background").alias("background"), (1.4826 * F.percentile(F.when(F.col("_side"), F.abs("_e")), 0.5)).alias("scatter"), F.first("peak").alias("peak"),
+        (F.max(wide) - F.min(wide)).cast("double").alias("fwhm"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("excess"), (F.max("v") >= saturation).alias("saturated"),
+    )
     contrast = F.when(F.col("scatter") > 1e-6, F.col("peak") / F.col("scatter")).alias("contrast")
-    return peak.hint("merge").join(scatter, keys, "left").hint("merge").join(wide, keys, "left").select(*keys, "background", "scatter", "peak", contrast, "fwhm", "excess", (F.col("raw") >= saturation).alias("saturated"))
+    return m.select(*keys, "background", "scatter", "peak", contrast, "fwhm", "excess", "saturated")
 
 
 def component_recall(labelled: DataFrame, pred: DataFrame, post: DataFrame) -> DataFrame:

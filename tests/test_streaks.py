@@ -318,6 +318,42 @@ def test_profiles_do_not_depend_on_the_order_of_rows(spark):
     assert len(a) == 280 and a == b
 
 
+@pytest.mark.parametrize("missing", [20.3, None])
+def test_profiles_do_not_depend_on_tiles(spark, monkeypatch, missing):
+    monkeypatch.setattr(T, "ALONG", 8)
+    line = slanted(spark, 60)
+    frame = line.where("x % 9 > 0").select("image_id", "y", "x", (F.pmod(F.xxhash64("image_id", "y", "x"), F.lit(1000)) / 7).alias("v"))
+    a, b, c = ({tuple(r) for r in T.profile(line, frame, 9, stride, size=(95, 64), missing=missing, tile=tile).collect()} for tile, stride in ((512, 1), (16, 1), (16, 3)))
+    assert len(a) == (760 if missing else len({r[:3] for r in a})) and a == b and a != c
+    pixel = {(r.image_id, r.y, r.x): r.v for r in frame.collect()}
+    one = [(y, x) for i, y, x, _ in line.collect() if i == 17]
+    (sy, sx), n = np.sum(one, 0), len(one)
+    cov = np.cov(np.array(one).T)
+    angle = np.arctan2(2 * cov[0, 1], cov[1, 1] - cov[0, 0]) / 2
+    sin, cos, cy, cx = np.sin(angle), np.cos(angle), sy / n, sx / n
+    low, high = np.percentile([(x - cx) * cos + (y - cy) * sin for y, x in one], [5, 95])
+    for o in range(-9, 10):
+        values = []
+        for t in range(int(np.ceil(low)), int(np.floor(high)) + 1):
+            y, x = np.clip(cy + t * sin + o * cos, 0, 94), np.clip(cx + t * cos - o * sin, 0, 63)
+            at = [(min(94, int(y) + i), min(63, int(x) + j), (y % 1 if i else 1 - y % 1) * (x % 1 if j else 1 - x % 1)) for i in (0, 1) for j in (0, 1)]
+            if missing or any((17, p, q) in pixel for p, q, _ in at):
+                values.append(sum(w * pixel.get((17, p, q), missing or 0) for p, q, w in at))
+        got = [r[3] for r in a if r[0] == 17 and r[2] == o]
+        assert got == (pytest.approx([np.median(values)]) if values else [])
+
+
+def test_points_of_profiles_are_not_shuffled(spark):
+    line = px(spark, [(20, x) for x in range(5, 35)])
+    frame = line.withColumn("v", F.lit(1.0))
+    prof = T.profile(P.components(line), frame, 12, size=(64, 64), missing=20.0)
+    metrics = T.profile_metrics(prof, 8)
+    text = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "FlatMapCoGroupsInArrow" in text
+    assert text.split("FlatMapCoGroupsInArrow")[0].count("Exchange") == 2  # of medians: by offset, by component
+    assert prof.count() == 25
+
+
 def test_reviews(spark):
     inf = spark.createDataFrame([(1, 1), (1, 2)], "expnum int, detector int")
     rev = lambda rows: spark.createDataFrame(rows, "expnum int, detector int, hit boolean, reviewer string")
